@@ -5,9 +5,13 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import minhash
+import public_tokenizers
+
+from . import decontaminate, minhash, packing, token_counts, warc
 from .common import read
 
+TOKENIZER = public_tokenizers.path("byte_bpe_50k.json")
+
 WORDS = r"regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')"
 LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 
@@ -16,11 +20,47 @@ def op10_minhash_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.near_duplicates(read(spark, sf_dir, "documents")).select("doc_id", "n_shingles", "component_id", "kept")
 
 
+def op3_benchmark_containment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.contaminated(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"))
+
+
+def op6_warc_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.round_trip(read(spark, sf_dir, "pages")).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
+def op7_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack_documents(read(spark, sf_dir, "documents"), TOKENIZER)
+
+
+def op8_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_counts.document_tokens(read(spark, sf_dir, "documents"), TOKENIZER)
+
+
 QUERIES = {
+    "op3_benchmark_containment": op3_benchmark_containment,
+    "op6_warc_round_trip": op6_warc_round_trip,
+    "op7_best_fit_packing": op7_best_fit_packing,
+    "op8_token_counts": op8_token_counts,
     "op10_minhash_near_duplicates": op10_minhash_near_duplicates,
 }
 
 SQL = {
+    "op3_benchmark_containment": r"""
+WITH d AS (SELECT doc_id, regexp_extract_all(lower(coalesce(text, '')), '[^\x20\x09-\x0D]+') AS w FROM documents),
+b AS (SELECT item_id, regexp_extract_all(lower(coalesce(text, '')), '[^\x20\x09-\x0D]+') AS w FROM benchmark),
+s AS (SELECT DISTINCT doc_id, array_to_string(w[i:i+4], ' ') AS g FROM (SELECT doc_id, w, unnest(range(1, greatest(len(w) - 4, 1) + 1)) AS i FROM d WHERE len(w) > 0)),
+q AS (SELECT DISTINCT item_id, array_to_string(w[i:i+4], ' ') AS g FROM (SELECT item_id, w, unnest(range(1, greatest(len(w) - 4, 1) + 1)) AS i FROM b WHERE len(w) > 0)),
+n AS (SELECT item_id, count(*) AS n FROM q GROUP BY item_id),
+m AS (SELECT doc_id, item_id, count(*) AS c FROM s JOIN q USING (g) GROUP BY ALL)
+SELECT doc_id, item_id, n AS n_item_shingles, c AS n_shared, c / n AS containment FROM m JOIN n USING (item_id) WHERE 100 * c >= 75 * n""",
+    "op6_warc_round_trip": r"""
+WITH p AS (SELECT page_id, encode(coalesce(html, '')) AS h FROM pages),
+x AS (SELECT page_id, octet_length(h) AS n, upper(sha1(h)) AS s FROM p),
+f AS (SELECT page_id, n, s, min(page_id) OVER (PARTITION BY s) AS f,
+  [instr('0123456789ABCDEF', s[i]) - 1 FOR i IN range(1, 41)] AS v FROM x)
+SELECT page_id, n AS payload_bytes,
+  array_to_string([substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', 1 + (((v[5 * k // 4 + 1] * 16 + coalesce(v[5 * k // 4 + 2], 0)) >> (3 - (5 * k) % 4)) & 31)::INT, 1) FOR k IN range(0, 32)], '') AS payload_digest,
+  CASE WHEN page_id = f THEN 'response' ELSE 'revisit' END AS record_type, CASE WHEN page_id = f THEN NULL ELSE f END AS refers_to FROM f""",
     "op10_minhash_near_duplicates": rf"""
 WITH RECURSIVE w AS (SELECT doc_id, regexp_extract_all({LOWER}, '[^\x20\x09-\x0D]+') AS w FROM documents),
 s AS (SELECT DISTINCT doc_id, CASE WHEN len(w) >= 5 THEN array_to_string(w[i:i+4], ' ') ELSE array_to_string(w, ' ') END AS g
