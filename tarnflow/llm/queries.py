@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 import public_tokenizers
 
-from . import decontaminate, minhash, packing, token_counts, warc
+from . import decontaminate, minhash, packing, substring, suffix_tree, token_counts, warc
 from .common import read
 
 TOKENIZER = public_tokenizers.path("byte_bpe_50k.json")
@@ -16,6 +16,10 @@ WORDS = r"regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')"
 LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 
 
+def op9_suffix_tree_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_tree.corpus_scores(read(spark, sf_dir, "documents"))
+
+
 def op10_minhash_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.near_duplicates(read(spark, sf_dir, "documents")).select("doc_id", "n_shingles", "component_id", "kept")
 
@@ -24,6 +28,10 @@ def op3_benchmark_containment(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.contaminated(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"))
 
 
+def op5_repeated_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substring.repeated_words(read(spark, sf_dir, "documents"))
+
+
 def op6_warc_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.round_trip(read(spark, sf_dir, "pages")).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
@@ -38,9 +46,11 @@ def op8_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op3_benchmark_containment": op3_benchmark_containment,
+    "op5_repeated_passages": op5_repeated_passages,
     "op6_warc_round_trip": op6_warc_round_trip,
     "op7_best_fit_packing": op7_best_fit_packing,
     "op8_token_counts": op8_token_counts,
+    "op9_suffix_tree_scores": op9_suffix_tree_scores,
     "op10_minhash_near_duplicates": op10_minhash_near_duplicates,
 }
 
@@ -53,6 +63,15 @@ q AS (SELECT DISTINCT item_id, array_to_string(w[i:i+4], ' ') AS g FROM (SELECT
 n AS (SELECT item_id, count(*) AS n FROM q GROUP BY item_id),
 m AS (SELECT doc_id, item_id, count(*) AS c FROM s JOIN q USING (g) GROUP BY ALL)
 SELECT doc_id, item_id, n AS n_item_shingles, c AS n_shared, c / n AS containment FROM m JOIN n USING (item_id) WHERE 100 * c >= 75 * n""",
+    "op5_repeated_passages": rf"""
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, {WORDS} AS w FROM documents),
+x AS (SELECT r, unnest(w) AS t, unnest(range(1, len(w) + 1)) AS i FROM d),
+s AS (SELECT r, i, md5(array_to_string(w[i:i+34], ' ')) AS h FROM (SELECT r, w, unnest(range(1, len(w) - 33)) AS i FROM d WHERE len(w) >= 35)),
+m AS (SELECT r, i, count(*) OVER (PARTITION BY h) > 1 AS again FROM s),
+c AS (SELECT x.r, x.i, x.t, coalesce(max(m.again::INT) OVER (PARTITION BY x.r ORDER BY x.i ROWS BETWEEN 34 PRECEDING AND CURRENT ROW), 0) AS gone
+  FROM x LEFT JOIN m ON m.r = x.r AND m.i = x.i),
+k AS (SELECT r, sum(gone)::BIGINT AS gone, coalesce(string_agg(t, ' ' ORDER BY i) FILTER (WHERE gone = 0), '') AS kept FROM c GROUP BY r)
+SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(gone, 0)::BIGINT AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256 FROM d LEFT JOIN k USING (r)""",
     "op6_warc_round_trip": r"""
 WITH p AS (SELECT page_id, encode(coalesce(html, '')) AS h FROM pages),
 x AS (SELECT page_id, octet_length(h) AS n, upper(sha1(h)) AS s FROM p),
