@@ -4,8 +4,8 @@ Words are lower-cased (A-Z) runs of non-space bytes. A document's set holds the
 of the whole run; without words it is empty and linked with nothing. Documents of equal sets are one node. Nodes are linked if the
 Jaccard similarity of their whole sets is at least `similarity`.
 
-Candidates: `bands` bands of `rows` minima. Each bucket links its members to one of them; such links are confirmed on full sets and give
-first components. Only buckets that then hold several components are searched further: there all pairs of different components whose
+Candidates: `bands` bands of `rows` minima. Each bucket links its members to one of them; such links are confirmed on full sets, for each
+node those shared by most buckets first, until none is left between components. Only buckets that then hold several components are searched further: there all pairs of different components whose
 signatures (8 bits a minimum) agree enough are confirmed too. So no group's pairs are all made, yet no link between components is passed over
 that banding brings together: a pair at similarity 0.75 shares no bucket with probability 5e-6 (32 bands of 4).
 
@@ -29,6 +29,7 @@ SIZE, SIMILARITY, BANDS, ROWS = 5, 0.75, 32, 4
 #: At this agreement of 128 minima a pair is still confirmed; a pair at 0.75 is four standard deviations above.
 AGREEMENT = 0.6
 BUCKET_PART = 2048
+LINK_ROUNDS = 6
 PRIME = (1 << 31) - 1
 
 
@@ -172,21 +173,30 @@ def near_duplicates(docs: DataFrame, size: int = SIZE, similarity: float = SIMIL
     nodes = signed.where("node is not null").groupBy("node").agg(F.first("bands").alias("bands"), F.first("signature").alias("signature"))
     keys = written(nodes.select("node", "signature", F.explode("bands").alias("key")).select("key", "node"), "bands")
     full = keys.groupBy("key").agg(F.min("node").alias("v"), F.count("*").alias("members")).where("members > 1")
-    stars = written(keys.join(full, "key").where("node <> v").groupBy(F.col("node").alias("u"), "v").agg(F.max("members").alias("members")), "stars")
+    stars = written(keys.join(full, "key").where("node <> v").groupBy(F.col("node").alias("u"), "v").agg(F.count("*").alias("shared")), "stars")
     involved = stars.select("u").union(stars.select("v")).distinct().withColumnRenamed("u", "node")
     named = signed.where("node is not null").join(involved, "node").groupBy("node").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id")).alias("m")).select("node", F.col("m.doc_id").alias("doc_id"))
     texts = written(_texts(d, named, size), "texts")
     free_shuffles(spark)
-    nearest = stars.groupBy("u").agg(F.min("v").alias("v"))
-    links = written(_confirmed(nearest, texts, size, similarity), "links")
+    links = written(_confirmed(_likeliest(stars), texts, size, similarity), "links")
     label = components(links)
-    for search in (lambda: _apart(stars, label), lambda: _crossing(keys, nodes, label, bands, rows)):
-        more = written(search(), "more")
-        found = written(_confirmed(more, texts, size, similarity), "links")
+    # The likeliest link of each node at a time while there are many; each round joins components, so fewer links stay to be looked at.
+    untried, members = stars.join(_likeliest(stars), ["u", "v"], "left_anti"), involved.count()
+    for left in range(LINK_ROUNDS, -1, -1):
+        across = written(_apart(untried, label), "across")
+        n = across.count()
+        tried = across.select("u", "v") if n <= members // 4 or not left else _likeliest(across)
+        found = written(_confirmed(tried, texts, size, similarity), "links")
         links = links.unionByName(found)
         if not found.isEmpty():
             label = components(links)
-        drop(more)
+        if n <= members // 4:
+            break
+        untried = across.join(tried, ["u", "v"], "left_anti")
+    more = written(_crossing(keys, nodes, label, bands, rows), "more")
+    found = written(_confirmed(more, texts, size, similarity), "links")
+    if not found.isEmpty():
+        label = components(links.unionByName(found))
     drop(texts)
     free_shuffles(spark)
     own = signed.select("doc_id", "n_shingles", "node").join(label, "node", "left").withColumn("c", F.coalesce("label", "node"))
@@ -218,8 +228,13 @@ def _apart(pairs: DataFrame, label: DataFrame) -> DataFrame:
     """Pairs of nodes in different components."""
     a = label.select(F.col("node").alias("u"), F.col("label").alias("lu"))
     b = label.select(F.col("node").alias("v"), F.col("label").alias("lv"))
-    p = pairs.select("u", "v").join(a, "u", "left").join(b, "v", "left")
-    return p.where(F.coalesce("lu", "u") != F.coalesce("lv", "v")).select("u", "v")
+    p = pairs.join(a, "u", "left").join(b, "v", "left")
+    return p.where(F.coalesce("lu", "u") != F.coalesce("lv", "v")).select("u", "v", "shared")
+
+
+def _likeliest(pairs: DataFrame) -> DataFrame:
+    """For each u the v with which it shares most buckets."""
+    return pairs.groupBy("u").agg(F.max(F.struct("shared", F.col("v"))).alias("m")).select("u", F.col("m.v").alias("v"))
 
 
 def _crossing(keys: DataFrame, nodes: DataFrame, label: DataFrame, bands: int, rows: int) -> DataFrame:
