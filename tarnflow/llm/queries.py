@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 import public_tokenizers
 
-from . import decontaminate, html_extract, minhash, packing, substring, suffix_tree, token_counts, toxicity, warc
+from . import decontaminate, html_extract, minhash, neighbours, packing, substring, suffix_tree, token_counts, toxicity, warc
 from .common import read
 
 TOKENIZER = public_tokenizers.path("byte_bpe_50k.json")
@@ -36,6 +36,11 @@ def op3_benchmark_containment(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.contaminated(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"))
 
 
+def op4_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = read(spark, sf_dir, "embeddings")
+    return neighbours.nearest(vectors, vectors.where("vec_id % 20 = 0"))
+
+
 def op5_repeated_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring.repeated_words(read(spark, sf_dir, "documents"))
 
@@ -56,6 +61,7 @@ QUERIES = {
     "op1_html_consensus": op1_html_consensus,
     "op2_toxicity": op2_toxicity,
     "op3_benchmark_containment": op3_benchmark_containment,
+    "op4_nearest_neighbours": op4_nearest_neighbours,
     "op5_repeated_passages": op5_repeated_passages,
     "op6_warc_round_trip": op6_warc_round_trip,
     "op7_best_fit_packing": op7_best_fit_packing,
