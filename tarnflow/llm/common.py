@@ -30,7 +30,7 @@ def remove(spark: SparkSession, path: str) -> None:
 
 
 def new_path(spark: SparkSession, name: str) -> str:
-    """A new place in the shared folder; release() removes it."""
+    """A new place in the shared folder; remove_left() and release() remove it."""
     path = f"{shared_dir(spark)}/tarnflow/{name}-{uuid.uuid4().hex}"
     _left.setdefault(id(spark.sparkContext), []).append(path)
     return path
@@ -53,10 +53,22 @@ def drop(df: DataFrame) -> None:
             _left[id(spark.sparkContext)].remove(path)
 
 
+def left(spark: SparkSession) -> list[str]:
+    """Places of intermediate tables that are still there."""
+    return list(_left.get(id(spark.sparkContext), []))
+
+
+def remove_left(spark: SparkSession, paths: list[str]) -> None:
+    """Remove these intermediate tables. Call it once the results that read them are written."""
+    for path in paths:
+        if path in _left.get(id(spark.sparkContext), []):
+            remove(spark, path)
+            _left[id(spark.sparkContext)].remove(path)
+
+
 def release(spark: SparkSession) -> None:
-    """Remove all intermediate tables of this application. Call it once the results that read them are written."""
-    for path in _left.pop(id(spark.sparkContext), []):
-        remove(spark, path)
+    """Remove all intermediate tables of this application."""
+    remove_left(spark, left(spark))
 
 
 def free_shuffles(spark: SparkSession) -> None:
