@@ -189,22 +189,23 @@ def _score(shared: Broadcast, features: bool):
     return run
 
 
-def fit(docs: DataFrame, labels: DataFrame, class_rows: int = CLASS_ROWS) -> tuple[Model | None, float]:
-    """A model of the labelled rows of docs, and the share of toxic ones, which is all there is where a class has no rows.
+def fit(docs: DataFrame, labels: DataFrame, modulus: int = 4, class_rows: int = CLASS_ROWS) -> tuple[Model | None, float]:
+    """A model of the labelled rows of docs that are not held out, and the share of toxic ones, which is all there is where a class has no rows.
 
     A document labelled more than once is toxic if any label says so. Two thirds of the rows go to counts, one third to weights.
     """
     short_batches(docs.sparkSession)
     known = labels.where("doc_id is not null and toxic is not null").groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.max((F.col("toxic") > 0).cast("int")).alias("label"))
-    d = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text")).join(known, "doc_id")
-    d = d.withColumn("order", F.xxhash64("doc_id"))
-    n = {r["label"]: r["n"] for r in known.join(docs.select(F.col("doc_id").cast("long").alias("doc_id")), "doc_id").groupBy("label").agg(F.count("*").alias("n")).collect()}
+    known = known.where(~held_out(modulus))
+    n = {r["label"]: r["n"] for r in known.groupBy("label").agg(F.count("*").alias("n")).collect()}
     prior = n.get(1, 0) / max(1, sum(n.values()))
     if not n.get(0) or not n.get(1):
         return None, prior
     for label, rows in n.items():
         if rows > class_rows:  # hashes are uniform, so a bar on them leaves about class_rows
-            d = d.where((F.col("label") != label) | (F.col("order") <= int(2**64 * class_rows / rows) - 2**63))
+            known = known.where((F.col("label") != label) | (F.xxhash64("doc_id") <= int(2**64 * class_rows / rows) - 2**63))
+    # What is left are about two times class_rows ids at most: a broadcast, and no text is shuffled.
+    d = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text")).join(F.broadcast(known), "doc_id")
     d = d.withColumn("weigh", F.pmod(F.xxhash64(F.lit(3), "doc_id"), F.lit(3)) == 0)
     counted = d.where("not weigh").select("text", "label").mapInArrow(_count, "word long, begin long, toxic long, ordinary long")
     counted = counted.groupBy("word").agg(F.first("begin").alias("begin"), F.sum("toxic").alias("toxic"), F.sum("ordinary").alias("ordinary")).toArrow()
@@ -228,7 +229,7 @@ def toxicity(docs: DataFrame, labels: DataFrame, modulus: int = 4, class_rows: i
     as text) mod modulus is not 2. A row per row of docs: doc_id, held_out, score (0 to 1), predicted (1 if score >= 0.3).
     """
     d = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text")).withColumn("held_out", held_out(modulus))
-    model, prior = fit(d.where("not held_out"), labels, class_rows)
+    model, prior = fit(docs, labels, modulus, class_rows)
     shared = docs.sparkSession.sparkContext.broadcast((uuid.uuid4().hex, model, prior))
     scored = d.select("doc_id", "held_out", "text").mapInArrow(_score(shared, False), "doc_id long, held_out boolean, score double")
     return scored.withColumn("predicted", (F.col("score") >= THRESHOLD).cast("int"))
