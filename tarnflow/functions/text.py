@@ -77,15 +77,11 @@ def reverses_negation(claim: Column, source: Column) -> Column:
     """The claim states, without a negation in the five words before, two words that the source negates."""
     c, s = claim_words(claim), claim_words(source)
     no = F.array(*(F.lit(x) for x in NEGATIONS))
+    places = F.filter(F.sequence(F.lit(0), F.greatest(F.size(s) - 3, F.lit(0))), lambda i: (i < F.size(s) - 2) & F.array_contains(no, F.get(s, i)) & (F.get(s, i + 1) != "chỉ"))
+    negated = F.array_distinct(F.transform(places, lambda i: F.concat_ws(" ", F.get(s, i + 1), F.get(s, i + 2))))
 
-    def negated(i: Column) -> Column:
-        return F.array_contains(no, F.get(s, i)) & (F.get(s, i + 1) != "chỉ")
+    def stated(p: Column) -> Column:
+        prior = F.slice(c, F.greatest(p - 4, F.lit(1)), F.least(p, F.lit(5)))
+        return F.array_contains(negated, F.concat_ws(" ", F.get(c, p), F.get(c, p + 1))) & ~F.arrays_overlap(prior, no)
 
-    def stated(i: Column) -> Column:
-        def at(p: Column) -> Column:
-            prior = F.slice(c, F.greatest(p - 4, F.lit(1)), F.least(p, F.lit(5)))
-            return (F.get(c, p) == F.get(s, i + 1)) & (F.get(c, p + 1) == F.get(s, i + 2)) & ~F.arrays_overlap(prior, no)
-
-        return F.exists(F.sequence(F.lit(0), F.greatest(F.size(c) - 2, F.lit(0))), lambda p: F.coalesce(at(p), F.lit(False)))
-
-    return F.exists(F.sequence(F.lit(0), F.greatest(F.size(s) - 3, F.lit(0))), lambda i: F.when((i < F.size(s) - 2) & negated(i), stated(i)).otherwise(False))
+    return F.when(F.size(negated) == 0, False).otherwise(F.exists(F.sequence(F.lit(0), F.greatest(F.size(c) - 2, F.lit(0))), stated))

@@ -34,7 +34,8 @@ def _top(rows: DataFrame, by: str, k: int, *order: Column) -> DataFrame:
 
 
 def dense_top(queries: DataFrame, rows: DataFrame, k: int, query: str = "query_id", key: str = "chunk_id") -> DataFrame:
-    """queries: query, vector; rows: key, vector (unit vectors for cosine). query, key, score, rank: the k of largest inner product, ties by key.
+    """queries: query, vector; rows: key, vector (unit vectors for cosine). query, key, score, rank: the k of largest inner product (to nine
+    digits, so that the order of summing does not matter), ties by key.
 
     Each task keeps k rows a query of what it has read, so what is shuffled grows with queries and tasks, not with rows.
     """
@@ -43,7 +44,7 @@ def dense_top(queries: DataFrame, rows: DataFrame, k: int, query: str = "query_i
     out = None
     for part in range(max(1, -(-n // QUERY_ROWS))):
         block = q if n <= QUERY_ROWS else q.where(F.pmod(F.xxhash64(query), F.lit(-(-n // QUERY_ROWS))) == part)
-        scored = rows.select(key, F.col("vector").alias("_v")).join(F.broadcast(block)).select(query, key, dot(F.col("_q"), F.col("_v")).alias("score"))
+        scored = rows.select(key, F.col("vector").alias("_v")).join(F.broadcast(block)).select(query, key, F.round(dot(F.col("_q"), F.col("_v")), 9).alias("score"))
         top = _top(scored, query, k, F.desc("score"), F.col(key))
         out = top if out is None else out.unionByName(top)
     return out

@@ -1 +1,215 @@
-SQL: dict[str, str] = {}
+"""The queries of plans/queries.py in SQL (DuckDB), over the same tables."""
+
+from __future__ import annotations
+
+SPACES = r"\t\x0b\f \x{0085}\x{00A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}"
+WORD = r"[\p{L}\p{M}\p{Nd}\p{Pc}]"
+
+CLEAN = rf"""
+trim(regexp_replace(regexp_replace(regexp_replace(regexp_replace(replace(replace(regexp_replace(nfc_normalize(text), '\r\n?', chr(10), 'g'), chr(173), ''), chr(160), ' '),
+  '[\x00-\x08\x0b\x0c\x0e-\x1f\x7f]', '', 'g'), '[{SPACES}]+', ' ', 'g'), ' ?\n ?', chr(10), 'g'), '\n\n\n+', chr(10) || chr(10), 'g'), ' ' || chr(10))"""
+
+
+def terms(text: str) -> str:
+    return rf"list_distinct(regexp_extract_all(lower({text}), '{WORD}{{2,}}'))"
+
+
+def overlap(a: str, b: str) -> str:
+    return f"len(list_intersect({terms(a)}, {terms(b)}))::DOUBLE"
+
+
+def postings(name: str, table: str, key: str) -> str:
+    """name(key, token_id, sign, weight)."""
+    return rf"""
+{name} AS (SELECT {key}, ('0x' || substr(h, 1, 8))::BIGINT AS token_id, CASE WHEN ('0x' || substr(h, 9, 2))::BIGINT % 2 = 1 THEN 1 ELSE -1 END AS sign, sum(n)::DOUBLE AS weight
+  FROM (SELECT {key}, sha256(w) AS h, count(*) AS n FROM (SELECT {key}, unnest(regexp_extract_all(lower(text), '{WORD}+')) AS w FROM {table}) GROUP BY ALL) GROUP BY ALL)"""
+
+
+def dense(name: str, posts: str, key: str) -> str:
+    """name(key, place, x): components at length 1."""
+    return f"""
+{name}_p AS (SELECT {key}, (token_id % 64)::INT AS place, sum(sign * weight) AS x FROM {posts} GROUP BY ALL),
+{name}_k AS (SELECT DISTINCT {key} FROM {posts}),
+{name}_a AS (SELECT {key}, g.place::INT AS place, coalesce(x, 0.0) AS x FROM {name}_k CROSS JOIN range(64) g(place) LEFT JOIN {name}_p USING ({key}, place)),
+{name} AS (SELECT {key}, place, CASE WHEN sqrt(sum(x * x) OVER (PARTITION BY {key})) > 0 THEN x / sqrt(sum(x * x) OVER (PARTITION BY {key})) ELSE x END AS x FROM {name}_a)"""
+
+
+QUESTIONS = "questions AS (SELECT item_id AS query_id, text FROM benchmark)"
+
+
+def sparse(k: int) -> str:
+    """sparse(query_id, doc_id, score, rank)."""
+    return f"""
+{QUESTIONS}, {postings("qp", "questions", "query_id")}, {postings("dp", "documents", "doc_id")},
+scored AS (SELECT query_id, doc_id, sum(q.weight * d.weight) AS score FROM qp q JOIN dp d USING (token_id) GROUP BY ALL),
+sparse AS (SELECT query_id, doc_id, score, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) AS rank FROM scored QUALIFY rank <= {k})"""
+
+
+JUDGED = """
+judged AS (SELECT s.*, CASE quality WHEN 1 THEN 'relevant' WHEN 0 THEN 'irrelevant' ELSE 'uncertain' END AS relevance FROM sparse s LEFT JOIN labels l USING (doc_id)),
+actions AS (SELECT q.query_id, CASE WHEN bool_or(relevance = 'relevant') THEN 'Correct' WHEN count(relevance) = 0 OR bool_and(relevance = 'irrelevant') THEN 'Incorrect' ELSE 'Ambiguous' END AS action, count(relevance) AS n_hits
+  FROM questions q LEFT JOIN judged j USING (query_id) GROUP BY 1)"""
+
+BUDGET = (
+    sparse(12)
+    + """,
+item AS (SELECT query_id, rank AS place, doc_id, CASE WHEN doc_id % 2 = 0 THEN 'web' ELSE 'internal' END AS source_type, text FROM sparse JOIN documents USING (doc_id)),
+fold AS (SELECT query_id, 0 AS place, 0 AS used, 0 AS number, false AS taken, 0 AS line_chars FROM questions
+  UNION ALL SELECT query_id, i.place, CASE WHEN ok THEN used + cost ELSE used END, CASE WHEN ok THEN number + 1 ELSE number END, ok, n
+  FROM (SELECT f.query_id, f.used, f.number, i.place, n, n + CASE WHEN f.number > 0 THEN 1 ELSE 0 END AS cost, f.used + n + CASE WHEN f.number > 0 THEN 1 ELSE 0 END <= 40000 AS ok
+    FROM fold f JOIN (SELECT query_id, place, doc_id, source_type, text FROM item) i ON i.query_id = f.query_id AND i.place = f.place + 1,
+    LATERAL (SELECT length('{"citation":"[' || (f.number + 1) || ']","source_type":"' || i.source_type || '","source_ref":"' || i.doc_id || '","text":' || to_json(i.text)::VARCHAR || '}')::INT AS n)) i),
+kept AS (SELECT f.query_id, f.place, i.doc_id, i.source_type, i.text, f.number, f.line_chars FROM fold f JOIN item i USING (query_id, place) WHERE f.taken)"""
+)
+
+HELD = """
+held AS (SELECT doc_id::VARCHAR AS document_id, '/corpus/' || CASE WHEN doc_id % 11 = 0 THEN 'gone/' ELSE '' END || doc_id AS source_path, CASE WHEN doc_id % 5 = 0 THEN 'old' ELSE sha256(text) END AS content_hash,
+  CASE WHEN doc_id % 7 = 0 THEN 'old' ELSE 'now' END AS pipeline_signature, CASE WHEN doc_id % 13 = 0 THEN 2 ELSE 1 END AS chunk_count FROM documents),
+files AS (SELECT doc_id::VARCHAR AS document_id, '/corpus/' || doc_id AS source_path, sha256(text) AS content_hash FROM documents)"""
+
+SOURCE_INDEX = """
+ix AS (SELECT source AS document_id, '/corpus/' || source AS source_path, md5(source) AS content_hash, CASE WHEN doc_id = 3 THEN 'old' ELSE 'now' END AS pipeline_signature,
+  count(*) OVER (PARTITION BY source) + CASE WHEN source = 'src5' THEN 1 ELSE 0 END AS chunk_count, doc_id::VARCHAR AS chunk_id, row_number() OVER (PARTITION BY source ORDER BY doc_id) - 1 AS ordinal, text, length(text) AS char_count FROM documents)"""
+
+LISTING = """
+listing AS (SELECT document_id, min(source_path) AS source_path, min(content_hash) AS content_hash, min(pipeline_signature) AS pipeline_signature, min(chunk_count) AS chunk_count, count(*) AS n_chunks,
+  count(*) <> min(chunk_count) OR count(DISTINCT ordinal) <> count(*) OR min(ordinal) <> 0 OR max(ordinal) <> count(*) - 1
+  OR count(DISTINCT (source_path, content_hash, pipeline_signature, chunk_count)) <> 1 AS index_incomplete FROM ix GROUP BY 1)"""
+
+MESSAGES = "m AS (SELECT conv_id * 1000 + turn AS message_id, conv_id::VARCHAR AS session_id, role, text FROM conversations)"
+COLLAPSED = rf"trim(regexp_replace(text, '[{SPACES}\n\r]+', ' ', 'g'))"
+LINES = rf"[y FOR y IN [regexp_replace(x, '^[{SPACES}\r\n]+|[{SPACES}\r\n]+$', '', 'g') FOR x IN string_split_regex(text, '\r\n|[\n\r\x0b\x0c\x1c-\x1e\x{{0085}}\x{{2028}}\x{{2029}}]')] IF y <> '']"
+
+
+def key(x: str) -> str:
+    return rf"trim(regexp_replace(regexp_replace(lower({x}), '\p{{Nd}}+', '#', 'g'), '[{SPACES}\n\r]+', ' ', 'g'))"
+
+
+SQL: dict[str, str] = {
+    "clean_text": f"SELECT doc_id, t AS text, length(t) AS n_clean FROM (SELECT doc_id, {CLEAN} AS t FROM documents)",
+    "paragraph_blocks": r"""
+WITH p AS (SELECT page_id, replace(html, '</p>', chr(10) || ' ' || chr(10)) AS t FROM pages),
+c AS (SELECT page_id, t, string_split_regex(t, '\n[ \t]*\n') AS parts, regexp_extract_all(t, '\n[ \t]*\n') AS gaps FROM p),
+x AS (SELECT page_id, t, i, parts[i] AS raw, coalesce(list_sum([length(y) FOR y IN parts[1:i-1]]), 0) + coalesce(list_sum([length(y) FOR y IN gaps[1:i-1]]), 0) AS pos FROM (SELECT *, unnest(range(1, len(parts) + 1)) AS i FROM c)),
+s AS (SELECT page_id, t, i, regexp_replace(raw, '^\s+|\s+$', '', 'g') AS text, pos + length(raw) - length(regexp_replace(raw, '^\s+', '')) AS start_char FROM x),
+r AS (SELECT *, start_char + length(text) AS end_char FROM s WHERE text <> '')
+SELECT page_id, row_number() OVER (PARTITION BY page_id ORDER BY i) - 1 AS ordinal, start_char, end_char,
+  start_char - length(replace(substr(t, 1, start_char::INT), chr(10), '')) + 1 AS start_line, end_char - length(replace(substr(t, 1, end_char::INT), chr(10), '')) + 1 AS end_line, md5(text) AS text_md5 FROM r""",
+    "margin_keys": f"SELECT doc_id, {key('l[1]')} AS first_key, {key('l[-1]')} AS last_key FROM (SELECT doc_id, {LINES} AS l FROM documents) WHERE len(l) > 0",
+    "repeated_margins": f"""
+WITH l AS (SELECT source, doc_id, {LINES} AS l FROM documents),
+k AS (SELECT DISTINCT source, doc_id, unnest([{key('l[1]')}, {key('l[-1]')}]) AS key FROM l WHERE len(l) > 0),
+n AS (SELECT source, count(DISTINCT doc_id) AS n FROM documents GROUP BY 1)
+SELECT source, key, count(*) AS pages FROM k JOIN n USING (source) WHERE key <> '' AND n >= 3 GROUP BY source, key, n HAVING count(*) >= greatest(3, floor(n * 0.002 + 0.999))""",
+    "sentence_units": rf"""
+WITH u AS (SELECT doc_id, [x FOR x IN string_split_regex(regexp_replace(text, '([.!?。！？])[{SPACES}\n\r]+', '\1' || chr(1), 'g'), '[\x01\n]+') IF regexp_replace(x, '[{SPACES}\n\r]+', '', 'g') <> ''] AS u FROM documents)
+SELECT doc_id, len(u) AS n_units, coalesce(list_max([length(x) FOR x IN u]), 0) AS longest FROM u""",
+    "chunk_ids": """
+WITH d AS (SELECT doc_id, text, substr(sha256('/corpus/' || source || '/' || doc_id || '.txt'), 1, 24) AS document_id FROM documents)
+SELECT doc_id, document_id, sha256(text) AS content_hash, substr(sha256(document_id || chr(0) || '0' || chr(0) || text), 1, 32) AS chunk_id FROM d""",
+    "overlap_tail": """
+SELECT doc_id, CASE WHEN length(text) <= 180 THEN text WHEN position(' ' IN right(text, 180)) > 0 THEN substr(right(text, 180), position(' ' IN right(text, 180)) + 1) ELSE right(text, 180) END AS tail FROM documents""",
+    "span_clip": """
+WITH d AS (SELECT doc_id, length(text) AS n, length(text) // 3 AS t FROM documents),
+s AS (SELECT doc_id, n // 4 AS a, n // 2 AS z, unnest([{'s': 0, 'e': t, 'b': 7}, {'s': t, 'e': 2 * t, 'b': t + 9}, {'s': 2 * t, 'e': n, 'b': 2 * t + 11}], recursive := true) FROM d),
+c AS (SELECT doc_id, a, s, b, greatest(a, s) AS l, least(z, e) AS r FROM s)
+SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY s) - 1 AS span, 5 + l - a AS chunk_char_start, 5 + r - a AS chunk_char_end, b + l - s AS block_char_start, b + r - s AS block_char_end FROM c WHERE l < r""",
+    "hash_embed_sparse": f"WITH {QUESTIONS}, {postings('qp', 'questions', 'query_id')} SELECT query_id, token_id, weight FROM qp",
+    "hash_embed_dense": f"WITH {QUESTIONS}, {postings('qp', 'questions', 'query_id')}, {dense('qd', 'qp', 'query_id')} SELECT query_id, place, round(x, 6) AS x FROM qd",
+    "vector_checks": """
+WITH v AS (SELECT vec_id, embedding::DOUBLE[] AS v FROM embeddings), n AS (SELECT vec_id, len(v) AS dimensions, sqrt(list_sum([x * x FOR x IN v])) AS n FROM v)
+SELECT vec_id, dimensions, round(n, 6) AS norm, n BETWEEN 0.98 AND 1.02 AS norm_ok FROM n""",
+    "dense_topk": """
+WITH v AS (SELECT vec_id, embedding::DOUBLE[] AS v FROM embeddings),
+s AS (SELECT q.vec_id AS query_id, v.vec_id, list_inner_product(q.v, v.v) AS score FROM v q CROSS JOIN v WHERE q.vec_id % 50 = 0)
+SELECT query_id, vec_id, round(score, 6) AS score, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM s QUALIFY rank <= 10""",
+    "sparse_topk": f"WITH {sparse(10)} SELECT * FROM sparse",
+    "rrf_hybrid": f"""
+WITH {sparse(20)}, {dense('qd', 'qp', 'query_id')}, {dense('dd', 'dp', 'doc_id')},
+near AS (SELECT query_id, doc_id, round(sum(q.x * d.x), 9) AS score FROM qd q JOIN dd d USING (place) GROUP BY ALL),
+top AS (SELECT query_id, doc_id, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) AS rank FROM near QUALIFY rank <= 20),
+parts AS (SELECT query_id, doc_id, 1.0 / (1 + rank) AS s FROM top UNION ALL SELECT query_id, doc_id, 1.0 / (1 + rank) FROM sparse),
+f AS (SELECT query_id, doc_id, round(sum(s::DOUBLE), 9) AS score FROM parts GROUP BY ALL)
+SELECT query_id, doc_id, score, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) AS rank FROM f QUALIFY rank <= 5""",
+    "rerank_topk": f"""
+WITH {sparse(30)}, h AS (SELECT s.query_id, s.doc_id, s.score AS retrieval_score, s.rank AS retrieval_rank, {overlap('q.text', 'd.text')} AS rerank_score FROM sparse s JOIN documents d USING (doc_id) JOIN questions q USING (query_id))
+SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY rerank_score DESC, retrieval_rank) AS rank FROM h QUALIFY rank <= 10""",
+    "route_decision": f"WITH {sparse(3)}, {JUDGED} SELECT * FROM actions",
+    "allowed_parents": f"""
+WITH {sparse(3)}, {JUDGED}
+SELECT query_id, doc_id, relevance, action FROM judged JOIN actions USING (query_id) WHERE action <> 'Incorrect' AND (relevance = 'relevant' OR (action = 'Ambiguous' AND relevance = 'uncertain'))""",
+    "judgment_problems": f"""
+WITH {sparse(3)}, j AS (SELECT query_id, doc_id, CASE WHEN quality = 1 THEN 'relevant' WHEN toxic = 1 THEN 'bad' ELSE 'irrelevant' END AS relevance, CASE WHEN toxic = 1 THEN ' ' ELSE 'because' END AS reason FROM sparse JOIN labels USING (doc_id))
+SELECT s.query_id, s.doc_id, CASE WHEN j.relevance IS NULL THEN 'missing' WHEN j.relevance = 'bad' THEN 'label' ELSE 'reason' END AS problem
+FROM sparse s LEFT JOIN j USING (query_id, doc_id) WHERE j.relevance IS NULL OR j.relevance = 'bad' OR trim(j.reason) = ''""",
+    "url_normalize": r"""
+SELECT page_id, lower(regexp_extract(url, '^([^:]+)', 1)) || '://' || lower(regexp_extract(url, '^[^:]+://([^/?#]+)', 1)) || CASE WHEN regexp_extract(url, '^[^:]+://[^/?#]+([^?#]*)', 1) = '' THEN '/' ELSE regexp_extract(url, '^[^:]+://[^/?#]+([^?#]*)', 1) END
+  || regexp_extract(url, '(\?[^#]+)', 1) AS url FROM pages""",
+    "page_dedup": r"""
+WITH p AS (SELECT regexp_replace(url, '[?#].*$', '') AS raw, html FROM pages),
+n AS (SELECT raw, html, regexp_replace(lower(regexp_extract(raw, '^([^:]+://[^/]+)', 1)), '$', '') || CASE WHEN regexp_extract(raw, '^[^:]+://[^/]+(.*)$', 1) = '' THEN '/' ELSE regexp_extract(raw, '^[^:]+://[^/]+(.*)$', 1) END AS url FROM p WHERE octet_length(encode(coalesce(html, ''))) <= 1000000)
+SELECT url, sha256(coalesce(html, '')) AS content_sha256 FROM n QUALIFY row_number() OVER (PARTITION BY url ORDER BY raw) = 1""",
+    "lexical_preselect": f"""
+WITH {sparse(5)}, h AS (SELECT s.query_id, s.doc_id, q.text AS query_text, string_split(d.text, chr(10)) AS l FROM sparse s JOIN documents d USING (doc_id) JOIN questions q USING (query_id)),
+p AS (SELECT query_id, doc_id, query_text, unnest(l) AS passage, unnest(range(len(l))) AS passage_no FROM h),
+o AS (SELECT *, {overlap('query_text', 'passage')} AS shared, count(*) OVER (PARTITION BY query_id, doc_id) AS n FROM p),
+r AS (SELECT *, row_number() OVER (PARTITION BY query_id, doc_id ORDER BY shared DESC, passage_no) AS r FROM o),
+k AS (SELECT * FROM r WHERE n <= 6 OR passage_no < 2 OR r <= 4)
+SELECT query_id, doc_id, passage_no, row_number() OVER (PARTITION BY query_id, doc_id ORDER BY passage_no) - 1 AS candidate_no, md5(passage) AS passage_md5 FROM k""",
+    "web_query_rewrites": rf"""
+WITH t AS (SELECT conv_id AS query_id, turn AS position, {COLLAPSED} AS text FROM conversations),
+v AS (SELECT * FROM t WHERE length(text) BETWEEN 1 AND 200 AND NOT regexp_matches(text, '[\x00-\x1f]') QUALIFY row_number() OVER (PARTITION BY query_id, lower(text) ORDER BY position) = 1)
+SELECT query_id, position, text FROM v QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY position) <= 2""",
+    "context_budget": f"WITH RECURSIVE {BUDGET} SELECT query_id, place, doc_id, number, line_chars FROM kept",
+    "context_status": f"""
+WITH RECURSIVE {BUDGET}, three AS (SELECT query_id, doc_id FROM sparse WHERE rank <= 3),
+{JUDGED.replace('FROM sparse s', 'FROM three s')},
+c AS (SELECT query_id, count(*) AS n, sum(line_chars) AS chars, count(DISTINCT source_type) AS sources FROM kept GROUP BY 1)
+SELECT query_id, CASE WHEN n IS NULL THEN 'no_evidence' WHEN action = 'Ambiguous' AND sources < 2 THEN 'partial' ELSE 'ready' END AS status, coalesce(chars + n - 1, 0) AS chars, coalesce(n, 0) AS markers FROM actions LEFT JOIN c USING (query_id)""",
+    "branch_problems": f"""
+WITH RECURSIVE {BUDGET}, three AS (SELECT query_id, doc_id FROM sparse WHERE rank <= 3),
+{JUDGED.replace('FROM sparse s', 'FROM three s')}
+SELECT query_id, doc_id::VARCHAR AS strip_id, CASE WHEN action = 'Correct' THEN 'web strip in a Correct branch' ELSE 'internal strip in an Incorrect branch' END AS problem
+FROM kept JOIN actions USING (query_id) WHERE (action = 'Correct' AND source_type = 'web') OR (action = 'Incorrect' AND source_type = 'internal')""",
+    "polarity_filter": rf"""
+WITH t AS (SELECT conv_id, turn, text, lag(text) OVER (PARTITION BY conv_id ORDER BY turn) AS source FROM conversations),
+w AS (SELECT conv_id, turn, regexp_extract_all(lower(text), '[\p{{L}}\p{{M}}\p{{Nd}}]+') AS c, regexp_extract_all(lower(source), '[\p{{L}}\p{{M}}\p{{Nd}}]+') AS s, ['không', 'chưa', 'not', 'never', 'no'] AS no FROM t WHERE source IS NOT NULL AND text IS NOT NULL),
+n AS (SELECT conv_id, turn, c, no, list_distinct([s[i + 1] || ' ' || s[i + 2] FOR i IN range(1, len(s) - 1) IF list_contains(no, s[i]) AND s[i + 1] <> 'chỉ']) AS turned FROM w),
+h AS (SELECT conv_id, turn, len([p FOR p IN range(1, len(c)) IF list_contains(turned, c[p] || ' ' || c[p + 1]) AND NOT list_has_any(c[greatest(p - 5, 1):p - 1], no)]) AS hits FROM n)
+SELECT conv_id, turn, hits > 0 AS reversed FROM h""",
+    "mojibake_filter": r"""
+SELECT doc_id, regexp_matches(text, '[ÃÂ][\x{0080}-\x{00bf}€‚ƒ„…†‡ˆ‰Š‹ŒŽ‘’“”•–—˜™š›œžŸ]|\x{FFFD}|â€|ΓÇ') OR regexp_matches(text, '[\p{L}\p{M}\p{Nd}\p{Pc}]\x{00B4}(\s|$)') AS corrupted FROM documents""",
+    "doc_status": f"""
+WITH {HELD}
+SELECT h.document_id, CASE WHEN chunk_count <> 1 THEN 'incomplete_update' WHEN pipeline_signature <> 'now' THEN 'outdated_pipeline' WHEN f.source_path IS NULL THEN 'source_missing' WHEN f.content_hash <> h.content_hash THEN 'source_changed' ELSE 'current' END AS status
+FROM held h LEFT JOIN files f ON f.source_path = h.source_path""",
+    "skip_unchanged": f"""
+WITH {HELD} SELECT document_id FROM files f WHERE NOT EXISTS (SELECT 1 FROM held h WHERE h.document_id = f.document_id AND h.content_hash = f.content_hash AND h.pipeline_signature = 'now' AND h.chunk_count = 1)""",
+    "doc_listing": f"WITH {SOURCE_INDEX}, {LISTING} SELECT * FROM listing",
+    "mixed_index": f"WITH {SOURCE_INDEX}, {LISTING} SELECT document_id, n_chunks, chunk_count FROM listing WHERE index_incomplete",
+    "stale_points": f"""
+WITH {SOURCE_INDEX}, n AS (SELECT document_id, chunk_id || CASE WHEN ordinal % 2 = 0 THEN '' ELSE 'n' END AS chunk_id FROM ix WHERE length(text) < 2000)
+SELECT document_id, chunk_id FROM ix WHERE document_id IN (SELECT document_id FROM n) AND chunk_id NOT IN (SELECT chunk_id FROM n)""",
+    "replaced_index": f"""
+WITH {SOURCE_INDEX} SELECT document_id, count(*) AS n, sum(char_count)::BIGINT AS chars FROM ix WHERE document_id NOT IN ('src1', 'src2') OR ordinal < 10 GROUP BY 1""",
+    "index_issues": f"""
+WITH {SOURCE_INDEX}, {LISTING}, v AS (SELECT i.*, embedding::DOUBLE[] AS dense FROM ix i LEFT JOIN embeddings e ON e.vec_id = i.chunk_id::BIGINT),
+n AS (SELECT sqrt(list_sum([x * x FOR x IN dense])) AS norm, len(dense) AS size FROM v),
+x AS (
+  SELECT 'incomplete_update' AS code FROM listing WHERE index_incomplete
+  UNION ALL SELECT 'chunk_count_mismatch' FROM listing WHERE chunk_count <> n_chunks
+  UNION ALL SELECT 'vector_dimensions' FROM n WHERE coalesce(size, -1) <> 64
+  UNION ALL SELECT 'vector_norm' FROM n WHERE size = 64 AND norm NOT BETWEEN 0.98 AND 1.02
+  UNION ALL SELECT 'sparse_vector_missing' FROM ix WHERE ordinal % 9 = 0
+  UNION ALL SELECT 'sparse_vector_invalid' FROM ix WHERE ordinal % 9 <> 0 AND ordinal % 10 = 1
+  UNION ALL SELECT 'char_count' FROM ix WHERE ordinal % 17 = 0)
+SELECT 'error' AS severity, code, count(*) AS n FROM x GROUP BY 2""",
+    "session_list": f"""
+WITH {MESSAGES}, s AS (SELECT session_id, max(message_id) AS updated_at FROM m GROUP BY 1)
+SELECT session_id, updated_at, coalesce((SELECT count(*) FROM m WHERE m.session_id = s.session_id AND role = 'user'), 0) AS turn_count FROM s""",
+    "session_messages": f"""
+WITH {MESSAGES}, u AS (SELECT * FROM m WHERE role IN ('user', 'assistant')),
+g AS (SELECT session_id, count(*) AS n, md5(string_agg(role || ':' || text, chr(10) ORDER BY message_id)) AS digest FROM u GROUP BY 1)
+SELECT s.session_id, n, digest FROM (SELECT DISTINCT session_id FROM m) s LEFT JOIN g USING (session_id)""",
+    "session_title": f"WITH {MESSAGES} SELECT session_id, substr({COLLAPSED}, 1, 72) AS title FROM (SELECT session_id, arg_min(text, message_id) AS text FROM m WHERE role = 'user' GROUP BY 1)",
+}

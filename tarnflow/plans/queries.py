@@ -257,7 +257,7 @@ def mmr_select(spark, d):
 
 def _budgeted(spark, d):
     hits = _texts(spark, d, _sparse(spark, d, 12))
-    return evidence.within_budget(hits.select("query_id", F.col("rank").alias("place"), F.col("doc_id").cast("string").alias("strip_id"), F.when(F.col("doc_id") % 2 == 0, "web").otherwise("internal").alias("source_type"), F.col("doc_id").cast("string").alias("source_ref"), "text"), Context())
+    return evidence.within_budget(hits.select("query_id", F.col("rank").alias("place"), F.col("doc_id").cast("string").alias("strip_id"), F.when(F.col("doc_id") % 2 == 0, "web").otherwise("internal").alias("source_type"), F.col("doc_id").cast("string").alias("source_ref"), "text"), Context(max_chars=40_000))
 
 
 def context_budget(spark, d):
