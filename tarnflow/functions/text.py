@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import unicodedata
+from collections.abc import Callable
 
 import pandas as pd
 from pyspark.sql import Column
@@ -17,6 +18,11 @@ NEGATIONS = ["không", "chưa", "not", "never", "no"]
 MOJIBAKE = "[ÃÂ][\u0080-¿€‚ƒ„…†‡ˆ‰Š‹ŒŽ‘’“”•–—˜™š›œžŸ]|�|â€|ΓÇ"
 
 
+def bound(value: Column, body: Callable[[Column], Column]) -> Column:
+    """body(value) with value computed once a row: what stands inside another function's lambda would be computed at each step."""
+    return F.transform(F.array(value), body)[0]
+
+
 @pandas_udf(StringType())
 def nfc(text: pd.Series) -> pd.Series:
     """Canonical composition; Spark has no function for it."""
@@ -75,13 +81,17 @@ def claim_words(text: Column) -> Column:
 
 def reverses_negation(claim: Column, source: Column) -> Column:
     """The claim states, without a negation in the five words before, two words that the source negates."""
-    c, s = claim_words(claim), claim_words(source)
     no = F.array(*(F.lit(x) for x in NEGATIONS))
-    places = F.filter(F.sequence(F.lit(0), F.greatest(F.size(s) - 3, F.lit(0))), lambda i: (i < F.size(s) - 2) & F.array_contains(no, F.get(s, i)) & (F.get(s, i + 1) != "chỉ"))
-    negated = F.array_distinct(F.transform(places, lambda i: F.concat_ws(" ", F.get(s, i + 1), F.get(s, i + 2))))
 
-    def stated(p: Column) -> Column:
-        prior = F.slice(c, F.greatest(p - 4, F.lit(1)), F.least(p, F.lit(5)))
-        return F.array_contains(negated, F.concat_ws(" ", F.get(c, p), F.get(c, p + 1))) & ~F.arrays_overlap(prior, no)
+    def negated(s: Column) -> Column:
+        places = F.filter(F.sequence(F.lit(0), F.greatest(F.size(s) - 3, F.lit(0))), lambda i: (i < F.size(s) - 2) & F.array_contains(no, F.get(s, i)) & (F.get(s, i + 1) != "chỉ"))
+        return F.array_distinct(F.transform(places, lambda i: F.concat_ws(" ", F.get(s, i + 1), F.get(s, i + 2))))
+
+    def stated(c: Column, turned: Column) -> Column:
+        def at(p: Column) -> Column:
+            prior = F.slice(c, F.greatest(p - 4, F.lit(1)), F.least(p, F.lit(5)))
+            return F.array_contains(turned, F.concat_ws(" ", F.get(c, p), F.get(c, p + 1))) & ~F.arrays_overlap(prior, no)
+
+        return F.when(F.size(turned) == 0, False).otherwise(F.exists(F.sequence(F.lit(0), F.greatest(F.size(c) - 2, F.lit(0))), at))
 
-    return F.when(F.size(negated) == 0, False).otherwise(F.exists(F.sequence(F.lit(0), F.greatest(F.size(c) - 2, F.lit(0))), stated))
+    return bound(bound(claim_words(source), negated), lambda turned: bound(claim_words(claim), lambda c: stated(c, turned)))

@@ -16,14 +16,16 @@ BLOCK = "struct<text:string,kind:string,page:int,heading_path:array<string>,meta
 
 def paragraphs(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """key, ordinal (from 0), text, start_char, end_char, start_line, end_line (from 1) of the parts between blank lines."""
-    cut = F.split(F.coalesce(F.col(text), F.lit("")), "\n[ \t]*\n")
-    gaps = F.regexp_extract_all(F.coalesce(F.col(text), F.lit("")), F.lit("(\n[ \t]*\n)"), F.lit(1))
-    # Each part starts where the parts and gaps before it end.
-    before = lambda i: F.aggregate(F.slice(cut, 1, i), F.lit(0), lambda s, x: s + F.length(x)) + F.aggregate(F.slice(gaps, 1, i), F.lit(0), lambda s, x: s + F.length(x))
-    raw = docs.select(key, F.col(text).alias("_whole"), F.posexplode(F.transform(cut, lambda x, i: F.struct(x.alias("raw"), before(i).alias("at")))).alias("_i", "_p"))
+    whole = F.coalesce(F.col(text), F.lit(""))
+    cut = F.split(whole, "\n[ \t]*\n")
+    gaps = F.regexp_extract_all(whole, F.lit("(\n[ \t]*\n)"), F.lit(1))
+    # Parts and the gaps after them in turn; a part starts where all before it ends.
+    pairs = F.zip_with(cut, gaps, lambda x, g: F.struct(x.alias("raw"), (F.length(x) + F.coalesce(F.length(g), F.lit(0))).alias("size")))
+    raw = docs.select(key, F.col(text).alias("_whole"), F.posexplode(pairs).alias("_i", "_p"))
+    raw = raw.withColumn("_at", F.coalesce(F.sum("_p.size").over(Window.partitionBy(key, "_whole").orderBy("_i").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
     trimmed = F.regexp_replace("_p.raw", r"(?U)^\s+|\s+$", "")
     lead = F.length("_p.raw") - F.length(F.regexp_replace("_p.raw", r"(?U)^\s+", ""))
-    rows = raw.select(key, "_whole", "_i", trimmed.alias("text"), (F.col("_p.at") + lead).alias("start_char")).where("text <> ''")
+    rows = raw.select(key, "_whole", "_i", trimmed.alias("text"), (F.col("_at") + lead).cast("int").alias("start_char")).where("text <> ''")
     rows = rows.withColumn("end_char", F.col("start_char") + F.length("text"))
     lines = lambda upto: F.length(F.substring("_whole", F.lit(1), upto)) - F.length(F.replace(F.substring("_whole", F.lit(1), upto), F.lit("\n"), F.lit(""))) + 1
     ordinal = (F.row_number().over(Window.partitionBy(key, "_whole").orderBy("_i")) - 1).alias("ordinal")
