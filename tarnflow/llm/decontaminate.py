@@ -32,8 +32,12 @@ def words(text: Column) -> Column:
 
 def shingles(words: Column, size: int) -> Column:
     """Distinct runs of size words, each as one string (words hold no space, so a string is one run only)."""
-    runs = F.transform(F.sequence(F.lit(1), F.greatest(F.size(words) - (size - 1), F.lit(1))), lambda i: F.array_join(F.slice(words, i, size), " "))
-    return F.array_remove(F.array_distinct(runs), "")
+
+    def runs(w: Column) -> Column:
+        return F.transform(F.sequence(F.lit(1), F.greatest(F.size(w) - (size - 1), F.lit(1))), lambda i: F.array_join(F.slice(w, i, size), " "))
+
+    # The words are bound to a variable: inside the inner lambda they would be split again for each run.
+    return F.array_remove(F.array_distinct(F.transform(F.array(words), runs)[0]), "")
 
 
 def run_hash(words: Column, i: Column, size: int) -> Column:
@@ -48,7 +52,7 @@ def needed(n: Column, containment: float) -> Column:
 
 def sketches(items: DataFrame, size: int, containment: float) -> DataFrame:
     """item_key, size_class, hash: of each item the smallest hashes, as many as its size needs."""
-    own = F.array_sort(F.transform("shingles", lambda s: run_hash(F.split(s, " "), F.lit(0), size)))
+    own = F.array_sort(F.transform(F.transform("shingles", lambda s: F.split(s, " ")), lambda w: run_hash(w, F.lit(0), size)))
     n = F.col("n_item_shingles")
     parted = items.select("item_key", F.floor(F.log2(n)).alias("size_class"), F.slice(own, F.lit(1), (n - needed(n, containment) + 1).cast("int")).alias("h"))
     return parted.select("item_key", "size_class", F.explode("h").alias("hash")).distinct()
@@ -56,9 +60,10 @@ def sketches(items: DataFrame, size: int, containment: float) -> DataFrame:
 
 def probes(docs: DataFrame, size: int) -> DataFrame:
     """doc_key, hash: a row per run of size words (of the whole text if it has fewer)."""
-    w = docs.select("doc_key", words(F.col("text")).alias("w"))
-    runs = F.transform(F.sequence(F.lit(0), F.greatest(F.size("w") - size, F.lit(0))), lambda i: run_hash(F.col("w"), i, size))
-    return w.select("doc_key", F.explode(runs).alias("hash"))
+    def runs(w: Column) -> Column:
+        return F.transform(F.sequence(F.lit(0), F.greatest(F.size(w) - size, F.lit(0))), lambda i: run_hash(w, i, size))
+
+    return docs.select("doc_key", F.explode(F.transform(F.array(words(F.col("text"))), runs)[0]).alias("hash"))
 
 
 def contaminated(docs: DataFrame, items: DataFrame, size: int = SIZE, containment: float = CONTAINMENT) -> DataFrame:
