@@ -27,7 +27,7 @@ DELIMITER = re.compile(r"^\s*\|?\s*:?-+:?\s*(?:\|\s*:?-+:?\s*)*\|?\s*$")
 HTML_BLOCK = re.compile(r"^ {0,3}<(?:/?[a-zA-Z][\w-]*(?:[\s/>]|$)|!--)")
 INLINE = re.compile(
     r"(?P<code>`+)(?P<code_text>.+?)(?P=code)(?!`)|!\[(?P<alt>[^\]]*)\]\((?P<src>[^)\s]*)(?:\s+\"[^\"]*\")?\)|\[\^(?P<note>[^\]\s]+)\]|\[(?P<link>[^\]]+)\](?:\((?P<href>[^)\s]*)(?:\s+\"[^\"]*\")?\)|\[(?P<ref>[^\]]*)\])"
-    r"|(?P<b>\*\*|__)(?=\S)(?P<b_text>.+?)(?<=\S)(?P=b)|~~(?=\S)(?P<s_text>.+?)(?<=\S)~~|(?P<i>\*|(?<!\w)_)(?=\S)(?P<i_text>.+?)(?<=\S)(?P=i)(?!\w)|(?P<html></?[a-zA-Z][^>]*>)|\\(?P<escaped>[!-/:-@\[-`{-~])",
+    r"|(?P<b>\*\*|__)(?=\S)(?P<b_text>.+?)(?<=\S)(?P=b)(?!\*)|~~(?=\S)(?P<s_text>.+?)(?<=\S)~~|(?P<i>\*|(?<!\w)_)(?=\S)(?P<i_text>.+?)(?<=\S)(?P=i)(?!\w)|(?P<html></?[a-zA-Z][^>]*>)|\\(?P<escaped>[!-/:-@\[-`{-~])",
     re.S,
 )
 LINE_TAGS = frozenset("address article aside blockquote br dd div dl dt footer form h1 h2 h3 h4 h5 h6 header hr li main nav ol p pre section table td th tr ul".split())
