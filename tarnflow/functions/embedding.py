@@ -6,8 +6,17 @@ Lexical weights are counts by token id; the dense vector is the signed counts by
 
 from __future__ import annotations
 
+import hashlib
+import re
+from collections import Counter
+from collections.abc import Iterator
+
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.functions import pandas_udf
+from pyspark.sql.types import ArrayType, DoubleType, LongType, MapType, StructField, StructType
 
 from .text import words
 from .vectors import unit
@@ -33,3 +42,37 @@ def dense(posts: DataFrame, key: str, dimensions: int = 64) -> DataFrame:
     maps = places.groupBy(key).agg(F.map_from_entries(F.collect_list(F.struct("place", "x"))).alias("m"))
     full = F.transform(F.sequence(F.lit(0), F.lit(dimensions - 1)), lambda i: F.coalesce(F.try_element_at("m", i), F.lit(0.0)))
     return maps.select(key, unit(full).alias("dense"))
+
+
+EMBEDDED = StructType([StructField("dense", ArrayType(DoubleType())), StructField("lexical", MapType(LongType(), DoubleType()))])
+
+
+def embedder(dimensions: int = 64):
+    """The same vectors as a function of a text column, a struct of dense and lexical: one pass over texts and no shuffle, for whole corpora."""
+
+    @pandas_udf(EMBEDDED)
+    def embed(parts: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+        known: dict[str, tuple[int, int]] = {}
+
+        def token(word: str) -> tuple[int, int]:
+            if word not in known:
+                if len(known) > 500_000:
+                    known.clear()
+                digest = hashlib.sha256(word.encode()).digest()
+                known[word] = int.from_bytes(digest[:4], "big"), 1 if digest[4] & 1 else -1
+            return known[word]
+
+        for part in parts:
+            dense, lexical = [], []
+            for text in part:
+                v, weights = np.zeros(dimensions), {}
+                for word, n in Counter(re.findall(r"\w+", (text or "").lower())).items():
+                    number, sign = token(word)
+                    v[number % dimensions] += sign * n
+                    weights[number] = weights.get(number, 0.0) + n
+                size = np.sqrt((v * v).sum())
+                dense.append((v / size if size else v).tolist())
+                lexical.append(weights)
+            yield pd.DataFrame({"dense": dense, "lexical": lexical})
+
+    return embed

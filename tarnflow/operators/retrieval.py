@@ -1,18 +1,25 @@
 """Hybrid retrieval over many queries at once: dense and sparse top lists, rank fusion, reranking, relevance and routing.
 
-Queries are the small side. They are broadcast where there are at most QUERY_ROWS of them, which is checked; beyond that dense search goes by
-blocks of queries, each against all rows, and sparse search is a shuffle by token either way.
+Queries are the small side: they go to the tasks in blocks of at most QUERY_ROWS, so what is sent has a bound and any number can be asked. Each task
+multiplies its rows, a batch at a time, with a block's matrix and keeps the best k rows of each query. What is shuffled after that is k
+rows for each query and task; there is no row for a pair.
 """
 
 from __future__ import annotations
 
+import hashlib
+import re
+from collections.abc import Callable, Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import overlap
-from ..functions.vectors import dot
 
 QUERY_ROWS = 2000
+DIGITS = 9
 
 
 def prefetch(limit: int) -> int:
@@ -33,30 +40,124 @@ def _top(rows: DataFrame, by: str, k: int, *order: Column) -> DataFrame:
     return rows.withColumn("rank", F.row_number().over(Window.partitionBy(by).orderBy(*order))).where(F.col("rank") <= k)
 
 
+def _blocks(queries: DataFrame, query: str) -> list[DataFrame]:
+    """Queries in blocks of about QUERY_ROWS at most."""
+    n = queries.select(query).distinct().count()
+    parts = -(-n // QUERY_ROWS)
+    return [queries] * n if parts <= 1 and n == 0 else [queries] if parts <= 1 else [queries.where(F.pmod(F.xxhash64(query), F.lit(parts)) == p) for p in range(parts)]
+
+
+def _keep_best(names: list, k: int, scored: Callable[[pa.RecordBatch], np.ndarray], positive: bool, kinds: tuple):
+    """Of a task's rows the k best for each query, by score rounded and then key. scored: rows by queries."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[tuple] = []  # column, score, key
+
+        def reduced() -> tuple:
+            column, score = (np.concatenate([h[i] for h in held]) for i in (0, 1))
+            keys = pa.concat_arrays([h[2] for h in held])
+            rank = np.unique(keys.to_numpy(zero_copy_only=False), return_inverse=True)[1]
+            order = np.lexsort((rank, -score, column))
+            column = column[order]
+            place = np.arange(len(column)) - np.searchsorted(column, column)
+            order, column = order[place < k], column[place < k]
+            return column, score[order], keys.take(pa.array(order))
+
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            s = np.round(scored(batch), DIGITS)
+            bar = -np.partition(-s, min(k, len(s)) - 1, axis=0)[min(k, len(s)) - 1]
+            rows, columns = np.nonzero((s >= bar) & ((s > 0) | (not positive)))
+            held.append((columns, s[rows, columns], batch.column(0).take(pa.array(rows))))
+            held = [reduced()]
+        if held:
+            column, score, keys = held[0]
+            yield pa.RecordBatch.from_arrays([pa.array([names[c] for c in column], kinds[0]), keys, pa.array(score, pa.float64())], ["q", "k", "score"])
+
+    return run
+
+
+def _ranked(found: list[DataFrame], rows: DataFrame, queries: DataFrame, query: str, key: str, k: int) -> DataFrame:
+    if not found:
+        schema = f"{query} {queries.schema[query].dataType.simpleString()}, {key} {rows.schema[key].dataType.simpleString()}, score double, rank int"
+        return rows.sparkSession.createDataFrame([], schema)
+    every = found[0]
+    for more in found[1:]:
+        every = every.unionByName(more)
+    return _top(every.toDF(query, key, "score"), query, k, F.desc("score"), F.col(key))
+
+
+def _search(rows: DataFrame, queries: DataFrame, query: str, key: str, value: str, k: int, make: Callable, positive: bool) -> DataFrame:
+    """make(table of a block's queries) gives their names and a function from a batch of (key, value) to scores."""
+    kind = f"q {queries.schema[query].dataType.simpleString()}, k {rows.schema[key].dataType.simpleString()}, score double"
+    found = []
+    for block in _blocks(queries, query):
+        table = block.toArrow()
+        names, scored = make(table)
+        found.append(rows.select(key, value).mapInArrow(_keep_best(names, k, scored, positive, (table.schema.field(query).type,)), kind))
+    return _ranked(found, rows, queries, query, key, k)
+
+
 def dense_top(queries: DataFrame, rows: DataFrame, k: int, query: str = "query_id", key: str = "chunk_id") -> DataFrame:
     """queries: query, vector; rows: key, vector (unit vectors for cosine). query, key, score, rank: the k of largest inner product (to nine
-    digits, so that the order of summing does not matter), ties by key.
+    digits, so that the order of summing does not matter), ties by key. Null vectors take no part.
+    """
+
+    def make(table: pa.Table):
+        matrix = np.array(table.column("vector").to_pylist(), float).T
+
+        def scored(batch: pa.RecordBatch) -> np.ndarray:
+            flat = batch.column(1).flatten().to_numpy(zero_copy_only=False)
+            return flat.reshape(batch.num_rows, -1) @ matrix
 
-    Each task keeps k rows a query of what it has read, so what is shuffled grows with queries and tasks, not with rows.
+        return table.column(query).to_pylist(), scored
+
+    q = queries.select(query, F.col("vector").cast("array<double>").alias("vector")).where("vector is not null")
+    return _search(rows.withColumn("vector", F.col("vector").cast("array<double>")).where("vector is not null"), q, query, key, "vector", k, make, False)
+
+
+def _sparse_matrix(table: pa.Table, query: str) -> tuple[list, dict[int, int], np.ndarray]:
+    """Queries' names, places of their tokens, and weights by place and query."""
+    names = list(dict.fromkeys(table.column(query).to_pylist()))
+    column = {name: i for i, name in enumerate(names)}
+    tokens = np.unique(table.column("token_id").to_numpy())
+    matrix = np.zeros((len(tokens), len(names)))
+    np.add.at(matrix, (np.searchsorted(tokens, table.column("token_id").to_numpy()), [column[x] for x in table.column(query).to_pylist()]), table.column("weight").to_numpy())
+    return names, {int(t): i for i, t in enumerate(tokens)}, matrix
+
+
+def sparse_top(queries: DataFrame, rows: DataFrame, k: int, query: str = "query_id", key: str = "chunk_id", value: str = "lexical") -> DataFrame:
+    """queries: query, token_id, weight; rows: key, value: lexical (map from token id to weight) or, under another name, a text, whose tokens are
+    counted on the way. query, key, score, rank: the k of largest sum of products over shared tokens, ties by key. Rows without one have no place.
     """
-    q = queries.select(query, F.col("vector").alias("_q"))
-    n = q.count()
-    out = None
-    for part in range(max(1, -(-n // QUERY_ROWS))):
-        block = q if n <= QUERY_ROWS else q.where(F.pmod(F.xxhash64(query), F.lit(-(-n // QUERY_ROWS))) == part)
-        scored = rows.select(key, F.col("vector").alias("_v")).join(F.broadcast(block)).select(query, key, F.round(dot(F.col("_q"), F.col("_v")), 9).alias("score"))
-        top = _top(scored, query, k, F.desc("score"), F.col(key))
-        out = top if out is None else out.unionByName(top)
-    return out
-
-
-def sparse_top(queries: DataFrame, postings: DataFrame, k: int, query: str = "query_id", key: str = "chunk_id") -> DataFrame:
-    """Both sides: id, token_id, weight. query, key, score, rank: the k of largest sum of products over shared tokens. Rows without one have no place."""
-    q = queries.select(query, "token_id", F.col("weight").alias("_w"))
-    if q.count() <= 100 * QUERY_ROWS:
-        q = F.broadcast(q)
-    scored = postings.select(key, "token_id", "weight").join(q, "token_id").groupBy(query, key).agg(F.sum(F.col("weight") * F.col("_w")).alias("score"))
-    return _top(scored, query, k, F.desc("score"), F.col(key))
+
+    def make(table: pa.Table):
+        names, places, matrix = _sparse_matrix(table, query)
+        known: dict[str, int | None] = {}
+
+        def place(word: str) -> int | None:
+            if word not in known:
+                if len(known) > 500_000:
+                    known.clear()
+                known[word] = places.get(int.from_bytes(hashlib.sha256(word.encode()).digest()[:4], "big"))
+            return known[word]
+
+        def scored(batch: pa.RecordBatch) -> np.ndarray:
+            x = np.zeros((batch.num_rows, len(matrix)))
+            for i, row in enumerate(batch.column(1).to_pylist()):
+                if value == "lexical":
+                    for token, weight in row or ():
+                        if (at := places.get(token)) is not None:
+                            x[i, at] = weight
+                else:
+                    at = [p for p in map(place, re.findall(r"\w+", (row or "").lower())) if p is not None]
+                    x[i] = np.bincount(at, minlength=len(matrix)) if at else 0
+            return x @ matrix
+
+        return names, scored
+
+    return _search(rows, queries.select(query, "token_id", "weight"), query, key, value, k, make, True)
 
 
 def fuse(lists: list[DataFrame], limit: int, rrf_k: int = 2, query: str = "query_id", key: str = "chunk_id") -> DataFrame:

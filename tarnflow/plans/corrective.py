@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..config import Context, Refinement, WebSearch
-from ..functions.embedding import dense, postings
+from ..functions.embedding import dense, embedder, postings
 from ..functions.text import overlap
 from ..operators import evidence, retrieval, web
 from ..operators.chunking import strips
@@ -26,7 +26,7 @@ def by_overlap(query_text: Column, text: Column) -> Column:
 
 @dataclass
 class Corrective:
-    """index: chunk_id, text, vector; lexical: chunk_id, token_id, weight; pages: web.fetched(); web_hits: query_id, search_no, search_rank, url."""
+    """index: chunk_id, text, vector; lexical: chunk_id, lexical; pages: web.fetched(); web_hits: query_id, search_no, search_rank, url."""
 
     index: DataFrame
     lexical: DataFrame
@@ -81,7 +81,7 @@ class Corrective:
         order = Window.partitionBy("query_id").orderBy("source_type", "rank", "start")
         every = every.withColumn("position", F.row_number().over(order))
         key = F.concat_ws("|", F.col("query_id").cast("string"), "strip_id")
-        own = dense(postings(every.withColumn("_key", key), "_key"), "_key", self.dimensions).withColumnRenamed("dense", "vector")
+        own = every.select(key.alias("_key"), embedder(self.dimensions)(F.col("text"))["dense"].alias("vector"))
         asked = dense(postings(queries, "query_id"), "query_id", self.dimensions).withColumnRenamed("dense", "query_vector")
         ready = every.withColumn("_key", key).join(own, "_key").join(asked, "query_id").join(actions.select("query_id", "action"), "query_id")
         chosen = evidence.select_diverse(ready, config).join(every.select("query_id", "strip_id", "source_type", "source_ref", "text"), ["query_id", "strip_id"])

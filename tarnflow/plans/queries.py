@@ -10,26 +10,26 @@ from pyspark.sql import functions as F
 
 from ..config import Chunking, Context, Ingestion, WebSearch
 from ..functions import text as T
-from ..functions.embedding import dense, postings
+from ..functions.embedding import dense, embedder, postings
 from ..functions.vectors import norm
 from ..operators import blocks, chat, chunking, evidence, index, retrieval, web
 from .corrective import Corrective
 
 SIGNATURE = Ingestion().signature()
+TEXTS = {"documents", "pages"}
 
 
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{table}.parquet")
+    """A table; one of fewer files than there are cores is dealt out to all of them, as a file may be one task's only."""
+    rows = spark.read.parquet(f"{sf_dir}/{table}.parquet")
+    cores = spark.sparkContext.defaultParallelism
+    return rows.repartition(cores) if table in TEXTS and len(rows.inputFiles()) < cores else rows
 
 
 def _questions(spark, d):
     return read(spark, d, "benchmark").select(F.col("item_id").alias("query_id"), "text")
 
 
-def _doc_posts(spark, d):
-    return postings(read(spark, d, "documents"), "doc_id")
-
-
 def clean_text(spark, d):
     return read(spark, d, "documents").select("doc_id", T.clean_text(F.col("text")).alias("text")).withColumn("n_clean", F.length("text"))
 
@@ -132,7 +132,7 @@ def dense_topk(spark, d):
 
 
 def _sparse(spark, d, k):
-    return retrieval.sparse_top(postings(_questions(spark, d), "query_id"), _doc_posts(spark, d), k, key="doc_id")
+    return retrieval.sparse_top(postings(_questions(spark, d), "query_id"), read(spark, d, "documents"), k, key="doc_id", value="text")
 
 
 def sparse_topk(spark, d):
@@ -142,11 +142,11 @@ def sparse_topk(spark, d):
 def _hybrid(spark, d, k):
     posts = postings(_questions(spark, d), "query_id")
     n = retrieval.prefetch(k)
-    docs = _doc_posts(spark, d)
+    docs = read(spark, d, "documents").select("doc_id", "text")
     q = dense(posts, "query_id").select("query_id", F.col("dense").alias("vector"))
-    rows = dense(docs, "doc_id").select("doc_id", F.col("dense").alias("vector"))
+    rows = docs.select("doc_id", embedder()(F.col("text"))["dense"].alias("vector"))
     near = retrieval.dense_top(q, rows, n, key="doc_id")
-    return retrieval.fuse([near, retrieval.sparse_top(posts, docs, n, key="doc_id")], k, key="doc_id")
+    return retrieval.fuse([near, retrieval.sparse_top(posts, docs, n, key="doc_id", value="text")], k, key="doc_id")
 
 
 def rrf_hybrid(spark, d):
@@ -224,8 +224,7 @@ def lexical_preselect(spark, d):
 def _page_hits(spark, d):
     """A search engine's results: for each question the pages that share most terms with it."""
     pages = web.fetched(read(spark, d, "pages"))
-    posts = postings(pages, "url")
-    top = retrieval.sparse_top(postings(_questions(spark, d), "query_id"), posts, 5, key="url")
+    top = retrieval.sparse_top(postings(_questions(spark, d), "query_id"), pages, 5, key="url", value="text")
     return pages, top.select("query_id", "url", F.lit(1).alias("search_no"), F.col("rank").alias("search_rank"))
 
 
@@ -383,8 +382,8 @@ def session_title(spark, d):
 
 def corrective_contexts(spark, d):
     docs = read(spark, d, "documents").select(F.col("doc_id").alias("chunk_id"), "text")
-    posts = postings(docs, "chunk_id")
-    rows = docs.join(dense(posts, "chunk_id").withColumnRenamed("dense", "vector"), "chunk_id")
+    both = docs.withColumn("e", embedder()(F.col("text"))).select("chunk_id", "text", F.col("e.dense").alias("vector"), F.col("e.lexical").alias("lexical")).cache()
+    rows, posts = both, both
     pages, hits = _page_hits(spark, d)
     plan = Corrective(rows, posts, pages, hits)
     return plan.assemble(_questions(spark, d), 10, 3)[0]

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from ..config import Ingestion
-from ..functions.embedding import dense, postings
+from ..functions.embedding import embedder
 from ..operators import blocks, chunking, index
 from ..sources import files
 
@@ -21,11 +21,9 @@ def index_rows(found: DataFrame, config: Ingestion = Ingestion(), registry: file
     kept, _ = files.guarded(found, config)
     parsed = files.parse(kept, registry).where("error is null").cache()
     chunks = chunking.chunks(blocks.cleaned(files.blocks_of(parsed), config.cleaning), config.chunking).cache()
-    posts = postings(chunks, "chunk_id")
-    lexical = posts.groupBy("chunk_id").agg(F.map_from_entries(F.collect_list(F.struct("token_id", "weight"))).alias("lexical"))
     counts = chunks.groupBy("document_id").agg(F.count("*").alias("chunk_count"))
     signature = config.signature((registry or files.default_registry()).signatures())
-    rows = chunks.join(dense(posts, "chunk_id", config.dimensions), "chunk_id").join(lexical, "chunk_id").join(counts, "document_id")
+    rows = chunks.withColumn("_e", embedder(config.dimensions)(F.col("text"))).select(*chunks.columns, "_e.dense", "_e.lexical").join(counts, "document_id")
     return rows.join(parsed.select("document_id", "source_path", "content_hash"), "document_id").withColumn("pipeline_signature", F.lit(signature))
 
 
