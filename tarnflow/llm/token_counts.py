@@ -84,17 +84,11 @@ def count_tokens(files: DataFrame, end: int, kind: str = "<u2", block: int = BLO
     found = blocks.select("file", "block").repartition(parts, "file", "block").mapInArrow(_scan(end, kind, block), "file string, block long, ends long, tail long, lengths array<long>")
     found = written(found, "scanned")
     # A block passes on the ends so far and the tokens since the last end: (e1, t1) then (e2, t2) is (e1 + e2, t2 if e2 else t1 + t2).
-    def before(by: list, order: str, ends: str, tail: str) -> tuple:
-        rows = Window.partitionBy(*by).orderBy(order)
-        earlier = rows.rowsBetween(Window.unboundedPreceding, -1)
-        since = F.max(F.when(F.col(ends) > 0, F.col(order))).over(earlier)
-        return F.coalesce(F.sum(ends).over(earlier), F.lit(0)), since
-
     brief = found.select("file", "block", "ends", "tail", F.floor(F.col("block") / SPAN).alias("run"))
-    in_run = _carried(brief, ["file", "run"], "block", before)
+    in_run = _carried(brief, ["file", "run"], "block")
     runs = brief.groupBy("file", "run").agg(F.sum("ends").alias("ends"), F.max(F.when(F.col("ends") > 0, F.col("block"))).alias("last"), F.collect_list(F.struct("block", "tail")).alias("tails"))
     runs = runs.withColumn("tail", F.aggregate(F.filter("tails", lambda x: x["block"] >= F.coalesce(F.col("last"), F.lit(-1))), F.lit(0).cast("long"), lambda s, x: s + x["tail"]))
-    runs = _carried(runs.select("file", "run", "ends", "tail"), ["file"], "run", before)
+    runs = _carried(runs.select("file", "run", "ends", "tail"), ["file"], "run")
     runs = runs.select("file", "run", F.col("base").alias("run_base"), F.col("carry").alias("run_carry"))
     placed = in_run.join(runs, ["file", "run"]).select(
         "file",
@@ -104,7 +98,8 @@ def count_tokens(files: DataFrame, end: int, kind: str = "<u2", block: int = BLO
         "ends",
         "tail",
     )
-    whole = found.select("file", "block", "lengths").join(placed.select("file", "block", "base", "carry"), ["file", "block"])
+    # Tables of arrays are small as files and large as rows: never a broadcast by the size of the file.
+    whole = found.select("file", "block", "lengths").join(placed.select("file", "block", "base", "carry").hint("merge"), ["file", "block"])
     inner = whole.select("file", "base", "carry", F.posexplode("lengths").alias("i", "length"))
     inner = inner.select("file", (F.col("base") + F.col("i")).alias("ordinal"), (F.col("length") + F.when(F.col("i") == 0, F.col("carry")).otherwise(0)).alias("n_tokens"))
     last = placed.groupBy("file").agg(F.max(F.struct("block", (F.col("base") + F.col("ends")).alias("ordinal"), (F.col("tail") + F.when(F.col("ends") > 0, 0).otherwise(F.col("carry"))).alias("n_tokens"))).alias("m"))
@@ -112,14 +107,13 @@ def count_tokens(files: DataFrame, end: int, kind: str = "<u2", block: int = BLO
     return inner.unionByName(last)
 
 
-def _carried(rows: DataFrame, by: list, order: str, before) -> DataFrame:
+def _carried(rows: DataFrame, by: list, order: str) -> DataFrame:
     """base: ends in earlier rows of the partition; carry: tokens in them after the last end."""
-    base, since = before(by, order, "ends", "tail")
-    w = Window.partitionBy(*by).orderBy(order)
-    sums = rows.withColumn("base", base).withColumn("since", since).withColumn("upto", F.sum("tail").over(w.rowsBetween(Window.unboundedPreceding, -1)))
+    earlier = Window.partitionBy(*by).orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
+    sums = rows.withColumn("base", F.coalesce(F.sum("ends").over(earlier), F.lit(0))).withColumn("upto", F.coalesce(F.sum("tail").over(earlier), F.lit(0)))
     # Tails before the last row with an end are of finished documents.
-    sums = sums.withColumn("done", F.max(F.when(F.col("ends") > 0, F.coalesce("upto", F.lit(0)))).over(w.rowsBetween(Window.unboundedPreceding, -1)))
-    return sums.withColumn("carry", F.coalesce("upto", F.lit(0)) - F.coalesce("done", F.lit(0))).drop("since", "upto", "done")
+    sums = sums.withColumn("done", F.max(F.when(F.col("ends") > 0, F.col("upto"))).over(earlier))
+    return sums.withColumn("carry", F.col("upto") - F.coalesce("done", F.lit(0))).drop("upto", "done")
 
 
 def document_tokens(docs: DataFrame, tokenizer: str, end: int = 50256, kind: str = "<u2", waves: int = 2) -> DataFrame:
@@ -136,7 +130,7 @@ def document_tokens(docs: DataFrame, tokenizer: str, end: int = 50256, kind: str
         files = write_token_files(own, folder, tokenizer, end, kind)
         names = files.select("file", F.posexplode("doc_ids").alias("ordinal", "doc_id"))
         counted = count_tokens(files.select("file", "n_bytes"), end, kind)
-        got = written(counted.join(names.withColumn("ordinal", F.col("ordinal").cast("long")), ["file", "ordinal"]).select("doc_id", "n_tokens"), "token-counts")
+        got = written(counted.join(names.withColumn("ordinal", F.col("ordinal").cast("long")).hint("merge"), ["file", "ordinal"]).select("doc_id", "n_tokens"), "token-counts")
         remove(spark, folder)
         out = got if out is None else out.unionByName(got)
     return out
