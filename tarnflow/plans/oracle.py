@@ -212,4 +212,17 @@ WITH {MESSAGES}, u AS (SELECT * FROM m WHERE role IN ('user', 'assistant')),
 g AS (SELECT session_id, count(*) AS n, md5(string_agg(role || ':' || text, chr(10) ORDER BY message_id)) AS digest FROM u GROUP BY 1)
 SELECT s.session_id, n, digest FROM (SELECT DISTINCT session_id FROM m) s LEFT JOIN g USING (session_id)""",
     "session_title": f"WITH {MESSAGES} SELECT session_id, substr({COLLAPSED}, 1, 72) AS title FROM (SELECT session_id, arg_min(text, message_id) AS text FROM m WHERE role = 'user' GROUP BY 1)",
+    "upload_names": r"""
+WITH n AS (SELECT page_id, html, regexp_extract(url, '([^/]*)$', 1) || CASE WHEN page_id % 9 = 0 THEN '. ' WHEN page_id % 4 = 0 THEN '.md' WHEN page_id % 4 = 1 THEN '.TXT' ELSE '' END AS name FROM pages)
+SELECT page_id, coalesce(length(name) BETWEEN 1 AND 180 AND NOT regexp_matches(name, '[/\\\\:*?"<>|\x00-\x1f]') AND NOT regexp_matches(name, '[ .]$') AND regexp_matches(lower(name), '.\.(txt|md|markdown|docx|pdf)$')
+  AND octet_length(encode(html)) BETWEEN 1 AND 52428800, false) AS valid FROM n""",
+    "managed_uploads": r"""
+WITH p AS (SELECT doc_id, CASE WHEN doc_id % 3 = 0 THEN md5(source) ELSE source END AS folder FROM documents)
+SELECT doc_id, doc_id % 3 = 0 AND doc_id % 2 = 0 AND regexp_matches(folder, '^[0-9a-f]{32}$') AS managed FROM p""",
+    "run_summaries": f"""
+WITH RECURSIVE {BUDGET}, three AS (SELECT query_id, doc_id FROM sparse WHERE rank <= 3),
+{JUDGED.replace('FROM sparse s', 'FROM three s')},
+c AS (SELECT query_id, count(*) AS n, count(DISTINCT source_type) AS sources FROM kept GROUP BY 1)
+SELECT 'run-' || query_id AS run_id, action AS branch, CASE WHEN n IS NULL THEN 'no_evidence' WHEN action = 'Ambiguous' AND sources < 2 THEN 'partial' ELSE 'ready' END AS status, CASE WHEN n IS NULL THEN NULL ELSE 1 END AS n_citations
+FROM actions LEFT JOIN c USING (query_id)""",
 }

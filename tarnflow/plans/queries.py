@@ -12,7 +12,7 @@ from ..config import Chunking, Context, Ingestion, WebSearch
 from ..functions import text as T
 from ..functions.embedding import dense, embedder, postings
 from ..functions.vectors import norm
-from ..operators import blocks, chat, chunking, evidence, index, retrieval, web
+from ..operators import artifacts, blocks, chat, chunking, evidence, index, retrieval, web
 from .corrective import Corrective
 
 SIGNATURE = Ingestion().signature()
@@ -380,6 +380,30 @@ def session_title(spark, d):
     return chat.titles(_chats(spark, d)[1])
 
 
+def upload_names(spark, d):
+    pages = read(spark, d, "pages")
+    name = F.when(F.col("page_id") % 9 == 0, F.concat(F.substring_index("url", "/", -1), F.lit(". "))).otherwise(F.concat(F.substring_index("url", "/", -1), F.when(F.col("page_id") % 4 == 0, ".md").when(F.col("page_id") % 4 == 1, ".TXT").otherwise("")))
+    return pages.select("page_id", artifacts.valid_upload(name, F.octet_length("html")).alias("valid"))
+
+
+def managed_uploads(spark, d):
+    folder = F.when(F.col("doc_id") % 3 == 0, F.md5("source")).otherwise(F.col("source"))
+    path = F.concat(F.lit("/uploads/"), folder, F.lit("/"), F.col("doc_id").cast("string"), F.lit(".txt"))
+    id_ = F.when(F.col("doc_id") % 2 == 0, index.document_id(path)).otherwise("other")
+    return read(spark, d, "documents").select("doc_id", artifacts.managed_upload(path, id_, "/uploads").alias("managed"))
+
+
+def run_summaries(spark, d):
+    asked = _questions(spark, d)
+    actions = retrieval.route(asked, _judged(spark, d))
+    kept = _budgeted(spark, d).cache()
+    found = evidence.contexts(actions, kept)
+    marker = F.concat(F.lit("["), F.col("number").cast("string"), F.lit("]"))
+    claims = kept.where("number = 1").select("query_id", F.col("number").alias("claim_no"), F.lit("claim").alias("text"), F.array(marker).alias("refs"))
+    runs = artifacts.run_rows(asked, actions, found, evidence.answers(found, claims, kept.select("query_id", marker.alias("marker"), "text")), "run")
+    return artifacts.run_summary(artifacts.finished_runs(runs), kept.select("query_id", "number", "strip_id", "source_type", "source_ref", "text")).select("run_id", "branch", "status", F.size("citations").alias("n_citations"))
+
+
 def corrective_contexts(spark, d):
     docs = read(spark, d, "documents").select(F.col("doc_id").alias("chunk_id"), "text")
     both = docs.withColumn("e", embedder()(F.col("text"))).select("chunk_id", "text", F.col("e.dense").alias("vector"), F.col("e.lexical").alias("lexical")).cache()
@@ -394,5 +418,5 @@ QUERIES = {f.__name__: f for f in (
     hash_embed_sparse, hash_embed_dense, vector_checks, dense_topk, sparse_topk, rrf_hybrid, rerank_topk, route_decision, allowed_parents, judgment_problems,
     strip_split, refine_internal, url_normalize, page_text, page_dedup, lexical_preselect, page_top_passages, web_strips, web_query_rewrites, mmr_select,
     context_budget, context_status, branch_problems, answer_lines, polarity_filter, mojibake_filter, doc_status, skip_unchanged, doc_listing, mixed_index,
-    stale_points, replaced_index, index_issues, session_list, session_messages, session_title, corrective_contexts,
+    stale_points, replaced_index, index_issues, session_list, session_messages, session_title, upload_names, managed_uploads, run_summaries, corrective_contexts,
 )}
