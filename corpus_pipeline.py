@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from tarnflow.llm import decontaminate, minhash, packing, substring, toxicity
 from tarnflow.llm.common import left, read, remove_left, shared_dir
+from tarnflow.ship import ship
 
 #: Intermediate tables of the stage before, which the next stage removes: its input is written by then.
 _before: list[str] = []
@@ -42,6 +43,7 @@ def _without(docs: DataFrame, doc_ids: DataFrame) -> DataFrame:
 def _stage(f: Callable) -> Callable:
     @wraps(f)
     def run_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+        ship(spark)
         remove_left(spark, _before)
         _before.clear()
         had = set(left(spark))
