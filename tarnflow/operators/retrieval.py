@@ -161,12 +161,12 @@ def sparse_top(queries: DataFrame, rows: DataFrame, k: int, query: str = "query_
 
 
 def fuse(lists: list[DataFrame], limit: int, rrf_k: int = 2, query: str = "query_id", key: str = "chunk_id") -> DataFrame:
-    """Reciprocal rank fusion: score = sum over lists of 1 / (rrf_k + rank from 0); a row may be in one list only."""
+    """Reciprocal rank fusion: score = sum over lists of 1 / (rrf_k + rank from 0), to nine digits; a row may be in one list only."""
     every = None
     for one in lists:
         part = one.select(query, key, (F.lit(1.0) / (F.lit(rrf_k) + F.col("rank") - 1)).alias("part"))
         every = part if every is None else every.unionByName(part)
-    return _top(every.groupBy(query, key).agg(F.sum("part").alias("score")), query, limit, F.desc("score"), F.col(key))
+    return _top(every.groupBy(query, key).agg(F.round(F.sum("part"), DIGITS).alias("score")), query, limit, F.desc("score"), F.col(key))
 
 
 def rerank(hits: DataFrame, limit: int, score: Column | None = None, query: str = "query_id") -> DataFrame:
