@@ -14,7 +14,10 @@ from pyspark.sql import functions as F
 from ..config import Answer, Context
 from ..functions.text import corrupted, nfc, reverses_negation
 
-NO_EVIDENCE = "no_evidence"
+#: Statuses of contexts and answers, and reasons to ask again.
+NO_EVIDENCE, READY, PARTIAL = "no_evidence", "ready", "partial"
+ANSWERED, ABSTAINED, INSUFFICIENT = "answered", "model_abstained", "insufficient_evidence"
+CORRUPTED, POLARITY, NOTHING = "corrupted_unicode", "citation_polarity_conflict", "abstained_with_ready_context"
 QUOTA = "near-duplicate strips leave a source's quota unmet"
 
 
@@ -117,7 +120,7 @@ def within_budget(selected: DataFrame, config: Context = Context(), query: str =
 def contexts(queries: DataFrame, included: DataFrame, query: str = "query_id") -> DataFrame:
     """queries: query, action. query, status, text, markers: no_evidence, partial (Ambiguous with one source only) or ready."""
     rows = included.groupBy(query).agg(F.array_sort(F.collect_list(F.struct("number", "line"))).alias("lines"), F.countDistinct("source_type").alias("sources"))
-    status = F.when(F.col("lines").isNull(), NO_EVIDENCE).when((F.col("action") == "Ambiguous") & (F.col("sources") < 2), "partial").otherwise("ready")
+    status = F.when(F.col("lines").isNull(), NO_EVIDENCE).when((F.col("action") == "Ambiguous") & (F.col("sources") < 2), PARTIAL).otherwise(READY)
     both = queries.select(query, "action").join(rows, query, "left")
     return both.select(query, status.alias("status"), F.coalesce(F.array_join(F.col("lines.line"), "\n"), F.lit("")).alias("text"), F.coalesce(F.size("lines"), F.lit(0)).alias("markers"))
 
@@ -165,7 +168,7 @@ def retry_reason(claims: DataFrame, contexts_: DataFrame, evidence: DataFrame, q
     bad = claims.groupBy(query).agg(F.bool_or(corrupted(F.col("text"))).alias("corrupt"), F.count("*").alias("n"))
     turned = unsupported(claims, evidence, query).select(query).distinct().withColumn("turned", F.lit(True))
     both = contexts_.select(query, "status").join(bad, query, "left").join(turned, query, "left")
-    why = F.when(F.col("corrupt"), "corrupted_unicode").when(F.col("turned"), "citation_polarity_conflict").when(F.col("n").isNull() & (F.col("status") == "ready"), "abstained_with_ready_context")
+    why = F.when(F.col("corrupt"), CORRUPTED).when(F.col("turned"), POLARITY).when(F.col("n").isNull() & (F.col("status") == READY), NOTHING)
     return both.select(query, why.alias("retry"))
 
 
@@ -176,13 +179,13 @@ def answers(contexts_: DataFrame, claims: DataFrame, evidence: DataFrame, notice
     rows = good.groupBy(query).agg(F.array_sort(F.collect_list(F.struct("claim_no", line.alias("line")))).alias("lines"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("refs")))).alias("used"))
     both = contexts_.select(query, "status").join(rows, query, "left")
     status = (
-        F.when(F.col("status") == NO_EVIDENCE, "insufficient_evidence")
-        .when(F.col("lines").isNull() & (F.col("status") == "ready"), "model_abstained")
-        .when(F.col("lines").isNull(), "insufficient_evidence")
-        .when(F.col("status") == "partial", "partial")
-        .otherwise("answered")
+        F.when(F.col("status") == NO_EVIDENCE, INSUFFICIENT)
+        .when(F.col("lines").isNull() & (F.col("status") == READY), ABSTAINED)
+        .when(F.col("lines").isNull(), INSUFFICIENT)
+        .when(F.col("status") == PARTIAL, PARTIAL)
+        .otherwise(ANSWERED)
     )
     text = F.array_join(F.col("lines.line"), "\n")
     given = F.col("lines").isNotNull() & (F.col("status") != NO_EVIDENCE)
-    text = F.when(given & (F.col("status") == "partial"), F.concat(F.lit(notice + "\n"), text)).when(given, text).otherwise("")
+    text = F.when(given & (F.col("status") == PARTIAL), F.concat(F.lit(notice + "\n"), text)).when(given, text).otherwise("")
     return both.select(query, status.alias("status"), text.alias("text"), F.when(given, F.col("used")).otherwise(F.array().cast("array<string>")).alias("used"))

@@ -155,7 +155,7 @@ def rrf_hybrid(spark, d):
 
 def _texts(spark, d, hits):
     asked = _questions(spark, d).withColumnRenamed("text", "query_text")
-    return hits.join(read(spark, d, "documents").select("doc_id", "text"), "doc_id").join(F.broadcast(asked), "query_id")
+    return hits.join(read(spark, d, "documents").select("doc_id", "text"), "doc_id").join(asked, "query_id")
 
 
 def rerank_topk(spark, d):
