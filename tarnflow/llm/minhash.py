@@ -4,10 +4,11 @@ Words are lower-cased (A-Z) runs of non-space bytes. A document's set holds the
 of the whole run; without words it is empty and linked with nothing. Documents of equal sets are one node. Nodes are linked if the
 Jaccard similarity of their whole sets is at least `similarity`.
 
-Candidates: `bands` bands of `rows` minima. Each bucket links its members to one of them; such links are confirmed on full sets, for each
-node those shared by most buckets first, until none is left between components. Only buckets that then hold several components are searched further: there all pairs of different components whose
-signatures (8 bits a minimum) agree enough are confirmed too. So no group's pairs are all made, yet no link between components is passed over
-that banding brings together: a pair at similarity 0.75 shares no bucket with probability 5e-6 (32 bands of 4).
+Candidates: `bands` bands of `rows` minima. Each bucket links its members to one of them; the links shared by most buckets are verified by their
+signatures, then confirmed on full sets, which gives first components. Only buckets that then hold several
+components are searched further: there the shingles that members of different components share are counted exactly. So no group's
+pairs are made, yet no link between components is passed over that banding brings together: a pair at similarity 0.75 shares no bucket with
+probability 5e-6 (32 bands of 4).
 
 Nulls: a null text is an empty one; a null doc_id is never a component's smallest. Repeated rows are documents like others.
 """
@@ -23,13 +24,13 @@ from pyspark.sql import functions as F
 
 from .common import drop, free_shuffles, short_batches, written
 from .components import components
-from .words import U, arrow_slices, find_words, mixed, shingles
+from .words import U, arrow_slices, find_words, mixed, shingles, slices, text_buffers
 
 SIZE, SIMILARITY, BANDS, ROWS = 5, 0.75, 32, 4
-#: At this agreement of 128 minima a pair is still confirmed; a pair at 0.75 is four standard deviations above.
+#: Pairs whose signatures agree less are not compared; a pair at 0.75 is four standard deviations above.
 AGREEMENT = 0.6
-BUCKET_PART = 2048
-LINK_ROUNDS = 6
+#: Members of a bucket that meet in one task.
+BUCKET_PART = 1024
 PRIME = (1 << 31) - 1
 
 
@@ -76,7 +77,7 @@ def _minima(h: np.ndarray, marks: np.ndarray, a: np.ndarray, b: np.ndarray) -> n
 
 
 def _signer(size: int, bands: int, rows: int):
-    schema = pa.schema([("doc_id", pa.int64()), ("n_shingles", pa.int64()), ("node", pa.int64()), ("bands", pa.list_(pa.int64())), ("signature", pa.binary())])
+    schema = pa.schema([("doc_id", pa.int64()), ("n_shingles", pa.int64()), ("node", pa.int64()), ("bands", pa.list_(pa.int64()))])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         a, b = _universal(bands * rows)
@@ -87,7 +88,6 @@ def _signer(size: int, bands: int, rows: int):
                 full = np.flatnonzero(n)
                 node = np.zeros(len(n), np.int64)
                 keys = np.zeros((len(n), bands), np.int64)
-                sig = np.zeros((len(n), bands * rows), np.uint8)
                 if len(full):
                     marks = (np.cumsum(n) - n)[full]
                     node[full] = mixed(np.add.reduceat(mixed(h ^ U(0xA5A5A5A5)), marks) + n[full].astype(U)).view(np.int64)
@@ -97,10 +97,9 @@ def _signer(size: int, bands: int, rows: int):
                         for row in m[j * rows : (j + 1) * rows]:
                             key = mixed((key ^ row.astype(U)) * U(0xD1342543DE82EF95))
                         keys[full, j] = key.view(np.int64)
-                    sig[full] = (mixed(m.T.astype(U)) & U(255)).astype(np.uint8)
                 lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(np.where(n > 0, bands, 0))]), pa.int32()), pa.array(keys[full].ravel()))
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column(0).slice(lo, hi - lo), pa.array(n.astype(np.int64)), pa.array(node, mask=n == 0), lists, pa.array([x.tobytes() for x in sig], pa.binary())],
+                    [batch.column(0).slice(lo, hi - lo), pa.array(n.astype(np.int64)), pa.array(node, mask=n == 0), lists],
                     schema=schema,
                 )
 
@@ -119,7 +118,10 @@ def _confirm(size: int, similarity: float):
         last: tuple[int | None, np.ndarray | None] = (None, None)
         for batch in batches:
             kept = []
-            for u, v, tu, tv in zip(*(batch.column(i).to_pylist() for i in range(4)), strict=True):
+            agree = [(np.frombuffer(a, np.uint8) == np.frombuffer(b, np.uint8)).mean() for a, b in zip(batch.column(4).to_pylist(), batch.column(5).to_pylist(), strict=True)]
+            for u, v, tu, tv, near in zip(*(batch.column(i).to_pylist() for i in range(4)), agree, strict=True):
+                if near < AGREEMENT:
+                    continue
                 if last[0] != v:
                     last = (v, one(tv))
                 x, y = one(tu), last[1]
@@ -134,30 +136,46 @@ def _confirm(size: int, similarity: float):
 
 def _confirmed(pairs: DataFrame, texts: DataFrame, size: int, similarity: float) -> DataFrame:
     """Of pairs (u, v) of nodes, those similar enough on their full sets."""
-    t = texts.select("node", "text")
-    both = pairs.join(t.select(F.col("node").alias("u"), F.col("text").alias("tu")), "u").join(t.select(F.col("node").alias("v"), F.col("text").alias("tv")), "v")
-    return both.select("u", "v", "tu", "tv").mapInArrow(_confirm(size, similarity), "u long, v long")
+    t = texts.select("node", F.struct("text", "signature").alias("t"))
+    both = pairs.join(t.select(F.col("node").alias("u"), F.col("t").alias("tu")), "u").join(t.select(F.col("node").alias("v"), F.col("t").alias("tv")), "v")
+    return both.select("u", "v", "tu.text", "tv.text", "tu.signature", "tv.signature").toDF("u", "v", "tu", "tv", "su", "sv").mapInArrow(_confirm(size, similarity), "u long, v long")
 
 
-def _leftover(agreement: float, bands: int, rows: int):
-    """Pairs of different components in a bucket (or of two parts of one) whose signatures agree enough."""
+def _leftover(size: int, similarity: float):
+    """Links between different components in a bucket (or between two parts of one): exact counts of shared shingles, by an index from shingle to
+    members. For each member one link to each component that it is similar to.
+    """
+    hundred = round(100 * similarity)
 
     def run(table: pa.Table) -> pa.Table:
-        node, label, part, side = (table.column(c).to_numpy() for c in ("node", "label", "part", "pair"))
-        sig = np.frombuffer(b"".join(table.column("signature").to_pylist()), np.uint8).reshape(len(node), -1)
-        need = agreement * sig.shape[1]
+        node, label, part, two = (table.column(c).to_numpy() for c in ("node", "label", "part", "pair"))
+        data, offsets = text_buffers(table.column("text"))
+        h, owner = [], []
+        for lo, hi in slices(offsets):
+            own, text, _ = _sets(data, offsets[lo : hi + 1], size)
+            h.append(own)
+            owner.append(text + lo)
+        owner = np.concatenate(owner)
+        n = np.bincount(owner, minlength=len(node))
+        shingle = np.unique(np.concatenate(h), return_inverse=True)[1]
+        order = np.argsort(shingle, kind="stable")
+        holders, starts = owner[order], np.append(0, np.cumsum(np.bincount(shingle)))
+        marks = np.append(0, np.cumsum(n))
+        labels, group = np.unique(label, return_inverse=True)
+        largest = np.bincount(group).argmax()
         us, vs = [], []
-        for i in range(len(node)):
-            rest = np.flatnonzero((label != label[i]) & ((part != part[i]) if side[0] else (node > node[i])))
-            if side[0]:
-                rest = rest[part[rest] > part[i]]
-            if len(rest):
-                near = rest[(sig[rest] == sig[i]).sum(1) >= need]
-                us.append(np.full(len(near), node[i]))
-                vs.append(node[near])
-        u = np.concatenate(us) if us else np.zeros(0, np.int64)
-        v = np.concatenate(vs) if vs else np.zeros(0, np.int64)
-        return pa.table({"u": pa.array(np.minimum(u, v), pa.int64()), "v": pa.array(np.maximum(u, v), pa.int64())})
+        for i in np.flatnonzero(group != largest).tolist():  # of two components one is not the largest
+            own = shingle[marks[i] : marks[i + 1]]
+            lens = starts[own + 1] - starts[own]
+            at = np.repeat(starts[own] - (np.cumsum(lens) - lens), lens) + np.arange(int(lens.sum()))
+            both = np.bincount(holders[at], minlength=len(node))
+            near = np.flatnonzero((100 * both >= hundred * (n[i] + n - both)) & (group != group[i]) & ((part != part[i]) | (two[0] == 0)))
+            near = near[np.unique(group[near], return_index=True)[1]]
+            us.append(np.full(len(near), node[i]))
+            vs.append(node[near])
+        u = np.concatenate([np.zeros(0, np.int64), *us])
+        v = np.concatenate([np.zeros(0, np.int64), *vs])
+        return pa.table({"u": pa.array(u, pa.int64()), "v": pa.array(v, pa.int64())})
 
     return run
 
@@ -169,32 +187,24 @@ def near_duplicates(docs: DataFrame, size: int = SIZE, similarity: float = SIMIL
     spark = docs.sparkSession
     short_batches(spark)
     d = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
-    signed = written(d.mapInArrow(_signer(size, bands, rows), "doc_id long, n_shingles long, node long, bands array<long>, signature binary"), "signed")
-    nodes = signed.where("node is not null").groupBy("node").agg(F.first("bands").alias("bands"), F.first("signature").alias("signature"))
-    keys = written(nodes.select("node", "signature", F.explode("bands").alias("key")).select("key", "node"), "bands")
+    signed = written(d.mapInArrow(_signer(size, bands, rows), "doc_id long, n_shingles long, node long, bands array<long>"), "signed")
+    nodes = signed.where("node is not null").groupBy("node").agg(F.first("bands").alias("bands"))
+    keys = written(nodes.select("node", F.explode("bands").alias("key")).select("key", "node"), "bands")
     full = keys.groupBy("key").agg(F.min("node").alias("v"), F.count("*").alias("members")).where("members > 1")
     stars = written(keys.join(full, "key").where("node <> v").groupBy(F.col("node").alias("u"), "v").agg(F.count("*").alias("shared")), "stars")
     involved = stars.select("u").union(stars.select("v")).distinct().withColumnRenamed("u", "node")
     named = signed.where("node is not null").join(involved, "node").groupBy("node").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id")).alias("m")).select("node", F.col("m.doc_id").alias("doc_id"))
-    texts = written(_texts(d, named, size), "texts")
+    texts = written(_texts(d, named, size, bands * rows), "texts")
     free_shuffles(spark)
     links = written(_confirmed(_likeliest(stars), texts, size, similarity), "links")
     label = components(links)
-    # The likeliest link of each node at a time while there are many; each round joins components, so fewer links stay to be looked at.
-    untried, members = stars.join(_likeliest(stars), ["u", "v"], "left_anti"), involved.count()
-    for left in range(LINK_ROUNDS, -1, -1):
-        across = written(_apart(untried, label), "across")
-        n = across.count()
-        tried = across.select("u", "v") if n <= members // 4 or not left else _likeliest(across)
-        found = written(_confirmed(tried, texts, size, similarity), "links")
-        links = links.unionByName(found)
-        if not found.isEmpty():
-            label = components(links)
-        if n <= members // 4:
-            break
-        untried = across.join(tried, ["u", "v"], "left_anti")
-    more = written(_crossing(keys, nodes, label, bands, rows), "more")
-    found = written(_confirmed(more, texts, size, similarity), "links")
+    untried = stars.join(_likeliest(stars), ["u", "v"], "left_anti")
+    more = written(_likeliest(_apart(untried, label)), "more")
+    links = links.unionByName(written(_confirmed(more, texts, size, similarity), "links"))
+    label = components(links)
+    drop(more)
+    free_shuffles(spark)
+    found = written(_crossing(keys, texts, label, size, similarity), "links")
     if not found.isEmpty():
         label = components(links.unionByName(found))
     drop(texts)
@@ -205,22 +215,25 @@ def near_duplicates(docs: DataFrame, size: int = SIZE, similarity: float = SIMIL
     return out.select("doc_id", "n_shingles", "component_id", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(False)).alias("kept"), "node")
 
 
-def _texts(d: DataFrame, named: DataFrame, size: int) -> DataFrame:
-    """node, text: one text for each node named. A doc_id may stand on several rows, so the node is made from the text again."""
-    schema = pa.schema([("node", pa.int64()), ("text", pa.string())])
+def _texts(d: DataFrame, named: DataFrame, size: int, minima: int) -> DataFrame:
+    """node, text, signature (8 bits a minimum): one text for each node named. A doc_id may stand on several rows, so the node is made from the text again."""
+    schema = pa.schema([("node", pa.int64()), ("text", pa.string()), ("signature", pa.binary())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        a, b = _universal(minima)
         for batch in batches:
             for lo, hi, data, offsets in arrow_slices(batch):
                 h, _, n = _sets(data, offsets, size)
                 full = np.flatnonzero(n)
-                own = np.zeros(len(n), np.int64)
+                own, signature = np.zeros(len(n), np.int64), np.zeros((len(n), minima), np.uint8)
                 if len(full):
-                    own[full] = mixed(np.add.reduceat(mixed(h ^ U(0xA5A5A5A5)), (np.cumsum(n) - n)[full]) + n[full].astype(U)).view(np.int64)
+                    marks = (np.cumsum(n) - n)[full]
+                    own[full] = mixed(np.add.reduceat(mixed(h ^ U(0xA5A5A5A5)), marks) + n[full].astype(U)).view(np.int64)
+                    signature[full] = (mixed(_minima(h, marks, a, b).T.astype(U)) & U(255)).astype(np.uint8)
                 same = (own == batch.column(1).slice(lo, hi - lo).to_numpy(zero_copy_only=False)) & (n > 0)
-                yield pa.RecordBatch.from_arrays([pa.array(own), batch.column(0).slice(lo, hi - lo)], schema=schema).filter(pa.array(same))
+                yield pa.RecordBatch.from_arrays([pa.array(own), batch.column(0).slice(lo, hi - lo), pa.array([x.tobytes() for x in signature], pa.binary())], schema=schema).filter(pa.array(same))
 
-    found = d.join(named, d["doc_id"].eqNullSafe(named["doc_id"])).select("text", "node").mapInArrow(run, "node long, text string")
+    found = d.join(named, d["doc_id"].eqNullSafe(named["doc_id"])).select("text", "node").mapInArrow(run, "node long, text string, signature binary")
     return found.dropDuplicates(["node"])
 
 
@@ -237,15 +250,13 @@ def _likeliest(pairs: DataFrame) -> DataFrame:
     return pairs.groupBy("u").agg(F.max(F.struct("shared", F.col("v"))).alias("m")).select("u", F.col("m.v").alias("v"))
 
 
-def _crossing(keys: DataFrame, nodes: DataFrame, label: DataFrame, bands: int, rows: int) -> DataFrame:
-    """Candidate pairs of different components within the buckets that hold several."""
+def _crossing(keys: DataFrame, texts: DataFrame, label: DataFrame, size: int, similarity: float) -> DataFrame:
+    """Links between different components within the buckets that hold several."""
     own = keys.join(label, "node", "left").select("key", "node", F.coalesce("label", "node").alias("label"))
     mixed_up = own.groupBy("key").agg(F.min("label").alias("a"), F.max("label").alias("b"), F.count("*").alias("m")).where("a <> b")
-    # Two members are what stars have already compared.
-    mixed_up = mixed_up.where("m > 2").select("key", F.ceil(F.col("m") / BUCKET_PART).cast("int").alias("parts"))
+    mixed_up = mixed_up.select("key", F.ceil(F.col("m") / BUCKET_PART).cast("int").alias("parts"))
     members = own.join(mixed_up, "key").withColumn("part", F.pmod(F.xxhash64("node"), F.col("parts")).cast("int"))
     members = members.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
     members = members.select("key", F.least("part", "other").alias("p"), F.greatest("part", "other").alias("q"), "part", "node", "label")
-    members = members.withColumn("pair", (F.col("p") != F.col("q")).cast("int")).join(nodes.select("node", "signature"), "node")
-    pairs = members.groupBy("key", "p", "q").applyInArrow(_leftover(AGREEMENT, bands, rows), "u long, v long")
-    return pairs.distinct()
+    members = members.withColumn("pair", (F.col("p") != F.col("q")).cast("int")).join(texts.select("node", "text"), "node")
+    return members.groupBy("key", "p", "q").applyInArrow(_leftover(size, similarity), "u long, v long").distinct()
