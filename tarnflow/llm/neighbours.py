@@ -5,8 +5,9 @@ nodes on average. In every shard at once:
 
 - Descent: each node starts with random neighbours. A round joins each node's neighbours, and those it is a neighbour of, with theirs
   (a Spark join of the graph with itself by the node between) and keeps the nearest of all it has met. Rounds end when few lists change.
-- Search: each query starts at fixed nodes of the shard and goes on from the nearest nodes met, several at a time, until the `beam`
-  nearest have all been followed. Queries go to every shard, in blocks; the nearest of all shards are the result.
+- Search: each query starts at the nearest of a random sample of the shard's largest connected component and goes on from the nearest nodes
+  met, several at a time, until the `beam` nearest have all been followed. Links cannot lead to the other components (clustered vectors
+  have many), so their nodes are all scored. Queries go to every shard, in blocks; the nearest of all shards are the result.
 
 Inner products are made a nearness that the graph can use by one more coordinate, sqrt(M^2 - |x|^2) with M the longest length, which
 is 0 throughout for vectors of equal length. Scores of the result are inner products of the original vectors in double precision.
@@ -27,6 +28,7 @@ from .common import drop, free_shuffles, written
 SHARD = 8192
 NEIGHBOURS, REVERSE, ROUNDS, SETTLED = 16, 10, 7, 0.02
 BEAM, AT_ONCE, ENTRIES = 320, 16, 32
+SAMPLED = 4  # a node in so many is sampled
 QUERY_BLOCK = 1024
 
 
@@ -127,11 +129,25 @@ def neighbour_graph(nodes: DataFrame, longest: float, neighbours: int = NEIGHBOU
     return graph
 
 
-def _greedy(x: np.ndarray, links: list[np.ndarray], query: np.ndarray, k: int, beam: int) -> np.ndarray:
-    """The k nearest nodes that a greedy search from fixed nodes meets."""
+def _components(a: np.ndarray, b: np.ndarray, n: int) -> np.ndarray:
+    """The smallest node of each node's component, links a-b going both ways."""
+    label = np.arange(n)
+    while True:
+        low = np.minimum(label[a], label[b])
+        new = label.copy()
+        np.minimum.at(new, a, low)
+        np.minimum.at(new, b, low)
+        new = new[new]
+        if (new == label).all():
+            return label
+        label = new
+
+
+def _greedy(x: np.ndarray, links: list[np.ndarray], query: np.ndarray, k: int, beam: int, entries: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The k nearest nodes that a greedy search from the entries (nearest first) meets, and their nearness."""
     n = len(x)
     seen = np.zeros(n, bool)
-    nodes = np.unique(np.linspace(0, n - 1, min(n, ENTRIES)).astype(np.int64))
+    nodes = entries
     seen[nodes] = True
     score = x[nodes] @ query
     done = np.zeros(len(nodes), bool)
@@ -149,7 +165,7 @@ def _greedy(x: np.ndarray, links: list[np.ndarray], query: np.ndarray, k: int, b
         nodes, score, done = np.concatenate([nodes, met]), np.concatenate([score, x[met] @ query]), np.concatenate([done, np.zeros(len(met), bool)])
         order = np.argsort(-score, kind="stable")[:beam]
         nodes, score, done = nodes[order], score[order], done[order]
-    return nodes[:k]
+    return nodes[:k], score[:k]
 
 
 def _search(k: int, beam: int, longest: float):
@@ -167,9 +183,21 @@ def _search(k: int, beam: int, longest: float):
             for c in b:
                 links[c].append(a)
         link_arrays = [np.unique(np.array(a, np.int64)) for a in links]
+        sizes = [len(a) for a in near]
+        label = _components(np.repeat(np.arange(len(x)), sizes), np.array([c for b in near for c in b], np.int64), len(x))
+        largest = label == np.bincount(label).argmax()
+        inside, apart = np.flatnonzero(largest), np.flatnonzero(~largest)
+        sample = np.random.default_rng(13).permutation(inside)[: max(ENTRIES, len(inside) // SAMPLED)]
+        x_sample, x_apart = x[sample], x[apart]
+        own = _matrix(queries.column("v"))
+        asked = np.column_stack([own, np.zeros(len(own))]).astype(np.float32)
         out: list[tuple] = []
-        for query_id, q in zip(queries.column("vec_id").to_pylist(), _matrix(queries.column("v")), strict=True):
-            found = _greedy(x, link_arrays, np.append(q, 0).astype(np.float32), k + 1, beam)
+        for query_id, q, query in zip(queries.column("vec_id").to_pylist(), own, asked, strict=True):
+            entries = sample[np.argsort(-(x_sample @ query), kind="stable")[:ENTRIES]]
+            found, nearness = _greedy(x, link_arrays, query, k + 1, beam, entries)
+            if len(apart):
+                found, nearness = np.concatenate([found, apart]), np.concatenate([nearness, x_apart @ query])
+                found = found[np.argsort(-nearness, kind="stable")[: k + 1]]
             score = exact[found] @ q
             rows = sorted(((-s, i) for node, s in zip(found.tolist(), score.tolist(), strict=True) for i in ids[node] if i != query_id))[:k]
             out += [(query_id, i, -s) for s, i in rows]

@@ -5,6 +5,7 @@ import io
 import random
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -185,3 +186,21 @@ def test_few_vectors_and_none(spark):
     assert sorted(got) == [(0, 1, 1, 1.0), (0, 2, 20, 0.0), (20, 1, 0, 0.0), (20, 2, 1, 0.0)]
     assert neighbours.nearest(table.limit(0), table).count() == 0
     assert neighbours.nearest(table, table.limit(0)).count() == 0
+
+
+@pytest.mark.parametrize(("clusters", "noise"), [(10, 1.0), (40, 0.5), (100, 1.0), (200, 0.5)])
+def test_search_of_a_shard_of_separated_clusters(clusters, noise):
+    rng = np.random.default_rng(9)
+    x = rng.normal(size=(clusters, 64))[rng.integers(0, clusters, 8192)] + noise * rng.normal(size=(8192, 64))
+    x /= np.linalg.norm(x, axis=1)[:, None]
+    score = x @ x.T
+    np.fill_diagonal(score, -np.inf)
+    order = np.argsort(-score, axis=1)[:, :20]
+    nodes = pa.table({"node": pa.array(range(8192), pa.int32()), "ids": [[i] for i in range(8192)], "v": [v.tobytes() for v in x], "near": order[:, :16].tolist()})
+    asked = list(range(0, 8192, 40))
+    got = neighbours._search(20, neighbours.BEAM, 1.0)((), nodes, pa.table({"vec_id": asked, "v": [x[q].tobytes() for q in asked]}))
+    found = {q: set() for q in asked}
+    for r in got.to_pylist():
+        found[r["query_id"]].add(r["vec_id"])
+    recall = sum(len(found[q] & set(order[q].tolist())) for q in asked) / (20 * len(asked))
+    assert recall >= 0.99, recall
