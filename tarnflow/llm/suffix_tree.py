@@ -2,20 +2,22 @@
 
 A text is its words, lower-cased (A-Z), with one space between and an end symbol after the last: a sequence of bytes. The tree's contexts are up to
 `depth` bytes. Contexts are kept if they occur `least` times or more in training texts and their next-symbol distribution differs from
-that of the context without its first byte: count times Kullback-Leibler divergence reaches `divergence` (in nats). Of those the
-`most` with the largest such gain stay, which bounds the model that goes to each task; suffixes and prefixes of kept contexts are kept too.
+that of the context without its first byte: count times Kullback-Leibler divergence reaches `divergence` (in nats). Suffixes and
+prefixes of kept contexts are kept too.
 Distributions are smoothed by Witten-Bell: (count + kinds * parent's probability) / (total + kinds), down to a uniform one over 257 symbols.
 
-A text's score is the sum of log10 probabilities of its symbols, each given the longest kept context that ends before it. The kept contexts form an
-automaton (state by symbol), so texts are scored by table steps, many pieces of texts at once.
+A text's score is the sum of log10 probabilities of its symbols, each given the longest kept context that ends before it. Neither the contexts nor their
+counts are bounded or sent to all tasks: they grow with the corpus. Runs (a context and the symbol after it) are dealt into buckets by the two
+bytes before the symbol, so that a bucket has all of a context's suffixes of two bytes or more; the counts of shorter ones go to all. Buckets
+test contexts; each block of texts sends its distinct runs to the buckets and gets their log probabilities back. Tree is the same model in one
+place, as an automaton.
 
-Word counts are not broadcast: they grow with the corpus. Texts are dealt into blocks, each block's words meet their counts by a shuffle of hashes
-(64 bit), and each block gets the counts of its own words back.
+Word counts are not broadcast either: each block's words meet their counts by a shuffle of hashes (64 bit), and each block gets the counts of
+its own words back.
 """
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -27,7 +29,7 @@ from pyspark.sql import functions as F
 from .common import block_count, drop, free_shuffles, held_out, keyed, short_batches, written
 from .words import U, arrow_slices, find_words
 
-DEPTH, LEAST, DIVERGENCE, MOST = 5, 5, 5.0, 50_000
+DEPTH, LEAST, DIVERGENCE = 5, 5, 5.0
 END, START = 0, 32
 PIECE = 256
 _KEEP = 3_000_000
@@ -74,14 +76,7 @@ def _grams(depth: int):
         for batch in batches:
             for _, _, data, offsets in arrow_slices(batch, "text"):
                 stream, bounds = symbols(data, offsets)
-                # A text begins after its first space; END of the text before stands for nothing earlier.
-                g = np.zeros(len(stream), U)
-                for j in range(depth, -1, -1):
-                    g <<= U(8)
-                    g[j:] |= stream[: len(stream) - j].astype(U) if j else stream.astype(U)
-                g = _cut_at_start(g, bounds, depth)
-                g = np.delete(g, bounds[:-1])
-                keys, counts = np.unique(g, return_counts=True)
+                keys, counts = np.unique(_runs(stream, bounds, depth), return_counts=True)
                 kept.append((keys, counts))
                 size += len(keys)
                 if size > _KEEP:
@@ -96,6 +91,16 @@ def _grams(depth: int):
     return run
 
 
+def _runs(stream: np.ndarray, bounds: np.ndarray, depth: int) -> np.ndarray:
+    """The run of depth + 1 symbols that ends at each symbol of symbols() but the texts' first."""
+    # A text begins after its first space; END of the text before stands for nothing earlier.
+    g = np.zeros(len(stream), U)
+    for j in range(depth, -1, -1):
+        g <<= U(8)
+        g[j:] |= stream[: len(stream) - j].astype(U) if j else stream.astype(U)
+    return np.delete(_cut_at_start(g, bounds, depth), bounds[:-1])
+
+
 def _cut_at_start(g: np.ndarray, bounds: np.ndarray, depth: int) -> np.ndarray:
     """Leave out of each run what lies before its text's first symbol (zeros stand there, as END is never within a context)."""
     for back in range(depth):
@@ -105,49 +110,60 @@ def _cut_at_start(g: np.ndarray, bounds: np.ndarray, depth: int) -> np.ndarray:
     return g
 
 
+def _levels(grams: np.ndarray, counts: np.ndarray, lengths: range, column: np.ndarray) -> list[tuple]:
+    """By length of context: contexts, first row, totals, kinds, columns of next symbols, counts."""
+    levels = []
+    for length in lengths:
+        keys = grams & U((1 << 8 * (length + 1)) - 1)
+        if length:
+            full = (keys >> U(8 * length)) > 0  # a shorter history has no context of this length
+            k, c = _summed(keys[full], counts[full])
+        else:
+            k, c = _summed(keys, counts)
+        context = k >> U(8)
+        first = np.flatnonzero(np.concatenate([[True], context[1:] != context[:-1]])) if len(k) else np.zeros(0, np.int64)
+        totals = np.add.reduceat(c, first) if len(k) else c
+        kinds = np.diff(np.append(first, len(k)))
+        levels.append((context[first], first, totals, kinds, column[(k & U(255)).astype(np.int64)], c))
+    return levels
+
+
+def _passing(level: tuple, parents: tuple, length: int, least: int, divergence: float) -> tuple[np.ndarray, np.ndarray]:
+    """Contexts of a level that pass both tests, and their gains."""
+    context, first, totals, kinds, column, c = level
+    up, up_first, up_totals, up_kinds, up_column, up_c = parents
+    if not len(context):
+        return np.zeros(0, U), np.zeros(0)
+    parent = np.searchsorted(up, context & U((1 << 8 * (length - 1)) - 1)) if length > 1 else np.zeros(len(context), np.int64)
+    row = np.repeat(np.arange(len(context)), kinds)
+    up_key = np.repeat(np.arange(len(up)), up_kinds) * 512 + up_column
+    at = np.searchsorted(up_key, parent[row] * 512 + column)
+    p = c / totals[row]
+    q = up_c[np.minimum(at, len(up_c) - 1)] / up_totals[parent[row]]
+    gain = np.bincount(row, weights=c * np.log(p / q), minlength=len(context))
+    good = (totals >= least) & (gain >= divergence)
+    return context[good], gain[good]
+
+
 class Tree:
     """The kept contexts as an automaton: next state and log10 probability by state and symbol."""
 
-    def __init__(self, grams: np.ndarray, counts: np.ndarray, depth: int = DEPTH, least: int = LEAST, divergence: float = DIVERGENCE, most: int = MOST):
+    def __init__(self, grams: np.ndarray, counts: np.ndarray, depth: int = DEPTH, least: int = LEAST, divergence: float = DIVERGENCE, most: int | None = None):
         """grams: runs of depth + 1 symbols, the last in the lowest byte, zeros before a text's start."""
         alphabet = np.unique(grams & U(255)).astype(np.int64)
         self.column = np.full(256, len(alphabet), np.int64)  # symbols never seen share one column
         self.column[alphabet] = np.arange(len(alphabet))
         width = len(alphabet) + 2  # ... and one stands for no symbol at all
         self.width, self.none = width, width - 1
-        levels = []  # by length of context: contexts, first row, totals, kinds, columns of next symbols, counts
-        for length in range(depth + 1):
-            keys = grams & U((1 << 8 * (length + 1)) - 1)
-            if length:
-                full = (keys >> U(8 * length)) > 0  # a shorter history has no context of this length
-                k, c = _summed(keys[full], counts[full])
-            else:
-                k, c = _summed(keys, counts)
-            context = k >> U(8)
-            first = np.flatnonzero(np.concatenate([[True], context[1:] != context[:-1]])) if len(k) else np.zeros(0, np.int64)
-            totals = np.add.reduceat(c, first) if len(k) else c
-            kinds = np.diff(np.append(first, len(k)))
-            levels.append((context[first], first, totals, kinds, self.column[(k & U(255)).astype(np.int64)], c))
+        levels = _levels(grams, counts, range(depth + 1), self.column)
         kept = self._kept(levels, depth, least, divergence, most)
         self._automaton(levels, kept, depth)
 
     @staticmethod
-    def _kept(levels: list, depth: int, least: int, divergence: float, most: int) -> list[np.ndarray]:
-        found: list[tuple[np.ndarray, np.ndarray]] = []
-        for length in range(1, depth + 1):
-            context, first, totals, kinds, column, c = levels[length]
-            up, up_first, up_totals, up_kinds, up_column, up_c = levels[length - 1]
-            parent = np.searchsorted(up, context & U((1 << 8 * (length - 1)) - 1)) if length > 1 else np.zeros(len(context), np.int64)
-            row = np.repeat(np.arange(len(context)), kinds)
-            up_key = np.repeat(np.arange(len(up)), up_kinds) * 512 + up_column
-            at = np.searchsorted(up_key, parent[row] * 512 + column)
-            p = c / totals[row]
-            q = up_c[np.minimum(at, len(up_c) - 1)] / up_totals[parent[row]]
-            gain = np.bincount(row, weights=c * np.log(p / q), minlength=len(context))
-            good = (totals >= least) & (gain >= divergence)
-            found.append((context[good], gain[good]))
+    def _kept(levels: list, depth: int, least: int, divergence: float, most: int | None) -> list[np.ndarray]:
+        found = [_passing(levels[length], levels[length - 1], length, least, divergence) for length in range(1, depth + 1)]
         gains = np.concatenate([g for _, g in found])
-        bar = np.partition(gains, -most)[-most] if len(gains) > most else -np.inf
+        bar = np.partition(gains, -most)[-most] if most is not None and len(gains) > most else -np.inf
         sets = [np.zeros(0, U)] + [k[g >= bar] for k, g in found]
         for length in range(depth, 1, -1):  # every suffix and prefix too: the automaton needs both
             x = sets[length]
@@ -229,41 +245,121 @@ class Tree:
         return np.bincount(text, weights=total, minlength=len(lens))
 
 
-_trees: dict[str, Tree] = {}
+_SAME = np.arange(256)
+
+
+def _gram_bucket(last, buckets: int):
+    """The bucket of a context by its last two bytes, in numpy or in a column."""
+    return last * 40503 % 65521 % buckets
+
+
+def _with_bucket(rows: DataFrame, context, buckets: int) -> DataFrame:
+    return rows.withColumn("bucket", _gram_bucket(context.bitwiseAND(F.lit(0xFFFF)), buckets).cast("int"))
+
+
+def _bucket_levels(short: tuple, grams: np.ndarray, counts: np.ndarray, depth: int) -> list[tuple]:
+    """Levels of a bucket: the two shortest are of all runs."""
+    return _levels(*short, range(min(depth, 1) + 1), _SAME) + _levels(grams, counts, range(2, depth + 1), _SAME)
+
+
+def _bucket_contexts(shared: Broadcast, depth: int, least: int, divergence: float):
+    """Contexts of a bucket that pass, and all that is within them."""
+
+    def run(key: tuple, table: pa.Table) -> pa.Table:
+        levels = _bucket_levels(shared.value, table.column("gram").to_numpy().view(U), table.column("n").to_numpy(), depth)
+        parts: list[list[np.ndarray]] = [[] for _ in range(depth + 1)]
+        for length in range(1, depth + 1):
+            good, _ = _passing(levels[length], levels[length - 1], length, least, divergence)
+            for size in range(1, length + 1):
+                parts[size] += [(good >> U(8 * back)) & U((1 << 8 * size) - 1) for back in range(length - size + 1)]
+        sets = [np.unique(np.concatenate(x)) for x in parts[1:]]
+        return pa.table({"context": pa.array(np.concatenate(sets).view(np.int64)), "length": pa.array(np.repeat(np.arange(1, depth + 1), [len(x) for x in sets]), pa.int32())})
+
+    return run
+
+
+def _log_probabilities(levels: list[tuple], kept: list[np.ndarray], grams: np.ndarray) -> np.ndarray:
+    """log10 probability of each run's last symbol given the longest kept context before it."""
+    p = np.full(len(grams), 1 / 257)
+    for length, (context, _, totals, kinds, column, c) in enumerate(levels):
+        if not len(context):
+            continue
+        before = (grams >> U(8)) & U((1 << 8 * length) - 1)
+        own = np.flatnonzero(np.isin(before, kept[length])) if length else np.arange(len(grams))
+        at = np.searchsorted(context, before[own])
+        rows = np.repeat(np.arange(len(context)), kinds) * 256 + column
+        wanted = at * 256 + (grams[own] & U(255)).astype(np.int64)
+        place = np.minimum(np.searchsorted(rows, wanted), len(rows) - 1)
+        count = np.where(rows[place] == wanted, c[place], 0)
+        p[own] = (count + kinds[at] * p[own]) / (totals[at] + kinds[at])
+    return np.log10(p)
+
+
+def _bucket_scores(shared: Broadcast, depth: int):
+    """Log probabilities of each block's runs of a bucket. model: counts of runs, and kept contexts with their length below zero for n."""
+
+    def run(key: tuple, runs: pa.Table, model: pa.Table) -> pa.Table:
+        short, ones = shared.value
+        x, n = model.column("gram").to_numpy().view(U), model.column("n").to_numpy()
+        levels = _bucket_levels(short, x[n > 0], n[n > 0], depth)
+        kept = [np.zeros(1, U), ones] + [x[n == -length] for length in range(2, depth + 1)]
+        grams = [np.frombuffer(b, U) for b in runs.column("grams").to_pylist()]
+        every, inverse = np.unique(np.concatenate([np.zeros(0, U), *grams]), return_inverse=True)
+        logs = _log_probabilities(levels, kept, every).astype("<f4")[inverse]
+        marks = np.cumsum([0] + [len(g) for g in grams])
+        return pa.table({"block": runs.column("block"), "bucket": runs.column("bucket"), "logs": pa.array([logs[a:z].tobytes() for a, z in zip(marks, marks[1:], strict=False)], pa.binary())})
+
+    return run
+
+
+def _table_runs(table: pa.Table, depth: int) -> tuple[np.ndarray, np.ndarray]:
+    """All runs of a block's texts, and the row of each."""
+    grams, rows, base = [np.zeros(0, U)], [np.zeros(0, np.int64)], 0
+    for batch in table.combine_chunks().to_batches():
+        for lo, hi, data, offsets in arrow_slices(batch):
+            stream, bounds = symbols(data, offsets)
+            grams.append(_runs(stream, bounds, depth))
+            rows.append(base + lo + np.repeat(np.arange(hi - lo), np.diff(bounds) - 1))
+        base += len(batch)
+    return np.concatenate(grams), np.concatenate(rows)
 
 
-def _tree(shared: Broadcast, *limits) -> Tree:
-    """One automaton for each Python worker, built from the broadcast counts."""
-    if shared.value[0] not in _trees:
-        _trees.clear()
-        _trees[shared.value[0]] = Tree(shared.value[1], shared.value[2], *limits)
-    return _trees[shared.value[0]]
+def _dealt_runs(grams: np.ndarray, buckets: int) -> tuple[np.ndarray, np.ndarray]:
+    """The order of distinct runs by bucket, and where each bucket begins."""
+    to = _gram_bucket(((grams >> U(8)) & U(0xFFFF)).astype(np.int64), buckets)
+    order = np.argsort(to, kind="stable")
+    return order, np.searchsorted(to[order], np.arange(buckets + 1))
 
 
-def kept_grams(train: DataFrame, depth: int, least: int, most: int) -> tuple[np.ndarray, np.ndarray]:
-    """Runs of depth + 1 symbols of all training texts, with counts: those that a kept context can need, `most` times 16 at most."""
+def _block_runs(depth: int, buckets: int):
+    def run(key: tuple, table: pa.Table) -> pa.Table:
+        grams = np.unique(_table_runs(table, depth)[0])
+        order, first = _dealt_runs(grams, buckets)
+        grams = grams[order]
+        used = np.flatnonzero(np.diff(first))
+        return pa.table({"bucket": pa.array(used, pa.int32()), "block": pa.array([key[0].as_py()] * len(used), pa.int32()), "grams": pa.array([grams[first[b] : first[b + 1]].tobytes() for b in used], pa.binary())})
+
+    return run
+
+
+def run_scores(train: DataFrame, dealt: DataFrame, buckets: int, depth: int, least: int, divergence: float) -> DataFrame:
+    """block, bucket, logs: log probabilities of the distinct runs of each block of dealt, in the order of _dealt_runs."""
+    spark = train.sparkSession
     partial = train.select("text").mapInArrow(_grams(depth), "gram long, n long")
-    counts = written(partial.groupBy("gram").agg(F.sum("n").alias("n")), "grams")
-    total = counts.count()
-    bound = 16 * most
-    if total > bound:  # rare runs go on as their shorter suffixes, whose counts stay whole
-        bar = counts.select(F.percentile_approx("n", 1 - bound / total, 10000)).first()[0]
-        rare = counts.where(F.col("n") <= bar)
-        counts = counts.where(F.col("n") > bar)
-        for length in range(depth, 0, -1):
-            shorter = rare.select(F.col("gram").bitwiseAND(F.lit((1 << 8 * length) - 1)).alias("gram"), "n").groupBy("gram").agg(F.sum("n").alias("n"))
-            if length == 1:
-                counts = counts.unionByName(shorter)
-            else:
-                shorter = written(shorter, "grams")
-                size = shorter.count()
-                if size <= bound // 4:
-                    counts = counts.unionByName(shorter)
-                    break
-                cut = shorter.select(F.percentile_approx("n", 1 - bound / 4 / size, 10000)).first()[0]
-                counts, rare = counts.unionByName(shorter.where(F.col("n") > cut)), shorter.where(F.col("n") <= cut)
-    got = counts.toArrow()
-    return got.column("gram").to_numpy().view(U), got.column("n").to_numpy()
+    counts = written(_with_bucket(partial.groupBy("gram").agg(F.sum("n").alias("n")), F.shiftright("gram", 8), buckets), "grams")
+    got = counts.groupBy(F.col("gram").bitwiseAND(F.lit(0xFFFF)).alias("gram")).agg(F.sum("n").alias("n")).toArrow()
+    short = (got.column("gram").to_numpy().view(U), got.column("n").to_numpy())
+    found = counts.groupBy("bucket").applyInArrow(_bucket_contexts(spark.sparkContext.broadcast(short), depth, least, divergence), "context long, length int")
+    kept = written(found.distinct(), "contexts")
+    ones = np.array([r["context"] for r in kept.where("length = 1").collect()], U)
+    longer = _with_bucket(kept.where("length > 1").select(F.col("context").alias("gram"), (-F.col("length")).cast("long").alias("n")), F.col("gram"), buckets)
+    runs = dealt.groupBy("block").applyInArrow(_block_runs(depth, buckets), "bucket int, block int, grams binary")
+    shared = spark.sparkContext.broadcast((short, ones))
+    out = written(runs.groupBy("bucket").cogroup(counts.unionByName(longer).groupBy("bucket")).applyInArrow(_bucket_scores(shared, depth), "block int, bucket int, logs binary"), "logs")
+    drop(counts)
+    drop(kept)
+    free_shuffles(spark)
+    return out
 
 
 # -- words and blocks --
@@ -317,11 +413,18 @@ def _totals(key: tuple, table: pa.Table) -> pa.Table:
     )
 
 
-def _scorer(shared: Broadcast, limits: tuple):
+def _scorer(depth: int, buckets: int):
     schema = pa.schema([("doc_id", pa.int64()), ("held_out", pa.bool_()), ("n_tokens", pa.int64()), ("n_known", pa.int64()), ("logs", pa.float64()), ("score", pa.float64())])
 
     def run(docs: pa.Table, words: pa.Table) -> pa.Table:
-        tree = _tree(shared, *limits)
+        runs, text = _table_runs(docs, depth)
+        every, inverse = np.unique(runs, return_inverse=True)
+        order, _ = _dealt_runs(every, buckets)
+        parts = sorted((b, x) for b, x in zip(words.column("bucket").to_pylist(), words.column("logs").to_pylist(), strict=True) if x is not None)
+        values = np.zeros(len(every))
+        values[order] = np.frombuffer(b"".join(x for _, x in parts), "<f4")
+        scores, base = np.bincount(text, weights=values[inverse], minlength=len(docs)), 0
+        words = words.filter(words.column("hashes").is_valid())
         hashes = np.concatenate([np.zeros(0, U), *(np.frombuffer(x, U) for x in words.column("hashes").to_pylist())])
         totals = np.concatenate([np.zeros(0, np.int64), *(np.frombuffer(x, "<u4" if len(x) * 2 == len(h) else "<u8").astype(np.int64) for x, h in zip(words.column("totals").to_pylist(), words.column("hashes").to_pylist(), strict=True))])
         order = np.argsort(hashes)
@@ -343,17 +446,18 @@ def _scorer(shared: Broadcast, limits: tuple):
                             pa.array(w.counts.astype(np.int64) + 1),
                             pa.array(known),
                             pa.array(np.bincount(w.text, weights=logs[at], minlength=n)),
-                            pa.array(tree.scores(*symbols(data, offsets))),
+                            pa.array(scores[base + lo : base + hi]),
                         ],
                         schema=schema,
                     )
                 )
+            base += len(batch)
         return pa.concat_tables(out) if out else schema.empty_table()
 
     return run
 
 
-def corpus_scores(docs: DataFrame, modulus: int = 7, depth: int = DEPTH, least: int = LEAST, divergence: float = DIVERGENCE, most: int = MOST) -> DataFrame:
+def corpus_scores(docs: DataFrame, modulus: int = 7, depth: int = DEPTH, least: int = LEAST, divergence: float = DIVERGENCE) -> DataFrame:
     """docs: doc_id long, text string (null: empty). Learns from the rows whose crc32(doc_id as text) mod modulus is not 2; scores all.
 
     Returns a row per row of docs: doc_id, held_out, n_tokens (words and one end), n_known (tokens that training texts hold), train_tokens,
@@ -363,22 +467,19 @@ def corpus_scores(docs: DataFrame, modulus: int = 7, depth: int = DEPTH, least:
     spark = docs.sparkSession
     short_batches(spark)
     d = keyed(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text"))).withColumn("train", ~held_out(modulus))
-    grams, counts = kept_grams(d.where("train"), depth, least, most)
-    if not len(grams):
-        grams, counts = np.array([END], U), np.array([0], np.int64)
-    limits = (depth, least, divergence, most)
-    shared = spark.sparkContext.broadcast((uuid.uuid4().hex, grams, counts))
     ends = d.where("train").count()
     blocks = block_count(d)
     buckets = max(1, min(blocks, int(spark.conf.get("spark.sql.shuffle.partitions"))))
     dealt = d.select("doc_id", "text", "train", F.pmod("k1", F.lit(blocks)).cast("int").alias("block"))
+    logs = run_scores(d.where("train"), dealt, buckets, depth, least, divergence)
     own = dealt.groupBy("block").applyInArrow(_vocabularies(buckets), "bucket int, block int, hashes binary, counts binary")
     totals = written(own.groupBy("bucket").applyInArrow(_totals, "block int, hashes binary, totals binary, words long, tokens long"), "totals")
     free_shuffles(spark)
     got = totals.agg(F.sum("words").alias("words"), F.sum("tokens").alias("tokens")).first()
     tokens, kinds = (got["tokens"] or 0) + ends, (got["words"] or 0) + (ends > 0)
-    scored = dealt.groupBy("block").cogroup(totals.select("block", "hashes", "totals").groupBy("block")).applyInArrow(
-        _scorer(shared, limits), "doc_id long, held_out boolean, n_tokens long, n_known long, logs double, score double"
+    known = totals.select("block", "hashes", "totals").unionByName(logs, allowMissingColumns=True)
+    scored = dealt.groupBy("block").cogroup(known.groupBy("block")).applyInArrow(
+        _scorer(depth, buckets), "doc_id long, held_out boolean, n_tokens long, n_known long, logs double, score double"
     )
     end_log = float(np.log10(ends + 1))
     each = float(np.log10(tokens + kinds + 1))

@@ -132,6 +132,18 @@ def test_scores_without_rows(make_docs):
     assert row["train_tokens"] == 0 and row["n_known"] == 0 and row["score"] < 0
 
 
+def test_all_contexts_that_pass_are_kept(make_docs):
+    rng = random.Random(6)
+    words = ["".join(rng.choice("abcdefghijklmnopqrstuvwxyz0123456789") for _ in range(9)) for _ in range(12000)]
+    rows = [(i, " ".join(w for w in words[i * 30 : i * 30 + 30] for _ in range(8))) for i in range(400)]
+    tree, _, _ = tree_of([t for i, t in rows if not held(i, 7)], depth=5, most=10**9)
+    assert tree.states > 60_000
+    got = {r["doc_id"]: r["score"] for r in suffix_tree.corpus_scores(make_docs(rows)).collect()}
+    stream, bounds = suffix_tree.symbols(*text_buffers(pa.array([t for _, t in rows])))
+    for (i, _), score in zip(rows, tree.scores(stream, bounds), strict=True):
+        assert math.isclose(got[i], score, rel_tol=1e-5)
+
+
 # -- toxicity --
 
 
