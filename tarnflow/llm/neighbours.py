@@ -1,55 +1,62 @@
-"""Approximate nearest neighbours by inner product: a neighbour graph made by NN-descent, searched greedily.
+"""Approximate nearest neighbours by inner product: one neighbour graph over the whole table, made by NN-descent and searched greedily.
 
-Equal vectors are one node, which keeps its smallest ids, as many as a result can need. Nodes are dealt by hash into shards of at most SHARD
-nodes on average. In every shard at once:
+Everything is a Spark join by node; no task holds more than its share of nodes, and no node or query is copied to shards.
 
-- Descent: each node starts with random neighbours. A round joins each node's neighbours, and those it is a neighbour of, with theirs
-  (a Spark join of the graph with itself by the node between) and keeps the nearest of all it has met. Rounds end when few lists change.
-- Search: each query starts at the nearest of a random sample of the shard's largest connected component and goes on from the nearest nodes
-  met, several at a time, until the `beam` nearest have all been followed. Links cannot lead to the other components (clustered vectors
-  have many), so their nodes are all scored. Queries go to every shard, in blocks; the nearest of all shards are the result.
+Nodes: equal vectors are one node, named by a hash (64 bit) of the vector; it keeps its smallest ids, as many as a result can need. Inner products are made
+a nearness that a graph can use by one more coordinate, sqrt(M^2 - |x|^2) with M the longest length, which is 0 throughout for vectors of
+equal length.
 
-Inner products are made a nearness that the graph can use by one more coordinate, sqrt(M^2 - |x|^2) with M the longest length, which
-is 0 throughout for vectors of equal length. Scores of the result are inner products of the original vectors in double precision.
+Pivots: about PIVOTS sqrt(n) nodes of smallest hash, PIVOTS_MOST at most, a bounded sample that is broadcast. Every node is indexed.
 
-Vectors that are null, zero, of another length than most, or hold null or non-finite components take no part. Rows that share a
-vec_id count as one another's own.
+1. Start. Each node goes to the cells of its nearest pivots, large cells are split by hash, and a cell's nodes are compared with one another.
+   Nodes also get a few random links, which join parts of the graph that nearness leaves apart.
+2. Descent. A round joins each node's links, and a bounded number of those it is linked from, with their vectors; a node's neighbours are
+   compared with one another, and each keeps the nearest it has met. Rounds end when few lists change.
+3. Search. A query begins at its nearest pivots. A round joins the nearest nodes that were not followed yet with their links, these with
+   their codes (a byte a component and one scale), and keeps the `beam` nearest in the query's row. Rounds end when all of every beam were
+   followed. The whole beam is then scored in double precision on the original vectors, and cut at k.
+
+Vectors that are null, zero, or hold null or non-finite components take no part. Vectors of different lengths have no inner product: those of
+another length than most take no part either. Rows that share a vec_id count as one another's own. Equal scores go by the smaller vec_id.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import drop, free_shuffles, written
 
-SHARD = 8192
-NEIGHBOURS, REVERSE, ROUNDS, SETTLED = 16, 10, 7, 0.02
-BEAM, AT_ONCE, ENTRIES = 320, 16, 32
-SAMPLED = 4  # a node in so many is sampled
-QUERY_BLOCK = 1024
+NEIGHBOURS, REVERSE, RANDOM = 24, 16, 3
+ROUNDS, SETTLED = 3, 0.02
+PIVOTS, PIVOTS_MOST, CELLS, CELL = 2, 65_536, 16, 2048
+BEAM, AT_ONCE, ENTRIES = 160, 24, 16
+SEARCH_ROUNDS = 200
+KEPT_EACH = 6  # of its nearest in one neighbourhood, those that a node is told
 
 
 def usable(vectors: DataFrame) -> DataFrame:
     """vec_id, v (array of double) of the rows that take part."""
     v = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").cast("array<double>").alias("v")).where("vec_id is not null and v is not null")
     fine = F.forall("v", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))) & F.exists("v", lambda x: x != 0)
-    v = v.where(F.coalesce(fine, F.lit(False)))
-    common = v.groupBy(F.size("v").alias("n")).count().orderBy(F.desc("count"), "n").first()
-    return v.where(F.size("v") == (common["n"] if common else -1))
+    return v.where(F.coalesce(fine, F.lit(False)))
 
 
-def _matrix(column: pa.ChunkedArray) -> np.ndarray:
+def _matrix(column) -> np.ndarray:
+    """Rows of doubles from a binary column."""
     data = column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column
     return np.frombuffer(b"".join(data.to_pylist()), np.float64).reshape(len(data), -1) if len(data) else np.zeros((0, 1))
 
 
-def _bytes(v):
-    """Doubles to bytes, so that a vector is one value to Arrow."""
+def _bytes(v: DataFrame) -> DataFrame:
+    """The last column's doubles as bytes, so that a vector is one value to Arrow."""
 
-    def run(batches):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             lists = batch.column(batch.num_columns - 1)
             flat = lists.flatten().to_numpy(zero_copy_only=False).astype(np.float64)
@@ -60,172 +67,323 @@ def _bytes(v):
     return v.mapInArrow(run, schema)
 
 
-def _start(neighbours: int):
-    def run(key: tuple, nodes: pa.Table) -> pa.Table:
-        n = len(nodes)
-        rng = np.random.default_rng(11)
-        near = rng.integers(0, max(1, n - 1), (n, min(neighbours, max(0, n - 1))))
-        near += near >= np.arange(n)[:, None]  # never itself
-        return pa.table({"shard": pa.array([key[0].as_py()] * n, pa.int32()), "node": pa.array(np.arange(n), pa.int32()), "near": pa.array(list(near.astype(np.int32)), pa.list_(pa.int32())), "changed": pa.array([near.shape[1]] * n, pa.int32())})
+def _placed(x: np.ndarray, longest: float) -> np.ndarray:
+    """Vectors with the coordinate that makes all equally long, in single precision."""
+    return np.column_stack([x, np.sqrt(np.maximum(longest**2 - (x * x).sum(1), 0))]).astype(np.float32)
+
+
+def _lists(owner: np.ndarray, n: int, values: np.ndarray, kind: pa.DataType) -> pa.Array:
+    """Lists of values by owner (0 to n - 1, in order)."""
+    return pa.ListArray.from_arrays(pa.array(np.searchsorted(owner, np.arange(n + 1)), pa.int32()), pa.array(values, kind))
+
+
+def _nearest(own: np.ndarray, other: np.ndarray, score: np.ndarray, most: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of (own, other, score): each own's `most` highest scores, without repeats, ties to the smaller other."""
+    order = np.lexsort((other, -score, own))
+    own, other, score = own[order], other[order], score[order]
+    # Equal pairs have equal scores but for rounding, so they may stand a little apart: the first of each is taken.
+    first = np.sort(np.unique(np.stack([own, other]), axis=1, return_index=True)[1]) if len(own) else np.zeros(0, np.int64)
+    own, other, score = own[first], other[first], score[first]
+    place = np.arange(len(own)) - np.searchsorted(own, own)
+    good = place < most
+    return own[good], other[good], score[good]
+
+
+MET = "node long, others array<long>, scores array<float>"
+
+
+def _met(own: np.ndarray, other: np.ndarray, score: np.ndarray, most: int) -> pa.RecordBatch:
+    """A row a node: the nearest of what it met."""
+    own, other, score = _nearest(own, other, score, most)
+    node, first = np.unique(own, return_index=True)
+    row = np.repeat(np.arange(len(node)), np.diff(np.append(first, len(own))))
+    return pa.RecordBatch.from_arrays([pa.array(node, pa.int64()), _lists(row, len(node), other, pa.int64()), _lists(row, len(node), score, pa.float32())], ["node", "others", "scores"])
+
+
+def _in_single(longest: float):
+    """The last column's vectors as _placed has them."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            x = _placed(_matrix(batch.column(1)), longest)
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([v.tobytes() for v in x], pa.binary())], ["node", "v"])
+
+    return run
+
+
+def _single(column: pa.Array) -> np.ndarray:
+    data = column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column
+    return np.frombuffer(b"".join(data.to_pylist()), np.float32).reshape(len(data), -1) if len(data) else np.zeros((0, 1), np.float32)
+
+
+def _to_cells(shared: Broadcast, cells: int, longest: float):
+    """Each node with the cells of its nearest pivots."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        pivots = _placed(shared.value[1], longest)
+        for batch in batches:
+            x = _single(batch.column(1))
+            most = min(cells, len(pivots))
+            for lo in range(0, len(x), 2048):
+                s = x[lo : lo + 2048] @ pivots.T
+                at = np.argpartition(-s, most - 1, axis=1)[:, :most]
+                part = batch.slice(lo, len(s))
+                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(list(at.astype(np.int32)), pa.list_(pa.int32()))], ["node", "v", "cells"])
 
     return run
 
 
-def _placed(nodes: pa.Table, longest: float) -> np.ndarray:
-    """Vectors by node, with the coordinate that makes all equally long."""
-    order = np.argsort(nodes.column("node").to_numpy())
-    x = _matrix(nodes.column("v"))[order]
-    last = np.sqrt(np.maximum(longest**2 - (x * x).sum(1), 0))
-    return np.column_stack([x, last]).astype(np.float32)
-
-
-def _descend(neighbours: int, longest: float):
-    def run(key: tuple, met: pa.Table, nodes: pa.Table) -> pa.Table:
-        x = _placed(nodes, longest)
-        n = len(x)
-        node = met.column("node").to_numpy()
-        lists = met.column("met").combine_chunks()
-        sizes = np.diff(lists.offsets.to_numpy())
-        own, other = np.repeat(node, sizes), lists.flatten().to_numpy()
-        old = {a: set(b) for a, b in zip(met.column("node").to_pylist(), met.column("near").to_pylist(), strict=True) if b is not None}
-        pairs = np.unique(own.astype(np.int64) * n + other)
-        own, other = pairs // n, pairs % n
-        own, other = own[own != other], other[own != other]
-        score = np.empty(len(own), np.float32)
-        for a in range(0, len(own), 200_000):
-            score[a : a + 200_000] = np.einsum("ij,ij->i", x[own[a : a + 200_000]], x[other[a : a + 200_000]])
-        order = np.lexsort((other, -score, own))
-        own, other = own[order], other[order]
-        place = np.arange(len(own)) - np.searchsorted(own, own)
-        own, other = own[place < neighbours], other[place < neighbours]
-        marks = np.searchsorted(own, np.arange(n + 1))
-        near = [other[a:b].astype(np.int32) for a, b in zip(marks, marks[1:], strict=False)]
-        changed = [len(set(b.tolist()) - old.get(i, set())) for i, b in enumerate(near)]
-        return pa.table({"shard": pa.array([key[0].as_py()] * n, pa.int32()), "node": pa.array(np.arange(n), pa.int32()), "near": pa.array(near, pa.list_(pa.int32())), "changed": pa.array(changed, pa.int32())})
+def _in_cell(neighbours: int):
+    def run(table: pa.Table) -> pa.Table:
+        node = table.column("node").to_numpy()
+        x = _single(table.column("v"))
+        s = x @ x.T
+        np.fill_diagonal(s, -np.inf)
+        most = min(neighbours, len(node) - 1)
+        if most < 1:
+            return pa.Table.from_batches([_met(np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.float32), 1)])
+        at = np.argpartition(-s, most - 1, axis=1)[:, :most]
+        own = np.repeat(np.arange(len(node)), most)
+        return pa.Table.from_batches([_met(node[own], node[at.ravel()], s[own, at.ravel()], neighbours)])
+
+    return run
+
+
+def _in_hood(kept: int):
+    """Neighbours of a node compared with one another; each is told its nearest there. Told once a batch, so a node in many lists is few rows."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            ids, vectors = batch.column(0), batch.column(1)
+            sizes = np.diff(ids.offsets.to_numpy())
+            node = ids.flatten().to_numpy()
+            x = _single(vectors.flatten())
+            first = np.cumsum(sizes) - sizes
+            own, other, score = [], [], []
+            for size in np.unique(sizes[sizes > 1]).tolist():
+                rows = first[sizes == size]
+                at = rows[:, None] + np.arange(size)
+                y = x[at]
+                s = y @ y.transpose(0, 2, 1)
+                s[:, np.arange(size), np.arange(size)] = -np.inf
+                most = min(kept, size - 1)
+                best = np.argpartition(-s, most - 1, axis=2)[:, :, :most]
+                own.append(np.repeat(node[at], most, axis=1).ravel())
+                other.append(np.take_along_axis(node[at][:, None, :].repeat(size, 1), best, 2).ravel())
+                score.append(np.take_along_axis(s, best, 2).ravel())
+            if own:
+                yield _met(np.concatenate(own), np.concatenate(other), np.concatenate(score), 2 * kept + 4)
 
     return run
 
 
-GRAPH = "shard int, node int, near array<int>, changed int"
+GRAPH = "node long, near array<long>, scores array<float>, changed int"
+
+
+def _merge(neighbours: int):
+    """A node's nearest of all it has met; changed: how many of them are new."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            others, scores, old = batch.column(1), batch.column(2), batch.column(3)
+            row = np.repeat(np.arange(len(batch)), np.diff(others.offsets.to_numpy()))
+            row, near, score = _nearest(row, others.flatten().to_numpy(), scores.flatten().to_numpy(), neighbours)
+            was_row = np.repeat(np.arange(len(batch)), np.diff(old.offsets.to_numpy()))
+            was = set(zip(was_row.tolist(), old.flatten().to_pylist(), strict=True))
+            new = np.array([p not in was for p in zip(row.tolist(), near.tolist(), strict=True)], bool)
+            yield pa.RecordBatch.from_arrays(
+                [batch.column(0), _lists(row, len(batch), near, pa.int64()), _lists(row, len(batch), score, pa.float32()), pa.array(np.bincount(row[new], minlength=len(batch)), pa.int32())],
+                ["node", "near", "scores", "changed"],
+            )
+
+    return run
 
 
-def neighbour_graph(nodes: DataFrame, longest: float, neighbours: int = NEIGHBOURS, reverse: int = REVERSE, rounds: int = ROUNDS) -> DataFrame:
-    """nodes: shard, node (from 0 in each shard), v (bytes). Returns shard, node, near: each node's nearest found, the first the nearest."""
-    graph = written(nodes.groupBy("shard").applyInArrow(_start(neighbours), GRAPH), "graph")
-    total = graph.agg(F.sum("changed")).first()[0] or 0
-    for _ in range(rounds):
-        forward = graph.select("shard", "node", F.explode("near").alias("to"))
-        back = forward.groupBy("shard", F.col("to").alias("node")).agg(F.slice(F.array_sort(F.collect_list(F.struct(F.xxhash64("node", "to").alias("h"), F.col("node").alias("from")))), 1, reverse).getField("from").alias("back"))
-        hood = graph.join(back, ["shard", "node"], "left").select("shard", "node", "near", F.array_distinct(F.concat("near", F.coalesce("back", F.array().cast("array<int>")))).alias("hood"))
-        theirs = hood.select("shard", F.col("node").alias("via"), F.col("hood").alias("met"))
-        steps = hood.select("shard", "node", F.explode("hood").alias("via")).join(theirs, ["shard", "via"]).select("shard", "node", "met", F.lit(None).cast("array<int>").alias("near"))
-        met = steps.unionByName(hood.select("shard", "node", F.col("hood").alias("met"), "near"))
-        new = written(met.groupBy("shard").cogroup(nodes.groupBy("shard")).applyInArrow(_descend(neighbours, longest), GRAPH), "graph")
+def _merged(met: DataFrame, graph: DataFrame | None, neighbours: int) -> DataFrame:
+    """A new graph of what nodes met and the old lists. Nodes that met nothing and had no list are not in it."""
+    rows = met.withColumn("old", F.array().cast("array<long>"))
+    if graph is not None:
+        rows = rows.unionByName(graph.select("node", F.col("near").alias("others"), "scores", F.col("near").alias("old")))
+    flat = lambda c: F.flatten(F.collect_list(c)).alias(c)
+    gathered = rows.groupBy("node").agg(flat("others"), flat("scores"), flat("old"))
+    return written(gathered.mapInArrow(_merge(neighbours), GRAPH), "graph")
+
+
+def random_links(nodes: DataFrame, total: int, links: int) -> DataFrame:
+    """node, to: links to nodes that follow it in random rings of about 64 nodes, another ring for each link."""
+    out = None
+    for j in range(links):
+        own = Window.partitionBy("ring").orderBy("h")
+        dealt = nodes.select("node", F.xxhash64(F.lit(j), "node").alias("h")).withColumn("ring", F.pmod(F.xxhash64(F.lit(100 + j), "node"), F.lit(max(1, total // 64))))
+        ring = dealt.select("node", F.lead("node").over(own).alias("to")).where("to is not null")
+        out = ring if out is None else out.unionByName(ring)
+    return out
+
+
+def _sampled_back(forward: DataFrame, reverse: int) -> DataFrame:
+    """node, to: the links of forward (node, to) turned round, `reverse` at most for a node, by hash; the rank is cut within tasks before any shuffle."""
+    turned = forward.select(F.col("to").alias("node"), F.col("node").alias("to"))
+    by = Window.partitionBy("node").orderBy(F.xxhash64("node", "to"), "to")
+    return turned.withColumn("rank", F.row_number().over(by)).where(F.col("rank") <= reverse).select("node", "to")
+
+
+def neighbour_graph(nodes: DataFrame, pivots: Broadcast, total: int, longest: float, neighbours: int = NEIGHBOURS, reverse: int = REVERSE, rounds: int = ROUNDS) -> tuple[DataFrame, DataFrame]:
+    """nodes: node long, v (bytes). Returns the graph (node, near: the nearest first) and all links of the search (node, links)."""
+    single = written(nodes.mapInArrow(_in_single(longest), "node long, v binary"), "single")
+    cells = single.mapInArrow(_to_cells(pivots, CELLS, longest), "node long, v binary, cells array<int>").select("node", "v", F.explode("cells").alias("cell"))
+    sizes = cells.groupBy("cell").agg(F.ceil(F.count("*") / CELL).cast("int").alias("parts"))
+    cells = cells.join(F.broadcast(sizes), "cell").withColumn("part", F.pmod(F.xxhash64("node"), F.col("parts")))  # a row a pivot
+    graph = _merged(cells.groupBy("cell", "part").applyInArrow(_in_cell(neighbours), MET), None, neighbours)
+    chance = written(random_links(nodes, total, RANDOM), "random-links")
+    for turn in range(rounds):
+        forward = graph.select("node", F.explode("near").alias("to"))
+        hood = forward.unionByName(_sampled_back(forward, reverse))
+        hood = hood.unionByName(chance) if turn == 0 else hood
+        # A node is in its own neighbourhood, so it meets those it is linked from as well.
+        hood = hood.unionByName(graph.select("node", F.col("node").alias("to"))).distinct()
+        with_vectors = hood.join(single.select(F.col("node").alias("to"), "v"), "to")
+        lists = with_vectors.groupBy("node").agg(F.collect_list("to").alias("ids"), F.collect_list("v").alias("vectors")).select("ids", "vectors")
+        new = _merged(lists.mapInArrow(_in_hood(KEPT_EACH), MET), graph, neighbours)
         drop(graph)
         free_shuffles(nodes.sparkSession)
         graph = new
-        if (graph.agg(F.sum("changed")).first()[0] or 0) <= SETTLED * total:
+        got = graph.agg(F.sum("changed").alias("c"), F.sum(F.size("near")).alias("n")).first()
+        if (got["c"] or 0) <= SETTLED * (got["n"] or 0):
             break
-    return graph
-
-
-def _components(a: np.ndarray, b: np.ndarray, n: int) -> np.ndarray:
-    """The smallest node of each node's component, links a-b going both ways."""
-    label = np.arange(n)
-    while True:
-        low = np.minimum(label[a], label[b])
-        new = label.copy()
-        np.minimum.at(new, a, low)
-        np.minimum.at(new, b, low)
-        new = new[new]
-        if (new == label).all():
-            return label
-        label = new
-
-
-def _greedy(x: np.ndarray, links: list[np.ndarray], query: np.ndarray, k: int, beam: int, entries: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """The k nearest nodes that a greedy search from the entries (nearest first) meets, and their nearness."""
-    n = len(x)
-    seen = np.zeros(n, bool)
-    nodes = entries
-    seen[nodes] = True
-    score = x[nodes] @ query
-    done = np.zeros(len(nodes), bool)
-    while True:
-        todo = np.flatnonzero(~done)
-        if not len(todo):
-            break
-        todo = todo[:AT_ONCE]  # nodes are kept nearest first
-        done[todo] = True
-        met = np.concatenate([links[i] for i in nodes[todo]])
-        met = np.unique(met[~seen[met]])
-        if not len(met):
-            continue
-        seen[met] = True
-        nodes, score, done = np.concatenate([nodes, met]), np.concatenate([score, x[met] @ query]), np.concatenate([done, np.zeros(len(met), bool)])
-        order = np.argsort(-score, kind="stable")[:beam]
-        nodes, score, done = nodes[order], score[order], done[order]
-    return nodes[:k], score[:k]
-
-
-def _search(k: int, beam: int, longest: float):
-    def run(key: tuple, nodes: pa.Table, queries: pa.Table) -> pa.Table:
-        schema = pa.schema([("query_id", pa.int64()), ("vec_id", pa.int64()), ("score", pa.float64())])
-        if not len(nodes) or not len(queries):
-            return schema.empty_table()
-        nodes = nodes.sort_by("node")
-        x = _placed(nodes, longest)
-        exact = _matrix(nodes.column("v"))
-        ids = nodes.column("ids").to_pylist()
-        near = nodes.column("near").to_pylist()
-        links: list[list[int]] = [list(a) for a in near]
-        for a, b in enumerate(near):  # links go both ways
-            for c in b:
-                links[c].append(a)
-        link_arrays = [np.unique(np.array(a, np.int64)) for a in links]
-        sizes = [len(a) for a in near]
-        label = _components(np.repeat(np.arange(len(x)), sizes), np.array([c for b in near for c in b], np.int64), len(x))
-        largest = label == np.bincount(label).argmax()
-        inside, apart = np.flatnonzero(largest), np.flatnonzero(~largest)
-        sample = np.random.default_rng(13).permutation(inside)[: max(ENTRIES, len(inside) // SAMPLED)]
-        x_sample, x_apart = x[sample], x[apart]
-        own = _matrix(queries.column("v"))
-        asked = np.column_stack([own, np.zeros(len(own))]).astype(np.float32)
-        out: list[tuple] = []
-        for query_id, q, query in zip(queries.column("vec_id").to_pylist(), own, asked, strict=True):
-            entries = sample[np.argsort(-(x_sample @ query), kind="stable")[:ENTRIES]]
-            found, nearness = _greedy(x, link_arrays, query, k + 1, beam, entries)
-            if len(apart):
-                found, nearness = np.concatenate([found, apart]), np.concatenate([nearness, x_apart @ query])
-                found = found[np.argsort(-nearness, kind="stable")[: k + 1]]
-            score = exact[found] @ q
-            rows = sorted(((-s, i) for node, s in zip(found.tolist(), score.tolist(), strict=True) for i in ids[node] if i != query_id))[:k]
-            out += [(query_id, i, -s) for s, i in rows]
-        columns = list(zip(*out, strict=True)) or [[]] * 3
-        return pa.table([pa.array(c, f.type) for c, f in zip(columns, schema, strict=True)], schema=schema)
+    drop(single)
+    forward = graph.select("node", F.explode("near").alias("to"))
+    every = forward.unionByName(_sampled_back(forward, neighbours)).unionByName(chance).unionByName(_sampled_back(chance, RANDOM))
+    links = written(every.distinct().groupBy("node").agg(F.collect_list("to").alias("links")), "links")
+    return graph, links
+
+
+def _codes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """node, c: a scale in single precision, then a signed byte a component."""
+    for batch in batches:
+        x = _matrix(batch.column(1))
+        scale = (np.abs(x).max(1) / 127 if len(x) else np.zeros(0)).astype(np.float32)
+        c = np.rint(x / np.where(scale > 0, scale, 1)[:, None]).clip(-127, 127).astype(np.int8)
+        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([a.tobytes() + b.tobytes() for a, b in zip(scale, c, strict=True)], pa.binary())], ["node", "c"])
+
+
+def _decoded(codes: list[bytes]) -> np.ndarray:
+    raw = np.frombuffer(b"".join(codes), np.uint8).reshape(len(codes), -1)
+    return np.ascontiguousarray(raw[:, 4:]).view(np.int8) * np.ascontiguousarray(raw[:, :4]).view(np.float32)
+
+
+STATE = "query_id long, q binary, nodes array<long>, scores array<double>, done array<boolean>, met long"
+
+
+def _begin(shared: Broadcast, entries: int):
+    """Each query with its nearest pivots as its beam."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        ids, x = shared.value
+        for batch in batches:
+            q = _matrix(batch.column(1))
+            most = min(entries, len(ids))
+            s = q @ x.T if len(ids) else np.zeros((len(q), 0))
+            at = np.argsort(-s, axis=1, kind="stable")[:, :most]
+            row = np.repeat(np.arange(len(q)), most)
+            yield pa.RecordBatch.from_arrays(
+                [*batch.columns, _lists(row, len(q), ids[at.ravel()], pa.int64()), _lists(row, len(q), s[row, at.ravel()], pa.float64()), _lists(row, len(q), np.zeros(len(row), bool), pa.bool_()), pa.array(np.full(len(q), len(ids)), pa.int64())],
+                ["query_id", "q", "nodes", "scores", "done", "met"],
+            )
+
+    return run
+
+
+def _step(beam: int, at_once: int):
+    """The nodes just met, scored by their codes and put into the beam; those followed in this round are done."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            q = _matrix(batch.column(1))
+            out: list[tuple] = []
+            for i, (nodes, scores, done, met, ids, codes) in enumerate(zip(*(batch.column(c).to_pylist() for c in range(2, 8)), strict=True)):
+                node, score, old = np.array(nodes, np.int64), np.array(scores), np.array(done, bool)
+                old[np.flatnonzero(~old)[:at_once]] = True
+                if ids:
+                    new = np.array(ids, np.int64)
+                    node, score, old = np.concatenate([node, new]), np.concatenate([score, _decoded(codes) @ q[i]]), np.concatenate([old, np.zeros(len(new), bool)])
+                    met += len(new)
+                order = np.lexsort((node, -score))[:beam]
+                out.append((node[order], score[order], old[order], met))
+            columns = list(zip(*out, strict=True)) or [[]] * 4
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *(pa.array(list(c), k) for c, k in zip(columns, (pa.list_(pa.int64()), pa.list_(pa.float64()), pa.list_(pa.bool_()), pa.int64()), strict=True))], ["query_id", "q", "nodes", "scores", "done", "met"])
 
     return run
 
 
-def nearest(vectors: DataFrame, queries: DataFrame, k: int = 20, beam: int = BEAM, shard: int = SHARD) -> DataFrame:
-    """vectors, queries: vec_id, embedding. A row per query and neighbour: query_id, rank (from 1), vec_id, score; the largest inner products
-    found, ties to the smaller vec_id, the query's own vec_id left out. Queries that take no part have no rows.
+def _exact(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """query_id, met, node, score of pairs of vectors (q, v), in double precision."""
+    for batch in batches:
+        q, v = _matrix(batch.column(3)), _matrix(batch.column(4))
+        yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array(np.einsum("ij,ij->i", q, v) if len(q) else np.zeros(0))], ["query_id", "met", "node", "score"])
+
+
+def greedy_search(queries: DataFrame, nodes: DataFrame, links: DataFrame, pivots: Broadcast, beam: int = BEAM, at_once: int = AT_ONCE, entries: int = ENTRIES) -> DataFrame:
+    """queries: query_id long, q (bytes). Returns query_id, met (nodes scored), node, score of each node of its beam.
+
+    A beam that is followed to its end leaves the joins, so a round costs what the queries still open cost.
     """
+    spark = queries.sparkSession
+    coded = written(nodes.mapInArrow(_codes, "node long, c binary"), "codes")
+    state = written(queries.mapInArrow(_begin(pivots, entries), STATE), "search")
+    finished: list[DataFrame] = []
+    for _ in range(SEARCH_ROUNDS):
+        waiting = F.exists("done", lambda d: ~d)
+        closed = state.where(~waiting)
+        live = state.where(waiting)
+        if live.isEmpty():
+            beams = _union([*finished, state]).select("query_id", "met", F.explode("nodes").alias("node"), "q")
+            return beams.join(nodes, "node").select("query_id", "met", "node", "q", "v").mapInArrow(_exact, "query_id long, met long, node long, score double")
+        finished.append(closed)
+        beams = F.filter(F.arrays_zip("nodes", "done"), lambda x: ~x["done"])
+        frontier = live.select("query_id", "nodes", F.explode(F.slice(beams, 1, at_once).getField("nodes")).alias("node"))
+        met = frontier.join(links, "node").select("query_id", F.explode(F.array_except("links", "nodes")).alias("node")).distinct()
+        scored = met.join(coded, "node").groupBy("query_id").agg(F.collect_list("node").alias("ids"), F.collect_list("c").alias("codes"))
+        both = live.join(scored, "query_id", "left").select("query_id", "q", "nodes", "scores", "done", "met", "ids", "codes")
+        state = written(both.mapInArrow(_step(beam, at_once), STATE), "search")
+        free_shuffles(spark)
+    raise RuntimeError("the search did not settle")
+
+
+def _union(frames: list[DataFrame]) -> DataFrame:
+    out = frames[0]
+    for f in frames[1:]:
+        out = out.unionByName(f)
+    return out
+
+
+def found_in(vectors: DataFrame, queries: DataFrame, k: int = 20, beam: int = BEAM) -> DataFrame:
+    """query_id, met, node, score of each usable query and node of its beam, and ids: the smallest vec_ids of the node. See nearest()."""
+    spark = vectors.sparkSession
     base = usable(vectors).dropDuplicates()
+    common = base.groupBy(F.size("v").alias("n")).count().orderBy(F.desc("count"), "n").first()
+    base = base.where(F.size("v") == (common["n"] if common else -1))
     own = Window.partitionBy("v").orderBy("vec_id")
     first = base.withColumn("r", F.row_number().over(own)).where(F.col("r") <= k + 1)
     rows = first.groupBy("v").agg(F.array_sort(F.collect_list("vec_id")).alias("ids"))
-    rows = written(_bytes(rows.select(F.col("ids")[0].alias("rep"), "ids", "v")), "vectors")
-    longest = base.select(F.max(F.aggregate("v", F.lit(0.0), lambda s, x: s + x * x))).first()[0] or 0.0
-    shards = max(1, -(-rows.count() // shard))
-    placed = rows.withColumn("shard", F.pmod(F.xxhash64("rep"), F.lit(shards)).cast("int"))
-    nodes = written(placed.withColumn("node", (F.row_number().over(Window.partitionBy("shard").orderBy("rep")) - 1).cast("int")).select("shard", "node", "ids", "v"), "nodes")
-    longest = float(np.sqrt(longest))
-    graph = neighbour_graph(nodes.select("shard", "node", "v"), longest)
-    asked = written(_bytes(usable(queries).dropDuplicates(["vec_id"]).select("vec_id", "v")), "queries")
-    blocks = max(1, -(-asked.count() // QUERY_BLOCK))
-    whole = nodes.join(graph.select("shard", "node", "near"), ["shard", "node"]).withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
-    dealt = asked.withColumn("block", F.pmod(F.xxhash64("vec_id"), F.lit(blocks)).cast("int")).withColumn("shard", F.explode(F.sequence(F.lit(0), F.lit(shards - 1))))
-    found = whole.groupBy("shard", "block").cogroup(dealt.groupBy("shard", "block")).applyInArrow(_search(k, beam, longest), "query_id long, vec_id long, score double")
+    rows = written(_bytes(rows.select(F.xxhash64("v").alias("node"), "ids", "v")), "vectors")
+    total = rows.count()
+    longest = float(np.sqrt(base.select(F.max(F.aggregate("v", F.lit(0.0), lambda s, x: s + x * x))).first()[0] or 0.0))
+    nodes = rows.select("node", "v")
+    wanted = min(PIVOTS_MOST, total, max(4 * ENTRIES, int(PIVOTS * total**0.5)))
+    bar = max(0, int(2**64 * min(1.0, 1.2 * wanted / max(1, total))) - 1) - 2**63
+    got = nodes.where(F.xxhash64(F.lit(17), "node") <= bar).toArrow()
+    pivots = spark.sparkContext.broadcast((got.column("node").to_numpy().astype(np.int64), _matrix(got.column("v"))))
+    _, links = neighbour_graph(nodes, pivots, total, longest)
+    asked = usable(queries).where(F.size("v") == (common["n"] if common else -1)).groupBy("vec_id").agg(F.min("v").alias("v"))
+    asked = _bytes(asked.select(F.col("vec_id").alias("query_id"), "v")).withColumnRenamed("v", "q")
+    hits = greedy_search(asked, nodes, links, pivots, max(beam, k + 1))
+    return hits.join(rows.select("node", "ids"), "node")
+
+
+def nearest(vectors: DataFrame, queries: DataFrame, k: int = 20, beam: int = BEAM) -> DataFrame:
+    """vectors, queries: vec_id, embedding. A row per query and neighbour: query_id, rank (from 1), vec_id, score, n_scored (nodes compared with the
+    query): the largest inner products found, ties to the smaller vec_id, the query's own vec_id left out. Queries that take no part have no rows.
+    """
+    hits = found_in(vectors, queries, k, beam).select("query_id", "score", "met", F.explode("ids").alias("vec_id")).where("vec_id <> query_id")
     by = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
-    return found.withColumn("rank", F.row_number().over(by)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+    return hits.withColumn("rank", F.row_number().over(by)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score", F.col("met").alias("n_scored"))

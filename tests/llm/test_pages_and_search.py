@@ -123,7 +123,7 @@ def brute_containment(docs, items):
     return out
 
 
-def test_containment_equals_brute_force(spark, make_docs, monkeypatch):
+def test_containment_equals_brute_force(spark, make_docs):
     rng = random.Random(3)
     words = [f"w{i}" for i in range(200)]
     make = lambda n: rng.choices(words, k=n)
@@ -139,10 +139,8 @@ def test_containment_equals_brute_force(spark, make_docs, monkeypatch):
         docs.append((k, rng.choice([" ", "\n"]).join(text)))
     docs += [(900, None), (901, ""), (902, "a B"), (None, items[0][1].upper()), (903, "same " * 5000), (5, "twice"), (5, "twice")]
     table = spark.createDataFrame(items, "item_id long, text string").withColumn("doc_id", F.lit(1)).withColumn("shingles", F.lit(1))
-    for rows in (1_000_000, 0):
-        monkeypatch.setattr(decontaminate, "SKETCH_ROWS", rows)
-        monkeypatch.setattr(decontaminate, "CANDIDATE_ROWS", rows)
-        got = {(r["doc_id"], r["item_id"], r["n_item_shingles"], r["n_shared"]) for r in decontaminate.contaminated(make_docs(docs), table).collect()}
+    for limit in (32_000_000, 0):  # by broadcast, and by shuffle
+        got = {(r["doc_id"], r["item_id"], r["n_item_shingles"], r["n_shared"]) for r in decontaminate.contaminated_rows(make_docs(docs), table, broadcast_bytes=limit).collect()}
         assert got == brute_containment(docs, items)
 
 
@@ -162,7 +160,7 @@ def test_neighbours_against_brute_force(spark):
     rows = [(int(i), [float(v) for v in x[i]], 1) for i in range(len(x))]
     rows += [(5000, None, 1), (5001, [0.0] * 16, 1), (5002, [float("nan")] * 16, 1), (5003, [1.0] * 3, 1), (5004, [None] * 16, 1), (None, [1.0] * 16, 1), (7, [float(v) for v in x[7]], 1)]
     table = spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int").withColumn("shard", F.lit(1))
-    got = neighbours.nearest(table, table.where("vec_id % 20 = 0"), 20, shard=400).collect()
+    got = neighbours.nearest(table, table.where("vec_id % 20 = 0"), 20).collect()
     per = {}
     for r in got:
         per.setdefault(r["query_id"], []).append((r["rank"], r["vec_id"], r["score"]))
@@ -188,19 +186,20 @@ def test_few_vectors_and_none(spark):
     assert neighbours.nearest(table, table.limit(0)).count() == 0
 
 
-@pytest.mark.parametrize(("clusters", "noise"), [(10, 1.0), (40, 0.5), (100, 1.0), (200, 0.5)])
-def test_search_of_a_shard_of_separated_clusters(clusters, noise):
+@pytest.mark.parametrize(("clusters", "noise"), [(10, 1.0), (200, 0.5)])
+def test_graph_search_of_separated_clusters(spark, clusters, noise):
     rng = np.random.default_rng(9)
-    x = rng.normal(size=(clusters, 64))[rng.integers(0, clusters, 8192)] + noise * rng.normal(size=(8192, 64))
+    n = 6000
+    x = rng.normal(size=(clusters, 64))[rng.integers(0, clusters, n)] + noise * rng.normal(size=(n, 64))
     x /= np.linalg.norm(x, axis=1)[:, None]
     score = x @ x.T
     np.fill_diagonal(score, -np.inf)
     order = np.argsort(-score, axis=1)[:, :20]
-    nodes = pa.table({"node": pa.array(range(8192), pa.int32()), "ids": [[i] for i in range(8192)], "v": [v.tobytes() for v in x], "near": order[:, :16].tolist()})
-    asked = list(range(0, 8192, 40))
-    got = neighbours._search(20, neighbours.BEAM, 1.0)((), nodes, pa.table({"vec_id": asked, "v": [x[q].tobytes() for q in asked]}))
-    found = {q: set() for q in asked}
-    for r in got.to_pylist():
+    table = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>")
+    got = neighbours.nearest(table, table.where("vec_id % 40 = 0")).collect()
+    found = {q: set() for q in range(0, n, 40)}
+    for r in got:
         found[r["query_id"]].add(r["vec_id"])
-    recall = sum(len(found[q] & set(order[q].tolist())) for q in asked) / (20 * len(asked))
-    assert recall >= 0.99, recall
+    recall = sum(len(found[q] & set(order[q].tolist())) for q in found) / (20 * len(found))
+    assert recall >= 0.95, recall
+    assert max(r["n_scored"] for r in got) < n
