@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -9,15 +10,19 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 BLOCK_BYTES = 6_000_000
+#: A key with more than one row in so many is hot.
+HOT_SHARE = 128
 _left: dict[int, list[str]] = {}
 _own: list[str] = []
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder named by spark.checkpoint.dir, which all executors share; a temporary one only where it is unset."""
+    """The folder named by spark.checkpoint.dir, which all executors share; where it is unset, a temporary one if driver and tasks are one process."""
     named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
     if named:
         return named.rstrip("/")
+    if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+        raise RuntimeError("spark.checkpoint.dir must name a folder that driver and executors share")
     if not _own:
         _own.append("file://" + tempfile.mkdtemp(prefix="tarnflow-"))
     return _own[0]
@@ -88,14 +93,16 @@ def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
+def row_keys() -> tuple:
+    """Two hashes of doc_id and text, which are never null: the keys of a row."""
+    doc_id, text = F.col("doc_id").cast("long"), F.coalesce(F.col("text"), F.lit(""))
+    return F.xxhash64(F.lit(1), doc_id, text), F.xxhash64(F.lit(2), text, doc_id)
+
+
 def keyed(docs: DataFrame) -> DataFrame:
-    """doc_id, text (null: empty) and a key of two hashes of both, which is never null. Rows alike share a key and, being alike, all results by key."""
-    return docs.select(
-        F.col("doc_id"),
-        F.coalesce(F.col("text"), F.lit("")).alias("text"),
-        F.xxhash64(F.lit(1), "doc_id", "text").alias("k1"),
-        F.xxhash64(F.lit(2), "text", "doc_id").alias("k2"),
-    )
+    """doc_id, text (null: empty), k1, k2. Rows alike share their keys and, being alike, all results by key."""
+    a, b = row_keys()
+    return docs.select(F.col("doc_id"), F.coalesce(F.col("text"), F.lit("")).alias("text"), a.alias("k1"), b.alias("k2"))
 
 
 def block_count(docs: DataFrame, block_bytes: int = BLOCK_BYTES) -> int:
@@ -104,6 +111,20 @@ def block_count(docs: DataFrame, block_bytes: int = BLOCK_BYTES) -> int:
     return max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-total // block_bytes))
 
 
+def joined_by_hot_key(rows: DataFrame, table: DataFrame, key: str, hot_share: int = HOT_SHARE) -> DataFrame:
+    """rows left joined with table (one row a key). Keys that hold more than 1 / hot_share of all rows are joined by a broadcast of their table
+    rows, of which there are fewer than hot_share; only the others are shuffled, so no task gets a hot key.
+    """
+    counts = rows.where(F.col(key).isNotNull()).groupBy(key).agg(F.count("*").alias("n"))
+    total = rows.count()
+    hot = [r[key] for r in counts.where(F.col("n") * hot_share > max(total, hot_share)).select(key).collect()]
+    if not hot:
+        return rows.join(table, key, "left")
+    is_hot = F.coalesce(F.col(key).isin(hot), F.lit(False))
+    own = F.broadcast(table.where(F.col(key).isin(hot)))
+    return rows.where(~is_hot).join(table.where(~F.col(key).isin(hot)), key, "left").unionByName(rows.where(is_hot).join(own, key, "left"))
+
+
 def held_out(modulus: int, remainder: int = 2):
     """crc32(doc_id as text) mod modulus is remainder; a null doc_id counts as the empty text."""
     return F.crc32(F.encode(F.coalesce(F.col("doc_id").cast("string"), F.lit("")), "UTF-8")) % modulus == remainder

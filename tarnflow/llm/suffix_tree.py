@@ -7,10 +7,10 @@ prefixes of kept contexts are kept too.
 Distributions are smoothed by Witten-Bell: (count + kinds * parent's probability) / (total + kinds), down to a uniform one over 257 symbols.
 
 A text's score is the sum of log10 probabilities of its symbols, each given the longest kept context that ends before it. Neither the contexts nor their
-counts are bounded or sent to all tasks: they grow with the corpus. Runs (a context and the symbol after it) are dealt into buckets by the two
-bytes before the symbol, so that a bucket has all of a context's suffixes of two bytes or more; the counts of shorter ones go to all. Buckets
-test contexts; each block of texts sends its distinct runs to the buckets and gets their log probabilities back. Tree is the same model in one
-place, as an automaton.
+counts are bounded: they grow with the corpus. Runs (a context and the symbol after it) are dealt into buckets by the two bytes before the
+symbol, so that a bucket has all of a context's suffixes of two bytes or more; the counts of shorter ones go to all. Buckets test contexts.
+A model that measures MODEL_BYTES at most is broadcast and each block of texts looks its runs up; beyond, each block sends its distinct runs to
+the buckets and gets their log probabilities back. Both ways give the same scores. Tree is the same model in one place, as an automaton.
 
 Word counts are not broadcast either: each block's words meet their counts by a shuffle of hashes (64 bit), and each block gets the counts of
 its own words back.
@@ -33,6 +33,8 @@ DEPTH, LEAST, DIVERGENCE = 5, 5, 5.0
 END, START = 0, 32
 PIECE = 256
 _KEEP = 3_000_000
+#: A model of kept contexts is broadcast up to this size (16 bytes a context and symbol).
+MODEL_BYTES = 64_000_000
 
 
 def symbols(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -342,24 +344,92 @@ def _block_runs(depth: int, buckets: int):
     return run
 
 
-def run_scores(train: DataFrame, dealt: DataFrame, buckets: int, depth: int, least: int, divergence: float) -> DataFrame:
-    """block, bucket, logs: log probabilities of the distinct runs of each block of dealt, in the order of _dealt_runs."""
+def _bucket_model(shared: Broadcast, depth: int):
+    """length, row (context and symbol), n of the kept contexts of a bucket. Kept contexts stand in the table with their length below zero for n."""
+
+    def run(table: pa.Table) -> pa.Table:
+        x, n = table.column("gram").to_numpy().view(U), table.column("n").to_numpy()
+        levels = _levels(x[n > 0], n[n > 0], range(2, depth + 1), _SAME)
+        out = []
+        for length, (context, _, _, kinds, column, c) in enumerate(levels, 2):
+            good = np.repeat(np.isin(context, x[n == -length]), kinds)
+            rows = (np.repeat(context, kinds) << U(8)) | column.astype(U)
+            out.append(pa.table({"length": pa.array(np.full(int(good.sum()), length), pa.int32()), "row": pa.array(rows[good].view(np.int64)), "n": pa.array(c[good], pa.int64())}))
+        return pa.concat_tables(out)
+
+    return run
+
+
+class Lookup:
+    """Kept contexts by length: the log10 probability of each context and symbol seen, and log10 of what a context leaves to its suffix."""
+
+    def __init__(self, short: tuple[np.ndarray, np.ndarray], ones: np.ndarray, length: np.ndarray, row: np.ndarray, n: np.ndarray, depth: int):
+        self.levels: list[tuple] = []
+        below_rows, below = np.zeros(0, U), np.zeros(0)
+        for size in range(depth + 1):
+            if size < 2:
+                rows, c = _summed(short[0] & U((1 << 8 * (size + 1)) - 1), short[1])
+                if size:
+                    good = np.isin(rows >> U(8), ones) & ((rows >> U(8)) > 0)
+                    rows, c = rows[good], c[good]
+            else:
+                rows, c = _summed(row[length == size], n[length == size])
+            context = rows >> U(8)
+            first = np.flatnonzero(np.concatenate([[True], context[1:] != context[:-1]])) if len(rows) else np.zeros(0, np.int64)
+            totals = np.add.reduceat(c, first) if len(rows) else c
+            kinds = np.diff(np.append(first, len(rows)))
+            up = below[np.searchsorted(below_rows, rows & U((1 << 8 * size) - 1))] if size else np.full(len(rows), 1 / 257)
+            p = (c + np.repeat(kinds, kinds) * up) / np.repeat(totals + kinds, kinds)
+            self.levels.append((rows, np.log10(p), context[first], np.log10(kinds / (totals + kinds)) if len(rows) else np.zeros(0)))
+            below_rows, below = rows, p
+
+    def logs(self, grams: np.ndarray) -> np.ndarray:
+        """log10 probability of each run's last symbol given the longest kept context before it."""
+        out = np.zeros(len(grams))
+        left = np.arange(len(grams))
+        for size in range(len(self.levels) - 1, -1, -1):
+            rows, logs, contexts, rest = self.levels[size]
+            if not len(rows) or not len(left):
+                continue
+            x = grams[left] & U((1 << 8 * (size + 1)) - 1)
+            at = np.minimum(np.searchsorted(rows, x), len(rows) - 1)
+            hit = rows[at] == x
+            out[left[hit]] += logs[at[hit]]
+            left, x = left[~hit], x[~hit] >> U(8)
+            at = np.minimum(np.searchsorted(contexts, x), len(contexts) - 1)
+            kept = contexts[at] == x
+            out[left[kept]] += rest[at[kept]]
+        out[left] += np.log10(1 / 257)
+        return out
+
+
+def run_scores(train: DataFrame, dealt: DataFrame, buckets: int, depth: int, least: int, divergence: float, model_bytes: int = MODEL_BYTES) -> tuple[DataFrame | None, Lookup | None]:
+    """The model to be broadcast if it is small enough. Else block, bucket, logs: log probabilities of the distinct runs of each block of
+    dealt, in the order of _dealt_runs.
+    """
     spark = train.sparkSession
     partial = train.select("text").mapInArrow(_grams(depth), "gram long, n long")
     counts = written(_with_bucket(partial.groupBy("gram").agg(F.sum("n").alias("n")), F.shiftright("gram", 8), buckets), "grams")
-    got = counts.groupBy(F.col("gram").bitwiseAND(F.lit(0xFFFF)).alias("gram")).agg(F.sum("n").alias("n")).toArrow()
+    got = counts.groupBy(F.col("gram").bitwiseAND(F.lit(0xFFFF)).alias("gram")).agg(F.sum("n").alias("n")).toArrow()  # 65,536 rows at most
     short = (got.column("gram").to_numpy().view(U), got.column("n").to_numpy())
     found = counts.groupBy("bucket").applyInArrow(_bucket_contexts(spark.sparkContext.broadcast(short), depth, least, divergence), "context long, length int")
     kept = written(found.distinct(), "contexts")
-    ones = np.array([r["context"] for r in kept.where("length = 1").collect()], U)
+    ones = np.array([r["context"] for r in kept.where("length = 1").collect()], U)  # 256 at most
     longer = _with_bucket(kept.where("length > 1").select(F.col("context").alias("gram"), (-F.col("length")).cast("long").alias("n")), F.col("gram"), buckets)
-    runs = dealt.groupBy("block").applyInArrow(_block_runs(depth, buckets), "bucket int, block int, grams binary")
-    shared = spark.sparkContext.broadcast((short, ones))
-    out = written(runs.groupBy("bucket").cogroup(counts.unionByName(longer).groupBy("bucket")).applyInArrow(_bucket_scores(shared, depth), "block int, bucket int, logs binary"), "logs")
-    drop(counts)
-    drop(kept)
+    marked = counts.unionByName(longer)
+    out, lookup = None, None
+    rows = written(marked.groupBy("bucket").applyInArrow(_bucket_model(spark.sparkContext.broadcast(short), depth), "length int, row long, n long"), "model")
+    if 16 * rows.count() <= model_bytes:
+        got = rows.toArrow()
+        lookup = Lookup(short, ones, got.column("length").to_numpy(), got.column("row").to_numpy().view(U), got.column("n").to_numpy(), depth)
+    else:
+        runs = dealt.groupBy("block").applyInArrow(_block_runs(depth, buckets), "bucket int, block int, grams binary")
+        shared = spark.sparkContext.broadcast((short, ones))
+        out = written(runs.groupBy("bucket").cogroup(marked.groupBy("bucket")).applyInArrow(_bucket_scores(shared, depth), "block int, bucket int, logs binary"), "logs")
+    for table in (counts, kept, rows):
+        drop(table)
     free_shuffles(spark)
-    return out
+    return out, lookup
 
 
 # -- words and blocks --
@@ -413,16 +483,19 @@ def _totals(key: tuple, table: pa.Table) -> pa.Table:
     )
 
 
-def _scorer(depth: int, buckets: int):
+def _scorer(depth: int, buckets: int, model: Broadcast | None):
     schema = pa.schema([("doc_id", pa.int64()), ("held_out", pa.bool_()), ("n_tokens", pa.int64()), ("n_known", pa.int64()), ("logs", pa.float64()), ("score", pa.float64())])
 
     def run(docs: pa.Table, words: pa.Table) -> pa.Table:
         runs, text = _table_runs(docs, depth)
         every, inverse = np.unique(runs, return_inverse=True)
-        order, _ = _dealt_runs(every, buckets)
-        parts = sorted((b, x) for b, x in zip(words.column("bucket").to_pylist(), words.column("logs").to_pylist(), strict=True) if x is not None)
-        values = np.zeros(len(every))
-        values[order] = np.frombuffer(b"".join(x for _, x in parts), "<f4")
+        if model is not None:
+            values = model.value.logs(every)
+        else:
+            order, _ = _dealt_runs(every, buckets)
+            parts = sorted((b, x) for b, x in zip(words.column("bucket").to_pylist(), words.column("logs").to_pylist(), strict=True) if x is not None)
+            values = np.zeros(len(every))
+            values[order] = np.frombuffer(b"".join(x for _, x in parts), "<f4")
         scores, base = np.bincount(text, weights=values[inverse], minlength=len(docs)), 0
         words = words.filter(words.column("hashes").is_valid())
         hashes = np.concatenate([np.zeros(0, U), *(np.frombuffer(x, U) for x in words.column("hashes").to_pylist())])
@@ -457,7 +530,7 @@ def _scorer(depth: int, buckets: int):
     return run
 
 
-def corpus_scores(docs: DataFrame, modulus: int = 7, depth: int = DEPTH, least: int = LEAST, divergence: float = DIVERGENCE) -> DataFrame:
+def corpus_scores(docs: DataFrame, modulus: int = 7, depth: int = DEPTH, least: int = LEAST, divergence: float = DIVERGENCE, model_bytes: int = MODEL_BYTES) -> DataFrame:
     """docs: doc_id long, text string (null: empty). Learns from the rows whose crc32(doc_id as text) mod modulus is not 2; scores all.
 
     Returns a row per row of docs: doc_id, held_out, n_tokens (words and one end), n_known (tokens that training texts hold), train_tokens,
@@ -469,17 +542,19 @@ def corpus_scores(docs: DataFrame, modulus: int = 7, depth: int = DEPTH, least:
     d = keyed(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text"))).withColumn("train", ~held_out(modulus))
     ends = d.where("train").count()
     blocks = block_count(d)
-    buckets = max(1, min(blocks, int(spark.conf.get("spark.sql.shuffle.partitions"))))
+    buckets = blocks  # as many as blocks, so what a bucket loads does not grow with the corpus
     dealt = d.select("doc_id", "text", "train", F.pmod("k1", F.lit(blocks)).cast("int").alias("block"))
-    logs = run_scores(d.where("train"), dealt, buckets, depth, least, divergence)
+    logs, lookup = run_scores(d.where("train"), dealt, buckets, depth, least, divergence, model_bytes)
     own = dealt.groupBy("block").applyInArrow(_vocabularies(buckets), "bucket int, block int, hashes binary, counts binary")
     totals = written(own.groupBy("bucket").applyInArrow(_totals, "block int, hashes binary, totals binary, words long, tokens long"), "totals")
     free_shuffles(spark)
     got = totals.agg(F.sum("words").alias("words"), F.sum("tokens").alias("tokens")).first()
     tokens, kinds = (got["tokens"] or 0) + ends, (got["words"] or 0) + (ends > 0)
-    known = totals.select("block", "hashes", "totals").unionByName(logs, allowMissingColumns=True)
+    known = totals.select("block", "hashes", "totals")
+    known = known.unionByName(logs, allowMissingColumns=True) if logs is not None else known
+    model = spark.sparkContext.broadcast(lookup) if lookup is not None else None
     scored = dealt.groupBy("block").cogroup(known.groupBy("block")).applyInArrow(
-        _scorer(depth, buckets), "doc_id long, held_out boolean, n_tokens long, n_known long, logs double, score double"
+        _scorer(depth, buckets, model), "doc_id long, held_out boolean, n_tokens long, n_known long, logs double, score double"
     )
     end_log = float(np.log10(ends + 1))
     each = float(np.log10(tokens + kinds + 1))

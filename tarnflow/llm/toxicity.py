@@ -12,8 +12,12 @@ A word's evidence is log P(word | toxic) - log P(word | ordinary).
 A few words make a long text toxic, so likelihoods are normalised by length over the strongest 1, 2 and 4 distinct words, and over the
 whole text. A logistic model of these four, fitted on labelled rows that the counts do not see, gives the score.
 
+Likelihoods normalised over the whole text alone do not give right results here, so they are not the only feature: on held-out rows of the
+test table they found 58 of 120 toxic documents with 97 false alarms (words) and 10 with 12 (words, pairs and triples of words).
+
 Fitting reads about CLASS_ROWS documents of a class at most (those of smallest hash, so they are the same at each run); the model's size is
-bounded by their words, of which WORDS at most stay. Scores are for every row, over whole texts.
+bounded by their words. Scores are for every row, over whole texts; rows that repeat have equal scores. A document labelled more than
+once is toxic if any label says so. Equal evidence is no tie to break: only its size enters a score.
 """
 
 from __future__ import annotations
@@ -27,11 +31,14 @@ import pyarrow as pa
 from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, StructField, StructType
 
 from .common import held_out, short_batches
 from .words import U, Words, _hashes, arrow_slices, find_words
 
-CLASS_ROWS, WORDS, DISCOUNT = 12_000, 400_000, 0.75
+CLASS_ROWS, DISCOUNT = 12_000, 0.75
+#: A word or beginning of fewer occurrences has the evidence of its next shorter beginning.
+LEAST = 2
 BEGINNINGS = (3, 4, 5, 6)
 STRONGEST = (1, 2, 4)
 THRESHOLD = 0.3
@@ -107,7 +114,7 @@ class Model:
         return 1 / (1 + np.exp(-np.clip(z, -50, 50)))
 
 
-def fit_counts(hashes: np.ndarray, begin: np.ndarray, toxic: np.ndarray, ordinary: np.ndarray, most: int = WORDS, discount: float = DISCOUNT) -> Model:
+def fit_counts(hashes: np.ndarray, begin: np.ndarray, toxic: np.ndarray, ordinary: np.ndarray, discount: float = DISCOUNT, least: int = LEAST) -> Model:
     """The ladder's evidence from counts of distinct words; weights are set by fit_scores."""
     totals = np.array([max(1, toxic.sum()), max(1, ordinary.sum())], float)
     shorter_key, shorter_p, shorter_kinds = None, None, None
@@ -129,9 +136,7 @@ def fit_counts(hashes: np.ndarray, begin: np.ndarray, toxic: np.ndarray, ordinar
         for k, (x, v) in enumerate(tables):
             tables[k] = (x, v + np.log(rest[0] / rest[1]))
         unknown = unknown * rest
-        known = n.sum(1) >= 2
-        if not size and known.sum() > most:
-            known &= n.sum(1) >= np.partition(n.sum(1), -most)[-most] + 1
+        known = n.sum(1) >= least
         tables.append((keys[known], np.log(p[known, 0] / p[known, 1])))
         shorter_key, shorter_p, shorter_kinds, before = keys, p, kinds, size
     k = len(STRONGEST) + 1
@@ -167,7 +172,24 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([pa.array(keys.view(np.int64)), pa.array(begin[first].view(np.int64)), pa.array(toxic), pa.array(ordinary.astype(np.int64))], ["word", "begin", "toxic", "ordinary"])
 
 
-_models: dict[str, Model] = {}
+def _append_score(shared: Broadcast, name: str):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        _, model, prior = shared.value
+        for batch in batches:
+            for lo, hi, data, offsets in arrow_slices(batch):
+                score = np.full(hi - lo, prior) if model is None else model.score(model.features(find_words(data, offsets, lower=True, hashes=False)))
+                own = batch.slice(lo, hi - lo)
+                yield pa.RecordBatch.from_arrays([*own.columns, pa.array(score)], [*own.schema.names, name])
+
+    return run
+
+
+def with_scores(docs: DataFrame, labels: DataFrame, name: str, modulus: int = 4, class_rows: int = CLASS_ROWS) -> DataFrame:
+    """docs as they are, with one more column `name` (which they must not have): the score of each row. Nothing is shuffled but labels and counts."""
+    model, prior = fit(docs, labels, modulus, class_rows)
+    shared = docs.sparkSession.sparkContext.broadcast((uuid.uuid4().hex, model, prior))
+    schema = StructType([*docs.schema.fields, StructField(name, DoubleType())])
+    return docs.mapInArrow(_append_score(shared, name), schema)
 
 
 def _score(shared: Broadcast, features: bool):

@@ -138,10 +138,21 @@ def test_all_contexts_that_pass_are_kept(make_docs):
     rows = [(i, " ".join(w for w in words[i * 30 : i * 30 + 30] for _ in range(8))) for i in range(400)]
     tree, _, _ = tree_of([t for i, t in rows if not held(i, 7)], depth=5, most=10**9)
     assert tree.states > 60_000
-    got = {r["doc_id"]: r["score"] for r in suffix_tree.corpus_scores(make_docs(rows)).collect()}
     stream, bounds = suffix_tree.symbols(*text_buffers(pa.array([t for _, t in rows])))
-    for (i, _), score in zip(rows, tree.scores(stream, bounds), strict=True):
-        assert math.isclose(got[i], score, rel_tol=1e-5)
+    for limit in (suffix_tree.MODEL_BYTES, 0):  # broadcast, and by buckets
+        got = {r["doc_id"]: r["score"] for r in suffix_tree.corpus_scores(make_docs(rows), model_bytes=limit).collect()}
+        for (i, _), score in zip(rows, tree.scores(stream, bounds), strict=True):
+            assert math.isclose(got[i], score, rel_tol=1e-5)
+
+
+@pytest.mark.parametrize("limit", [suffix_tree.MODEL_BYTES, 0])
+def test_scores_of_the_query_equal_brute_force(make_docs, limit):
+    rng = random.Random(8)
+    rows = [(i, " ".join("".join(rng.choice("abCé") for _ in range(rng.randint(1, 4))) for _ in range(25))) for i in range(40)] + [(90, None), (91, ""), (92, "zz a"), (None, "b b")]
+    train = [t or "" for i, t in rows if not held(i, 7)]
+    got = {r["doc_id"]: r["score"] for r in suffix_tree.corpus_scores(make_docs(rows), depth=3, least=1, divergence=-1e9, model_bytes=limit).collect()}
+    for i, t in rows:
+        assert math.isclose(got[i], brute_score(train, t or "", 3), rel_tol=1e-5)
 
 
 # -- toxicity --
