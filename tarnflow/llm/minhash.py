@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import drop, free_shuffles, short_batches, written
+from .common import drop, free_shuffles, joined_by_hot_key, keyed, short_batches, written
 from .components import components
 from .words import U, arrow_slices, find_words, mixed, shingles, slices, text_buffers
 
@@ -77,7 +77,7 @@ def _minima(h: np.ndarray, marks: np.ndarray, a: np.ndarray, b: np.ndarray) -> n
 
 
 def _signer(size: int, bands: int, rows: int):
-    schema = pa.schema([("doc_id", pa.int64()), ("n_shingles", pa.int64()), ("node", pa.int64()), ("bands", pa.list_(pa.int64()))])
+    schema = pa.schema([("doc_id", pa.int64()), ("k1", pa.int64()), ("k2", pa.int64()), ("n_shingles", pa.int64()), ("node", pa.int64()), ("bands", pa.list_(pa.int64()))])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         a, b = _universal(bands * rows)
@@ -99,7 +99,7 @@ def _signer(size: int, bands: int, rows: int):
                         keys[full, j] = key.view(np.int64)
                 lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(np.where(n > 0, bands, 0))]), pa.int32()), pa.array(keys[full].ravel()))
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column(0).slice(lo, hi - lo), pa.array(n.astype(np.int64)), pa.array(node, mask=n == 0), lists],
+                    [*(batch.column(batch.schema.get_field_index(c)).slice(lo, hi - lo) for c in ("doc_id", "k1", "k2")), pa.array(n.astype(np.int64)), pa.array(node, mask=n == 0), lists],
                     schema=schema,
                 )
 
@@ -182,18 +182,21 @@ def _leftover(size: int, similarity: float):
 
 def near_duplicates(docs: DataFrame, size: int = SIZE, similarity: float = SIMILARITY, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
     """docs: doc_id long, text string (other columns are ignored). Returns a row per row of docs: doc_id, n_shingles, component_id (the smallest
-    doc_id of the component, itself included), kept (doc_id = component_id), node (of equal sets; null if empty).
+    doc_id of the component, itself included), kept (doc_id = component_id), node (of equal sets; null if empty), k1 and k2 (the row's
+    keys, see common.keyed), first (the row is its component's first by null ids last, doc_id, keys; true without words). Rows alike in doc_id
+    and text share their keys, so more than one may be first.
     """
     spark = docs.sparkSession
     short_batches(spark)
-    d = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
-    signed = written(d.mapInArrow(_signer(size, bands, rows), "doc_id long, n_shingles long, node long, bands array<long>"), "signed")
+    d = keyed(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"))
+    signed = written(d.mapInArrow(_signer(size, bands, rows), "doc_id long, k1 long, k2 long, n_shingles long, node long, bands array<long>"), "signed")
     nodes = signed.where("node is not null").groupBy("node").agg(F.first("bands").alias("bands"))
     keys = written(nodes.select("node", F.explode("bands").alias("key")).select("key", "node"), "bands")
     full = keys.groupBy("key").agg(F.min("node").alias("v"), F.count("*").alias("members")).where("members > 1")
     stars = written(keys.join(full, "key").where("node <> v").groupBy(F.col("node").alias("u"), "v").agg(F.count("*").alias("shared")), "stars")
     involved = stars.select("u").union(stars.select("v")).distinct().withColumnRenamed("u", "node")
-    named = signed.where("node is not null").join(involved, "node").groupBy("node").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id")).alias("m")).select("node", F.col("m.doc_id").alias("doc_id"))
+    # A row's keys name the text that stands for its node: one row a node, found before any join.
+    named = signed.where("node is not null").groupBy("node").agg(F.min(F.struct("k1", "k2")).alias("m")).join(involved, "node").select("node", "m.k1", "m.k2")
     texts = written(_texts(d, named, size, bands * rows), "texts")
     free_shuffles(spark)
     links = written(_confirmed(_likeliest(stars), texts, size, similarity), "links")
@@ -209,14 +212,25 @@ def near_duplicates(docs: DataFrame, size: int = SIZE, similarity: float = SIMIL
         label = components(links.unionByName(found))
     drop(texts)
     free_shuffles(spark)
-    own = signed.select("doc_id", "n_shingles", "node").join(label, "node", "left").withColumn("c", F.coalesce("label", "node"))
-    least = own.where("c is not null").groupBy("c").agg(F.min("doc_id").alias("least"))
-    out = own.join(least, "c", "left").withColumn("component_id", F.when(F.col("c").isNull(), F.col("doc_id")).otherwise(F.col("least")))
-    return out.select("doc_id", "n_shingles", "component_id", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(False)).alias("kept"), "node")
+    # Least ids are found by node first, so a component has a row a node; a node or component that holds many rows is joined by a broadcast.
+    by_node = signed.where("node is not null").groupBy("node").agg(F.min(_rank()).alias("m"))
+    labelled = written(by_node.join(label, "node", "left").select("node", "m", F.coalesce("label", "node").alias("c")), "labelled")
+    least = labelled.groupBy("c").agg(F.min("m").alias("first"))
+    named = written(joined_by_hot_key(labelled.select("node", "c"), least, "c").select("node", "first"), "named")
+    out = joined_by_hot_key(signed.select("doc_id", "n_shingles", "k1", "k2", "node"), named, "node")
+    out = out.withColumn("component_id", F.when(F.col("node").isNull(), F.col("doc_id")).otherwise(F.col("first.doc_id")))
+    first = F.col("node").isNull() | ((F.col("first.k1") == F.col("k1")) & (F.col("first.k2") == F.col("k2")))
+    kept = F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(False))
+    return out.select("doc_id", "n_shingles", "component_id", kept.alias("kept"), "node", "k1", "k2", first.alias("first"))
+
+
+def _rank():
+    """A total order of rows: null ids last, then doc_id and text by their keys."""
+    return F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "k1", "k2")
 
 
 def _texts(d: DataFrame, named: DataFrame, size: int, minima: int) -> DataFrame:
-    """node, text, signature (8 bits a minimum): one text for each node named. A doc_id may stand on several rows, so the node is made from the text again."""
+    """node, text, signature (8 bits a minimum): one text for each node named. The node is made from the text again, which guards the join by keys."""
     schema = pa.schema([("node", pa.int64()), ("text", pa.string()), ("signature", pa.binary())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -233,7 +247,7 @@ def _texts(d: DataFrame, named: DataFrame, size: int, minima: int) -> DataFrame:
                 same = (own == batch.column(1).slice(lo, hi - lo).to_numpy(zero_copy_only=False)) & (n > 0)
                 yield pa.RecordBatch.from_arrays([pa.array(own), batch.column(0).slice(lo, hi - lo), pa.array([x.tobytes() for x in signature], pa.binary())], schema=schema).filter(pa.array(same))
 
-    found = d.join(named, d["doc_id"].eqNullSafe(named["doc_id"])).select("text", "node").mapInArrow(run, "node long, text string, signature binary")
+    found = d.select("text", "k1", "k2").join(named, ["k1", "k2"]).select("text", "node").mapInArrow(run, "node long, text string, signature binary")
     return found.dropDuplicates(["node"])
 
 
