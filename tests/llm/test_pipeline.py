@@ -90,3 +90,28 @@ def test_stages_keep_columns_and_take_odd_tables(spark, folder):
         odd = docs.limit(0).unionByName(spark.createDataFrame([(None, None), (1, None), (1, None), (2, "")], "doc_id long, text string"), allowMissingColumns=True)
         out = stage(spark, odd, path)
         assert out.schema.names == docs.columns and out.count() >= 3
+
+
+def test_decisions_are_by_row_not_by_doc_id(spark, folder):
+    path, rows, item = folder
+    rng = random.Random(3)
+    a, b, c = (" ".join(f"u{rng.randrange(10**6)}" for _ in range(40)) for _ in range(3))
+    own = [(1, a), (3, a), (3, b), (None, c), (None, c), (7, c), (None, f"{b} {item}"), (8, f"x {item} y"), (8, "z " + " ".join(reversed(a.split())))]
+    docs = spark.createDataFrame(own, "doc_id long, text string")
+    docs = spark.read.parquet(f"{path}/documents.parquet").limit(0).unionByName(docs, allowMissingColumns=True)
+    read = lambda df: sorted(((r["doc_id"], r["text"]) for r in df.collect()), key=repr)
+    assert read(corpus_pipeline.drop_near_duplicates(spark, docs, path)) == sorted([(1, a), (3, b), (7, c), *own[6:]], key=repr)
+    assert read(corpus_pipeline.drop_contaminated(spark, docs, path)) == sorted([*own[:6], own[8]], key=repr)
+    more = spark.createDataFrame([(None, "vile " * 3 + "w1 w2 rude"), (2005, "vile rude w3 vile"), (2005, "w4 w5 w6")], "doc_id long, text string")
+    toxic = spark.read.parquet(f"{path}/documents.parquet").unionByName(more, allowMissingColumns=True)
+    assert read(corpus_pipeline.drop_toxic(spark, toxic, path).where("coalesce(doc_id, 2005) = 2005")) == [(2005, "w4 w5 w6")]
+
+
+def test_pack_takes_empty_and_odd_tables(spark, folder):
+    path, _, _ = folder
+    docs = spark.read.parquet(f"{path}/documents.parquet")
+    assert corpus_pipeline.pack(spark, docs.limit(0), path).count() == 0
+    odd = docs.limit(0).unionByName(spark.createDataFrame([(None, None), (1, None), (1, None), (2, "w " * 30_000)], "doc_id long, text string"), allowMissingColumns=True)
+    out = corpus_pipeline.pack(spark, odd, path).collect()
+    assert sum(r["length"] == 1 for r in out) >= 3 and sum(r["length"] for r in out if r["doc_id"] == 2) > 30_000
+    assert corpus_pipeline.run(spark, path).count() > 0
