@@ -7,13 +7,19 @@
    and from the page's own best container if it has none of them.
 
 Text: character references decoded, white space within a block made one space, blocks trimmed and joined by a line end. A null page is
-empty. Broken mark-up is read to its end: open elements end with those around them, an unfinished tag at the end is dropped.
+empty. Broken mark-up is read to its end: open elements end with those around them, an unfinished tag at the end is dropped, a quote that is
+never closed ends with its tag. Reading takes time and memory in proportion to the page, however deep it is. Pages that repeat get equal texts.
+
+A host's votes keep WINNERS paths, each with LEAST_SHARE of the first one's votes: a page that has none of them is read by its own best container,
+so no text depends on the bound but that of layouts too rare to vote.
 """
 
 from __future__ import annotations
 
 import re
+from collections import Counter
 from collections.abc import Iterator
+from functools import lru_cache
 from html import unescape
 
 import pyarrow as pa
@@ -28,7 +34,7 @@ HOSTS = 50_000
 SALT = 16
 
 # HTML's elements by role.
-RAW = frozenset("script style noscript template iframe object svg math canvas audio video textarea select title".split())
+RAW = frozenset("script style noscript template iframe object svg canvas audio video textarea select title".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 BLOCK = frozenset(
     "address article aside blockquote body caption center dd details dialog dir div dl dt fieldset figcaption figure footer form frameset h1 h2 h3 h4 h5 h6 "
@@ -39,56 +45,127 @@ NEVER = frozenset("aside button dialog fieldset footer form head label legend me
 ENDS_P = BLOCK - frozenset("html body li dd dt td th tr".split())
 SELF_ENDING = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
 STOPS = {"li": {"ul", "ol", "menu"}, "dt": {"dl"}, "dd": {"dl"}, "tr": {"table"}, "td": {"tr", "table"}, "th": {"tr", "table"}, "option": {"select"}}
-BOILERPLATE = re.compile(
-    r"(?:^|[\s_-])(?:ads?|advert\w*|sponsor\w*|promo\w*|banner|sidebar|side|aside|menu|nav\w*|breadcrumbs?|pagination|pager|footer|header|masthead|topbar|toolbar|"
-    r"comments?|commentlist|respond|replies|disqus\w*|cookies?|consent|gdpr|notice|alert|popup|modal|overlay|newsletter|subscri\w*|signup|login|search|"
-    r"share|sharing|social|related|recommend\w*|widget|copyright|legal|disclaimer|skip)(?=$|[\s_-])",
-    re.I,
+# Words of class, id and role names that say what an element is for, and words that say only that it is one.
+ROLE = frozenset(
+    "ad ads advert adverts advertisement advertising sponsor sponsored promo promotion banner sidebar aside menu nav navbar navigation breadcrumb breadcrumbs pagination pager footer masthead "
+    "topbar toolbar comment comments commentlist respond replies disqus cookie cookies consent gdpr notice alert popup modal newsletter subscribe subscription signup login "
+    "share sharing social related recommended recommendations widget copyright disclaimer skip".split()
+)
+NEUTRAL = frozenset("site page main top bottom left right post article entry block box slot bar list item items link links button buttons wrapper wrap container inner outer section area unit form group panel content posts articles stories icons text thread the js".split())
+WORD = re.compile(r"[A-Za-z][a-z]*|[A-Z]+")
+PIECE = re.compile(
+    r"<!--.*?(?:-->|$)|<!\[CDATA\[(?P<cdata>.*?)(?:\]\]>|$)|<[!?][^>]*(?:>|$)|"
+    r"<(?P<end>/?)(?P<tag>[a-zA-Z][^\s/>]*)(?:(?P<rest>(?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|(?P<open>[^>]*)(?P<close>>|$))",
+    re.S,
 )
-PIECE = re.compile(r"<!--.*?(?:-->|$)|<!\[CDATA\[(?P<cdata>.*?)(?:\]\]>|$)|<[!?][^>]*(?:>|$)|<(?P<end>/?)(?P<tag>[a-zA-Z][^\s/>]*)(?P<rest>(?:[^>\"']|\"[^\"]*\"|'[^']*')*)(?P<close>>|$)", re.S)
 ATTRIBUTE = re.compile(r"""([^\s=/>"']+)\s*=\s*("[^"]*"|'[^']*'|[^\s>]+)""")
 
 
+@lru_cache(4096)
+def is_boilerplate(label: str) -> bool:
+    """Whether a name among class, id and role says that the element is no article: all its words are of ROLE or NEUTRAL, and one is of ROLE. So
+    "site-footer" and "comment-list" are, "legal-analysis" and "search-results" are not.
+    """
+    for name in label.split():
+        words = [w.lower() for w in WORD.findall(name)]
+        if any(w in ROLE for w in words) and all(w in ROLE or w in NEUTRAL for w in words):
+            return True
+    return False
+
+
 class Node:
-    __slots__ = ("tag", "path", "parent", "never", "blocks", "size", "link")
+    """An element: its place in page order, the place of its last descendant, and what its ancestors pass on. Nothing grows with the depth."""
+
+    __slots__ = ("tag", "step", "chain", "parent", "holder", "at", "last", "never", "link", "article", "size")
+
+    def __init__(self, tag: str, step: str, parent: Node | None, at: int, never: bool, link: bool, article: bool):
+        self.tag, self.step, self.parent, self.at, self.last = tag, step, parent, at, at
+        self.never, self.link, self.article, self.size = never, link, article, 0
+        block = parent is None or tag in BLOCK
+        self.holder = self if block else parent.holder
+        self.chain = hash((parent.chain, step)) if block and parent is not None else parent.chain if parent else 0
+
+    @property
+    def path(self) -> str:
+        """Generalised tags and classes of the blocks from the body down."""
+        steps: list[str] = []
+        up: Node | None = self.holder
+        while up is not None:
+            steps.append(up.step)
+            up = up.parent.holder if up.parent else None
+        return ">".join(reversed(steps))
+
 
-    def __init__(self, tag: str, path: str, parent: Node | None, never: bool, link: bool):
-        self.tag, self.path, self.parent, self.never, self.link = tag, path, parent, never, link
-        self.size = 0
+def _chain(path: str) -> int:
+    chain = 0
+    for step in path.split(">")[1:]:
+        chain = hash((chain, step))
+    return chain
 
 
+@lru_cache(4096)
 def _step(tag: str, classes: str) -> str:
-    names = sorted({re.sub(r"\d+", "0", c) for c in classes.split()})
+    names = sorted({re.sub(r"\d+", "0", c).replace(">", "") for c in classes.split()})
     return ".".join([tag, *names])
 
 
+class _Open:
+    """Open elements, with how many there are of each tag: a tag that is not open is known without looking through them."""
+
+    def __init__(self, root: Node):
+        self.nodes, self.of = [root], Counter()
+
+    def push(self, node: Node) -> None:
+        self.nodes.append(node)
+        self.of[node.tag] += 1
+
+    def cut(self, k: int) -> None:
+        for node in self.nodes[k:]:
+            self.of[node.tag] -= 1
+        del self.nodes[k:]
+
+    def end(self, tags: frozenset | set, stops: frozenset | set) -> None:
+        """End the innermost element of these tags and all within it, unless one of stops is further in."""
+        if not any(self.of[t] for t in tags):
+            return
+        for k in range(len(self.nodes) - 1, 0, -1):
+            if self.nodes[k].tag in tags:
+                self.cut(k)
+                return
+            if self.nodes[k].tag in stops:
+                return
+
+
 def read_page(html: str) -> tuple[list[tuple[Node, str]], list[Node]]:
     """Blocks of text in page order, each with the node that holds it, and the containers."""
-    root = Node("body", "body", None, False, False)
-    stack, containers = [root], [root]
+    root = Node("body", "body", None, 0, False, False, False)
+    nodes, containers = [root], [root]
+    opened = _Open(root)
     blocks: list[tuple[Node, str]] = []
     text: list[str] = []
-    holder = root
+    linked: Counter = Counter()
+    holder, filled = root, False
 
     def flush() -> None:
-        nonlocal holder
+        nonlocal filled
         if text:
             words = " ".join(unescape("".join(text)).split())
             text.clear()
             if words:
                 blocks.append((holder, words))
+        filled = False
 
     def put(data: str) -> None:
-        nonlocal holder
-        top = stack[-1]
+        nonlocal holder, filled
+        top = opened.nodes[-1]
         if data and not top.never:
-            if not text or not any(t.strip() for t in text):
-                holder = _block_of(top)
+            if not filled:
+                holder = top.holder
+                filled = bool(data.strip())
             text.append(data)
             if top.link:
-                linked[id(holder)] = linked.get(id(holder), 0) + len(data)
+                linked[holder.at] += len(data)
 
-    linked: dict[int, int] = {}
     at, n = 0, len(html)
     while at < n:
         m = PIECE.search(html, at)
@@ -103,26 +180,25 @@ def read_page(html: str) -> tuple[list[tuple[Node, str]], list[Node]]:
             if m["cdata"]:
                 put(m["cdata"].replace("&", "&amp;"))
             continue
-        if not m["close"]:
-            break  # an unfinished tag at the end
+        rest = m["rest"]
+        if rest is None:  # a quote that is never closed: the tag ends at the first >
+            if not m["close"]:
+                break  # an unfinished tag at the end
+            rest = m["open"]
         tag = tag.lower()
         if m["end"]:
             if tag in BLOCK:
                 flush()
-            if tag == "p" or tag not in VOID:
-                for k in range(len(stack) - 1, 0, -1):
-                    if stack[k].tag == tag:
-                        del stack[k:]
-                        break
-                    if stack[k].tag in CONTAINER and tag not in BLOCK:
-                        break
+            opened.end({tag}, frozenset() if tag in BLOCK else CONTAINER)
             continue
         if tag in RAW:
-            if not m["rest"].endswith("/"):
-                stop = re.compile(rf"</{tag}\b[^>]*>", re.I).search(html, at)
+            if not rest.endswith("/"):
+                stop = _raw_end(tag).search(html, at)
                 at = stop.end() if stop else n
             put(" ")
             continue
+        if tag in ("html", "body") or (tag in BLOCK and opened.of["head"]):
+            opened.end({"head"}, frozenset())  # its end tag may be left out
         if tag in ("html", "body"):
             flush()
             continue
@@ -132,85 +208,68 @@ def read_page(html: str) -> tuple[list[tuple[Node, str]], list[Node]]:
         if tag in BLOCK:
             flush()
             if tag in ENDS_P:
-                _end(stack, {"p"}, CONTAINER | {"li", "td", "th", "blockquote"})
+                opened.end({"p"}, CONTAINER | {"li", "td", "th", "blockquote"})
             if tag in SELF_ENDING:
-                _end(stack, SELF_ENDING[tag], STOPS[tag])
-        elif tag in ("td", "th", "img", "input"):
+                opened.end(SELF_ENDING[tag], STOPS[tag])
+        elif tag in ("img", "input"):
             put(" ")
         if tag in VOID:
             continue
-        top = stack[-1]
-        named = {a.lower(): v.strip("\"'") for a, v in ATTRIBUTE.findall(m["rest"])} if "=" in m["rest"] else {}
+        top = opened.nodes[-1]
+        named = {a.lower(): v.strip("\"'") for a, v in ATTRIBUTE.findall(rest)} if "=" in rest else {}
         classes = unescape(named.get("class", ""))
-        label = f"{classes} {named.get('id', '')} {named.get('role', '')}"
-        in_article = any(x.tag in ("article", "main") for x in stack)
-        never = top.never or tag in NEVER or (tag == "header" and not in_article) or "hidden" in named or (tag not in ("article", "main", "p") and not re.fullmatch(r"h[1-6]", tag) and bool(BOILERPLATE.search(label)))
-        never = never or (in_article and tag == "article" and bool(BOILERPLATE.search(label)))
-        path = f"{top.path}>{_step(tag, classes)}" if tag in BLOCK else top.path
-        node = Node(tag, path, top, never, top.link or tag == "a")
-        if not m["rest"].endswith("/"):
-            stack.append(node)
+        never = top.never or tag in NEVER or (tag == "header" and not top.article) or "hidden" in named
+        if not never and named and tag not in ("main", "p", "h1", "h2", "h3", "h4", "h5", "h6") and (tag != "article" or top.article):
+            never = is_boilerplate(f"{classes} {named.get('id', '')} {named.get('role', '')}")
+        node = Node(tag, _step(tag, classes) if tag in BLOCK else tag, top, len(nodes), never, top.link or tag == "a", top.article or tag in ("article", "main"))
+        nodes.append(node)
+        if not rest.endswith("/"):
+            opened.push(node)
         if tag in CONTAINER and not never:
             containers.append(node)
     flush()
     for node, words in blocks:
-        worth = max(0, len(words) - linked.get(id(node), 0)) if id(node) in linked else len(words)
-        up: Node | None = node
-        while up is not None:
-            up.size += worth
-            up = up.parent
+        node.size += max(0, len(words) - linked[node.at])
+    for node in reversed(nodes[1:]):
+        node.parent.size += node.size
+        node.parent.last = max(node.parent.last, node.last)
     return blocks, containers
 
 
-def _block_of(node: Node) -> Node:
-    while node.parent is not None and node.tag not in BLOCK:
-        node = node.parent
-    return node
-
-
-def _end(stack: list[Node], tags: set, stops: frozenset | set) -> None:
-    for k in range(len(stack) - 1, 0, -1):
-        if stack[k].tag in tags:
-            del stack[k:]
-            return
-        if stack[k].tag in stops:
-            return
+@lru_cache(64)
+def _raw_end(tag: str) -> re.Pattern:
+    return re.compile(rf"</{tag}\b[^>]*>", re.I)
 
 
 def best_container(containers: list[Node]) -> Node:
-    """The deepest container with nearly all of the page's text; at equal text the outermost article."""
+    """The deepest container with nearly all of the page's text, but none within an article that holds it. Of two containers that both hold it one is
+    within the other, so there are no ties.
+    """
     best = containers[0]
     need = NEARLY * best.size
     for c in containers[1:]:
-        if c.size >= need and c.size > 0 and _within(c, best) and not (best.tag in ("article", "main") and c.size <= best.size and best.tag == "article"):
+        if c.size >= need and c.size > 0 and _within(c, best) and best.tag != "article":
             best = c
     return best
 
 
 def _within(node: Node, other: Node) -> bool:
-    up = node.parent
-    while up is not None:
-        if up is other:
-            return True
-        up = up.parent
-    return False
+    return other.at < node.at <= other.last
 
 
 def text_of(html: str | None, paths: list[str] = ()) -> tuple[str, str]:
-    """The main text, and the path of the container it is from."""
+    """The main text, and the path of the container it is from. Of several containers of one path that with most text is taken, the first of equal ones."""
     if not html:
         return "", ""
     blocks, containers = read_page(html)
-    own = best_container(containers)
     chosen = None
     for path in paths:
-        found = [c for c in containers if c.path == path]
+        chain = _chain(path)
+        found = [c for c in containers if c.chain == chain and c.size > 0]
         if found:
             chosen = max(found, key=lambda c: c.size)
-            if chosen.size > 0:
-                break
-            chosen = None
-    chosen = chosen or own
+            break
+    chosen = chosen or best_container(containers)
     return "\n".join(words for node, words in blocks if node is chosen or _within(node, chosen)), chosen.path
 
 

@@ -3,6 +3,7 @@ import gzip
 import hashlib
 import io
 import random
+import time
 
 import numpy as np
 import pyarrow as pa
@@ -203,3 +204,27 @@ def test_graph_search_of_separated_clusters(spark, clusters, noise):
     recall = sum(len(found[q] & set(order[q].tolist())) for q in found) / (20 * len(found))
     assert recall >= 0.95, recall
     assert max(r["n_scored"] for r in got) < n
+
+
+@pytest.mark.parametrize(
+    ("html", "text"),
+    [
+        ('<article><p>before</p><math><mi>x</mi></math><div class="legal-analysis">kept one</div><div class="search-results">kept two</div></article>', "before\nx\nkept one\nkept two"),
+        ('<div class="site-footer">gone</div><article><p>text</p><div class="comment-list">gone</div><div class="shareButtons">gone</div></article>', "text"),
+        ('<p title="x>hello</p><p>world</p>', "hello\nworld"),
+        ("<p>one</p><a href='x", "one"),
+        ("<html><head><title>t</title><meta charset=utf-8><body><p>all of it</p>", "all of it"),
+        ("<head><title>t</title><p>all of it</p>", "all of it"),
+    ],
+)
+def test_text_that_stays_and_mark_up_that_goes(html, text):
+    assert html_extract.text_of(html)[0] == text
+
+
+def test_deep_pages_take_time_in_proportion():
+    took = []
+    for n in (12_500, 50_000):
+        began = time.process_time()
+        assert html_extract.text_of("<div class=a><span>" * n + "deep" + "</nope>" * 50)[0] == "deep"
+        took.append(time.process_time() - began)
+    assert took[1] < 12 * max(took[0], 0.05)
