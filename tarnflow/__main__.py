@@ -45,19 +45,12 @@ class App:
         self.signature = self.config.signature(files.default_registry().signatures())
 
     def ingest(self, path: str) -> DataFrame:
-        return ingest(self.spark, path, self.store, self.config)
+        return ingest(self.spark, path, self.store, self.config, self.artifacts)
 
     def states(self) -> DataFrame:
-        """Listing with status, after a look at every source file."""
-        listing = index.documents(self.read())
-        paths = [r["source_path"] for r in listing.select("source_path").limit(100_000).collect()]
-        found = [p for p in paths if self._exists(p)]
-        sources = self.spark.read.format("binaryFile").load(found).select(F.col("path").alias("source_path"), F.sha2("content", 256).alias("content_hash")) if found else self.spark.createDataFrame([], "source_path string, content_hash string")
-        return index.status(listing, sources, self.signature)
-
-    def _exists(self, path: str) -> bool:
-        p = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-        return p.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).exists(p)
+        """Listing with status, after a look at every source file by the tasks."""
+        listing = index.documents(self.read(), self.store.pending())
+        return index.status(listing, files.hashes(listing.select("source_path").where("source_path is not null")), self.signature)
 
     def read(self) -> DataFrame:
         rows = self.store.read()

@@ -27,7 +27,7 @@ class Chunking:
     min_chars: int = 120
 
     def __post_init__(self) -> None:
-        _require(self.max_chars > 0, "max_chars must be positive")
+        _require(self.max_chars >= 100, "max_chars must be 100 or more")
         _require(0 <= self.overlap_chars < self.max_chars, "overlap_chars must be from 0 to below max_chars")
         _require(0 <= self.min_chars <= self.max_chars, "min_chars must be from 0 to max_chars")
 
@@ -39,7 +39,8 @@ class Refinement:
     batch: int = 12
 
     def __post_init__(self) -> None:
-        _require(min(self.strip_max_chars, self.strip_max_sentences, self.batch) > 0, "limits of refinement must be positive")
+        _require(self.strip_max_chars >= 80, "strip_max_chars must be 80 or more")
+        _require(min(self.strip_max_sentences, self.batch) > 0, "limits of refinement must be positive")
 
 
 @dataclass(frozen=True)

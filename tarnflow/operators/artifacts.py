@@ -6,6 +6,10 @@ processed artifacts by document and a digest of all they hold. Both are Parquet,
 
 from __future__ import annotations
 
+import re
+import time
+import uuid
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -55,8 +59,8 @@ class ArtifactStore:
         return self.spark.read.parquet(f"{self.folder}/{name}") if self._fs.exists(self._path(f"{self.folder}/{name}")) else None
 
     def _append(self, rows: DataFrame, name: str, key: list[str]) -> None:
-        held = self._table(name)
-        new = rows.dropDuplicates(key)
+        held = self._live(name)
+        new = rows.dropDuplicates(key).withColumn("stored_at", F.lit(time.time_ns()))
         (new.join(held.select(*key).distinct(), key, "left_anti") if held is not None else new).write.mode("append").parquet(f"{self.folder}/{name}")
 
     def store_raw(self, files: DataFrame) -> None:
@@ -68,14 +72,18 @@ class ArtifactStore:
         self._append(artifacts, "processed", ["document_id", "revision"])
 
     def delete(self, document_ids: list[str]) -> None:
-        """Forget documents: their ids go to a table of deletions, which readers leave out; source files are never touched."""
+        """Forget what is stored of documents until now: their ids go to a table of deletions; what is stored later is seen again. Source files are never touched."""
         if any(len(x) != 24 or set(x) - set("0123456789abcdef") for x in document_ids):
             raise ValueError("not a document id")
-        self.spark.createDataFrame([(x,) for x in document_ids], "document_id string").write.mode("append").parquet(f"{self.folder}/deleted")
+        rows = [(x, time.time_ns()) for x in document_ids]
+        self.spark.createDataFrame(rows, "document_id string, deleted_at long").write.mode("append").parquet(f"{self.folder}/deleted")
 
     def _live(self, name: str) -> DataFrame | None:
         rows, gone = self._table(name), self._table("deleted")
-        return rows if rows is None or gone is None else rows.join(gone, "document_id", "left_anti")
+        if rows is None or gone is None:
+            return rows
+        last = gone.groupBy("document_id").agg(F.max("deleted_at").alias("deleted_at"))
+        return rows.join(last, "document_id", "left").where(F.col("deleted_at").isNull() | (F.col("stored_at") > F.col("deleted_at"))).drop("deleted_at")
 
     def raw(self) -> DataFrame | None:
         """document_id, content_hash, extension, content, sha256 (of the content as it now is)."""
@@ -96,6 +104,57 @@ class ArtifactStore:
         return bytes(found[0]["content"])
 
 
+class UploadStore:
+    """Uploaded files, each in a folder of its own right below the root, so that managed_upload() knows them. write() is for one file as it arrives."""
+
+    def __init__(self, spark: SparkSession, root: str, config: Ingestion = Ingestion()):
+        self.spark, self.root, self.config = spark, root.rstrip("/"), config
+        self._path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path
+        self._fs = self._path(self.root).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+
+    def _checked(self, name: str, content: bytes) -> None:
+        row = self.spark.range(1).select(valid_upload(F.lit(name), F.lit(len(content)), self.config).alias("ok")).first()
+        if not row["ok"]:
+            raise ValueError("the upload's name, type or size is not allowed")
+
+    def _put(self, path: str, content: bytes) -> None:
+        """Whole or not at all: written beside its place, then renamed."""
+        part = f"{path}.{uuid.uuid4().hex}.part"
+        out = self._fs.create(self._path(part), True)
+        try:
+            out.write(bytearray(content))
+        finally:
+            out.close()
+        self._fs.delete(self._path(path), False)
+        if not self._fs.rename(self._path(part), self._path(path)):
+            self._fs.delete(self._path(part), False)
+            raise OSError("the upload could not be put in its place")
+
+    def write(self, name: str, content: bytes) -> str:
+        """The path of a new upload."""
+        self._checked(name, content)
+        path = f"{self.root}/{uuid.uuid4().hex}/{name}"
+        self._fs.mkdirs(self._path(path).getParent())
+        self._put(path, content)
+        return path
+
+    def _managed(self, path: str) -> None:
+        rest = path.removeprefix(self.root + "/").split("/")
+        if not path.startswith(self.root + "/") or len(rest) != 2 or not re.fullmatch(UPLOAD_FOLDER, rest[0]) or not self._fs.exists(self._path(path)):
+            raise ValueError("not an upload of this store")
+
+    def replace(self, path: str, content: bytes) -> None:
+        """New content for an upload; its name and document id stay. The old content stays if the new one is not allowed."""
+        self._managed(path)
+        self._checked(path.rpartition("/")[2], content)
+        self._put(path, content)
+
+    def delete(self, path: str) -> None:
+        """Remove an upload with its folder. Files outside the store are never touched."""
+        self._managed(path)
+        self._fs.delete(self._path(path).getParent(), True)
+
+
 def run_rows(questions: DataFrame, actions: DataFrame, contexts: DataFrame, answers: DataFrame, run: str, query: str = "query_id") -> DataFrame:
     """One row per question of a run, complete or not: run_id, question, action, context status, answer status and text, answer_pending."""
     rows = questions.select(query, F.col("text").alias("question")).join(actions.select(query, "action"), query, "left")

@@ -2,7 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+import json
+import re
+import time
+import uuid
+
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 TITLE = 72
@@ -61,3 +66,93 @@ def titles(messages: DataFrame) -> DataFrame:
     """session_id, title: the first question of each session, white space collapsed, cut."""
     asked = messages.where("role = 'user'").groupBy("session_id").agg(F.min_by("text", "message_id").alias("t"))
     return asked.select("session_id", F.substring(collapsed(F.col("t")), 1, TITLE).alias("title"))
+
+
+#: Title of a session without messages, and the text of a run without an answer.
+NEW_TITLE = "Cuộc trò chuyện mới"
+NO_ANSWER = "Lượt chạy chưa tạo được câu trả lời."
+SESSION_ID = re.compile(r"[0-9a-f]{32}")
+EVENTS = "session_id string, kind string, title string, question string, answer string, run_id string, result_json string, at long"
+
+
+class ChatStore:
+    """Sessions and messages as a log of events below a folder, appended and never rewritten; tables are what the log comes to.
+
+    A session is there from its create to its delete. Its title is the last rename's, or else its first question's, or else NEW_TITLE.
+    """
+
+    def __init__(self, spark: SparkSession, folder: str):
+        self.spark, self.folder = spark, folder.rstrip("/")
+        path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(self.folder)
+        self._exists = lambda: path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(path)
+
+    def _events(self) -> DataFrame:
+        rows = self.spark.read.schema(EVENTS).parquet(self.folder) if self._exists() else self.spark.createDataFrame([], EVENTS)
+        gone = rows.where("kind = 'delete'").select("session_id").distinct()
+        return rows.join(gone, "session_id", "left_anti")
+
+    def _put(self, session_id: str, kind: str, **values: str) -> None:
+        row = {"session_id": session_id, "kind": kind, "at": time.time_ns() // 1000} | values
+        self.spark.createDataFrame([row], EVENTS).coalesce(1).write.mode("append").parquet(self.folder)
+
+    def _known(self, session_id: str) -> None:
+        if not isinstance(session_id, str) or not SESSION_ID.fullmatch(session_id):
+            raise ValueError("not a session id")
+        if self._events().where((F.col("session_id") == session_id) & (F.col("kind") == "create")).isEmpty():
+            raise KeyError("no such session")
+
+    def create(self) -> str:
+        session_id = uuid.uuid4().hex
+        self._put(session_id, "create", title=NEW_TITLE)
+        return session_id
+
+    def rename(self, session_id: str, title: str) -> None:
+        name = " ".join(title.split()) if isinstance(title, str) else ""
+        if not 1 <= len(name) <= 100:
+            raise ValueError("a title has 1 to 100 characters")
+        self._known(session_id)
+        self._put(session_id, "rename", title=name)
+
+    def delete(self, session_id: str) -> None:
+        self._known(session_id)
+        self._put(session_id, "delete")
+
+    def append(self, session_id: str, question: str, run_id: str, answer: str | None, result_json: str) -> None:
+        """A question and the run that answered it, as two messages that appear together."""
+        if not isinstance(question, str) or not question.strip() or not isinstance(run_id, str) or not SESSION_ID.fullmatch(run_id):
+            raise ValueError("an exchange has a question and a finished run")
+        json.loads(result_json)
+        self._known(session_id)
+        self._put(session_id, "exchange", question=question.strip(), answer=NO_ANSWER if answer is None else answer, run_id=run_id, result_json=result_json)
+
+    def messages(self) -> DataFrame:
+        """message_id, session_id, role, text, run_id, result_json, created_at; a question comes before its answer."""
+        rows = self._events().where("kind = 'exchange'")
+        none = F.lit(None).cast("string")
+        asked = rows.select((F.col("at") * 2).alias("message_id"), "session_id", F.lit("user").alias("role"), F.col("question").alias("text"), none.alias("run_id"), none.alias("result_json"), "at")
+        told = rows.select((F.col("at") * 2 + 1).alias("message_id"), "session_id", F.lit("assistant").alias("role"), F.col("answer").alias("text"), "run_id", "result_json", "at")
+        return asked.unionByName(told).withColumn("created_at", F.timestamp_micros("at")).drop("at")
+
+    def sessions(self) -> DataFrame:
+        """session_id, title, title_custom, created_at, updated_at, turn_count; the last changed first."""
+        e = self._events()
+        last = lambda column, kind: F.max_by(F.when(F.col("kind") == kind, F.col(column)), F.when(F.col("kind") == kind, F.col("at")))
+        first = F.min_by(F.when(F.col("kind") == "exchange", F.col("question")), F.when(F.col("kind") == "exchange", F.col("at")))
+        rows = e.groupBy("session_id").agg(
+            last("title", "rename").alias("_own"),
+            F.substring(collapsed(first), 1, TITLE).alias("_first"),
+            F.timestamp_micros(F.min("at")).alias("created_at"),
+            F.timestamp_micros(F.max("at")).alias("updated_at"),
+            F.count_if(F.col("kind") == "exchange").alias("turn_count"),
+            F.bool_or(F.col("kind") == "create").alias("_made"),
+        )
+        out = rows.where("_made").select("session_id", F.coalesce("_own", "_first", F.lit(NEW_TITLE)).alias("title"), F.col("_own").isNotNull().alias("title_custom"), "created_at", "updated_at", "turn_count")
+        return out.orderBy(F.desc("updated_at"), F.desc("session_id"))
+
+    def get(self, session_id: str) -> dict:
+        """A session with its messages in order, results as they were given."""
+        self._known(session_id)
+        head = self.sessions().where(F.col("session_id") == session_id).first().asDict()
+        rows = self.messages().where(F.col("session_id") == session_id).orderBy("message_id").collect()
+        messages = [r.asDict() | {"result": json.loads(r["result_json"]) if r["result_json"] else None} for r in rows]
+        return head | {"messages": [{k: v for k, v in m.items() if k not in ("result_json", "session_id")} for m in messages]}

@@ -8,7 +8,7 @@ from __future__ import annotations
 import math
 
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..config import Answer, Context
@@ -18,6 +18,10 @@ from ..functions.text import corrupted, nfc, reverses_negation
 NO_EVIDENCE, READY, PARTIAL = "no_evidence", "ready", "partial"
 ANSWERED, ABSTAINED, INSUFFICIENT = "answered", "model_abstained", "insufficient_evidence"
 CORRUPTED, POLARITY, NOTHING = "corrupted_unicode", "citation_polarity_conflict", "abstained_with_ready_context"
+#: What is said of an answer that cannot be given, or in part only.
+NO_ANSWER_TEXT = "Không đủ bằng chứng đã kiểm chứng để trả lời câu hỏi."
+ABSTAINED_TEXT = "Mô hình chưa tạo được câu trả lời có trích dẫn từ các bằng chứng đã chọn. Điều này không có nghĩa là tài liệu không chứa câu trả lời."
+PARTIAL_NOTICE = "Bằng chứng hiện chưa đầy đủ; câu trả lời chỉ dựa trên các nguồn đã thu thập được."
 QUOTA = "near-duplicate strips leave a source's quota unmet"
 
 
@@ -172,11 +176,41 @@ def retry_reason(claims: DataFrame, contexts_: DataFrame, evidence: DataFrame, q
     return both.select(query, why.alias("retry"))
 
 
-def answers(contexts_: DataFrame, claims: DataFrame, evidence: DataFrame, notice: str = "Partial evidence.", query: str = "query_id") -> DataFrame:
+def _in_order(markers: Column) -> Column:
+    """Markers by their number, which is the order of the context."""
+    number = lambda m: F.coalesce(F.regexp_extract(m, r"(\d+)", 1).try_cast("int"), F.lit(0))
+    return F.transform(F.array_sort(F.transform(markers, lambda m: F.struct(number(m).alias("n"), m.alias("m")))), lambda x: x["m"])
+
+
+def conflicts(responses: DataFrame, claims: DataFrame, query: str = "query_id") -> DataFrame:
+    """responses: query, answerable. Queries whose response says it has an answer and brings no claims, or the other way round."""
+    n = claims.groupBy(query).agg(F.count("*").alias("_n"))
+    both = responses.join(n, query, "left")
+    return both.where(F.col("answerable").isNull() | (F.col("answerable") != (F.coalesce("_n", F.lit(0)) > 0))).select(query)
+
+
+def answer_rounds(contexts_: DataFrame, first: DataFrame, second: DataFrame, evidence: DataFrame, notice: str = PARTIAL_NOTICE, query: str = "query_id") -> DataFrame:
+    """answers() after at most two attempts, with attempts, retry (why there was a second) and problem.
+
+    first, second: claims of the two attempts (query, claim_no, text, refs); second counts only for queries that retry_reason() asks again. A second
+    attempt that is corrupted still is an error: its problem is "corrupted_unicode" and its text is empty. Refusals have their fixed texts.
+    """
+    why = retry_reason(first, contexts_, evidence, query).where(F.col("retry").isNotNull())
+    asked = contexts_.where(F.col("status") != NO_EVIDENCE).select(query)
+    why = why.join(asked, query, "left_semi")
+    used = first.join(why.select(query), query, "left_anti").unionByName(second.join(why.select(query), query, "left_semi").select(*first.columns))
+    bad = second.join(why.select(query), query, "left_semi").groupBy(query).agg(F.bool_or(corrupted(F.col("text"))).alias("_bad"))
+    out = answers(contexts_, used, evidence, notice, query).join(why, query, "left").join(bad, query, "left")
+    wrong = F.coalesce("_bad", F.lit(False))
+    text = F.when(wrong, F.lit("")).when(F.col("status") == ABSTAINED, F.lit(ABSTAINED_TEXT)).when(F.col("status") == INSUFFICIENT, F.lit(NO_ANSWER_TEXT)).otherwise(F.col("text"))
+    return out.select(query, "status", text.alias("text"), "used", F.when(F.col("retry").isNull(), 1).otherwise(2).alias("attempts"), "retry", F.when(wrong, F.lit(CORRUPTED)).alias("problem"))
+
+
+def answers(contexts_: DataFrame, claims: DataFrame, evidence: DataFrame, notice: str = PARTIAL_NOTICE, query: str = "query_id") -> DataFrame:
     """query, status, text, used: claims that no cited strip contradicts, a line each with its markers; partial contexts begin with a notice."""
     good = claims.join(unsupported(claims, evidence, query), [query, "claim_no"], "left_anti")
     line = F.concat_ws(" ", "text", F.array_join("refs", " "))
-    rows = good.groupBy(query).agg(F.array_sort(F.collect_list(F.struct("claim_no", line.alias("line")))).alias("lines"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("refs")))).alias("used"))
+    rows = good.groupBy(query).agg(F.array_sort(F.collect_list(F.struct("claim_no", line.alias("line")))).alias("lines"), _in_order(F.array_distinct(F.flatten(F.collect_list("refs")))).alias("used"))
     both = contexts_.select(query, "status").join(rows, query, "left")
     status = (
         F.when(F.col("status") == NO_EVIDENCE, INSUFFICIENT)

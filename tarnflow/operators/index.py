@@ -39,16 +39,17 @@ def stale(index: DataFrame, new: DataFrame) -> DataFrame:
 
 def refused(new: DataFrame, dimensions: int) -> DataFrame:
     """Why documents may not replace what stands: ordinals with gaps or repeats, repeated ids, bad vectors. Empty if they may."""
-    dense = F.coalesce((F.size("dense") == dimensions) & F.forall("dense", lambda x: ~F.isnan(x)) & F.exists("dense", lambda x: x != 0), F.lit(False))
+    dense = F.coalesce((F.size("dense") == dimensions) & F.forall("dense", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))) & F.exists("dense", lambda x: x != 0), F.lit(False))
+    sparse = F.coalesce(~bad_sparse(F.col("lexical")), F.lit(False)) if "lexical" in new.columns else F.lit(True)
     per = new.groupBy("document_id").agg(
-        F.count("*").alias("n"), F.countDistinct("ordinal").alias("ordinals"), F.min("ordinal").alias("low"), F.max("ordinal").alias("high"), F.countDistinct("chunk_id").alias("ids"), F.every(dense).alias("dense")
+        F.count("*").alias("n"), F.countDistinct("ordinal").alias("ordinals"), F.min("ordinal").alias("low"), F.max("ordinal").alias("high"), F.countDistinct("chunk_id").alias("ids"), F.every(dense).alias("dense"), F.every(sparse).alias("sparse")
     )
-    problem = F.when((F.col("ordinals") != F.col("n")) | (F.col("low") != 0) | (F.col("high") != F.col("n") - 1), "ordinals").when(F.col("ids") != F.col("n"), "chunk ids").when(~F.col("dense"), "vectors")
+    problem = F.when((F.col("ordinals") != F.col("n")) | (F.col("low") != 0) | (F.col("high") != F.col("n") - 1), "ordinals").when(F.col("ids") != F.col("n"), "chunk ids").when(~F.col("dense"), "vectors").when(~F.col("sparse"), "sparse vectors")
     return per.select("document_id", problem.alias("problem")).where("problem is not null")
 
 
 def documents(index: DataFrame, pending: DataFrame | None = None) -> DataFrame:
-    """A row per document, in order of document_id: its columns, n_chunks, and index_incomplete: rows missing, ordinals not 0 to n - 1, columns that differ,
+    """A row per document: its columns, n_chunks, ordinal_gap, and index_incomplete: rows missing, ordinals not 0 to n - 1, columns that differ,
     or an update under way (pending: document_id).
     """
     per = index.groupBy("document_id").agg(
@@ -61,11 +62,12 @@ def documents(index: DataFrame, pending: DataFrame | None = None) -> DataFrame:
     )
     n = F.col("n_chunks")
     broken = (n != F.col("chunk_count")) | (F.col("_ordinals") != n) | (F.col("_low") != 0) | (F.col("_high") != n - 1) | (F.col("_kinds") != 1)
-    out = per.withColumn("index_incomplete", F.coalesce(broken, F.lit(True)))
+    gap = (F.col("_ordinals") != n) | (F.col("_low") != 0) | (F.col("_high") != n - 1)
+    out = per.withColumn("index_incomplete", F.coalesce(broken, F.lit(True))).withColumn("ordinal_gap", F.coalesce(gap, F.lit(True)))
     if pending is not None:
         marks = pending.select("document_id").distinct().withColumn("_pending", F.lit(True))
         out = out.join(marks, "document_id", "full").withColumn("index_incomplete", F.coalesce("_pending", F.lit(False)) | F.coalesce("index_incomplete", F.lit(True)))
-    return out.select("document_id", *DOCUMENT, "n_chunks", "index_incomplete").orderBy("document_id")
+    return out.select("document_id", *DOCUMENT, "n_chunks", "index_incomplete", "ordinal_gap")
 
 
 def status(listing: DataFrame, sources: DataFrame, signature: str) -> DataFrame:
@@ -98,40 +100,50 @@ def to_ingest(files: DataFrame, listing: DataFrame, signature: str) -> DataFrame
 
 
 def issues(index: DataFrame, dimensions: int, pending: DataFrame | None = None, declared_points: int | None = None, distance: str = "Cosine") -> DataFrame:
-    """severity, code, document_id, chunk_id of all that is wrong with an index. Each check is a branch of one union; nothing is collected."""
-
-    def found(rows: DataFrame, code: str, severity: str = "error") -> DataFrame:
-        chunk = F.col("chunk_id").cast("string") if "chunk_id" in rows.columns else F.lit(None).cast("string")
-        return rows.select(F.lit(severity).alias("severity"), F.lit(code).alias("code"), F.col("document_id").cast("string").alias("document_id"), chunk.alias("chunk_id"))
-
-    spark = index.sparkSession
-    none = spark.range(1).select(F.lit(None).cast("string").alias("document_id"))
+    """severity, code, document_id, chunk_id of all that is wrong with an index. Rows are read once for their own codes and once for those of documents."""
+    columns = set(index.columns)
+    no_chunk = F.lit(None).cast("string").alias("chunk_id")
+
+    def coded(rows: DataFrame, codes: list[tuple], chunk) -> DataFrame:
+        each = F.explode(F.array_compact(F.array(*(F.when(F.coalesce(wrong, F.lit(False)), F.struct(F.lit(severity).alias("severity"), F.lit(code).alias("code"))) for wrong, code, severity in codes))))
+        return rows.select(each.alias("_c"), F.col("document_id").cast("string").alias("document_id"), chunk).select("_c.severity", "_c.code", "document_id", "chunk_id")
+
+    own = [(F.col("char_count") != F.length("text"), "char_count", "error")]
+    if "dense" in columns:
+        size = F.coalesce(F.size("dense"), F.lit(-1))
+        own += [(size != dimensions, "vector_dimensions", "error"), ((size == dimensions) & ~norm(F.col("dense")).between(0.98, 1.02), "vector_norm", "error")]
+    if "lexical" in columns:
+        own += [(F.col("lexical").isNull(), "sparse_vector_missing", "error"), (bad_sparse(F.col("lexical")), "sparse_vector_invalid", "error")]
+    if "pages" in columns:
+        own += [(F.col("pages").isNull() | F.exists("pages", lambda p: p.isNull() | (p < 1)), "invalid_payload", "error"), (F.lower("source_path").endswith(".pdf") & (F.size("pages") == 0), "pdf_page_missing", "warning")]
     listing = documents(index, pending)
-    out = [
-        found(listing.where("index_incomplete"), "incomplete_update"),
-        found(listing.where("chunk_count <> n_chunks"), "chunk_count_mismatch"),
-        found(index.where(F.coalesce(F.size("dense"), F.lit(-1)) != dimensions), "vector_dimensions"),
-        found(index.where((F.size("dense") == dimensions) & ~norm(F.col("dense")).between(0.98, 1.02)), "vector_norm"),
-        found(index.where("lexical is null"), "sparse_vector_missing"),
-        found(index.where(F.col("lexical").isNotNull() & bad_sparse(F.col("lexical"))), "sparse_vector_invalid"),
-        found(index.where("char_count <> length(text)"), "char_count"),
-        found(index.groupBy("document_id").agg(F.count("*").alias("n"), F.countDistinct("ordinal").alias("d"), F.min("ordinal").alias("a"), F.max("ordinal").alias("z")).where("d <> n or a <> 0 or z <> n - 1"), "ordinal_gap"),
-    ]
-    if "pages" in index.columns:
-        wrong = F.exists("pages", lambda p: p.isNull() | (p < 1))
-        out.append(found(index.where(F.col("pages").isNull() | wrong), "invalid_payload"))
-        out.append(found(index.where(F.lower("source_path").endswith(".pdf") & (F.size("pages") == 0)), "pdf_page_missing", "warning"))
+    per = [(F.col("index_incomplete"), "incomplete_update", "error"), (F.col("chunk_count") != F.col("n_chunks"), "chunk_count_mismatch", "error"), (F.col("ordinal_gap"), "ordinal_gap", "error")]
+    out = coded(index, own, F.col("chunk_id").cast("string").alias("chunk_id")).unionByName(coded(listing, per, no_chunk))
+    whole = []
     if distance != "Cosine":
-        out.append(found(none, "distance"))
-    if not {"dense", "lexical"} <= set(index.columns):
-        out.append(found(none, "hybrid_schema"))
+        whole.append("distance")
+    if not {"dense", "lexical"} <= columns:
+        whole.append("hybrid_schema")
+    one = index.sparkSession.range(1).select(F.lit(None).cast("string").alias("document_id"))
+    if whole:
+        out = out.unionByName(coded(one, [(F.lit(True), code, "error") for code in whole], no_chunk))
     if declared_points is not None:
-        total = index.agg(F.count("*").alias("n")).where(F.col("n") != declared_points)
-        out.append(found(total.select(F.lit(None).cast("string").alias("document_id")), "point_count"))
-    every = out[0]
-    for more in out[1:]:
-        every = every.unionByName(more)
-    return every
+        wrong = index.agg(F.count("*").alias("n")).where(F.col("n") != declared_points).select(F.lit(None).cast("string").alias("document_id"))
+        out = out.unionByName(coded(wrong, [(F.lit(True), "point_count", "error")], no_chunk))
+    return out
+
+
+def schema_report(index: DataFrame, dimensions: int, distance: str = "Cosine") -> dict:
+    """What a collection is: its columns, the lengths of its dense vectors with their rows, and whether it can be searched by both vectors.
+
+    status is ready, empty, or why not: hybrid_schema (a vector column is missing) or collection_dimensions (a length other than declared).
+    """
+    columns = set(index.columns)
+    if not {"dense", "lexical"} <= columns:
+        return {"status": "hybrid_schema", "hybrid": False, "distance": distance, "dimensions": {}, "points": index.count()}
+    sizes = {r["n"]: r["rows"] for r in index.groupBy(F.coalesce(F.size("dense"), F.lit(-1)).alias("n")).agg(F.count("*").alias("rows")).collect()}
+    state = "empty" if not sizes else "ready" if set(sizes) == {dimensions} and distance == "Cosine" else "distance" if distance != "Cosine" else "collection_dimensions"
+    return {"status": state, "hybrid": True, "distance": distance, "dimensions": sizes, "points": sum(sizes.values())}
 
 
 def artifact_issues(listing: DataFrame, raw: DataFrame, processed: DataFrame) -> DataFrame:
@@ -161,65 +173,139 @@ def sorted_sparse(lexical: Column) -> Column:
     return F.struct(F.transform(entries, lambda e: e["key"]).alias("indices"), F.transform(entries, lambda e: e["value"]).alias("values"))
 
 
+BUCKETS = 64
+
+
 class IndexStore:
-    """An index in a folder of any store Spark writes to: versions as Parquet folders, and a manifest of which one holds.
+    """An index in a folder of any store Spark writes to: buckets of documents as Parquet folders, and a manifest of which folder holds each bucket.
 
-    A version is whole before the manifest names it, so a reader sees the old or the new index, never a part; a lost job leaves a version that
-    nothing names. The manifest is a Parquet folder per change; the one of the highest number holds.
+    A change writes the buckets it touches, whole, and then a manifest that names them beside the others, so its cost follows what it touches and
+    a reader sees the old or the new index, never a part. The manifest is a Parquet folder per change; the one of the highest number holds.
+    A marker names the documents of a change that is under way: one that a lost job leaves behind is what documents(pending=...) reports.
     """
 
-    def __init__(self, spark: SparkSession, folder: str):
-        self.spark, self.folder = spark, folder.rstrip("/")
+    def __init__(self, spark: SparkSession, folder: str, buckets: int = BUCKETS):
+        self.spark, self.folder, self.buckets = spark, folder.rstrip("/"), buckets
         jvm = spark.sparkContext._jvm
         self._path = jvm.org.apache.hadoop.fs.Path
         self._fs = self._path(self.folder).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
 
+    def _children(self, name: str) -> list:
+        place = self._path(f"{self.folder}/{name}")
+        return [x.getPath() for x in self._fs.listStatus(place)] if self._fs.exists(place) else []
+
     def _numbers(self) -> list[int]:
-        place = self._path(f"{self.folder}/manifest")
-        if not self._fs.exists(place):
-            return []
-        names = [x.getPath().getName() for x in self._fs.listStatus(place)]
+        names = [x.getName() for x in self._children("manifest")]
         return sorted(int(n) for n in names if n.isdigit() and self._fs.exists(self._path(f"{self.folder}/manifest/{n}/_SUCCESS")))
 
-    def version(self) -> str | None:
+    def version(self) -> int | None:
+        """The number of the last change."""
         numbers = self._numbers()
-        return self.spark.read.parquet(f"{self.folder}/manifest/{numbers[-1]}").first()["version"] if numbers else None
+        return numbers[-1] if numbers else None
+
+    def manifest(self) -> dict[int, str] | None:
+        """The folder of each bucket that has rows: `buckets` entries at most."""
+        number = self.version()
+        if number is None:
+            return None
+        return {r["bucket"]: r["version"] for r in self.spark.read.parquet(f"{self.folder}/manifest/{number}").where("bucket >= 0").collect()}
+
+    def _folder(self, bucket: int, version: str) -> str:
+        return f"{self.folder}/versions/{version}/bucket={bucket}"
+
+    def _read(self, held: dict[int, str]) -> DataFrame:
+        return self.spark.read.parquet(*(self._folder(b, v) for b, v in held.items()))
 
     def read(self) -> DataFrame | None:
-        version = self.version()
-        return self.spark.read.parquet(f"{self.folder}/versions/{version}") if version else None
+        """All rows; none where nothing was written or all was deleted."""
+        held = self.manifest()
+        return self._read(held) if held else None
 
-    def write(self, index: DataFrame) -> str:
-        """Make this the index. Rows are sorted by document within files, so one document's rows are few row groups."""
+    def _bucket(self) -> Column:
+        return F.pmod(F.xxhash64(F.col("document_id")), F.lit(self.buckets)).cast("int")
+
+    def _commit(self, rows: DataFrame, touched: list[int], held: dict[int, str]) -> str:
+        """Write rows as all there is of the touched buckets. Rows are sorted by document, so one document's rows are few row groups."""
         version = uuid.uuid4().hex
-        index.sortWithinPartitions("document_id", "ordinal").write.parquet(f"{self.folder}/versions/{version}")
+        # A bucket may be large, so its rows are dealt out by document; a document's rows are one task's.
+        dealt = rows.withColumn("bucket", self._bucket()).repartition("document_id").sortWithinPartitions("bucket", "document_id", "ordinal")
+        dealt.write.partitionBy("bucket").parquet(f"{self.folder}/versions/{version}")
+        now = {b: v for b, v in held.items() if b not in touched}
+        now |= {b: version for b in touched if self._fs.exists(self._path(self._folder(b, version)))}
         number = (self._numbers() or [-1])[-1] + 1
-        self.spark.createDataFrame([(version,)], "version string").coalesce(1).write.parquet(f"{self.folder}/manifest/{number}")
+        entries = list(now.items()) or [(-1, "")]
+        self.spark.createDataFrame(entries, "bucket int, version string").coalesce(1).write.parquet(f"{self.folder}/manifest/{number}")
         return version
 
+    def write(self, index: DataFrame) -> str:
+        """Make this the index."""
+        return self._commit(index, list(range(self.buckets)), {})
+
+    def pending(self) -> DataFrame | None:
+        """document_id of changes that have begun and not ended."""
+        marks = [x.toString() for x in self._children("pending") if self._fs.exists(self._path(f"{x.toString()}/_SUCCESS"))]
+        return self.spark.read.parquet(*marks) if marks else None
+
     def replace(self, new: DataFrame, dimensions: int) -> str:
-        """Put documents in the place of those with their ids or paths; refused as a whole if any is bad."""
+        """Put documents in the place of those with their ids or paths; refused as a whole if any is bad. If writing fails, the index stays what it was and
+        the marker goes; a job that is lost leaves its marker, which the next change of these documents takes away.
+        """
         wrong = refused(new, dimensions).orderBy("document_id").limit(5).collect()
         if wrong:
             raise ValueError("documents refused: " + ", ".join(f"{r['document_id']} ({r['problem']})" for r in wrong))
-        old = self.read()
-        return self.write(new if old is None else replace(old, new))
+        held = self.manifest() or {}
+        ids = new.select("document_id").distinct()
+        gone = ids
+        if held:  # a document of another id may have the same path
+            same_path = self._read(held).select("document_id", "source_path").distinct().join(new.select("source_path").distinct(), "source_path", "left_semi")
+            gone = ids.unionByName(same_path.select("document_id")).distinct()
+        touched = [r["bucket"] for r in gone.select(self._bucket().alias("bucket")).distinct().collect()]
+        mark = f"{self.folder}/pending/{uuid.uuid4().hex}"
+        gone.write.parquet(mark)
+        marked = self.spark.read.schema(gone.schema).parquet(mark)
+        try:
+            old = {b: v for b, v in held.items() if b in touched}
+            rows = self._read(old).join(marked, "document_id", "left_anti").unionByName(new.select(*self._read(old).columns)) if old else new
+            version = self._commit(rows, touched, held)
+        except Exception:
+            self._fs.delete(self._path(mark), True)
+            raise
+        self._clear(marked)
+        return version
+
+    def _clear(self, done: DataFrame) -> None:
+        """Remove markers whose documents are all among done."""
+        read = lambda x: self.spark.read.schema("document_id string").parquet(x.toString())
+        over = [x for x in self._children("pending") if read(x).join(done, "document_id", "left_anti").isEmpty()]
+        for x in over:  # done may be one of them
+            self._fs.delete(x, True)
 
     def delete(self, document_ids: list[str]) -> str | None:
-        old = self.read()
-        return self.write(old.where(~F.col("document_id").isin(document_ids))) if old is not None else None
+        held = self.manifest()
+        if not held:
+            return None
+        wanted = self.spark.createDataFrame([(x,) for x in document_ids], "document_id string")
+        touched = [r["bucket"] for r in wanted.select(self._bucket().alias("bucket")).distinct().collect()]
+        old = {b: v for b, v in held.items() if b in touched}
+        return self._commit(self._read(old).join(wanted, "document_id", "left_anti"), touched, held) if old else None
 
     def chunks(self, document: str) -> DataFrame | None:
-        old = self.read()
-        return old.where(F.col("document_id") == document).orderBy("ordinal") if old is not None else None
+        """A document's rows in order; only its bucket is read."""
+        held = self.manifest()
+        if held is None:
+            return None
+        bucket = self.spark.createDataFrame([(document,)], "document_id string").select(self._bucket().alias("b")).first()["b"]
+        rows = self._read({bucket: held[bucket]}) if bucket in held else self._read(held).limit(0) if held else None
+        return rows.where(F.col("document_id") == document).orderBy("ordinal") if rows is not None else None
 
     def vacuum(self) -> None:
-        """Remove versions that the manifest no longer names."""
-        held = self.version()
-        place = self._path(f"{self.folder}/versions")
-        for x in self._fs.listStatus(place) if self._fs.exists(place) else []:
-            if x.getPath().getName() != held:
-                self._fs.delete(x.getPath(), True)
+        """Remove folders that the manifest no longer names. Nothing may be reading an older index."""
+        held = set((self.manifest() or {}).items())
+        for version in self._children("versions"):
+            for x in self._fs.listStatus(version):
+                name = x.getPath().getName()
+                if name.startswith("bucket=") and (int(name[7:]), version.getName()) not in held:
+                    self._fs.delete(x.getPath(), True)
 
 
 def latest(rows: DataFrame, key: str, order: str) -> DataFrame:

@@ -30,39 +30,33 @@ def decode(data: bytes) -> Decoded:
                 return Decoded(data.decode(encoding), encoding)
             except UnicodeDecodeError as error:
                 raise ParseError(f"not {encoding} after its mark") from error
-    if not (data and data.count(0) >= NUL_BYTES * len(data)):
-        try:
-            return Decoded(data.decode("utf-8"), "utf-8")
-        except UnicodeDecodeError:
-            pass
-    elif wide := _wide(data):
-        return wide
-    else:
-        try:
-            return Decoded(data.decode("utf-8"), "utf-8")
-        except UnicodeDecodeError:
-            pass
-    if guess := _detected(data):
+    try:
+        return Decoded(data.decode("utf-8"), "utf-8")
+    except UnicodeDecodeError:
+        pass
+    guess = (_wide(data) if data.count(0) >= NUL_BYTES * len(data) else None) or _detected(data)
+    if guess:
         return guess
     for encoding in CODE_PAGES:
         try:
-            return Decoded(data.decode(encoding), encoding, [f"Decoded as {encoding}"])
+            text = data.decode(encoding)
         except UnicodeDecodeError:
             continue
+        if "\0" not in text:
+            return Decoded(text, encoding, [f"Decoded as {encoding}"])
     raise ParseError("text in no known encoding")
 
 
 def _wide(data: bytes) -> Decoded | None:
-    """UTF-16 without a mark: the byte order whose text has fewer NULs, if it has few."""
-    found = []
+    """UTF-16 without a mark, little-endian before big-endian, if its text has few NULs."""
     for encoding in ("utf-16-le", "utf-16-be"):
         try:
             text = data.decode(encoding)
         except UnicodeDecodeError:
             continue
         if text.count("\0") < NUL_CHARS * max(1, len(text)):
-            found.append((sum(ord(c) > 0x2FF for c in text), encoding, text))
-    return Decoded(min(found)[2], min(found)[1], ["UTF-16 without a byte order mark"]) if found else None
+            return Decoded(text, encoding, ["UTF-16 without a byte order mark"])
+    return None
 
 
 def _detected(data: bytes) -> Decoded | None:
@@ -73,4 +67,6 @@ def _detected(data: bytes) -> Decoded | None:
     best = from_bytes(data).best()
     if best is None or best.chaos >= 0.2 or best.coherence < 0.2 or best.encoding.replace("_", "-").startswith(("utf-16", "utf-32")):
         return None
+    if "\0" in str(best):
+        return None
     return Decoded(str(best), best.encoding, [f"Decoded as {best.encoding}"])

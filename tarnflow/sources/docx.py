@@ -161,13 +161,18 @@ class _Docx:
         for box in root.iter(W + "txbxContent"):
             for p in box.iter(W + "p"):
                 self.paragraph(p, part, kind, text_box=True, **more)
+        labels = {}
+        for drawing in (x for tag in ("inline", "anchor") for x in root.iter(WP + tag)):
+            own = next(drawing.iter(WP + "docPr"), None)
+            name = next((x for x in (own.get("descr"), own.get("title"), own.get("name")) if x), None) if own is not None else None
+            labels.update({id(blip): name for blip in drawing.iter(A + "blip")})
         for blip in root.iter(A + "blip"):
             target = relations.get(blip.get(R + "embed", ""))
             if target and target in self.zip.namelist():
                 data = self.zip.read(target)
                 sha = hashlib.sha256(data).hexdigest()
                 self.out.assets[sha] = data
-                name = next((x for d in root.iter(WP + "docPr") for x in (d.get("descr"), d.get("title"), d.get("name")) if x), posixpath.basename(target))
+                name = labels.get(id(blip)) or posixpath.basename(target)
                 self.put(f"[Image: {name}]", "image", part, sha256=sha, target=target, **more)
 
     def paragraph(self, p: ET.Element, part: str, kind: str | None, **more: object) -> None:
@@ -224,7 +229,7 @@ class _Docx:
 
 def _joins(before: str, after: str) -> bool:
     """Two runs that lost the space between them."""
-    return (before.islower() and after.isupper()) or (before in ".,;:!?" and after.isalpha())
+    return (before.islower() and after.isupper()) or (before in ".,;:!?" and after.isalnum())
 
 
 def parse_docx(data: bytes, name: str = "", limit: int = 200 * 1024 * 1024) -> Parsed:

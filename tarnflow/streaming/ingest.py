@@ -12,45 +12,65 @@ from pyspark.sql.streaming import StreamingQuery
 
 from ..config import Ingestion
 from ..functions.embedding import embedder
-from ..operators import blocks, chunking, index
+from ..operators import artifacts, blocks, chunking, index
 from ..sources import files
 
 
-def index_rows(found: DataFrame, config: Ingestion = Ingestion(), registry: files.Registry | None = None) -> DataFrame:
-    """Index rows of files (path, length, content)."""
-    kept, _ = files.guarded(found, config)
-    parsed = files.parse(kept, registry).where("error is null").cache()
-    chunks = chunking.chunks(blocks.cleaned(files.blocks_of(parsed), config.cleaning), config.chunking).cache()
+def _rows(parsed: DataFrame, chunks: DataFrame, config: Ingestion, signature: str) -> DataFrame:
     counts = chunks.groupBy("document_id").agg(F.count("*").alias("chunk_count"))
-    signature = config.signature((registry or files.default_registry()).signatures())
     rows = chunks.withColumn("_e", embedder(config.dimensions)(F.col("text"))).select(*chunks.columns, "_e.dense", "_e.lexical").join(counts, "document_id")
     return rows.join(parsed.select("document_id", "source_path", "content_hash"), "document_id").withColumn("pipeline_signature", F.lit(signature))
 
 
-def ingest(spark: SparkSession, folder: str, store: index.IndexStore, config: Ingestion = Ingestion()) -> DataFrame:
-    """Put a folder's files that are new or changed into the index. Returns document_id, source_path, status: indexed, skipped or the error."""
+def _parsed(found: DataFrame, config: Ingestion, registry: files.Registry | None) -> tuple[DataFrame, DataFrame, str]:
+    """Files that could be read, their chunks, and the signature of what made them."""
+    kept, _ = files.guarded(found, config)
+    parsed = files.parse(kept, registry, config).where("error is null")
+    chunks = chunking.chunks(blocks.cleaned(files.blocks_of(parsed), config.cleaning), config.chunking)
+    return parsed, chunks, config.signature((registry or files.default_registry(config)).signatures())
+
+
+def index_rows(found: DataFrame, config: Ingestion = Ingestion(), registry: files.Registry | None = None) -> DataFrame:
+    """Index rows of files (path, length, content). A file without chunks has none."""
+    parsed, chunks, signature = _parsed(found, config, registry)
+    return _rows(parsed, chunks, config, signature)
+
+
+def put(found: DataFrame, store: index.IndexStore, config: Ingestion, keep: artifacts.ArtifactStore | None = None) -> None:
+    """Files into the index; before that their raw copies and processed artifacts into the artifact store, so what is indexed can always be opened."""
+    parsed, chunks, signature = _parsed(found, config, None)
+    parsed, chunks = parsed.persist(), chunks.persist()
+    rows = _rows(parsed, chunks, config, signature).persist()
+    try:
+        if not rows.isEmpty():
+            if keep is not None:
+                own = found.withColumn("document_id", index.document_id(F.col("path"))).join(parsed.select("document_id"), "document_id", "left_semi")
+                keep.store_raw(own)
+                keep.store_processed(artifacts.artifact(parsed, chunks, signature))
+            store.replace(rows, config.dimensions)
+    finally:
+        for table in (rows, chunks, parsed):
+            table.unpersist()
+
+
+def ingest(spark: SparkSession, folder: str, store: index.IndexStore, config: Ingestion = Ingestion(), keep: artifacts.ArtifactStore | None = None) -> DataFrame:
+    """Put a folder's files that are new or changed into the index. Returns document_id, source_path, status: indexed, skipped, or why it is neither."""
     found = files.discover(spark, folder)
-    signature = config.signature(files.default_registry().signatures())
+    signature = config.signature(files.default_registry(config).signatures())
     known = store.read()
     named = found.withColumns({"document_id": index.document_id(F.col("path")), "content_hash": F.sha2("content", 256)})
-    todo = index.to_ingest(named, index.documents(known), signature) if known is not None else named
-    rows = index_rows(todo, config).cache()
-    if not rows.isEmpty():
-        store.replace(rows, config.dimensions)
+    todo = index.to_ingest(named, index.documents(known, store.pending()), signature) if known is not None else named
+    # What is to be done is decided once: the index changes below.
+    wanted = [r["document_id"] for r in todo.select("document_id").collect()]
+    todo = named.join(spark.createDataFrame([(x,) for x in wanted], "document_id string"), "document_id", "left_semi")
+    put(todo, store, config, keep)
     kept, rejects = files.guarded(todo, config)
-    errors = files.parse(kept).where("error is not null").select("source_path", F.col("error").alias("why")).union(rejects.select(F.col("path").alias("source_path"), F.col("reason").alias("why")))
+    errors = files.parse(kept, None, config).where("error is not null").select("source_path", F.col("error").alias("why")).union(rejects.select(F.col("path").alias("source_path"), F.col("reason").alias("why")))
     done = named.select("document_id", F.col("path").alias("source_path")).join(todo.select("document_id", F.lit(True).alias("_todo")), "document_id", "left").join(errors, "source_path", "left")
     return done.select("document_id", "source_path", F.coalesce("why", F.when(F.col("_todo"), "indexed").otherwise("skipped")).alias("status"))
 
 
-def start(spark: SparkSession, folder: str, store: index.IndexStore, checkpoint: str, config: Ingestion = Ingestion()) -> StreamingQuery:
-    """A stream over a folder; ends once all files there are in (run it again for later ones)."""
+def start(spark: SparkSession, folder: str, store: index.IndexStore, checkpoint: str, config: Ingestion = Ingestion(), keep: artifacts.ArtifactStore | None = None) -> StreamingQuery:
+    """A stream over a folder; ends once all files there are in (run it again for later ones). A batch writes the buckets of its own documents."""
     source = spark.readStream.format("binaryFile").schema("path string, modificationTime timestamp, length long, content binary").option("recursiveFileLookup", "true").load(folder)
-
-    def put(batch: DataFrame, number: int) -> None:
-        rows = index_rows(batch, config).cache()
-        if not rows.isEmpty():
-            store.replace(rows, config.dimensions)
-        rows.unpersist()
-
-    return source.writeStream.foreachBatch(put).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+    return source.writeStream.foreachBatch(lambda batch, number: put(batch, store, config, keep)).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()

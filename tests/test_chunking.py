@@ -16,7 +16,7 @@ texts = st.lists(st.text(alphabet="ab .!?\nÀđ", min_size=1, max_size=300), min
 
 
 @settings(max_examples=80, deadline=None)
-@given(texts, st.integers(20, 120), st.integers(0, 15), st.integers(0, 20))
+@given(texts, st.integers(100, 200), st.integers(0, 15), st.integers(0, 20))
 def test_chunks_fit_and_lose_nothing(parts, limit, overlap, least):
     config = Chunking(limit, overlap, least)
     blocks = [block(t, i) for i, t in enumerate(parts)]
@@ -40,10 +40,12 @@ def test_short_tail_joins_the_group_before():
 
 
 def test_overlap_comes_from_base_text_and_shrinks():
-    rows = chunk_document("d", [block("one two three", 0, 1), block("four five six", 1, 2), block("x" * 28, 2, 3)], Chunking(30, 8, 0))
-    assert [r["text"] for r in rows] == ["one two three\n\nfour five six", "x" * 28]
-    rows = chunk_document("d", [block("one two three", 0, 1), block("four five six seven", 1, 2)], Chunking(30, 8, 0))
-    assert rows[1]["text"] == "three\n\nfour five six seven"
+    one, two = "y" * 30 + " two three", "z" * 48
+    rows = chunk_document("d", [block(one, 0, 1), block(two, 1, 2), block("x" * 98, 2, 3)], Chunking(100, 8, 0))
+    assert [r["text"] for r in rows] == [f"{one}\n\n{two}", "x" * 98]
+    one, two = "y" * 70 + " three", "four " + "z" * 40
+    rows = chunk_document("d", [block(one, 0, 1), block(two, 1, 2)], Chunking(100, 8, 0))
+    assert rows[1]["text"] == f"three\n\n{two}"
     assert rows[1]["pages"] == [1, 2] and rows[1]["has_overlap"]
 
 
@@ -70,14 +72,16 @@ def test_strips_cover_all_text():
     rng = random.Random(1)
     for _ in range(50):
         text = "".join(rng.choice("aB .!\n") for _ in range(400))
-        spans = strip_ranges(text, Refinement(50, 2, 12))
+        spans = strip_ranges(text, Refinement(80, 2, 12))
         covered = {k for a, z in spans for k in range(a, z)}
         assert all(k in covered for k, c in enumerate(text) if not c.isspace())
-        assert all(z - a <= 50 for a, z in spans)
+        assert all(z - a <= 80 for a, z in spans)
 
 
 def test_limits_are_checked():
     with pytest.raises(ValueError):
         Chunking(100, 100, 10)
     with pytest.raises(ValueError):
-        Refinement(0, 1, 1)
+        Refinement(79, 1, 1)
+    with pytest.raises(ValueError):
+        Chunking(99, 0, 0)

@@ -32,7 +32,7 @@ def test_decoding_ladder():
     assert decode("é".encode("utf-8-sig")).text == "é"
     assert decode("abc".encode("utf-16")).text == "abc"
     assert decode("abc".encode("utf-32")).text == "abc"
-    assert decode("hello there".encode("utf-16-le")).text == "hello there"
+    assert decode("hello there, é".encode("utf-16-le")).text == "hello there, é"
     old = decode(b"\xe9\xe8 \x93x\x94")
     assert old.warnings and "�" not in old.text
 
