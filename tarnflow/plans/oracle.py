@@ -188,10 +188,10 @@ WITH {HELD} SELECT document_id FROM files f WHERE NOT EXISTS (SELECT 1 FROM held
     "doc_listing": f"WITH {SOURCE_INDEX}, {LISTING} SELECT * FROM listing",
     "mixed_index": f"WITH {SOURCE_INDEX}, {LISTING} SELECT document_id, n_chunks, chunk_count FROM listing WHERE index_incomplete",
     "stale_points": f"""
-WITH {SOURCE_INDEX}, n AS (SELECT document_id, chunk_id || CASE WHEN ordinal % 2 = 0 THEN '' ELSE 'n' END AS chunk_id FROM ix WHERE length(text) < 2000)
+WITH {SOURCE_INDEX}, n AS (SELECT document_id, chunk_id || CASE WHEN ordinal % 2 = 0 THEN '' ELSE 'n' END AS chunk_id FROM ix)
 SELECT document_id, chunk_id FROM ix WHERE document_id IN (SELECT document_id FROM n) AND chunk_id NOT IN (SELECT chunk_id FROM n)""",
     "replaced_index": f"""
-WITH {SOURCE_INDEX} SELECT document_id, count(*) AS n, sum(char_count)::BIGINT AS chars FROM ix WHERE document_id NOT IN ('src1', 'src2') OR ordinal < 10 GROUP BY 1""",
+WITH {SOURCE_INDEX} SELECT document_id, count(*) AS n, sum(char_count + 4)::BIGINT AS chars FROM ix GROUP BY 1""",
     "index_issues": f"""
 WITH {SOURCE_INDEX}, {LISTING}, v AS (SELECT i.*, embedding::DOUBLE[] AS dense FROM ix i LEFT JOIN embeddings e ON e.vec_id = i.chunk_id::BIGINT),
 n AS (SELECT sqrt(list_sum([x * x FOR x IN dense])) AS norm, len(dense) AS size FROM v),
@@ -223,6 +223,6 @@ SELECT doc_id, doc_id % 3 = 0 AND doc_id % 2 = 0 AND regexp_matches(folder, '^[0
 WITH RECURSIVE {BUDGET}, three AS (SELECT query_id, doc_id FROM sparse WHERE rank <= 3),
 {JUDGED.replace('FROM sparse s', 'FROM three s')},
 c AS (SELECT query_id, count(*) AS n, count(DISTINCT source_type) AS sources FROM kept GROUP BY 1)
-SELECT 'run-' || query_id AS run_id, action AS branch, CASE WHEN n IS NULL THEN 'no_evidence' WHEN action = 'Ambiguous' AND sources < 2 THEN 'partial' ELSE 'ready' END AS status, CASE WHEN n IS NULL THEN NULL ELSE 1 END AS n_citations
+SELECT 'run-' || query_id AS run_id, action AS branch, CASE WHEN n IS NULL THEN 'no_evidence' WHEN action = 'Ambiguous' AND sources < 2 THEN 'partial' ELSE 'ready' END AS status, n AS n_citations
 FROM actions LEFT JOIN c USING (query_id)""",
 }

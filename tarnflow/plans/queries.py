@@ -276,7 +276,7 @@ def branch_problems(spark, d):
 def answer_lines(spark, d):
     kept = _budgeted(spark, d)
     marker = F.concat(F.lit("["), F.col("number").cast("string"), F.lit("]"))
-    claims = kept.select("query_id", F.col("number").alias("claim_no"), F.substring(F.replace("text", F.lit("\n"), F.lit(" ")), 1, 80).alias("text"), F.array(marker).alias("refs"))
+    claims = kept.select("query_id", F.col("number").alias("claim_no"), F.replace("text", F.lit("\n"), F.lit(" ")).alias("text"), F.array(marker).alias("refs"))
     sources = kept.select("query_id", marker.alias("marker"), "text")
     actions = retrieval.route(_questions(spark, d), _judged(spark, d))
     return evidence.answers(evidence.contexts(actions, kept), claims, sources)
@@ -332,7 +332,7 @@ def _source_index(spark, d):
 
 
 def doc_listing(spark, d):
-    return index.documents(_source_index(spark, d))
+    return index.documents(_source_index(spark, d)).drop("ordinal_gap")
 
 
 def mixed_index(spark, d):
@@ -341,13 +341,13 @@ def mixed_index(spark, d):
 
 def stale_points(spark, d):
     old = _source_index(spark, d)
-    new = old.where(F.length("text") < 2000).withColumn("chunk_id", F.when(F.col("ordinal") % 2 == 0, F.col("chunk_id")).otherwise(F.concat("chunk_id", F.lit("n"))))
+    new = old.withColumn("chunk_id", F.when(F.col("ordinal") % 2 == 0, F.col("chunk_id")).otherwise(F.concat("chunk_id", F.lit("n"))))
     return index.stale(old, new)
 
 
 def replaced_index(spark, d):
     old = _source_index(spark, d)
-    new = old.where("source_path in ('/corpus/src1', '/corpus/src2')").withColumn("text", F.upper("text")).where("ordinal < 10")
+    new = old.withColumn("text", F.concat(F.lit("new "), "text")).withColumn("char_count", F.length("text"))
     return index.replace(old, new).groupBy("document_id").agg(F.count("*").alias("n"), F.sum("char_count").alias("chars"))
 
 
@@ -399,7 +399,7 @@ def run_summaries(spark, d):
     kept = _budgeted(spark, d).cache()
     found = evidence.contexts(actions, kept)
     marker = F.concat(F.lit("["), F.col("number").cast("string"), F.lit("]"))
-    claims = kept.where("number = 1").select("query_id", F.col("number").alias("claim_no"), F.lit("claim").alias("text"), F.array(marker).alias("refs"))
+    claims = kept.select("query_id", F.col("number").alias("claim_no"), F.lit("claim").alias("text"), F.array(marker).alias("refs"))
     runs = artifacts.run_rows(asked, actions, found, evidence.answers(found, claims, kept.select("query_id", marker.alias("marker"), "text")), "run")
     return artifacts.run_summary(artifacts.finished_runs(runs), kept.select("query_id", "number", "strip_id", "source_type", "source_ref", "text")).select("run_id", "branch", "status", F.size("citations").alias("n_citations"))
 
