@@ -44,7 +44,10 @@ def write_token_files(docs: DataFrame, folder: str, tokenizer: str, end: int, ki
                     name, size, ids = fresh(folder, ".tok"), 0, []
                     fs, path = opened(name)
                     out = fs.open_output_stream(path, compression=None, buffer_size=1 << 20)
-                got = np.append(encode(text.as_py() or "", special=False), np.uint32(end)).astype(kind)
+                own = encode(text.as_py() or "", special=False)
+                if max(end, int(own.max(initial=0))) > np.iinfo(kind).max or (own == end).any():
+                    raise ValueError("an id does not fit the file's type, or a text holds the end identifier")
+                got = np.append(own, np.uint32(end)).astype(kind)
                 out.write(got.tobytes())
                 size += got.nbytes
                 ids.append(doc_id)
@@ -119,7 +122,8 @@ def _carried(rows: DataFrame, by: list, order: str) -> DataFrame:
 def document_tokens(docs: DataFrame, tokenizer: str, end: int = 50256, kind: str = "<u2", waves: int = 2) -> DataFrame:
     """doc_id, n_tokens of each document: written to flat token files, which are then scanned. A null text is empty and has no tokens.
 
-    Files are written, scanned and removed wave by wave, which bounds the disk they take to a share of the corpus.
+    A row per row: rows that repeat a doc_id, or have none, are documents of their own. Ids that do not fit `kind`, and an end identifier that
+    a text itself has, are errors. Files are written, scanned and removed wave by wave, which bounds the disk they take to a share of the corpus.
     """
     spark: SparkSession = docs.sparkSession
     short_batches(spark)

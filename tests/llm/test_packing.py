@@ -101,3 +101,10 @@ def test_long_runs_are_carried_over_spans(spark, tmp_path, monkeypatch):
 def test_no_rows(make_docs):
     assert pack_documents(make_docs([]), PATH).count() == 0
     assert document_tokens(make_docs([]), PATH).count() == 0
+
+
+def test_ids_that_do_not_fit_are_refused(make_docs):
+    docs = make_docs([(1, "plain words of a text")])
+    for wrong in ({"kind": "u1", "end": 255}, {"kind": "<u2", "end": 70_000}, {"kind": "<u2", "end": int(Tokenizer.from_file(PATH).encode("plain words", add_special_tokens=False).ids[0])}):
+        with pytest.raises(Exception, match="does not fit|end identifier"):
+            document_tokens(docs, PATH, **wrong).collect()
