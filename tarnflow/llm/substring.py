@@ -10,7 +10,7 @@ starts somewhere else too, in the same document or another.
    block gets back those of its anchors that repeat, and sends its distinct segments around them, with the number of times each stands there, to
    shards by anchor. Copies of a text are thus one segment each block.
 3. Index. A shard builds an FM-index of its distinct segments: suffixes sorted as deep as a window needs, the Burrows-Wheeler transform
-   in a wavelet matrix of packed bits. Segments are then streamed against it by backward search, all at once: the interval of rows that match the
+   as runs of equal symbols, one symbol a run in a wavelet matrix of packed bits. Segments are then streamed against it by backward search, all at once: the interval of rows that match the
    last window - 1 words is stretched by one word to the left, whose weight (how often its rows' segments stand in the corpus) tells
    whether the window repeats, and cut back on the right to window - 1 words, and so on. That is the matching statistics of the segment, cut
    off at the threshold.
@@ -53,18 +53,53 @@ class WaveletMatrix:
             self.zeros.append(int(self.n - bit.sum()))
             now = np.concatenate([now[~bit], now[bit]])
 
-    def place(self, symbol: np.ndarray, i: np.ndarray) -> np.ndarray:
-        """Where position i stands after all levels, following the symbol: rank(symbol, i) plus a constant of the symbol."""
+    def place(self, symbol: np.ndarray, i: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Where position i stands after all levels, following the symbol: rank(symbol, i) plus a constant of the symbol; and whether the
+        symbol stands at i."""
+        there = np.ones(len(i), bool)
         for k, level in enumerate(range(self.levels - 1, -1, -1)):
-            word = i >> 6
-            below = (U(1) << (i & 63).astype(U)) - U(1)
-            one = self.sums[k][word].astype(np.int64) + np.bitwise_count(self.bits[k][word] & below)
-            i = np.where((symbol >> level) & 1, self.zeros[k] + one, i - one)
-        return i
+            word, bit = i >> 6, (i & 63).astype(U)
+            bits = self.bits[k][word]
+            one = self.sums[k][word].astype(np.int64) + np.bitwise_count(bits & ((U(1) << bit) - U(1)))
+            right = ((symbol >> level) & 1).astype(bool)
+            there &= right == ((bits >> bit) & U(1)).astype(bool)
+            i = np.where(right, self.zeros[k] + one, i - one)
+        return i, there
+
+    @property
+    def nbytes(self) -> int:
+        return sum(x.nbytes for x in self.bits + self.sums)
+
+
+class RunLengths:
+    """A sequence as its runs of equal symbols: their symbols in a wavelet matrix, their starts, and the sums of their lengths by symbol."""
+
+    def __init__(self, sequence: np.ndarray, sigma: int):
+        n = len(sequence)
+        new = np.flatnonzero(np.concatenate([np.ones(min(n, 1), bool), sequence[1:] != sequence[:-1]]))
+        heads = sequence[new]
+        self.starts = np.append(new, n).astype(np.uint32)
+        self.heads = WaveletMatrix(heads, sigma)
+        lengths = np.diff(np.append(new, n))[np.argsort(heads, kind="stable")]
+        self.before = np.concatenate([[0], np.cumsum(lengths)]).astype(np.uint32)
+        counts = np.bincount(heads, minlength=sigma)
+        every = np.arange(sigma)
+        self.base = np.cumsum(counts) - counts - self.heads.place(every, np.zeros(sigma, np.int64))[0]
+
+    def rank(self, symbol: np.ndarray, i: np.ndarray) -> np.ndarray:
+        """How many symbols are smaller, anywhere, or equal and before position i."""
+        run = np.searchsorted(self.starts, i.astype(np.uint32), "right") - 1
+        place, there = self.heads.place(symbol, run)
+        return self.before[place + self.base[symbol]].astype(np.int64) + np.where(there, i - self.starts[run], 0)
+
+    @property
+    def nbytes(self) -> int:
+        return self.starts.nbytes + self.heads.nbytes + self.before.nbytes + self.base.nbytes
 
 
 class FMIndex:
-    """Of texts of symbols above 0, each ended by a 0, with a weight a position. Patterns may have up to `depth` symbols."""
+    """Of texts of symbols above 0, each ended by a 0, with a weight a position. Patterns may have up to `depth` symbols. Kept in proportion to
+    runs, not to positions: the transform as runs, weights where they are not 1, and the bounds of groups of rows."""
 
     def __init__(self, text: np.ndarray, weights: np.ndarray, depth: int):
         n = len(text)
@@ -79,15 +114,13 @@ class FMIndex:
             rank = np.empty(n, np.int64)
             rank[order] = np.cumsum(np.concatenate([[0], sorted_key[1:] != sorted_key[:-1]]))
             span *= 2
-            ranks[span] = rank
+            ranks[span] = rank.astype(np.int32 if n < 1 << 31 else np.int64)
         order = np.argsort(rank, kind="stable")
         self.symbols = int(text.max()) + 1 if n else 1
-        last = text[order - 1]
-        self.wavelet = WaveletMatrix(last, self.symbols)
-        counts = np.bincount(text, minlength=self.symbols)
-        every = np.arange(self.symbols)
-        self.base = np.cumsum(counts) - counts - self.wavelet.place(every, np.zeros(self.symbols, np.int64))
-        self.weight = np.concatenate([[0], np.cumsum(weights[order])])
+        self.transform = RunLengths(text[order - 1], self.symbols)
+        heavy = np.flatnonzero(weights[order] != 1)
+        self.heavy = heavy.astype(np.uint32)
+        self.extra = np.concatenate([[0], np.cumsum(weights[order[heavy]].astype(np.int64) - 1)])
         self.n = n
         # Rows whose suffixes agree in their first depth - 1 symbols are a group; a match is cut back to its group's bounds.
         same = np.ones(n, bool)
@@ -98,20 +131,27 @@ class FMIndex:
                 r = np.where(at < n, ranks[span][np.minimum(at, n - 1)], -1)
                 same[1:] &= r[1:] == r[:-1]
                 at, left = at + span, left - span
-        first = np.flatnonzero(~same)
-        self.group = np.append(np.cumsum(~same) - 1, len(first))
-        self.first = np.append(first, n)
+        self.first = np.append(np.flatnonzero(~same), n).astype(np.uint32)
+
+    @property
+    def nbytes(self) -> int:
+        return self.transform.nbytes + self.heavy.nbytes + self.extra.nbytes + self.first.nbytes
+
+    def weight(self, lo: np.ndarray, hi: np.ndarray) -> np.ndarray:
+        """How often the rows from lo to hi stand in the corpus."""
+        a, b = (self.extra[np.searchsorted(self.heavy, x.astype(np.uint32))] + x for x in (lo, hi))
+        return b - a
 
     def stretch(self, lo: np.ndarray, hi: np.ndarray, symbol: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Backward search: the rows that match a symbol and then what [lo, hi) match."""
-        both = self.wavelet.place(np.concatenate([symbol, symbol]), np.concatenate([lo, hi])) + np.tile(self.base[symbol], 2)
+        both = self.transform.rank(np.concatenate([symbol, symbol]), np.concatenate([lo, hi]))
         return both[: len(lo)], both[len(lo) :]
 
     def cut(self, lo: np.ndarray, hi: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Rows that match all but the last of depth symbols that [lo, hi) match."""
-        g = self.group[lo]
+        after = np.minimum(np.searchsorted(self.first, lo.astype(np.uint32), "right"), len(self.first) - 1)
         some = hi > lo
-        return np.where(some, self.first[g], lo), np.where(some, self.first[np.minimum(g + 1, len(self.first) - 1)], hi)
+        return np.where(some, self.first[after - 1], lo).astype(np.int64), np.where(some, self.first[after], hi).astype(np.int64)
 
     def repeats(self, texts: np.ndarray, starts: np.ndarray, lens: np.ndarray, least: int = 2) -> list[np.ndarray]:
         """Of each text: the places where a run of depth symbols starts that has a weight of least in the index (0: unknown symbol)."""
@@ -126,7 +166,7 @@ class FMIndex:
             lo, hi = self.stretch(lo[:live], hi[:live], symbol)
             hi = np.where(symbol == 0, lo, hi)
             if k >= self.depth - 1:
-                good = np.flatnonzero(self.weight[hi] - self.weight[lo] >= least)
+                good = np.flatnonzero(self.weight(lo, hi) >= least)
                 hit_text.append(order[good])
                 hit_place.append(sizes[good] - 1 - k)
                 lo, hi = self.cut(lo, hi)

@@ -6,7 +6,7 @@ from collections import Counter
 import numpy as np
 import pytest
 
-from tarnflow.llm.substring import FMIndex, repeated_words
+from tarnflow.llm.substring import FMIndex, RunLengths, repeated_words
 
 
 def brute(rows, window):
@@ -40,6 +40,24 @@ def test_index_counts_as_brute_force():
             assert [i for i in range(len(t) - depth + 1) if seen[tuple(t[i : i + depth])] > 1] == list(got)
 
 
+def test_ranks_of_runs_equal_brute_force():
+    rng = np.random.default_rng(1)
+    for n, sigma in ((0, 1), (1, 1), (5, 1), (300, 2), (2000, 70), (4000, 3)):
+        sequence = np.repeat(rng.integers(0, sigma, n), rng.integers(1, 9, n))[:n]
+        runs = RunLengths(sequence, sigma)
+        for symbol in range(sigma):
+            at = np.arange(n + 1)
+            want = (sequence < symbol).sum() + np.concatenate([[0], np.cumsum(sequence == symbol)])
+            assert (runs.rank(np.full(n + 1, symbol), at) == want).all()
+
+
+def test_index_grows_with_what_is_new_not_with_copies():
+    rng = np.random.default_rng(2)
+    one = np.append(rng.integers(1, 1000, 500), 0)
+    size = lambda k: FMIndex(np.tile(one, k), np.ones(501 * k, np.int64), 35).nbytes
+    assert size(64) < 3 * size(1)
+
+
 def corpus(window):
     rng = random.Random(7)
     vocabulary = [f"w{i}é" for i in range(300)]
