@@ -85,7 +85,134 @@ def key(x: str) -> str:
     return rf"trim(regexp_replace(regexp_replace(lower({x}), '\p{{Nd}}+', '#', 'g'), '[{SPACES}\n\r]+', ' ', 'g'))"
 
 
+BLANK = rf"[{SPACES}\n\r\x1c-\x1f]"
+
+
+def pieces(limit: int, table: str, ends: str, marked: str, whole: bool) -> str:
+    """piece(doc_id, r, a, z): ranges of sentences, cut at a space in their second half or at the limit; a text that fits is one if whole."""
+    half = limit // 2
+    return rf"""
+sentence AS (SELECT doc_id, (unnest(range(1, len(p) + 1, 2)))::INT AS k, p FROM (SELECT doc_id, string_split({'CASE WHEN length(t) <= ' + str(limit) + ' THEN t ELSE ' if whole else ''}regexp_replace(t, '{ends}', '{marked}', 'g'){' END' if whole else ''}, chr(1)) AS p FROM {table})),
+bare AS (SELECT doc_id, k, coalesce(list_sum([length(x) FOR x IN p[1:k-1]]), 0)::INT AS pos, p[k] AS x FROM sentence),
+cuts AS (SELECT doc_id, k, (pos + length(x) - length(regexp_replace(x, '^{BLANK}+', '')))::INT AS here, (pos + length(regexp_replace(x, '{BLANK}+$', '')))::INT AS stop, NULL::INT AS a, NULL::INT AS z FROM bare
+  UNION ALL SELECT doc_id, k, (cut + length(substr(t, cut + 1, stop - cut)) - length(regexp_replace(substr(t, cut + 1, stop - cut), '^{BLANK}+', '')))::INT, stop, here, (here + length(regexp_replace(substr(t, here + 1, cut - here), '{BLANK}+$', '')))::INT
+  FROM (SELECT c.*, t, CASE WHEN contains(substr(t, here + {half + 1}, {half + 1}), ' ') THEN here + {limit} - length(regexp_extract(substr(t, here + {half + 1}, {half + 1}), '[^ ]*$')) ELSE here + {limit} END AS cut
+    FROM cuts c JOIN {table} USING (doc_id) WHERE stop - here > {limit})),
+piece AS (SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY a) AS r, a, z
+  FROM (SELECT doc_id, a, z FROM cuts WHERE a < z UNION ALL SELECT doc_id, here, stop FROM cuts WHERE here < stop AND stop - here <= {limit}))"""
+
+
+STRIP_STEPS = rf"""
+{pieces(360, "txt", f"([.!?。！？])({BLANK}+)([A-ZÀ-ỴĐ])", chr(92) + "1" + chr(1) + chr(92) + "2" + chr(1) + chr(92) + "3", False)},
+near AS (SELECT doc_id, r, a, z, contains(substr(t, lag(z) OVER w + 1, a - lag(z) OVER w), chr(10) || chr(10)) AS apart FROM piece JOIN txt USING (doc_id) WINDOW w AS (PARTITION BY doc_id ORDER BY r)),
+strip_fold AS (SELECT doc_id, r, 1 AS g, a AS first, z, 1 AS held FROM near WHERE r = 1
+  UNION ALL SELECT n.doc_id, n.r, CASE WHEN ok THEN g ELSE g + 1 END, CASE WHEN ok THEN first ELSE n.a END, n.z, CASE WHEN ok THEN held + 1 ELSE 1 END
+  FROM (SELECT f.g, f.first, f.held, n.*, f.held < 2 AND n.z - f.first <= 360 AND NOT n.apart AS ok FROM strip_fold f JOIN near n ON n.doc_id = f.doc_id AND n.r = f.r + 1) n),
+strips AS (SELECT doc_id, a AS start, z AS "end", substr(t, a + 1, z - a) AS strip FROM (SELECT doc_id, g, min(first) AS a, max(z) AS z FROM strip_fold GROUP BY ALL) JOIN txt USING (doc_id))"""
+STRIPS = f"txt AS (SELECT doc_id, text AS t FROM documents WHERE text IS NOT NULL), {STRIP_STEPS}"
+
+
+def tail(text: str, limit: str) -> str:
+    last = f"right({text}, {limit})"
+    return f"CASE WHEN {limit} <= 0 THEN '' WHEN length({text}) <= {limit} THEN {text} WHEN contains({last}, ' ') THEN substr({last}, position(' ' IN {last}) + 1) ELSE {last} END"
+
+
+CHUNKS = rf"""
+txt AS (SELECT doc_id, t FROM (SELECT doc_id, {CLEAN} AS t FROM documents) WHERE t <> ''),
+{pieces(1200, "txt", f"([.!?。！？])({BLANK}+)|({chr(92)}n+)", chr(92) + "1" + chr(1) + chr(92) + "2" + chr(92) + "3" + chr(1), True)},
+pack AS (SELECT doc_id, r, 1 AS g, z - a AS size, z - a AS n FROM piece WHERE r = 1
+  UNION ALL SELECT p.doc_id, p.r, CASE WHEN size + 2 + p.z - p.a <= 1200 THEN g ELSE g + 1 END, CASE WHEN size + 2 + p.z - p.a <= 1200 THEN size + 2 + p.z - p.a ELSE p.z - p.a END, p.z - p.a
+  FROM pack f JOIN piece p ON p.doc_id = f.doc_id AND p.r = f.r + 1),
+sizes AS (SELECT doc_id, g, max(size) AS size, max(g) OVER (PARTITION BY doc_id) AS groups, lag(max(size)) OVER (PARTITION BY doc_id ORDER BY g) AS before FROM pack GROUP BY doc_id, g),
+member AS (SELECT doc_id, r, CASE WHEN g > 1 AND g = groups AND s.size < 120 AND before + 2 + s.size <= 1200 THEN g - 1 ELSE g END AS g FROM pack JOIN sizes s USING (doc_id, g)),
+placed AS (SELECT doc_id, g, r, a, z, substr(t, a + 1, z - a) AS x, (sum(z - a + 2) OVER (PARTITION BY doc_id, g ORDER BY r) - (z - a + 2))::INT AS s FROM member JOIN piece USING (doc_id, r) JOIN txt USING (doc_id)),
+base AS (SELECT doc_id, g, string_agg(x, chr(10) || chr(10) ORDER BY r) AS base FROM placed GROUP BY ALL),
+prior AS (SELECT doc_id, g, base, coalesce(lag(base) OVER w, '') AS before, {tail("coalesce(lag(base) OVER w, '')", "180")} AS shared FROM base WINDOW w AS (PARTITION BY doc_id ORDER BY g)),
+joined AS (SELECT doc_id, g, base, before, CASE WHEN shared <> '' AND 1200 - length(base) - 2 < length(shared) THEN {tail("shared", "(1200 - length(base) - 2)")} ELSE shared END AS shared FROM prior),
+chunk AS (SELECT doc_id, (g - 1)::INT AS ordinal, base, before, shared, CASE WHEN shared <> '' THEN shared || chr(10) || chr(10) ELSE '' END || base AS text FROM joined)"""
+
+URL = r"""lower(regexp_extract(url, '^([^:]+)', 1)) || '://' || lower(regexp_extract(url, '^[^:]+://([^/?#]+)', 1)) || CASE WHEN regexp_extract(url, '^[^:]+://[^/?#]+([^?#]*)', 1) = '' THEN '/' ELSE regexp_extract(url, '^[^:]+://[^/?#]+([^?#]*)', 1) END
+  || regexp_extract(url, '(\?[^#]+)', 1)"""
+
+
+def page_text(html: str) -> str:
+    """For pages as the tables have them: ignored elements are closed and not in one another."""
+    x = rf"regexp_replace({html}, '<!--.*?-->|<![^>]*>', '', 'gs')"
+    for tag in ("script", "style", "nav", "footer", "header", "aside", "form", "svg", "noscript"):
+        x = rf"regexp_replace({x}, '<{tag}[ >].*?</{tag}>', '', 'gis')"
+    x = rf"regexp_replace({x}, '</?(p|h[1-6]|li|blockquote|tr)( [^>]*)?>', chr(10) || chr(10), 'gi')"
+    x = rf"regexp_replace(regexp_replace({x}, '<(br|td|th)( [^>]*)?/?>', ' ', 'gi'), '</?[a-zA-Z][^>]*>', '', 'g')"
+    for name, code in (("quot", 34), ("middot", 183), ("copy", 169), ("lt", 60), ("gt", 62), ("nbsp", 160), ("amp", 38)):
+        x = f"replace({x}, '&{name};', chr({code}))"
+    x = rf"regexp_replace(regexp_replace(regexp_replace({x}, '[ \t\r\f\v]+', ' ', 'g'), ' *\n *', chr(10), 'g'), '\n\n\n+', chr(10) || chr(10), 'g')"
+    return rf"regexp_replace({x}, '^{BLANK}+|{BLANK}+$', '', 'g')"
+
+
+PASSAGES = rf"""
+{QUESTIONS},
+fetched AS (SELECT {URL} AS url, substr({page_text("coalesce(html, '')")}, 1, 40000) AS text, sha256(coalesce(html, '')) AS content_sha256 FROM pages
+  WHERE octet_length(encode(coalesce(html, ''))) <= 1000000 QUALIFY row_number() OVER (PARTITION BY {URL} ORDER BY pages.url) = 1),
+{postings("qp", "questions", "query_id")}, {postings("pp", "fetched", "url")},
+found AS (SELECT query_id, url, sum(q.weight * d.weight) AS score FROM qp q JOIN pp d USING (token_id) GROUP BY ALL),
+web AS (SELECT query_id, url, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, url) AS place FROM found QUALIFY place <= 5),
+txt AS (SELECT url AS doc_id, text AS t FROM fetched), {STRIP_STEPS},
+passage AS (SELECT query_id, url, place, content_sha256, start, "end", strip AS passage, {overlap("q.text", "strip")} AS shared, row_number() OVER (PARTITION BY query_id, url ORDER BY start) - 1 AS passage_no, count(*) OVER (PARTITION BY query_id, url) AS n
+  FROM web JOIN questions q USING (query_id) JOIN fetched USING (url) JOIN strips ON doc_id = url),
+likely AS (SELECT *, row_number() OVER (PARTITION BY query_id, url ORDER BY passage_no) - 1 AS candidate_no
+  FROM (SELECT *, row_number() OVER (PARTITION BY query_id, url ORDER BY shared DESC, passage_no) AS r FROM passage) WHERE n <= 60 OR passage_no < 8 OR r <= 60 - 8),
+best AS (SELECT query_id, url, 'web:' || substr(sha256(url || chr(0) || content_sha256 || chr(0) || start || chr(0) || "end"), 1, 24) AS strip_id, start, "end", passage, candidate_no, shared AS rerank_score, place, 1.0::DOUBLE / (place + 1) AS retrieval_score
+  FROM likely QUALIFY row_number() OVER (PARTITION BY query_id, url ORDER BY shared DESC, candidate_no) <= 4)"""
+
+VECTOR_HITS = """
+v AS (SELECT vec_id, embedding::DOUBLE[] AS v FROM embeddings),
+u AS (SELECT vec_id, v, [x / sqrt(list_sum([y * y FOR y IN v])) FOR x IN v] AS u FROM v),
+hits AS (SELECT query_id, vec_id, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank
+  FROM (SELECT q.vec_id AS query_id, v.vec_id, round(list_inner_product(q.v, v.v), 9) AS score FROM v q CROSS JOIN v WHERE q.vec_id % 50 = 0) QUALIFY rank <= 20)"""
+
 SQL: dict[str, str] = {
+    "strip_split": f'WITH RECURSIVE {STRIPS} SELECT doc_id, start, "end", strip FROM strips',
+    "refine_internal": f"""
+WITH RECURSIVE {sparse(3)}, {JUDGED}, {STRIPS},
+chosen AS (SELECT query_id, doc_id FROM judged JOIN actions USING (query_id) WHERE action <> 'Incorrect' AND (relevance = 'relevant' OR (action = 'Ambiguous' AND relevance = 'uncertain')))
+SELECT query_id, doc_id, start, "end", strip FROM chosen JOIN strips USING (doc_id) JOIN questions q USING (query_id) WHERE {overlap('q.text', 'strip')} >= 3""",
+    "chunk_pack": f"""
+WITH RECURSIVE {CHUNKS}
+SELECT doc_id, substr(sha256(doc_id || chr(0) || ordinal || chr(0) || text), 1, 32) AS chunk_id, ordinal, text, length(text) AS char_count, shared <> '' AS has_overlap FROM chunk""",
+    "chunk_spans": f"""
+WITH RECURSIVE {CHUNKS},
+own AS (
+  SELECT doc_id, ordinal, r, a - s AS shift, greatest(s, length(before) - length(shared)) AS l, least(s + z - a, length(before)) AS e, length(before) - length(shared) AS less, true AS is_overlap FROM chunk JOIN placed p USING (doc_id) WHERE p.g = ordinal AND shared <> ''
+  UNION ALL SELECT doc_id, ordinal, r, a - s, s, s + z - a, CASE WHEN shared <> '' THEN -length(shared) - 2 ELSE 0 END, false FROM chunk JOIN placed p USING (doc_id) WHERE p.g = ordinal + 1)
+SELECT doc_id, ordinal, row_number() OVER (PARTITION BY doc_id, ordinal ORDER BY r) - 1 AS span, l - less AS chunk_char_start, e - less AS chunk_char_end, l + shift AS block_char_start, e + shift AS block_char_end, is_overlap FROM own WHERE l < e""",
+    "chunk_stats_by_lang": f"""
+WITH RECURSIVE {CHUNKS} SELECT lang, count(*) AS n_chunks, sum(length(c.text))::BIGINT AS chars, max(length(c.text)) AS longest, count(*) FILTER (shared <> '') AS overlapping FROM chunk c JOIN documents USING (doc_id) GROUP BY 1""",
+    "page_text": f"SELECT page_id, {page_text("html")} AS text FROM pages",
+    "page_top_passages": f'WITH RECURSIVE {PASSAGES} SELECT query_id, url, strip_id, start, "end", passage, candidate_no, rerank_score, retrieval_score FROM best',
+    "web_strips": f"""
+WITH RECURSIVE {PASSAGES}
+SELECT query_id, row_number() OVER (PARTITION BY query_id ORDER BY rerank_score DESC, place, candidate_no) AS position, strip_id, url, rerank_score FROM best WHERE rerank_score >= 2 QUALIFY position <= 8""",
+    "mmr_select": f"""
+WITH RECURSIVE {VECTOR_HITS},
+worth AS (SELECT query_id, h.vec_id, rank, greatest(0, list_inner_product(q.u, w.u)) AS worth FROM hits h JOIN u w ON w.vec_id = h.vec_id JOIN u q ON q.vec_id = query_id),
+near AS (SELECT a.query_id, a.rank AS one, b.rank AS other, greatest(0, list_inner_product(x.u, y.u)) AS near FROM hits a JOIN hits b USING (query_id) JOIN u x ON x.vec_id = a.vec_id JOIN u y ON y.vec_id = b.vec_id),
+pick AS (SELECT query_id, vec_id, rank, worth, 0::DOUBLE AS closest, 0 AS step, NULL::INT AS place FROM worth
+  UNION ALL SELECT p.query_id, p.vec_id, p.rank, p.worth, greatest(closest, near), step + 1, CASE WHEN rank = best THEN step + 1 ELSE place END
+  FROM (SELECT *, first_value(rank) OVER (PARTITION BY query_id ORDER BY free DESC, 0.6::DOUBLE * worth - 0.4::DOUBLE * closest DESC, worth DESC, rank) AS best, bool_or(free) OVER (PARTITION BY query_id) AS more
+    FROM (SELECT *, place IS NULL AND (step = 0 OR closest < 0.85) AS free FROM pick WHERE step < 8)) p
+  JOIN near n ON n.query_id = p.query_id AND n.one = p.rank AND n.other = p.best WHERE more)
+SELECT query_id, vec_id, min(place) AS place FROM pick WHERE place IS NOT NULL GROUP BY ALL""",
+    "answer_lines": rf"""
+WITH RECURSIVE {BUDGET}, three AS (SELECT query_id, doc_id FROM sparse WHERE rank <= 3),
+{JUDGED.replace('FROM sparse s', 'FROM three s')},
+w AS (SELECT query_id, number, replace(text, chr(10), ' ') AS claim, regexp_extract_all(lower(text), '[\p{{L}}\p{{M}}\p{{Nd}}]+') AS c, ['không', 'chưa', 'not', 'never', 'no'] AS no FROM kept),
+n AS (SELECT *, list_distinct([c[i + 1] || ' ' || c[i + 2] FOR i IN range(1, len(c) - 1) IF list_contains(no, c[i]) AND c[i + 1] <> 'chỉ']) AS turned FROM w),
+good AS (SELECT query_id, number, claim FROM n WHERE len(turned) = 0 OR len([p FOR p IN range(1, len(c)) IF list_contains(turned, c[p] || ' ' || c[p + 1]) AND NOT list_has_any(c[greatest(p - 5, 1):p - 1], no)]) = 0),
+lines AS (SELECT query_id, string_agg(claim || ' [' || number || ']', chr(10) ORDER BY number) AS lines, string_agg('[' || number || ']', ' ' ORDER BY number) AS used FROM good GROUP BY 1),
+c AS (SELECT query_id, count(*) AS n, count(DISTINCT source_type) AS sources FROM kept GROUP BY 1),
+state AS (SELECT query_id, CASE WHEN n IS NULL THEN 'no_evidence' WHEN action = 'Ambiguous' AND sources < 2 THEN 'partial' ELSE 'ready' END AS state FROM actions LEFT JOIN c USING (query_id))
+SELECT query_id, CASE WHEN state = 'no_evidence' OR (lines IS NULL AND state = 'partial') THEN 'insufficient_evidence' WHEN lines IS NULL THEN 'model_abstained' WHEN state = 'partial' THEN 'partial' ELSE 'answered' END AS status,
+  coalesce(CASE WHEN state = 'partial' THEN 'Bằng chứng hiện chưa đầy đủ; câu trả lời chỉ dựa trên các nguồn đã thu thập được.' || chr(10) ELSE '' END || lines, '') AS text, coalesce(used, '') AS used
+FROM state LEFT JOIN lines USING (query_id)""",
     "clean_text": f"SELECT doc_id, t AS text, length(t) AS n_clean FROM (SELECT doc_id, {CLEAN} AS t FROM documents)",
     "paragraph_blocks": r"""
 WITH p AS (SELECT page_id, replace(html, '</p>', chr(10) || ' ' || chr(10)) AS t FROM pages),
@@ -142,9 +269,7 @@ SELECT query_id, doc_id, relevance, action FROM judged JOIN actions USING (query
 WITH {sparse(3)}, j AS (SELECT query_id, doc_id, CASE WHEN quality = 1 THEN 'relevant' WHEN toxic = 1 THEN 'bad' ELSE 'irrelevant' END AS relevance, CASE WHEN toxic = 1 THEN ' ' ELSE 'because' END AS reason FROM sparse JOIN labels USING (doc_id))
 SELECT s.query_id, s.doc_id, CASE WHEN j.relevance IS NULL THEN 'missing' WHEN j.relevance = 'bad' THEN 'label' ELSE 'reason' END AS problem
 FROM sparse s LEFT JOIN j USING (query_id, doc_id) WHERE j.relevance IS NULL OR j.relevance = 'bad' OR trim(j.reason) = ''""",
-    "url_normalize": r"""
-SELECT page_id, lower(regexp_extract(url, '^([^:]+)', 1)) || '://' || lower(regexp_extract(url, '^[^:]+://([^/?#]+)', 1)) || CASE WHEN regexp_extract(url, '^[^:]+://[^/?#]+([^?#]*)', 1) = '' THEN '/' ELSE regexp_extract(url, '^[^:]+://[^/?#]+([^?#]*)', 1) END
-  || regexp_extract(url, '(\?[^#]+)', 1) AS url FROM pages""",
+    "url_normalize": f"SELECT page_id, {URL} AS url FROM pages",
     "page_dedup": r"""
 WITH p AS (SELECT regexp_replace(url, '[?#].*$', '') AS raw, html FROM pages),
 n AS (SELECT raw, html, regexp_replace(lower(regexp_extract(raw, '^([^:]+://[^/]+)', 1)), '$', '') || CASE WHEN regexp_extract(raw, '^[^:]+://[^/]+(.*)$', 1) = '' THEN '/' ELSE regexp_extract(raw, '^[^:]+://[^/]+(.*)$', 1) END AS url FROM p WHERE octet_length(encode(coalesce(html, ''))) <= 1000000)

@@ -279,7 +279,7 @@ def answer_lines(spark, d):
     claims = kept.select("query_id", F.col("number").alias("claim_no"), F.replace("text", F.lit("\n"), F.lit(" ")).alias("text"), F.array(marker).alias("refs"))
     sources = kept.select("query_id", marker.alias("marker"), "text")
     actions = retrieval.route(_questions(spark, d), _judged(spark, d))
-    return evidence.answers(evidence.contexts(actions, kept), claims, sources)
+    return evidence.answers(evidence.contexts(actions, kept), claims, sources).withColumn("used", F.array_join("used", " "))
 
 
 def _turn_pairs(spark, d):
