@@ -2,8 +2,9 @@
 
 from __future__ import annotations
 
+import re
 import unicodedata
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
 import pandas as pd
 from pyspark.sql import Column
@@ -52,6 +53,21 @@ def words(text: Column) -> Column:
     return F.regexp_extract_all(F.lower(text), F.lit(r"(?U)(\w+)"), F.lit(1))
 
 
+def paragraph_spans(text: str) -> Iterator[tuple[str, int, int, int, int]]:
+    """text, start and end, first and last line (from 1) of each part between blank lines, without white space at its ends; each line is counted once."""
+    line, counted, begin = 1, 0, 0
+    for edge in [*re.finditer(r"\n[ \t]*\n", text), None]:
+        end = edge.start() if edge else len(text)
+        part = text[begin:end]
+        a, z = end - len(part.lstrip()), begin + len(part.rstrip())
+        if a < z:
+            first = line + text.count("\n", counted, a)
+            line = first + text.count("\n", a, z)
+            counted = z
+            yield text[a:z], a, z, first, line
+        begin = edge.end() if edge else end
+
+
 def terms(text: Column) -> Column:
     """Distinct words of two characters or more."""
     return F.array_distinct(F.regexp_extract_all(F.lower(text), F.lit(r"(?U)(\w{2,})"), F.lit(1)))
@@ -59,7 +75,12 @@ def terms(text: Column) -> Column:
 
 def overlap(a: Column, b: Column) -> Column:
     """How many terms two texts share: the stand-in for a cross-encoder, not a model."""
-    return F.size(F.array_intersect(terms(a), terms(b))).cast("double")
+    return shared(terms(a), terms(b))
+
+
+def shared(a: Column, b: Column) -> Column:
+    """How many terms two arrays of them share."""
+    return F.size(F.array_intersect(a, b)).cast("double")
 
 
 def tail(text: Column, limit: Column) -> Column:

@@ -5,31 +5,39 @@ A blocks table has document_id, ordinal, text, kind, page, heading_path, metadat
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..config import Cleaning
-from ..functions.text import clean_text, content_lines, margin_key
+from ..functions.text import clean_text, content_lines, margin_key, paragraph_spans
 
 BLOCK = "struct<text:string,kind:string,page:int,heading_path:array<string>,metadata:string>"
 
 
+def _paragraph_batches(kind: pa.Schema):
+    """A document is read once from its start to its end, so the work is in proportion to its length."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows = []
+            for i, text in enumerate(batch.column(1).to_pylist()):
+                rows += [(i, n, *p) for n, p in enumerate(paragraph_spans(text or ""))]
+            at, *columns = zip(*rows, strict=True) if rows else [()] * 7
+            keys = batch.column(0).take(pa.array(at, pa.int64()))
+            yield pa.RecordBatch.from_arrays([keys, *(pa.array(c, f.type) for c, f in zip(columns, list(kind), strict=True))], ["key", *kind.names])
+
+    return run
+
+
 def paragraphs(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """key, ordinal (from 0), text, start_char, end_char, start_line, end_line (from 1) of the parts between blank lines."""
-    whole = F.coalesce(F.col(text), F.lit(""))
-    cut = F.split(whole, "\n[ \t]*\n")
-    gaps = F.regexp_extract_all(whole, F.lit("(\n[ \t]*\n)"), F.lit(1))
-    # Parts and the gaps after them in turn; a part starts where all before it ends.
-    pairs = F.zip_with(cut, gaps, lambda x, g: F.struct(x.alias("raw"), (F.length(x) + F.coalesce(F.length(g), F.lit(0))).alias("size")))
-    raw = docs.select(key, F.col(text).alias("_whole"), F.posexplode(pairs).alias("_i", "_p"))
-    raw = raw.withColumn("_at", F.coalesce(F.sum("_p.size").over(Window.partitionBy(key, "_whole").orderBy("_i").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
-    trimmed = F.regexp_replace("_p.raw", r"(?U)^\s+|\s+$", "")
-    lead = F.length("_p.raw") - F.length(F.regexp_replace("_p.raw", r"(?U)^\s+", ""))
-    rows = raw.select(key, "_whole", "_i", trimmed.alias("text"), (F.col("_at") + lead).cast("int").alias("start_char")).where("text <> ''")
-    rows = rows.withColumn("end_char", F.col("start_char") + F.length("text"))
-    lines = lambda upto: F.length(F.substring("_whole", F.lit(1), upto)) - F.length(F.replace(F.substring("_whole", F.lit(1), upto), F.lit("\n"), F.lit(""))) + 1
-    ordinal = (F.row_number().over(Window.partitionBy(key, "_whole").orderBy("_i")) - 1).alias("ordinal")
-    return rows.select(key, ordinal, "text", "start_char", "end_char", lines(F.col("start_char")).alias("start_line"), lines(F.col("end_char")).alias("end_line"))
+    """key, ordinal (from 0), text, start_char, end_char, start_line, end_line (from 1) of the parts between blank lines. Rows alike are documents of their own."""
+    whole = pa.int32()
+    kind = pa.schema([("ordinal", whole), ("text", pa.string()), ("start_char", whole), ("end_char", whole), ("start_line", whole), ("end_line", whole)])
+    schema = f"key {docs.schema[key].dataType.simpleString()}, ordinal int, text string, start_char int, end_char int, start_line int, end_line int"
+    return docs.select(F.col(key).alias("key"), F.col(text)).mapInArrow(_paragraph_batches(kind), schema).withColumnRenamed("key", key)
 
 
 def repeated_margins(blocks: DataFrame, config: Cleaning = Cleaning(), by: str = "document_id") -> DataFrame:

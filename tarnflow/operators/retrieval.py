@@ -1,15 +1,16 @@
 """Hybrid retrieval over many queries at once: dense and sparse top lists, rank fusion, reranking, relevance and routing.
 
-Queries are the small side: they go to the tasks in blocks of at most QUERY_ROWS, so what is sent has a bound and any number can be asked. Each task
-multiplies its rows, a batch at a time, with a block's matrix and keeps the best k rows of each query. What is shuffled after that is k
-rows for each query and task; there is no row for a pair.
+Queries are the small side: they go to the tasks, SCAN_BYTES at most for one scan of the rows, so what is sent has a bound and any number can be
+asked. Each task scores SLICE rows against QUERY_ROWS queries at a time and keeps the best k rows of each query. What is shuffled after that is
+k rows for each query and task; there is no row for a pair.
 """
 
 from __future__ import annotations
 
 import hashlib
 import re
-from collections.abc import Callable, Iterator
+from collections import Counter
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -18,7 +19,10 @@ from pyspark.sql import functions as F
 
 from ..functions.text import overlap
 
-QUERY_ROWS = 2000
+QUERY_ROWS, SLICE = 2000, 1000
+SCAN_BYTES, SCAN_QUERIES = 64 << 20, 20_000
+#: Products of a sparse search that are held at once.
+PAIRS = 2_000_000
 DIGITS = 9
 
 
@@ -35,133 +39,200 @@ def filtered(index: DataFrame, **equal: object) -> DataFrame:
     return index
 
 
-def _top(rows: DataFrame, by: str, k: int, *order: Column) -> DataFrame:
+def _top(rows: DataFrame, by: str | list[str], k: int, *order: Column) -> DataFrame:
     """rank (from 1) of the first k rows of each query; Spark drops the others before the shuffle."""
-    return rows.withColumn("rank", F.row_number().over(Window.partitionBy(by).orderBy(*order))).where(F.col("rank") <= k)
-
-
-def _blocks(queries: DataFrame, query: str) -> list[DataFrame]:
-    """Queries in blocks of about QUERY_ROWS at most."""
-    n = queries.select(query).distinct().count()
-    parts = -(-n // QUERY_ROWS)
-    return [queries] * n if parts <= 1 and n == 0 else [queries] if parts <= 1 else [queries.where(F.pmod(F.xxhash64(query), F.lit(parts)) == p) for p in range(parts)]
-
-
-def _keep_best(names: list, k: int, scored: Callable[[pa.RecordBatch], np.ndarray], positive: bool, kinds: tuple):
-    """Of a task's rows the k best for each query, by score rounded and then key. scored: rows by queries."""
+    return rows.withColumn("rank", F.row_number().over(Window.partitionBy(*([by] if isinstance(by, str) else by)).orderBy(*order))).where(F.col("rank") <= k)
+
+
+class _Dense:
+    """Inner products with the vectors of a scan's queries."""
+
+    positive = False
+
+    def __init__(self, table: pa.Table, query: str):
+        self.names = table.column(query).to_pylist()
+        self.matrix = np.array(table.column("vector").to_pylist(), float).T
+
+    def read(self, column: pa.Array) -> np.ndarray:
+        return column.flatten().to_numpy(zero_copy_only=False).reshape(len(column), -1)
+
+    def scores(self, x: np.ndarray, a: int, z: int) -> np.ndarray:
+        return x @ self.matrix[:, a:z]
+
+
+class _Sparse:
+    """Sums of products over shared tokens, from each token's queries and weights: nothing is as wide as the vocabulary."""
+
+    positive = True
+
+    def __init__(self, table: pa.Table, query: str, counted: bool):
+        self.counted = counted
+        asked = table.column(query).to_pylist()
+        self.names = list(dict.fromkeys(asked))
+        place = {name: i for i, name in enumerate(self.names)}
+        column = np.array([place[x] for x in asked], np.int64)
+        token, weight = table.column("token_id").to_numpy(), table.column("weight").to_numpy()
+        order = np.lexsort((column, token))
+        self.token, self.column, self.weight = token[order], column[order], weight[order]
+        self.tokens = set(self.token.tolist())
+        self.known: dict[str, int | None] = {}
+
+    def _number(self, word: str) -> int | None:
+        if word not in self.known:
+            if len(self.known) > 500_000:
+                self.known.clear()
+            number = int.from_bytes(hashlib.sha256(word.encode()).digest()[:4], "big")
+            self.known[word] = number if number in self.tokens else None
+        return self.known[word]
+
+    def read(self, column: pa.Array) -> tuple[int, np.ndarray, np.ndarray, np.ndarray]:
+        """How many rows, and row, token and weight of what they hold."""
+        if not self.counted:
+            offsets = column.offsets.to_numpy()
+            part = slice(offsets[0], offsets[-1])
+            row = np.repeat(np.arange(len(column)), np.diff(offsets))
+            return len(column), row, column.keys.to_numpy(zero_copy_only=False)[part], column.items.to_numpy(zero_copy_only=False)[part]
+        row, token, weight = [], [], []
+        for i, text in enumerate(column.to_pylist()):
+            for word, n in Counter(re.findall(r"\w+", (text or "").lower())).items():
+                if (number := self._number(word)) is not None:
+                    row.append(i)
+                    token.append(number)
+                    weight.append(n)
+        return len(column), np.array(row, np.int64), np.array(token, np.int64), np.array(weight, float)
+
+    def scores(self, x: tuple, a: int, z: int) -> np.ndarray:
+        n, row, token, weight = x
+        own = np.flatnonzero((self.column >= a) & (self.column < z))
+        tokens, column, weights = self.token[own], self.column[own] - a, self.weight[own]
+        first, last = np.searchsorted(tokens, token, "left"), np.searchsorted(tokens, token, "right")
+        hit = np.flatnonzero(last > first)
+        row, weight, first, many = row[hit], weight[hit], first[hit], (last - first)[hit]
+        out = np.zeros(n * (z - a))
+        edges = np.concatenate([[0], np.cumsum(many)])
+        at = 0
+        while at < len(hit):
+            stop = max(at + 1, int(np.searchsorted(edges, edges[at] + PAIRS, "right")) - 1)
+            size = many[at:stop]
+            posting = np.repeat(first[at:stop] - (edges[at:stop] - edges[at]), size) + np.arange(edges[stop] - edges[at])
+            cell = np.repeat(row[at:stop], size) * (z - a) + column[posting]
+            out += np.bincount(cell, np.repeat(weight[at:stop], size) * weights[posting], len(out))
+            at = stop
+        return out.reshape(n, z - a)
+
+
+class _Best:
+    """The k best rows of each query so far, by score rounded and then key."""
+
+    def __init__(self, k: int, queries: int):
+        self.k, self.held, self.size = k, [], 0
+        self.bar = np.full(queries, -np.inf)
+
+    def add(self, s: np.ndarray, a: int, keys: pa.Array, positive: bool) -> None:
+        s = np.round(s, DIGITS)
+        place = min(self.k, len(s)) - 1
+        bar = np.maximum(-np.partition(-s, place, axis=0)[place], self.bar[a : a + s.shape[1]])
+        rows, columns = np.nonzero((s >= bar) & ((s > 0) | (not positive)))
+        if len(rows):
+            self.held.append((columns + a, s[rows, columns], keys.take(pa.array(rows))))
+            self.size += len(rows)
+        if self.size > 4 * self.k * len(self.bar):
+            self.reduce()
+
+    def reduce(self) -> None:
+        if not self.held:
+            return
+        column, score = (np.concatenate([h[i] for h in self.held]) for i in (0, 1))
+        keys = pa.concat_arrays([h[2] for h in self.held])
+        rank = np.unique(keys.to_numpy(zero_copy_only=False), return_inverse=True)[1]
+        order = np.lexsort((rank, -score, column))
+        column = column[order]
+        place = np.arange(len(column)) - np.searchsorted(column, column)
+        kept = place < self.k
+        order, column, place = order[kept], column[kept], place[kept]
+        score = score[order]
+        full = place == self.k - 1
+        self.bar[column[full]] = score[full]
+        self.held, self.size = [(column, score, keys.take(pa.array(order)))], len(order)
+
+
+def _keep_best(lists: list, k: int, kind: pa.DataType):
+    """Of a task's rows the k best for each query of each list; lists are searched in one pass over the rows."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[tuple] = []  # column, score, key
-
-        def reduced() -> tuple:
-            column, score = (np.concatenate([h[i] for h in held]) for i in (0, 1))
-            keys = pa.concat_arrays([h[2] for h in held])
-            rank = np.unique(keys.to_numpy(zero_copy_only=False), return_inverse=True)[1]
-            order = np.lexsort((rank, -score, column))
-            column = column[order]
-            place = np.arange(len(column)) - np.searchsorted(column, column)
-            order, column = order[place < k], column[place < k]
-            return column, score[order], keys.take(pa.array(order))
-
+        best = [_Best(k, len(one.names)) for one in lists]
         for batch in batches:
-            if not batch.num_rows:
-                continue
-            s = np.round(scored(batch), DIGITS)
-            bar = -np.partition(-s, min(k, len(s)) - 1, axis=0)[min(k, len(s)) - 1]
-            rows, columns = np.nonzero((s >= bar) & ((s > 0) | (not positive)))
-            held.append((columns, s[rows, columns], batch.column(0).take(pa.array(rows))))
-            held = [reduced()]
-        if held:
-            column, score, keys = held[0]
-            yield pa.RecordBatch.from_arrays([pa.array([names[c] for c in column], kinds[0]), keys, pa.array(score, pa.float64())], ["q", "k", "score"])
+            for at in range(0, batch.num_rows, SLICE):
+                part = batch.slice(at, SLICE)
+                for j, one in enumerate(lists):
+                    column = part.column(1 + j)
+                    there = column.is_valid()
+                    keys, x = part.column(0).filter(there), one.read(column.filter(there))
+                    for a in range(0, len(one.names) if len(keys) else 0, QUERY_ROWS):
+                        best[j].add(one.scores(x, a, min(a + QUERY_ROWS, len(one.names))), a, keys, one.positive)
+        for j, one in enumerate(lists):
+            best[j].reduce()
+            for column, score, keys in best[j].held:
+                names = pa.array([one.names[c] for c in column], kind)
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(column), j, np.int32)), names, keys, pa.array(score, pa.float64())], ["l", "q", "k", "score"])
 
     return run
 
 
-def _ranked(found: list[DataFrame], rows: DataFrame, queries: DataFrame, query: str, key: str, k: int) -> DataFrame:
-    if not found:
-        schema = f"{query} {queries.schema[query].dataType.simpleString()}, {key} {rows.schema[key].dataType.simpleString()}, score double, rank int"
-        return rows.sparkSession.createDataFrame([], schema)
-    every = found[0]
-    for more in found[1:]:
-        every = every.unionByName(more)
-    return _top(every.toDF(query, key, "score"), query, k, F.desc("score"), F.col(key))
+def _search(rows: DataFrame, lists: list[tuple], query: str, key: str, k: int) -> DataFrame:
+    """lists: queries, the rows' column they are held against, bytes of a row of queries, and what scores a table of them. list, query, key, score, rank."""
+    names = lists[0][0].schema[query].dataType.simpleString()
+    kind = f"l int, q {names}, k {rows.schema[key].dataType.simpleString()}, score double"
+    parts = 1
+    for queries, _, size, _ in lists:
+        n = queries.agg(F.count_distinct(query).alias("n"), F.coalesce(F.sum(size), F.lit(0)).alias("bytes")).first()
+        parts = max(parts, -(-n["n"] // SCAN_QUERIES), -(-int(n["bytes"]) // SCAN_BYTES))
+    found = None
+    for p in range(parts):
+        tables = [queries.where(F.pmod(F.xxhash64(query), F.lit(parts)) == p).toArrow() for queries, *_ in lists]
+        if not any(t.num_rows for t in tables):
+            continue
+        run = _keep_best([make(t) for t, (*_, make) in zip(tables, lists, strict=True)], k, tables[0].schema.field(query).type)
+        one = rows.select(key, *(value for _, value, _, _ in lists)).mapInArrow(run, kind)
+        found = one if found is None else found.unionByName(one)
+    found = rows.sparkSession.createDataFrame([], kind) if found is None else found
+    return _top(found.toDF("list", query, key, "score"), ["list", query], k, F.desc("score"), F.col(key))
+
+
+def _dense_list(queries: DataFrame, query: str, value: str) -> tuple:
+    q = queries.select(query, F.col("vector").cast("array<double>").alias("vector")).where("vector is not null")
+    return q, F.col(value).cast("array<double>").alias("_vector"), 8 * F.size("vector"), lambda table: _Dense(table, query)
 
 
-def _search(rows: DataFrame, queries: DataFrame, query: str, key: str, value: str, k: int, make: Callable, positive: bool) -> DataFrame:
-    """make(table of a block's queries) gives their names and a function from a batch of (key, value) to scores."""
-    kind = f"q {queries.schema[query].dataType.simpleString()}, k {rows.schema[key].dataType.simpleString()}, score double"
-    found = []
-    for block in _blocks(queries, query):
-        table = block.toArrow()
-        names, scored = make(table)
-        found.append(rows.select(key, value).mapInArrow(_keep_best(names, k, scored, positive, (table.schema.field(query).type,)), kind))
-    return _ranked(found, rows, queries, query, key, k)
+def _sparse_list(queries: DataFrame, query: str, value: str) -> tuple:
+    q = queries.select(query, F.col("token_id").cast("long").alias("token_id"), F.col("weight").cast("double").alias("weight"))
+    column = F.col(value).cast("map<bigint,double>") if value == "lexical" else F.col(value)
+    return q, column.alias("_sparse"), F.lit(24), lambda table: _Sparse(table, query, value != "lexical")
 
 
 def dense_top(queries: DataFrame, rows: DataFrame, k: int, query: str = "query_id", key: str = "chunk_id") -> DataFrame:
     """queries: query, vector; rows: key, vector (unit vectors for cosine). query, key, score, rank: the k of largest inner product (to nine
     digits, so that the order of summing does not matter), ties by key. Null vectors take no part.
     """
-
-    def make(table: pa.Table):
-        matrix = np.array(table.column("vector").to_pylist(), float).T
-
-        def scored(batch: pa.RecordBatch) -> np.ndarray:
-            flat = batch.column(1).flatten().to_numpy(zero_copy_only=False)
-            return flat.reshape(batch.num_rows, -1) @ matrix
-
-        return table.column(query).to_pylist(), scored
-
-    q = queries.select(query, F.col("vector").cast("array<double>").alias("vector")).where("vector is not null")
-    return _search(rows.withColumn("vector", F.col("vector").cast("array<double>")).where("vector is not null"), q, query, key, "vector", k, make, False)
-
-
-def _sparse_matrix(table: pa.Table, query: str) -> tuple[list, dict[int, int], np.ndarray]:
-    """Queries' names, places of their tokens, and weights by place and query."""
-    names = list(dict.fromkeys(table.column(query).to_pylist()))
-    column = {name: i for i, name in enumerate(names)}
-    tokens = np.unique(table.column("token_id").to_numpy())
-    matrix = np.zeros((len(tokens), len(names)))
-    np.add.at(matrix, (np.searchsorted(tokens, table.column("token_id").to_numpy()), [column[x] for x in table.column(query).to_pylist()]), table.column("weight").to_numpy())
-    return names, {int(t): i for i, t in enumerate(tokens)}, matrix
+    return _search(rows, [_dense_list(queries, query, "vector")], query, key, k).drop("list")
 
 
 def sparse_top(queries: DataFrame, rows: DataFrame, k: int, query: str = "query_id", key: str = "chunk_id", value: str = "lexical") -> DataFrame:
     """queries: query, token_id, weight; rows: key, value: lexical (map from token id to weight) or, under another name, a text, whose tokens are
     counted on the way. query, key, score, rank: the k of largest sum of products over shared tokens, ties by key. Rows without one have no place.
     """
+    return _search(rows, [_sparse_list(queries, query, value)], query, key, k).drop("list")
 
-    def make(table: pa.Table):
-        names, places, matrix = _sparse_matrix(table, query)
-        known: dict[str, int | None] = {}
 
-        def place(word: str) -> int | None:
-            if word not in known:
-                if len(known) > 500_000:
-                    known.clear()
-                known[word] = places.get(int.from_bytes(hashlib.sha256(word.encode()).digest()[:4], "big"))
-            return known[word]
-
-        def scored(batch: pa.RecordBatch) -> np.ndarray:
-            x = np.zeros((batch.num_rows, len(matrix)))
-            for i, row in enumerate(batch.column(1).to_pylist()):
-                if value == "lexical":
-                    for token, weight in row or ():
-                        if (at := places.get(token)) is not None:
-                            x[i, at] = weight
-                else:
-                    at = [p for p in map(place, re.findall(r"\w+", (row or "").lower())) if p is not None]
-                    x[i] = np.bincount(at, minlength=len(matrix)) if at else 0
-            return x @ matrix
-
-        return names, scored
-
-    return _search(rows, queries.select(query, "token_id", "weight"), query, key, value, k, make, True)
+def hybrid_top(vectors: DataFrame, posts: DataFrame, rows: DataFrame, k: int, query: str = "query_id", key: str = "chunk_id") -> DataFrame:
+    """dense_top of vectors (list 0) and sparse_top of posts (list 1) in one pass over rows: key, vector, lexical. For fuse()."""
+    return _search(rows, [_dense_list(vectors, query, "vector"), _sparse_list(posts, query, "lexical")], query, key, k)
 
 
 def fuse(lists: list[DataFrame], limit: int, rrf_k: int = 2, query: str = "query_id", key: str = "chunk_id") -> DataFrame:
-    """Reciprocal rank fusion: score = sum over lists of 1 / (rrf_k + rank from 0), to nine digits; a row may be in one list only."""
+    """Reciprocal rank fusion: score = sum over lists of 1 / (rrf_k + rank from 0), to nine digits; a row may be in one list only. A table of
+    several lists, as of hybrid_top(), counts as them.
+    """
     every = None
     for one in lists:
         part = one.select(query, key, (F.lit(1.0) / (F.lit(rrf_k) + F.col("rank") - 1)).alias("part"))

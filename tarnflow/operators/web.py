@@ -16,7 +16,7 @@ from pyspark.sql.functions import pandas_udf
 from pyspark.sql.types import StringType
 
 from ..config import Refinement, WebSearch
-from ..functions.text import overlap
+from ..functions.text import shared, terms
 from .chunking import strips
 
 #: Elements without page text, and elements that end a line.
@@ -143,25 +143,27 @@ def eligible(hits: DataFrame, config: WebSearch = WebSearch(), query: str = "que
 
 
 def preselect(passages: DataFrame, config: WebSearch = WebSearch(), by: tuple = ("query_id", "url")) -> DataFrame:
-    """passages: by, query_text, passage_no (from 0), passage. Of a page with more than max_passages the first few and those that share most terms with
-    the query (ties to the earlier); candidate_no counts what stays, from 0.
+    """passages: by, query_text (or its query_terms), passage_no (from 0), passage. Of a page with more than max_passages the first few and those that
+    share most terms with the query (ties to the earlier). candidate_no counts what stays, from 0; shared is how many terms.
     """
     page = Window.partitionBy(*by)
-    shared = passages.withColumn("_shared", overlap(F.col("query_text"), F.col("passage"))).withColumn("_n", F.count("*").over(page))
-    ranked = shared.withColumn("_r", F.row_number().over(page.orderBy(F.desc("_shared"), "passage_no")))
+    asked = F.col("query_terms") if "query_terms" in passages.columns else terms(F.col("query_text"))
+    counted = passages.withColumn("shared", shared(asked, terms(F.col("passage")))).withColumn("_n", F.count("*").over(page))
+    ranked = counted.withColumn("_r", F.row_number().over(page.orderBy(F.desc("shared"), "passage_no")))
     first = F.least(F.lit(config.first_passages), F.lit(config.max_passages))
     kept = ranked.where((F.col("_n") <= config.max_passages) | (F.col("passage_no") < first) | (F.col("_r") <= config.max_passages - first))
-    return kept.withColumn("candidate_no", F.row_number().over(page.orderBy("passage_no")) - 1).drop("_shared", "_n", "_r")
+    return kept.withColumn("candidate_no", F.row_number().over(page.orderBy("passage_no")) - 1).drop("_n", "_r")
 
 
 def passages(hits: DataFrame, pages: DataFrame, config: WebSearch = WebSearch(), refinement: Refinement = Refinement(), query: str = "query_id") -> DataFrame:
     """hits: query, query_text, url, search_rank; pages of fetched(). The best passages_per_page strips of each page by rerank score, ties to the earlier."""
-    cut = strips(pages.select("url", "text"), "url", "text", refinement)
-    cut = cut.withColumn("passage_no", (F.row_number().over(Window.partitionBy("url").orderBy("start")) - 1).cast("int")).withColumnRenamed("strip", "passage")
-    near = preselect(hits.join(cut, "url"), config, (query, "url")).withColumn("rerank_score", overlap(F.col("query_text"), F.col("passage")))
-    top = near.withColumn("_r", F.row_number().over(Window.partitionBy(query, "url").orderBy(F.desc("rerank_score"), "candidate_no"))).where(F.col("_r") <= config.passages_per_page).drop("_r")
-    sha = pages.select("url", "content_sha256")
-    named = top.join(sha, "url")
+    # Only pages that were found are read and cut.
+    read = pages.join(hits.select("url").distinct(), "url", "left_semi").select(F.struct("url", "content_sha256").alias("page"), "text")
+    cut = strips(read, "page", "text", refinement).select("page.url", "page.content_sha256", "start", "end", F.col("strip").alias("passage"))
+    cut = cut.withColumn("passage_no", (F.row_number().over(Window.partitionBy("url").orderBy("start")) - 1).cast("int"))
+    asked = hits.withColumn("query_terms", terms(F.col("query_text")))
+    near = preselect(asked.join(cut, "url"), config, (query, "url")).withColumnRenamed("shared", "rerank_score").drop("query_terms")
+    named = near.withColumn("_r", F.row_number().over(Window.partitionBy(query, "url").orderBy(F.desc("rerank_score"), "candidate_no"))).where(F.col("_r") <= config.passages_per_page).drop("_r")
     digest = F.substring(F.sha2(F.concat_ws("\0", "url", "content_sha256", F.col("start").cast("string"), F.col("end").cast("string")), 256), 1, 24)
     return named.withColumn("strip_id", F.concat(F.lit("web:"), digest)).withColumn("retrieval_score", 1 / (F.col("search_rank") + 1))
 

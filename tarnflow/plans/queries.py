@@ -144,9 +144,8 @@ def _hybrid(spark, d, k):
     n = retrieval.prefetch(k)
     docs = read(spark, d, "documents").select("doc_id", "text")
     q = dense(posts, "query_id").select("query_id", F.col("dense").alias("vector"))
-    rows = docs.select("doc_id", embedder()(F.col("text"))["dense"].alias("vector"))
-    near = retrieval.dense_top(q, rows, n, key="doc_id")
-    return retrieval.fuse([near, retrieval.sparse_top(posts, docs, n, key="doc_id", value="text")], k, key="doc_id")
+    rows = docs.select("doc_id", embedder()(F.col("text")).alias("e")).select("doc_id", F.col("e.dense").alias("vector"), "e.lexical")
+    return retrieval.fuse([retrieval.hybrid_top(q, posts, rows, n, key="doc_id")], k, key="doc_id")
 
 
 def rrf_hybrid(spark, d):
@@ -154,12 +153,16 @@ def rrf_hybrid(spark, d):
 
 
 def _texts(spark, d, hits):
-    asked = _questions(spark, d).withColumnRenamed("text", "query_text")
-    return hits.join(read(spark, d, "documents").select("doc_id", "text"), "doc_id").join(asked, "query_id")
+    """Hits with both texts. They are few and long, so they are dealt out evenly: what is done with a text outweighs its move."""
+    asked = _questions(spark, d).withColumnRenamed("text", "query_text").withColumn("query_terms", T.terms(F.col("query_text")))
+    found = hits.join(read(spark, d, "documents").select("doc_id", "text"), "doc_id").join(asked, "query_id")
+    tasks = max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    return found.repartition(tasks, "query_id", "doc_id")
 
 
 def rerank_topk(spark, d):
-    hits = retrieval.rerank(_texts(spark, d, _sparse(spark, d, 30)), 10)
+    shared = T.shared(F.col("query_terms"), T.terms(F.col("text")))
+    hits = retrieval.rerank(_texts(spark, d, _sparse(spark, d, 30)), 10, shared)
     return hits.select("query_id", "doc_id", "retrieval_score", "retrieval_rank", "rerank_score", "rank")
 
 
@@ -212,7 +215,7 @@ def page_dedup(spark, d):
 
 def _line_passages(spark, d):
     hits = _texts(spark, d, _sparse(spark, d, 5))
-    lines = hits.select("query_id", "doc_id", "query_text", F.posexplode(F.split("text", "\n")).alias("passage_no", "passage"))
+    lines = hits.select("query_id", "doc_id", "query_text", "query_terms", F.posexplode(F.split("text", "\n")).alias("passage_no", "passage"))
     return lines.withColumn("url", F.col("doc_id"))
 
 

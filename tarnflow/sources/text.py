@@ -2,8 +2,7 @@
 
 from __future__ import annotations
 
-import re
-
+from ..functions.text import paragraph_spans
 from .blocks import Block, Parsed
 from .decode import decode
 
@@ -11,14 +10,6 @@ from .decode import decode
 def parse_text(data: bytes, name: str = "") -> Parsed:
     decoded = decode(data)
     out = Parsed("text/plain", metadata={"encoding": decoded.encoding}, warnings=list(decoded.warnings))
-    begin = 0
-    for edge in [*re.finditer(r"\n[ \t]*\n", decoded.text), None]:
-        end = edge.start() if edge else len(decoded.text)
-        part = decoded.text[begin:end]
-        if part.strip():
-            a = begin + len(part) - len(part.lstrip())
-            z = begin + len(part.rstrip())
-            line = lambda at: decoded.text.count("\n", 0, at) + 1
-            out.blocks.append(Block(decoded.text[a:z], metadata={"source": {"start_line": line(a), "end_line": line(z), "start_char": a, "end_char": z}}))
-        begin = edge.end() if edge else end
+    for part, a, z, first, last in paragraph_spans(decoded.text):
+        out.blocks.append(Block(part, metadata={"source": {"start_line": first, "end_line": last, "start_char": a, "end_char": z}}))
     return out

@@ -192,3 +192,42 @@ def test_ingest_folder_and_stream(spark, tmp_path):
     assert other.read().count() == len(rows)
 
 
+
+
+def test_searches_in_blocks_and_slices_equal_brute_force(spark, monkeypatch):
+    import numpy as np
+
+    for name, value in {"QUERY_ROWS": 3, "SLICE": 4, "PAIRS": 5, "SCAN_BYTES": 200}.items():
+        monkeypatch.setattr(retrieval, name, value)
+    rng = np.random.default_rng(5)
+    n, m, k = 40, 11, 6
+    weights = np.where(rng.random((n, 9)) < 0.4, rng.integers(1, 4, (n, 9)), 0)
+    asked = np.where(rng.random((m, 9)) < 0.5, rng.integers(1, 4, (m, 9)), 0)
+    vectors, looked = rng.integers(-3, 4, (n, 2)).astype(float), rng.integers(-3, 4, (m, 2)).astype(float)
+    held = [(i, vectors[i].tolist(), {t: float(w) for t, w in enumerate(weights[i]) if w}) for i in range(n)]
+    held += [(100, None, {0: 1.0}), (101, [0.0, 1.0], None)]
+    rows = spark.createDataFrame(held, "chunk_id long, vector array<double>, lexical map<bigint,double>").repartition(3)
+    posts = spark.createDataFrame([(q, t, float(w)) for q in range(m) for t, w in enumerate(asked[q]) if w], "query_id int, token_id long, weight double")
+    near = spark.createDataFrame([(q, looked[q].tolist()) for q in range(m)], "query_id int, vector array<double>")
+
+    def best(score, keys, positive):
+        return {(q, keys[i], r + 1) for q in range(m) for r, i in enumerate([i for i in sorted(range(len(keys)), key=lambda i: (-score[i][q], keys[i])) if score[i][q] > 0 or not positive][:k])}
+
+    dense = best(np.vstack([vectors, [0.0, 1.0]]) @ looked.T, [*range(n), 101], False)
+    sparse = best(np.vstack([weights, np.eye(9)[0]]) @ asked.T, [*range(n), 100], True)
+    took = lambda table: {(r["query_id"], r["chunk_id"], r["rank"]) for r in table.collect()}
+    assert took(retrieval.dense_top(near, rows, k)) == dense
+    assert took(retrieval.sparse_top(posts, rows, k)) == sparse
+    both = retrieval.hybrid_top(near, posts, rows, k)
+    assert took(both.where("list = 0")) == dense and took(both.where("list = 1")) == sparse
+    assert retrieval.sparse_top(posts.limit(0), rows, k).count() == retrieval.dense_top(near, rows.limit(0), k).count() == 0
+
+
+def test_paragraphs_of_rows_alike_and_of_long_texts(spark):
+    text = " a\n\n\n b \nc\n \t\n\nlast"
+    rows = spark.createDataFrame([(1, text, 0), (1, text, 0), (2, "", 0), (None, None, 0), (3, "x\n\n" * 50_000, 0)], "doc_id long, text string, ordinal int")
+    got = blocks.paragraphs(rows)
+    assert got.where("doc_id = 3").count() == 50_000
+    same = sorted(tuple(r)[1:] for r in got.where("doc_id < 3").collect())
+    assert same == sorted([(0, "a", 1, 2, 1, 1), (1, "b \nc", 6, 10, 4, 5), (2, "last", 15, 19, 8, 8)] * 2)
+    assert got.where("doc_id is null").count() == 0
