@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import HOT_SHARE, block_count, free_shuffles, keyed, short_batches, written
+from .common import HOT_SHARE, block_count, drop, free_shuffles, keyed, short_batches, written
 from .words import U, arrow_slices, mixed
 
 WIDTH, GRAM = 200, 48
@@ -388,17 +388,24 @@ def repeated_bytes(docs: DataFrame, width: int = WIDTH, gram: int = GRAM) -> Dat
         d = d.withColumn("stand_in", F.lit(False))
     dealt = d.select("doc_id", "text", "stand_in", F.pmod("k1", F.lit(blocks)).cast("int").alias("block"))
     seen = dealt.select("text", "block").mapInArrow(_count_anchors(width, gram), "anchor long, block int, n int")
-    seen = seen.groupBy("anchor", "block").agg(F.sum("n").alias("n"))
+    seen = written(seen.groupBy("anchor", "block").agg(F.sum("n").alias("n")), "seen")
     often = seen.groupBy("anchor").agg(F.sum("n").alias("total")).where("total > 1").select("anchor")
     again = written(seen.join(often, "anchor").select("block", "anchor"), "anchors")
+    drop(seen)
+    del seen, often
     free_shuffles(spark)
     sent = dealt.groupBy("block").cogroup(again.groupBy("block")).applyInArrow(_send(width, gram), "block int, suffix long, n int, ahead binary, behind binary")
     sent = written(sent, "suffixes")
+    drop(again)
+    del again
     free_shuffles(spark)
     size = sent.agg(F.sum(F.octet_length("ahead") + F.octet_length("behind")).alias("b")).first()["b"] or 0
     buckets = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-size // BUCKET_BYTES))
     ordered = sent.repartitionByRange(buckets, "ahead", "behind", "block").select("block", "suffix", "n", "ahead", "behind")
     found = written(ordered.mapInArrow(_sort(width, gram), _SORTED_SQL), "windows")
+    drop(sent)
+    del sent, ordered
+    free_shuffles(spark)
     # Windows that more than one bucket may hold.
     outer = found.where("window IS NOT NULL")
     twice = outer.groupBy("window").agg(F.sum("n").alias("total")).where("total > 1").select("window")
