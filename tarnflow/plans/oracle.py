@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from . import layout_queries
+
 SPACES = r"\t\x0b\f \x{0085}\x{00A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}"
 WORD = r"[\p{L}\p{M}\p{Nd}\p{Pc}]"
 
@@ -351,3 +353,4 @@ c AS (SELECT query_id, count(*) AS n, count(DISTINCT source_type) AS sources FRO
 SELECT 'run-' || query_id AS run_id, action AS branch, CASE WHEN n IS NULL THEN 'no_evidence' WHEN action = 'Ambiguous' AND sources < 2 THEN 'partial' ELSE 'ready' END AS status, n AS n_citations
 FROM actions LEFT JOIN c USING (query_id)""",
 }
+SQL |= layout_queries.SQL

@@ -5,7 +5,7 @@ Documents stand for the indexed chunks where an index is needed, benchmark items
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..config import Chunking, Context, Ingestion, WebSearch
@@ -13,17 +13,11 @@ from ..functions import text as T
 from ..functions.embedding import dense, embedder, postings
 from ..functions.vectors import norm
 from ..operators import artifacts, blocks, chat, chunking, evidence, index, retrieval, web
+from . import layout_queries
 from .corrective import Corrective
+from .tables import read
 
 SIGNATURE = Ingestion().signature()
-TEXTS = {"documents", "pages"}
-
-
-def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
-    """A table; one of fewer files than there are cores is dealt out to all of them, as a file may be one task's only."""
-    rows = spark.read.parquet(f"{sf_dir}/{table}.parquet")
-    cores = spark.sparkContext.defaultParallelism
-    return rows.repartition(cores) if table in TEXTS and len(rows.inputFiles()) < cores else rows
 
 
 def _questions(spark, d):
@@ -423,3 +417,4 @@ QUERIES = {f.__name__: f for f in (
     context_budget, context_status, branch_problems, answer_lines, polarity_filter, mojibake_filter, doc_status, skip_unchanged, doc_listing, mixed_index,
     stale_points, replaced_index, index_issues, session_list, session_messages, session_title, upload_names, managed_uploads, run_summaries, corrective_contexts,
 )}
+QUERIES |= layout_queries.QUERIES
