@@ -109,19 +109,16 @@ def page_text(html: pd.Series) -> pd.Series:
 
 
 def fetched(pages: DataFrame, config: WebSearch = WebSearch(), url: str = "url", html: str = "html") -> DataFrame:
-    """Pages as a fetcher returns them: url in one form, text of at most max_page_chars, content_sha256 of the bytes, truncated. Pages that are not
-    public or larger than max_page_bytes are left out; of one address the first by its raw form stays.
+    """Pages as a fetcher returns them: url in one form, text of at most max_page_chars without white space at its ends, content_sha256 of that text,
+    truncated. Pages that are not public, larger than max_page_bytes or without text are left out; of one address the first by its raw form stays.
     """
     size = F.octet_length(F.coalesce(html, F.lit("")))
     rows = pages.where(size <= config.max_page_bytes).withColumn("_url", normalize_url(F.col(url), config.allowed_domains)).where("_url is not null")
     rows = rows.withColumn("_r", F.row_number().over(Window.partitionBy("_url").orderBy(url))).where("_r = 1")
     rows = rows.withColumn("_text", page_text(F.col(html)))
-    return rows.select(
-        F.col("_url").alias("url"),
-        F.substring("_text", 1, config.max_page_chars).alias("text"),
-        F.sha2(F.encode(F.coalesce(F.col(html), F.lit("")), "UTF-8"), 256).alias("content_sha256"),
-        (F.length("_text") > config.max_page_chars).alias("truncated"),
-    )
+    cut = F.regexp_replace(F.substring("_text", 1, config.max_page_chars), r"(?U)^\s+|\s+$", "")
+    rows = rows.select(F.col("_url").alias("url"), cut.alias("text"), (F.length("_text") > config.max_page_chars).alias("truncated")).where("text <> ''")
+    return rows.select("url", "text", F.sha2(F.encode("text", "UTF-8"), 256).alias("content_sha256"), "truncated")
 
 
 def web_queries(queries: DataFrame, limit: int = 2, query: str = "query_id") -> DataFrame:

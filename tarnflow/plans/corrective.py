@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from ..config import Context, Refinement, WebSearch
 from ..functions.embedding import dense, embedder, postings
 from ..functions.text import overlap
-from ..operators import evidence, retrieval, web
+from ..operators import evidence, provenance, retrieval, web
 from ..operators.chunking import strips
 
 
@@ -24,9 +24,14 @@ def by_overlap(query_text: Column, text: Column) -> Column:
     return F.when(n >= 3, "relevant").when(n == 0, "irrelevant").otherwise("uncertain")
 
 
+#: Columns of internal strips and citations where the index has source_spans; null for web strips.
+PROVENANCE = ["pages", "heading_path", "heading_paths", "has_overlap"]
+
+
 @dataclass
 class Corrective:
-    """index: chunk_id, text, vector; lexical: chunk_id, lexical; pages: web.fetched(); web_hits: query_id, search_no, search_rank, url."""
+    """index: chunk_id, text, vector, and source_spans if strips are to say where they come from (PROVENANCE); lexical: chunk_id, lexical; pages:
+    web.fetched(); web_hits: query_id, search_no, search_rank, url."""
 
     index: DataFrame
     lexical: DataFrame
@@ -58,10 +63,13 @@ class Corrective:
         """Relevant strips of the chunks that the action allows."""
         chosen = retrieval.parents(judged, actions)
         cut = strips(chosen.select("chunk_id", "text").dropDuplicates(["chunk_id"]), "chunk_id", "text", config)
+        if "source_spans" in self.index.columns:
+            own = self.index.select("chunk_id", "source_spans").join(cut.select("chunk_id").distinct(), "chunk_id", "left_semi")
+            cut = provenance.strip_provenance(cut, own).drop("source_spans")
         both = chosen.select("query_id", "query_text", "chunk_id", "retrieval_score", "rerank_score", "rank").join(cut, "chunk_id")
         both = both.where(self.judge(F.col("query_text"), F.col("strip")) == "relevant")
         strip_id = F.concat(F.col("chunk_id").cast("string"), F.lit(":strip:"), F.col("start").cast("string"), F.lit("-"), F.col("end").cast("string"))
-        return both.select("query_id", strip_id.alias("strip_id"), F.col("strip").alias("text"), F.lit("internal").alias("source_type"), F.col("chunk_id").cast("string").alias("source_ref"), "rank", "start")
+        return both.select("query_id", strip_id.alias("strip_id"), F.col("strip").alias("text"), F.lit("internal").alias("source_type"), F.col("chunk_id").cast("string").alias("source_ref"), "rank", "start", *(c for c in PROVENANCE if c in both.columns))
 
     def web(self, queries: DataFrame, actions: DataFrame, config: WebSearch = WebSearch()) -> DataFrame:
         """Relevant passages of pages for questions whose action is not Correct."""
@@ -77,7 +85,7 @@ class Corrective:
         judged, actions = judged.cache(), actions.cache()
         every = self.strips(judged, actions)
         if self.web_hits is not None:
-            every = every.unionByName(self.web(queries, actions))
+            every = every.unionByName(self.web(queries, actions), allowMissingColumns=True)
         order = Window.partitionBy("query_id").orderBy("source_type", "rank", "start")
         every = every.withColumn("position", F.row_number().over(order))
         key = F.concat_ws("|", F.col("query_id").cast("string"), "strip_id")
@@ -86,4 +94,6 @@ class Corrective:
         ready = every.withColumn("_key", key).join(own, "_key").join(asked, "query_id").join(actions.select("query_id", "action"), "query_id")
         chosen = evidence.select_diverse(ready, config).join(every.select("query_id", "strip_id", "source_type", "source_ref", "text"), ["query_id", "strip_id"])
         kept = evidence.within_budget(chosen, config)
+        if carried := [c for c in PROVENANCE if c in every.columns]:
+            kept = kept.join(every.select("query_id", "strip_id", *carried), ["query_id", "strip_id"])
         return evidence.contexts(actions, kept), kept
