@@ -1,17 +1,20 @@
 """The index as tables: chunk rows with document columns and vectors, their life cycle, and checks.
 
 An index row has document_id, source_path, content_hash, pipeline_signature, chunk_count, chunk_id, ordinal, text, char_count, dense, lexical.
-A replaced document is written as a new version beside the old one; readers see it when the manifest names it.
+A replaced document is written as a new version beside the old one; readers see it when a manifest names it.
 """
 
 from __future__ import annotations
 
+import json
+import os
 import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.vectors import norm
+from ..lineage import cut
 
 #: Fixed value: columns that all chunk rows of a document must agree on.
 DOCUMENT = ["source_path", "content_hash", "pipeline_signature", "chunk_count"]
@@ -173,105 +176,207 @@ def sorted_sparse(lexical: Column) -> Column:
     return F.struct(F.transform(entries, lambda e: e["key"]).alias("indices"), F.transform(entries, lambda e: e["value"]).alias("values"))
 
 
-BUCKETS = 64
+FAN = 8
+#: Rows of a segment of the lowest level at most; each level above holds FAN times as many.
+LEVEL_ROWS = 10_000
+#: Two writers' numbers of a change; only one of them can have it.
+CONFLICT = "another change was committed first"
+
+
+class Conflict(RuntimeError):
+    """The change was not made, as another writer's came before it. Read the index again and retry."""
 
 
 class IndexStore:
-    """An index in a folder of any store Spark writes to: buckets of documents as Parquet folders, and a manifest of which folder holds each bucket.
+    """An index as a log in a folder of any store Spark writes to. A change adds a segment and names it in a new manifest; nothing is written again for it.
 
-    A change writes the buckets it touches, whole, and then a manifest that names them beside the others, so its cost follows what it touches and
-    a reader sees the old or the new index, never a part. The manifest is a Parquet folder per change; the one of the highest number holds.
-    A marker names the documents of a change that is under way: one that a lost job leaves behind is what documents(pending=...) reports.
+    A segment has rows, the documents they are of, and deletes: documents whose rows in earlier segments hold no more. Rows and deletes carry the number of
+    their change, so a reader takes the rows that no later delete meets. Once `fan` segments of one level have none above them that is newer, they and
+    those between become one of the level above, without the rows that deletes among them meet; deletes go with the oldest segment. So a row is written again once a level, and there are about fan segments a level, whatever the number of changes.
+
+    A manifest is one small file that names the segments; the one of the highest number holds. It is made whole under another name and then renamed to the
+    number after the one that the writer has read, which fails if that is taken: of two writers at once one gets Conflict, and its
+    segment goes. Readers see the index before or after a change, never a part. (The store's rename must not replace a file, as HDFS's does not;
+    on local disks a hard link is made instead.) A marker names the documents of a change under way; one that a lost job leaves behind is what
+    documents(pending=...) reports.
     """
 
-    def __init__(self, spark: SparkSession, folder: str, buckets: int = BUCKETS):
-        self.spark, self.folder, self.buckets = spark, folder.rstrip("/"), buckets
-        jvm = spark.sparkContext._jvm
-        self._path = jvm.org.apache.hadoop.fs.Path
+    def __init__(self, spark: SparkSession, folder: str, fan: int = FAN):
+        if fan < 2:
+            raise ValueError("fan is 2 or more")
+        self.spark, self.folder, self.fan = spark, folder.rstrip("/"), fan
+        self._jvm = spark.sparkContext._jvm
+        self._path = self._jvm.org.apache.hadoop.fs.Path
         self._fs = self._path(self.folder).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
 
+    # -- manifests --
+
     def _children(self, name: str) -> list:
         place = self._path(f"{self.folder}/{name}")
         return [x.getPath() for x in self._fs.listStatus(place)] if self._fs.exists(place) else []
 
-    def _numbers(self) -> list[int]:
-        names = [x.getName() for x in self._children("manifest")]
-        return sorted(int(n) for n in names if n.isdigit() and self._fs.exists(self._path(f"{self.folder}/manifest/{n}/_SUCCESS")))
-
     def version(self) -> int | None:
         """The number of the last change."""
-        numbers = self._numbers()
-        return numbers[-1] if numbers else None
+        return max((int(n) for n in (x.getName() for x in self._children("manifest")) if n.isdigit()), default=None)
 
-    def manifest(self) -> dict[int, str] | None:
-        """The folder of each bucket that has rows: `buckets` entries at most."""
-        number = self.version()
+    def manifest(self, version: int | None = None) -> list[dict] | None:
+        """The segments, oldest first: name, level, rows (as written), deletes (whether there are any). None where nothing was ever written."""
+        number = self.version() if version is None else version
         if number is None:
             return None
-        return {r["bucket"]: r["version"] for r in self.spark.read.parquet(f"{self.folder}/manifest/{number}").where("bucket >= 0").collect()}
-
-    def _folder(self, bucket: int, version: str) -> str:
-        return f"{self.folder}/versions/{version}/bucket={bucket}"
-
-    def _read(self, held: dict[int, str]) -> DataFrame:
-        return self.spark.read.parquet(*(self._folder(b, v) for b, v in held.items()))
+        stream = self._fs.open(self._path(f"{self.folder}/manifest/{number}"))
+        try:
+            return json.loads(self._jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8"))
+        finally:
+            stream.close()
+
+    def _publish(self, number: int, segments: list[dict]) -> None:
+        """Name the segments in the manifest of this number, if no other writer has."""
+        self._fs.mkdirs(self._path(f"{self.folder}/manifest"))
+        draft, place = (self._path(f"{self.folder}/manifest/{x}") for x in (f"draft-{uuid.uuid4().hex}", number))
+        stream = self._fs.create(draft, False)
+        stream.write(bytearray(json.dumps(segments).encode()))
+        stream.close()
+        try:
+            if self._fs.getScheme() == "file":
+                try:
+                    os.link(draft.toUri().getPath(), place.toUri().getPath())
+                except FileExistsError:
+                    raise Conflict(CONFLICT) from None
+            elif self._fs.exists(place) or not self._fs.rename(draft, place):
+                raise Conflict(CONFLICT)
+        finally:
+            self._fs.delete(draft, False)
+
+    # -- reading --
+
+    def _parts(self, segments: list[dict], part: str) -> DataFrame | None:
+        places = [f"{self.folder}/segments/{s['name']}/{part}" for s in segments if part != "deletes" or s["deletes"]]
+        return self.spark.read.parquet(*places) if places else None
+
+    def _live(self, segments: list[dict], part: str = "rows") -> DataFrame | None:
+        """Rows, or documents, that no delete of these segments meets, with _seq."""
+        rows, deletes = self._parts([s for s in segments if s["rows"]], part), self._parts(segments, "deletes")
+        if rows is None or deletes is None:
+            return rows
+        last = deletes.groupBy("document_id").agg(F.max("_seq").alias("_gone"))
+        return rows.join(last, (rows["document_id"] == last["document_id"]) & (rows["_seq"] < last["_gone"]), "left_anti")
 
     def read(self) -> DataFrame | None:
         """All rows; none where nothing was written or all was deleted."""
-        held = self.manifest()
-        return self._read(held) if held else None
-
-    def _bucket(self) -> Column:
-        return F.pmod(F.xxhash64(F.col("document_id")), F.lit(self.buckets)).cast("int")
-
-    def _commit(self, rows: DataFrame, touched: list[int], held: dict[int, str]) -> str:
-        """Write rows as all there is of the touched buckets. Rows are sorted by document, so one document's rows are few row groups."""
-        version = uuid.uuid4().hex
-        # A bucket may be large, so its rows are dealt out by document; a document's rows are one task's.
-        dealt = rows.withColumn("bucket", self._bucket()).repartition("document_id").sortWithinPartitions("bucket", "document_id", "ordinal")
-        dealt.write.partitionBy("bucket").parquet(f"{self.folder}/versions/{version}")
-        now = {b: v for b, v in held.items() if b not in touched}
-        now |= {b: version for b in touched if self._fs.exists(self._path(self._folder(b, version)))}
-        number = (self._numbers() or [-1])[-1] + 1
-        entries = list(now.items()) or [(-1, "")]
-        self.spark.createDataFrame(entries, "bucket int, version string").coalesce(1).write.parquet(f"{self.folder}/manifest/{number}")
-        return version
-
-    def write(self, index: DataFrame) -> str:
-        """Make this the index."""
-        return self._commit(index, list(range(self.buckets)), {})
+        segments = self.manifest()
+        rows = self._live(segments) if segments else None
+        return rows.drop("_seq") if rows is not None and not rows.isEmpty() else None
+
+    def chunks(self, document: str) -> DataFrame | None:
+        """A document's rows in order. Segments are sorted by document and have Bloom filters, so of each few row groups are read."""
+        segments = self.manifest()
+        if segments is None:
+            return None
+        rows = self._live(segments)
+        if rows is None:
+            return self.spark.createDataFrame([], "document_id string, ordinal int")
+        return rows.where(F.col("document_id") == document).drop("_seq").orderBy("ordinal")
 
     def pending(self) -> DataFrame | None:
         """document_id of changes that have begun and not ended."""
         marks = [x.toString() for x in self._children("pending") if self._fs.exists(self._path(f"{x.toString()}/_SUCCESS"))]
         return self.spark.read.parquet(*marks) if marks else None
 
-    def replace(self, new: DataFrame, dimensions: int) -> str:
+    # -- writing --
+
+    def _level(self, rows: int) -> int:
+        level = 0
+        while rows > LEVEL_ROWS * self.fan**level:
+            level += 1
+        return level
+
+    def _segment(self, rows: DataFrame | None, deletes: DataFrame | None, least: int = 0) -> dict:
+        """Write a segment. rows and deletes have _seq."""
+        name, n = uuid.uuid4().hex, 0
+        place = f"{self.folder}/segments/{name}"
+        if rows is not None:
+            sorted_rows = rows.repartition("document_id").sortWithinPartitions("document_id", "ordinal")
+            sorted_rows.write.option("parquet.bloom.filter.enabled#document_id", "true").parquet(f"{place}/rows")
+            held = self.spark.read.parquet(f"{place}/rows")
+            n = held.count()
+            held.select("document_id", "source_path", "_seq").distinct().write.parquet(f"{place}/documents")
+        some = deletes is not None
+        if some:
+            deletes.groupBy("document_id").agg(F.max("_seq").alias("_seq")).write.parquet(f"{place}/deletes")
+        return {"name": name, "level": max(least, self._level(n)), "rows": n, "deletes": some}
+
+    def _drop(self, segment: dict) -> None:
+        self._fs.delete(self._path(f"{self.folder}/segments/{segment['name']}"), True)
+
+    def _commit(self, number: int, held: list[dict], rows: DataFrame | None, deletes: DataFrame | None) -> int:
+        seq = F.lit(number).cast("long").alias("_seq")
+        segment = self._segment(rows.select("*", seq) if rows is not None else None, deletes.select("document_id", seq) if deletes is not None else None)
+        try:
+            self._publish(number, [*held, segment])
+        except Exception:
+            self._drop(segment)
+            raise
+        return number
+
+    def compact(self) -> bool:
+        """Merge the last segments of a level if there are `fan` of them; whether anything was done. Nothing is lost if another writer comes first."""
+        number, segments = self.version(), self.manifest()
+        for level in sorted({s["level"] for s in segments or []}):
+            start = len(segments)
+            while start and segments[start - 1]["level"] <= level:
+                start -= 1
+            own = segments[start:]
+            if sum(s["level"] == level for s in own) < self.fan:
+                continue
+            deletes = self._parts(own, "deletes") if start else None
+            rows = self._live(own)
+            merged = self._segment(rows, deletes, max(s["level"] for s in own) + 1)
+            try:
+                self._publish(number + 1, [*segments[:start], merged])
+            except Conflict:
+                self._drop(merged)
+                return False
+            return True
+        return False
+
+    def write(self, index: DataFrame) -> int:
+        """Make this the index."""
+        return self._commit((-1 if (v := self.version()) is None else v) + 1, [], index, None)
+
+    def replace(self, new: DataFrame, dimensions: int) -> int:
         """Put documents in the place of those with their ids or paths; refused as a whole if any is bad. If writing fails, the index stays what it was and
-        the marker goes; a job that is lost leaves its marker, which the next change of these documents takes away.
+        the marker goes; a job that is lost leaves its marker, which the next change of these documents takes away. Of what is there it reads two
+        columns of a row a document.
         """
         wrong = refused(new, dimensions).orderBy("document_id").limit(5).collect()
         if wrong:
             raise ValueError("documents refused: " + ", ".join(f"{r['document_id']} ({r['problem']})" for r in wrong))
-        held = self.manifest() or {}
+        number = self.version()
+        held = self.manifest(number) or [] if number is not None else []
         ids = new.select("document_id").distinct()
-        gone = ids
-        if held:  # a document of another id may have the same path
-            same_path = self._read(held).select("document_id", "source_path").distinct().join(new.select("source_path").distinct(), "source_path", "left_semi")
-            gone = ids.unionByName(same_path.select("document_id")).distinct()
-        touched = [r["bucket"] for r in gone.select(self._bucket().alias("bucket")).distinct().collect()]
+        gone = None
+        if any(s["rows"] for s in held):  # a document of another id may have the same path
+            there = self._live(held, "documents")
+            same_path = there.join(new.select("source_path").distinct(), "source_path", "left_semi").select("document_id")
+            gone = there.join(ids, "document_id", "left_semi").select("document_id").unionByName(same_path).distinct()
         mark = f"{self.folder}/pending/{uuid.uuid4().hex}"
-        gone.write.parquet(mark)
-        marked = self.spark.read.schema(gone.schema).parquet(mark)
+        (ids if gone is None else ids.unionByName(gone).distinct()).write.parquet(mark)
+        marked = self.spark.read.schema(ids.schema).parquet(mark)
         try:
-            old = {b: v for b, v in held.items() if b in touched}
-            rows = self._read(old).join(marked, "document_id", "left_anti").unionByName(new.select(*self._read(old).columns)) if old else new
-            version = self._commit(rows, touched, held)
+            if gone is not None:
+                gone = cut(gone)
+                gone = None if gone.isEmpty() else gone
+            columns = self._parts([s for s in held if s["rows"]][-1:], "rows")
+            columns = [c for c in columns.columns if c != "_seq"] if columns is not None else new.columns
+            number = self._commit((-1 if number is None else number) + 1, held, new.select(*columns), gone)
         except Exception:
             self._fs.delete(self._path(mark), True)
             raise
         self._clear(marked)
-        return version
+        while self.compact():
+            pass
+        return number
 
     def _clear(self, done: DataFrame) -> None:
         """Remove markers whose documents are all among done."""
@@ -280,32 +385,28 @@ class IndexStore:
         for x in over:  # done may be one of them
             self._fs.delete(x, True)
 
-    def delete(self, document_ids: list[str]) -> str | None:
-        held = self.manifest()
+    def delete(self, document_ids: list[str]) -> int | None:
+        """Only the names of the documents are written."""
+        number = self.version()
+        held = self.manifest(number) if number is not None else None
         if not held:
             return None
-        wanted = self.spark.createDataFrame([(x,) for x in document_ids], "document_id string")
-        touched = [r["bucket"] for r in wanted.select(self._bucket().alias("bucket")).distinct().collect()]
-        old = {b: v for b, v in held.items() if b in touched}
-        return self._commit(self._read(old).join(wanted, "document_id", "left_anti"), touched, held) if old else None
-
-    def chunks(self, document: str) -> DataFrame | None:
-        """A document's rows in order; only its bucket is read."""
-        held = self.manifest()
-        if held is None:
-            return None
-        bucket = self.spark.createDataFrame([(document,)], "document_id string").select(self._bucket().alias("b")).first()["b"]
-        rows = self._read({bucket: held[bucket]}) if bucket in held else self._read(held).limit(0) if held else None
-        return rows.where(F.col("document_id") == document).orderBy("ordinal") if rows is not None else None
+        gone = self.spark.createDataFrame([(x,) for x in document_ids], "document_id string")
+        number = self._commit(number + 1, held, None, gone)
+        while self.compact():
+            pass
+        return number
 
     def vacuum(self) -> None:
-        """Remove folders that the manifest no longer names. Nothing may be reading an older index."""
-        held = set((self.manifest() or {}).items())
-        for version in self._children("versions"):
-            for x in self._fs.listStatus(version):
-                name = x.getPath().getName()
-                if name.startswith("bucket=") and (int(name[7:]), version.getName()) not in held:
-                    self._fs.delete(x.getPath(), True)
+        """Remove segments that the last manifest does not name, and earlier manifests. Nothing may be writing, or reading an older index."""
+        number = self.version()
+        held = {s["name"] for s in self.manifest(number) or []} if number is not None else set()
+        for x in self._children("segments"):
+            if x.getName() not in held:
+                self._fs.delete(x, True)
+        for x in self._children("manifest"):
+            if x.getName() != str(number):
+                self._fs.delete(x, True)
 
 
 def latest(rows: DataFrame, key: str, order: str) -> DataFrame:

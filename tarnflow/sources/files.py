@@ -60,11 +60,11 @@ def default_registry(config: Ingestion = Ingestion()) -> Registry:
 
 
 def discover(spark: SparkSession, path: str, registry: Registry | None = None, recursive: bool = True) -> DataFrame:
-    """path, length, modificationTime, content of files with a registered extension, in order of lower-cased path. Content is read only where selected."""
+    """path, length, modificationTime, content of files with a registered extension. Content is read only where selected; order names where they are shown."""
     names = (registry or default_registry()).extensions()
     found = spark.read.format("binaryFile").option("recursiveFileLookup", str(recursive).lower()).load(path)
     ext = F.lower(F.concat(F.lit("."), F.element_at(F.split("path", r"\."), -1)))
-    return found.where(ext.isin(names)).orderBy(F.lower("path"), "path")
+    return found.where(ext.isin(names))
 
 
 def guarded(files: DataFrame, config: Ingestion = Ingestion()) -> tuple[DataFrame, DataFrame]:

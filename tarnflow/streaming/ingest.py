@@ -12,6 +12,7 @@ from pyspark.sql.streaming import StreamingQuery
 
 from ..config import Ingestion
 from ..functions.embedding import embedder
+from ..lineage import cut
 from ..operators import artifacts, blocks, chunking, index
 from ..sources import files
 
@@ -36,10 +37,15 @@ def index_rows(found: DataFrame, config: Ingestion = Ingestion(), registry: file
     return _rows(parsed, chunks, config, signature)
 
 
-def put(found: DataFrame, store: index.IndexStore, config: Ingestion, keep: artifacts.ArtifactStore | None = None) -> None:
-    """Files into the index; before that their raw copies and processed artifacts into the artifact store, so what is indexed can always be opened."""
-    parsed, chunks, signature = _parsed(found, config, None)
-    parsed, chunks = parsed.persist(), chunks.persist()
+def put(found: DataFrame, store: index.IndexStore, config: Ingestion, keep: artifacts.ArtifactStore | None = None) -> DataFrame:
+    """Files into the index; before that their raw copies and processed artifacts into the artifact store, so what is indexed can always be opened. Files are
+    read and parsed once. Returns source_path, why of those that could not be."""
+    kept, rejects = files.guarded(found, config)
+    registry = files.default_registry(config)
+    every = files.parse(kept, registry, config).persist()
+    parsed = every.where("error is null")
+    chunks = chunking.chunks(blocks.cleaned(files.blocks_of(parsed), config.cleaning), config.chunking).persist()
+    signature = config.signature(registry.signatures())
     rows = _rows(parsed, chunks, config, signature).persist()
     try:
         if not rows.isEmpty():
@@ -48,8 +54,11 @@ def put(found: DataFrame, store: index.IndexStore, config: Ingestion, keep: arti
                 keep.store_raw(own)
                 keep.store_processed(artifacts.artifact(parsed, chunks, signature))
             store.replace(rows, config.dimensions)
+        without = parsed.join(chunks.select("document_id"), "document_id", "left_anti").select("source_path", F.lit("no text").alias("why"))
+        errors = every.where("error is not null").select("source_path", F.col("error").alias("why")).unionByName(without)
+        return cut(errors.unionByName(rejects.select(F.col("path").alias("source_path"), F.col("reason").alias("why"))))
     finally:
-        for table in (rows, chunks, parsed):
+        for table in (rows, chunks, every):
             table.unpersist()
 
 
@@ -60,17 +69,15 @@ def ingest(spark: SparkSession, folder: str, store: index.IndexStore, config: In
     known = store.read()
     named = found.withColumns({"document_id": index.document_id(F.col("path")), "content_hash": F.sha2("content", 256)})
     todo = index.to_ingest(named, index.documents(known, store.pending()), signature) if known is not None else named
-    # What is to be done is decided once: the index changes below.
-    wanted = [r["document_id"] for r in todo.select("document_id").collect()]
-    todo = named.join(spark.createDataFrame([(x,) for x in wanted], "document_id string"), "document_id", "left_semi")
-    put(todo, store, config, keep)
-    kept, rejects = files.guarded(todo, config)
-    errors = files.parse(kept, None, config).where("error is not null").select("source_path", F.col("error").alias("why")).union(rejects.select(F.col("path").alias("source_path"), F.col("reason").alias("why")))
-    done = named.select("document_id", F.col("path").alias("source_path")).join(todo.select("document_id", F.lit(True).alias("_todo")), "document_id", "left").join(errors, "source_path", "left")
+    # What is to be done is decided once, and kept in the shared folder: the index changes below.
+    wanted = cut(todo.select("document_id"))
+    errors = put(named.join(wanted, "document_id", "left_semi"), store, config, keep)
+    names = found.select(index.document_id(F.col("path")).alias("document_id"), F.col("path").alias("source_path"))
+    done = names.join(wanted.withColumn("_todo", F.lit(True)), "document_id", "left").join(errors, "source_path", "left")
     return done.select("document_id", "source_path", F.coalesce("why", F.when(F.col("_todo"), "indexed").otherwise("skipped")).alias("status"))
 
 
 def start(spark: SparkSession, folder: str, store: index.IndexStore, checkpoint: str, config: Ingestion = Ingestion(), keep: artifacts.ArtifactStore | None = None) -> StreamingQuery:
-    """A stream over a folder; ends once all files there are in (run it again for later ones). A batch writes the buckets of its own documents."""
+    """A stream over a folder; ends once all files there are in (run it again for later ones). A batch writes its own documents."""
     source = spark.readStream.format("binaryFile").schema("path string, modificationTime timestamp, length long, content binary").option("recursiveFileLookup", "true").load(folder)
-    return source.writeStream.foreachBatch(lambda batch, number: put(batch, store, config, keep)).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+    return source.writeStream.foreachBatch(lambda batch, number: put(batch, store, config, keep) and None).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()

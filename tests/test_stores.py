@@ -1,3 +1,6 @@
+import random
+from concurrent.futures import ThreadPoolExecutor
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -14,26 +17,88 @@ def rows(spark, documents, text="t", path=None):
     return spark.createDataFrame(out, "document_id string, source_path string, content_hash string, pipeline_signature string, chunk_count int, chunk_id string, ordinal int, text string, char_count int, dense array<double>, lexical map<bigint,double>")
 
 
-def test_a_change_writes_only_the_buckets_it_touches(spark, tmp_path):
-    store = index.IndexStore(spark, str(tmp_path / "ix"), buckets=8)
-    store.replace(rows(spark, [(f"d{i}", 2) for i in range(40)]), 2)
-    before = store.manifest()
-    store.replace(rows(spark, [("d7", 3)], "new"), 2)
-    after = store.manifest()
-    assert sum(before[b] != after[b] for b in before) == 1 and set(before) == set(after)
-    assert store.read().count() == 81 and [r["text"] for r in store.chunks("d7").collect()] == ["new"] * 3
-    assert store.pending() is None
+def seen(store):
+    return sorted((r["document_id"], r["ordinal"], r["text"]) for r in store.read().collect()) if store.read() is not None else []
+
+
+def test_changes_equal_a_dictionary(spark, tmp_path):
+    store, held, rng = index.IndexStore(spark, str(tmp_path / "ix"), fan=2), {}, random.Random(2)
+    for step in range(8):
+        if step % 4 == 3:
+            names = rng.sample([f"d{i}" for i in range(30)], 6)
+            store.delete(names)
+            for n in names:
+                held.pop(n, None)
+        else:
+            names = {f"d{rng.randrange(30)}": rng.randrange(1, 4) for _ in range(6)}
+            store.replace(rows(spark, list(names.items()), f"s{step}"), 2)
+            held |= {n: [(n, k, f"s{step}") for k in range(c)] for n, c in names.items()}
+        assert seen(store) == sorted(x for own in held.values() for x in own)
+        assert len(store.manifest()) <= 4
+    store.vacuum()
+    assert seen(store) == sorted(x for own in held.values() for x in own)
+    assert {x.getName() for x in store._children("segments")} == {s["name"] for s in store.manifest()}
+
+
+def test_a_change_writes_its_own_rows_and_a_level_once_more(spark, tmp_path, monkeypatch):
+    store, wrote = index.IndexStore(spark, str(tmp_path / "ix"), fan=3), []
+    segment = store._segment
+    monkeypatch.setattr(store, "_segment", lambda *a: wrote.append(s := segment(*a)) or s)
+    for step in range(10):
+        store.replace(rows(spark, [(f"d{step}-{i}", 1) for i in range(10)]), 2)
+    assert store.read().count() == 100
+    assert sum(s["rows"] for s in wrote) <= 3 * 100 and len(store.manifest()) <= 2 * 3
+    big = index.IndexStore(spark, str(tmp_path / "big"), fan=2)
+    monkeypatch.setattr(index, "LEVEL_ROWS", 10)
+    big.write(rows(spark, [("many", 200)]))
+    for step in range(3):
+        big.replace(rows(spark, [(f"d{step}", 1)]), 2)
+    assert [s["rows"] for s in big.manifest()][0] == 200  # a large segment is not written again for small ones
+
+
+def test_of_two_writers_one_commits(spark, tmp_path, monkeypatch):
+    store, other = (index.IndexStore(spark, str(tmp_path / "ix")) for _ in range(2))
+    store.replace(rows(spark, [("a", 2)]), 2)
+    segment = store._segment
+
+    def late(*a):
+        out = segment(*a)
+        other.replace(rows(spark, [("b", 1)], "other"), 2)
+        return out
+
+    monkeypatch.setattr(store, "_segment", late)
+    with pytest.raises(index.Conflict):
+        store.replace(rows(spark, [("b", 3)], "late"), 2)
+    monkeypatch.undo()
+    assert seen(store) == [("a", 0, "t"), ("a", 1, "t"), ("b", 0, "other")] and store.pending() is None
+    assert len(store._children("segments")) == 2  # the loser's is gone
+    with ThreadPoolExecutor(6) as pool:
+        def publish(k):
+            try:
+                store._publish(100, [{"name": str(k), "level": 0, "rows": 0, "deletes": False}])
+                return True
+            except index.Conflict:
+                return False
+        assert sum(pool.map(publish, range(6))) == 1
+
+
+def test_a_document_of_another_id_takes_a_path(spark, tmp_path):
+    store = index.IndexStore(spark, str(tmp_path / "ix"))
+    assert store.read() is None and store.chunks("a") is None and store.delete(["a"]) is None
+    store.replace(rows(spark, [("d7", 3), ("d9", 2)]), 2)
+    store.replace(rows(spark, [("d7", 1)], "new"), 2)
     store.replace(rows(spark, [("other", 1)], path="/d9"), 2)
+    assert [r["text"] for r in store.chunks("d7").collect()] == ["new"]
     assert store.chunks("d9").count() == 0 and store.chunks("other").count() == 1
-    store.delete(["d1", "d2"])
-    store.vacuum()
-    assert store.read().select("document_id").distinct().count() == 38
-    store.delete([f"d{i}" for i in range(40)] + ["other"])
-    assert store.read() is None and store.manifest() == {}
+    before = store.manifest(1)
+    store.delete(["d7", "other", "unknown"])
+    assert store.read() is None and store.chunks("d7").count() == 0 and store.manifest(1) == before
+    store.replace(rows(spark, [("d7", 2)], "again"), 2)
+    assert seen(store) == [("d7", 0, "again"), ("d7", 1, "again")]
 
 
 def test_a_failed_change_leaves_the_index_and_no_marker(spark, tmp_path, monkeypatch):
-    store = index.IndexStore(spark, str(tmp_path / "ix"), buckets=4)
+    store = index.IndexStore(spark, str(tmp_path / "ix"))
     store.replace(rows(spark, [("a", 2)]), 2)
     monkeypatch.setattr(store, "_commit", lambda *a: (_ for _ in ()).throw(OSError("disk")))
     with pytest.raises(OSError):
