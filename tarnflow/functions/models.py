@@ -6,6 +6,7 @@ so a wrong count, a vector that is not finite or a judgment of a text that was n
 
 from __future__ import annotations
 
+import hashlib
 import ipaddress
 import json
 import math
@@ -13,6 +14,8 @@ import re
 import time
 import unicodedata
 from collections.abc import Callable, Iterator
+from email.message import Message
+from urllib.parse import urljoin
 
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -112,7 +115,7 @@ def checked_queries(response: str, limit: int) -> list[str]:
     out: dict[str, str] = {}
     for row in rows:
         text = " ".join(row.split())
-        _require(0 < len(text) <= QUERY_CHARS, "a search query is not valid")
+        _require(0 < len(text) <= QUERY_CHARS and not any(ord(c) < 32 for c in text), "a search query is not valid")
         out.setdefault(text.casefold(), text)
     return list(out.values())
 
@@ -239,38 +242,67 @@ def search_loop(questions: DataFrame, rewriter: Callable[[str, int], str], provi
     return first.unionByName(searched(plain, provider, per_query, attempts, backoff))
 
 
-FETCHED = "url string, final_url string, html string, error string"
+FETCHED = "url string, final_url string, text string, content_sha256 string, truncated boolean, error string"
+#: Statuses that name another address, and kinds of pages that are read.
+REDIRECTS = (301, 302, 303, 307, 308)
+KINDS = ("text/html", "text/plain")
+Response = tuple[int, dict[str, str], bytes]
 
 
-def fetched(urls: DataFrame, fetch: Callable[[str], tuple[int, str | None, bytes]], resolve: Callable[[str], list[str]], allowed: Callable[[str], str | None], max_bytes: int, redirects: int = 3) -> DataFrame:
-    """urls: url. Pages by fetch (status, location, body): each address, the first and those it redirects to, must pass allowed (the URL as it may be
-    asked for, or None) and have public addresses only; bodies are cut off with an error beyond max_bytes.
+def read_page(content_type: str | None, body: bytes, max_chars: int) -> tuple[str | None, bool, str | None]:
+    """(text, whether it was cut, error) of a page's body: its kind must be HTML or plain text; an unknown character set is read as UTF-8."""
+    from ..operators.web import html_text
+
+    header = Message()
+    header["content-type"] = content_type or ""
+    kind = header.get_content_type() if content_type else None
+    if kind not in KINDS:
+        return None, False, "not text"
+    try:
+        text = body.decode(header.get_content_charset() or "utf-8", "replace")
+    except LookupError:
+        text = body.decode("utf-8", "replace")
+    text = html_text(text) if kind == "text/html" else re.sub(r"[ \t]+", " ", text).strip()
+    own = text[:max_chars].strip()
+    return (own, len(text) > max_chars, None) if own else (None, False, "no text")
+
+
+def fetched(urls: DataFrame, fetch: Callable[[str, int], Response], resolve: Callable[[str], list[str]], allowed: Callable[[str], str | None], max_bytes: int, max_chars: int = 40_000, redirects: int = 3) -> DataFrame:
+    """urls: url. Pages by fetch(address, most bytes to read) -> (status, headers by lower-case name, body): each address, the first and those it redirects to (which
+    may be relative), must pass allowed (the URL as it may be asked for, or None) and have public addresses only. At most max_bytes + 1 bytes are asked
+    for, so a longer page is told without being read. text is what read_page makes, content_sha256 of it; error says why there is none.
     """
 
-    def one(url: str) -> tuple[str | None, str | None, str | None]:
-        at: str | None = url
+    def one(url: str) -> tuple:
+        at, none = allowed(url), (None, None, None)
         for _ in range(redirects + 1):
-            at = allowed(at)
             if at is None:
-                return None, None, "url not allowed"
+                return None, *none, "url not allowed"
             host = re.sub(r":\d+$", "", re.sub(r"^[a-z]+://(?:[^/@]*@)?([^/?#]+).*$", r"\1", at))
             if not public_host(resolve(host)):
-                return at, None, "address not public"
+                return at, *none, "address not public"
             try:
-                status, location, body = fetch(at)
+                status, headers, body = fetch(at, max_bytes + 1)
             except Exception as error:  # whatever a fetcher raises
-                return at, None, type(error).__name__
-            if 300 <= status < 400 and location:
-                at = location
+                return at, *none, type(error).__name__
+            if status in REDIRECTS:
+                if not headers.get("location"):
+                    return at, *none, "redirect without address"
+                at = allowed(urljoin(at, headers["location"]))
                 continue
             if status != 200:
-                return at, None, f"status {status}"
-            return (at, None, "too large") if len(body) > max_bytes else (at, body.decode("utf-8", "replace"), None)
-        return at, None, "too many redirects"
+                return at, *none, f"status {status}"
+            if len(body) > max_bytes:
+                return at, *none, "too large"
+            text, cut, error = read_page(headers.get("content-type"), body, max_chars)
+            return (at, *none, error) if error else (at, text, hashlib.sha256(text.encode()).hexdigest(), cut, None)
+        return at, *none, "too many redirects"
+
+    names = ["final_url", "text", "content_sha256", "truncated", "error"]
 
     def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for part in parts:
             rows = [one(u) for u in part["url"]]
-            yield pd.DataFrame({"url": part["url"], "final_url": [r[0] for r in rows], "html": [r[1] for r in rows], "error": [r[2] for r in rows]})
+            yield pd.DataFrame({"url": part["url"]} | {n: pd.Series([r[k] for r in rows], index=part.index, dtype=object) for k, n in enumerate(names)})
 
     return urls.select("url").mapInPandas(run, FETCHED)

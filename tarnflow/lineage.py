@@ -5,15 +5,26 @@ from __future__ import annotations
 import re
 import tempfile
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
+
+_own: list[str] = []
+
+
+def shared_dir(spark: SparkSession) -> str:
+    """The folder named by spark.checkpoint.dir. Where that is unset and driver and tasks are one process, a temporary one."""
+    named = spark.conf.get("spark.checkpoint.dir", None)
+    if named:
+        return named.rstrip("/")
+    if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+        raise RuntimeError("spark.checkpoint.dir must name a folder that driver and executors share")
+    if not _own:
+        _own.append("file://" + tempfile.mkdtemp(prefix="tarnflow-checkpoint-"))
+    return _own[0]
 
 
 def cut(rows: DataFrame) -> DataFrame:
-    """The same rows from a checkpoint in spark.checkpoint.dir. Where that is unset and driver and tasks are one process, in a temporary folder."""
+    """The same rows from a checkpoint in the shared folder."""
     context = rows.sparkSession.sparkContext
     if not context.getCheckpointDir():
-        named = rows.sparkSession.conf.get("spark.checkpoint.dir", None)
-        if not named and not re.fullmatch(r"local(\[.*\])?", context.master):
-            raise RuntimeError("spark.checkpoint.dir must name a folder that driver and executors share")
-        context.setCheckpointDir(named or "file://" + tempfile.mkdtemp(prefix="tarnflow-checkpoint-"))
+        context.setCheckpointDir(shared_dir(rows.sparkSession))
     return rows.checkpoint()

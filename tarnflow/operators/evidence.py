@@ -94,6 +94,26 @@ def select_diverse(strips: DataFrame, config: Context = Context(), query: str =
     return strips.select(query, "query_vector", "strip_id", "source_type", "vector", "position", "action").groupBy(query).applyInPandas(run, f"{query} {kind}, strip_id string, place int")
 
 
+def selection_problems(selected: DataFrame, candidates: DataFrame, limit: int, query: str = "query_id") -> DataFrame:
+    """What a selector may not do: query, strip_id, problem. Both have query, strip_id, text, source_type, source_ref (others are left alone); candidates are unique by
+    query and strip_id.
+
+    too_many: a query has over limit strips (strip_id is null). repeated: a strip is there more than once. unknown: it is no candidate of the query.
+    changed: it is one, but not as it was; nulls are compared as values. Strips are told by a hash of all they hold, so no text is joined.
+    """
+    mark = F.sha2(F.to_json(F.struct("text", "source_type", "source_ref"), {"ignoreNullFields": "false"}), 256)
+    own = selected.select(query, "strip_id", mark.alias("mark"))
+    had = candidates.select(query, "strip_id", mark.alias("_mark"), F.lit(True).alias("_known"))
+    problem = lambda rows, name: rows.select(query, "strip_id", F.lit(name).alias("problem"))
+    many = own.groupBy(query).agg(F.count("*").alias("n")).where(F.col("n") > limit).withColumn("strip_id", F.lit(None).cast("string"))
+    again = own.groupBy(query, "strip_id").agg(F.count("*").alias("n")).where("n > 1")
+    met = own.distinct().join(had, [query, "strip_id"], "left")
+    unknown = met.where("_known IS NULL").select(query, "strip_id").distinct()
+    changed = met.where("_known AND mark <> _mark").select(query, "strip_id").distinct()
+    parts = [problem(many, "too_many"), problem(again, "repeated"), problem(unknown, "unknown"), problem(changed, "changed")]
+    return parts[0].unionByName(parts[1]).unionByName(parts[2]).unionByName(parts[3])
+
+
 def context_line(marker, source_type, source_ref, text):
     """One line of context: a JSON object of four strings, keys in this order, non-ASCII as it is."""
     return F.to_json(F.struct(marker.alias("citation"), source_type.alias("source_type"), source_ref.alias("source_ref"), text.alias("text")), {"ignoreNullFields": "false"})

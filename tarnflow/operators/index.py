@@ -397,6 +397,10 @@ class IndexStore:
             pass
         return number
 
+    def remove(self) -> None:
+        """Remove the store. Nothing may be using it."""
+        self._fs.delete(self._path(self.folder), True)
+
     def vacuum(self) -> None:
         """Remove segments that the last manifest does not name, and earlier manifests. Nothing may be writing, or reading an older index."""
         number = self.version()

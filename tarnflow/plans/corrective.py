@@ -7,13 +7,16 @@ from __future__ import annotations
 
 from collections.abc import Callable
 from dataclasses import dataclass
+from functools import partial
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..config import Context, Refinement, WebSearch
+from ..functions import models
 from ..functions.embedding import dense, embedder, postings
 from ..functions.text import overlap
+from ..lineage import cut
 from ..operators import evidence, provenance, retrieval, web
 from ..operators.chunking import strips
 
@@ -28,6 +31,32 @@ def by_overlap(query_text: Column, text: Column) -> Column:
 PROVENANCE = ["pages", "heading_path", "heading_paths", "has_overlap"]
 
 
+def searched_pages(
+    questions: DataFrame,
+    rewriter: Callable[[str, int], str],
+    provider: Callable[[str, int], list[dict]],
+    fetch: Callable[[str, int], models.Response],
+    resolve: Callable[[str], list[str]],
+    config: WebSearch = WebSearch(),
+    attempts: int = 3,
+    backoff: float = 0.5,
+) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """questions: query_id, text. What a corrective plan needs of the web: (pages, web_hits, report), by a rewriter, a search provider and a fetcher.
+
+    Each query's hits are its first public addresses; an address is fetched once for all questions, and a page goes by the address that it came from after
+    redirects. report: query_id, url, error (null where there is a page). Providers and pages are asked once: results are kept in the shared folder.
+    """
+    found = cut(models.search_loop(questions, rewriter, provider, config.max_queries, config.results_per_query, attempts, backoff))
+    hits = found.select("query_id", F.col("number").alias("search_no"), F.explode("hits").alias("h"))
+    wanted = web.eligible(hits.select("query_id", "search_no", F.col("h.rank").alias("search_rank"), F.col("h.url").alias("url")), config)
+    allowed = partial(web.public_url, allowed=config.allowed_domains)
+    got = cut(models.fetched(wanted.select("url").distinct(), fetch, resolve, allowed, config.max_page_bytes, config.max_page_chars))
+    read = got.where("error IS NULL")
+    pages = read.groupBy(F.col("final_url").alias("url")).agg(F.min_by(F.struct("text", "content_sha256", "truncated"), "url").alias("p")).select("url", "p.*")
+    own = wanted.join(read.select("url", "final_url"), "url").select("query_id", "search_no", "search_rank", F.col("final_url").alias("url"))
+    return pages, own, wanted.select("query_id", "url").join(got.select("url", "error"), "url")
+
+
 @dataclass
 class Corrective:
     """index: chunk_id, text, vector, and source_spans if strips are to say where they come from (PROVENANCE); lexical: chunk_id, lexical; pages:
@@ -62,11 +91,11 @@ class Corrective:
     def strips(self, judged: DataFrame, actions: DataFrame, config: Refinement = Refinement()) -> DataFrame:
         """Relevant strips of the chunks that the action allows."""
         chosen = retrieval.parents(judged, actions)
-        cut = strips(chosen.select("chunk_id", "text").dropDuplicates(["chunk_id"]), "chunk_id", "text", config)
+        parts = strips(chosen.select("chunk_id", "text").dropDuplicates(["chunk_id"]), "chunk_id", "text", config)
         if "source_spans" in self.index.columns:
-            own = self.index.select("chunk_id", "source_spans").join(cut.select("chunk_id").distinct(), "chunk_id", "left_semi")
-            cut = provenance.strip_provenance(cut, own).drop("source_spans")
-        both = chosen.select("query_id", "query_text", "chunk_id", "retrieval_score", "rerank_score", "rank").join(cut, "chunk_id")
+            own = self.index.select("chunk_id", "source_spans").join(parts.select("chunk_id").distinct(), "chunk_id", "left_semi")
+            parts = provenance.strip_provenance(parts, own).drop("source_spans")
+        both = chosen.select("query_id", "query_text", "chunk_id", "retrieval_score", "rerank_score", "rank").join(parts, "chunk_id")
         both = both.where(self.judge(F.col("query_text"), F.col("strip")) == "relevant")
         strip_id = F.concat(F.col("chunk_id").cast("string"), F.lit(":strip:"), F.col("start").cast("string"), F.lit("-"), F.col("end").cast("string"))
         return both.select("query_id", strip_id.alias("strip_id"), F.col("strip").alias("text"), F.lit("internal").alias("source_type"), F.col("chunk_id").cast("string").alias("source_ref"), "rank", "start", *(c for c in PROVENANCE if c in both.columns))

@@ -1,9 +1,13 @@
+import hashlib
 import json
 
 import pytest
+from pyspark.sql import functions as F
 
 from tarnflow.functions import models
+from tarnflow.functions.embedding import embedder
 from tarnflow.operators.web import public_url
+from tarnflow.plans.corrective import Corrective, searched_pages
 
 
 def judgment(i, label="Relevant", reason="because"):
@@ -92,18 +96,72 @@ def test_search_tries_again_and_falls_back_to_the_question(spark):
         models.searched(asked, provider, 5, attempts=9)
 
 
+HTML = {"content-type": "text/html; charset=utf-8"}
+
+
 def test_fetched_pages_pass_every_address(spark):
     pages = {
-        "https://good.org/": (200, None, b"<p>x</p>"),
-        "https://moves.org/": (302, "https://good.org/", b""),
-        "https://inward.org/": (302, "http://127.0.0.1/", b""),
-        "https://loops.org/": (302, "https://loops.org/", b""),
-        "https://large.org/": (200, None, b"x" * 200),
-        "https://gone.org/": (404, None, b""),
+        "https://good.org/": (200, HTML, b"<p>x</p>"),
+        "https://moves.org/": (302, {"location": "https://good.org/"}, b""),
+        "https://moves.org/a/b": (301, {"location": "../next?q=1"}, b""),
+        "https://moves.org/next?q=1": (200, {"content-type": "text/plain"}, b" a  \t b "),
+        "https://lost.org/": (302, {}, b""),
+        "https://inward.org/": (302, {"location": "http://127.0.0.1/"}, b""),
+        "https://loops.org/": (302, {"location": "/"}, b""),
+        "https://large.org/": (200, HTML, b"x" * 200),
+        "https://gone.org/": (404, HTML, b""),
+        "https://same.org/": (304, {"location": "https://good.org/"}, b""),
+        "https://image.org/": (200, {"content-type": "image/png"}, b"x"),
+        "https://untold.org/": (200, {}, b"x"),
+        "https://empty.org/": (200, HTML, b"<script>x</script>"),
+        "https://latin.org/": (200, {"content-type": "text/html; charset=latin-1"}, "<p>é</p>".encode("latin-1")),
+        "https://odd.org/": (200, {"content-type": "text/html; charset=none-such"}, "<p>é</p>".encode()),
+        "https://long.org/": (200, {"content-type": "text/plain"}, b"word " * 15),
     }
     addresses = lambda host: ["10.0.0.1"] if host == "private.org" else ["93.184.216.34"]
     urls = spark.createDataFrame([(u,) for u in [*pages, "https://private.org/", "file:///etc/passwd"]], "url string")
-    got = {r["url"]: (r["final_url"], r["error"]) for r in models.fetched(urls, lambda u: pages[u], addresses, public_url, 100).collect()}
-    assert got["https://good.org/"] == got["https://moves.org/"] == ("https://good.org/", None)
-    assert got["https://inward.org/"][1] == got["file:///etc/passwd"][1] == "url not allowed"
-    assert [got[f"https://{x}.org/"][1] for x in ("loops", "large", "gone", "private")] == ["too many redirects", "too large", "status 404", "address not public"]
+
+    def fetch(url, limit):
+        status, headers, body = pages[url]
+        return status, headers, body[:limit]
+
+    got = {r["url"]: r for r in models.fetched(urls, fetch, addresses, public_url, 100, 60).collect()}
+    seen = {u: (r["final_url"], r["error"]) for u, r in got.items()}
+    assert seen["https://good.org/"] == seen["https://moves.org/"] == ("https://good.org/", None)
+    assert seen["https://moves.org/a/b"] == ("https://moves.org/next?q=1", None) and got["https://moves.org/a/b"]["text"] == "a b"
+    assert seen["https://inward.org/"][1] == seen["file:///etc/passwd"][1] == "url not allowed"
+    names = ("loops", "large", "gone", "private", "lost", "same", "image", "untold", "empty")
+    errors = ["too many redirects", "too large", "status 404", "address not public", "redirect without address", "status 304", "not text", "not text", "no text"]
+    assert [seen[f"https://{x}.org/"][1] for x in names] == errors
+    assert got["https://latin.org/"]["text"] == got["https://odd.org/"]["text"] == "é"
+    long = got["https://long.org/"]
+    assert long["truncated"] and long["text"] == ("word " * 12).strip() and long["content_sha256"] == hashlib.sha256(long["text"].encode()).hexdigest()
+    assert got["https://empty.org/"]["content_sha256"] is None and not got["https://good.org/"]["truncated"]
+
+
+@pytest.mark.parametrize("queries", [[], ["a", "b", "c"], [" "], ["x" * 201], ["a\u0001b"], [1], "a"])
+def test_search_queries_are_refused(queries):
+    with pytest.raises(models.ModelError):
+        models.checked_queries(json.dumps({"queries": queries}), 2)
+
+
+def test_the_web_branch_from_question_to_context(spark):
+    """A question that the index cannot answer: rewritten, searched, fetched, and its page's passage cited."""
+    asked = spark.createDataFrame([(1, "Which river crosses the northern town?"), (2, "unrelated words entirely")], "query_id long, text string")
+    body = b"<p>The river Lune crosses the northern town.</p><p>Nothing else.</p>"
+    pages = {"https://a.org/x": (301, {"location": "/y"}, b""), "https://a.org/y": (200, HTML, body), "https://b.org/": (500, HTML, b"")}
+    rewriter = lambda text, limit: json.dumps({"queries": [text[:20]]})
+    provider = lambda query, limit: [{"title": "t", "href": u, "body": "b"} for u in ("https://a.org/x", "https://b.org/", "http://127.0.0.1/")]
+    found, hits, report = searched_pages(asked, rewriter, provider, lambda u, n: pages[u], lambda host: ["93.184.216.34"], backoff=0.0)
+    assert [(r["url"], r["text"]) for r in found.collect()] == [("https://a.org/y", "The river Lune crosses the northern town.\n\nNothing else.")]
+    assert {(r["query_id"], r["url"]) for r in hits.collect()} == {(1, "https://a.org/y"), (2, "https://a.org/y")}
+    assert {(r["url"], r["error"]) for r in report.collect()} == {("https://a.org/x", None), ("https://b.org/", "status 500")}
+    chunks = spark.createDataFrame([("c", "completely different text")], "chunk_id string, text string").withColumn("e", embedder()(F.col("text")))
+    index = chunks.select("chunk_id", "text", F.col("e.dense").alias("vector"), F.col("e.lexical").alias("lexical"))
+    contexts, kept = Corrective(index, index, found, hits).assemble(asked, 5, 3)
+    digest = hashlib.sha256(found.first()["text"].encode()).hexdigest()
+    end = len("The river Lune crosses the northern town.")
+    (row,) = kept.collect()
+    assert (row["query_id"], row["source_type"], row["source_ref"], row["text"]) == (1, "web", "https://a.org/y", "The river Lune crosses the northern town.")
+    assert row["strip_id"] == "web:" + hashlib.sha256(f"https://a.org/y\0{digest}\0{0}\0{end}".encode()).hexdigest()[:24]
+    assert {r["query_id"]: r["status"] for r in contexts.collect()}[1] == "ready"
