@@ -6,9 +6,11 @@ import uuid
 
 from pyspark.sql import functions as F
 
+from ..functions.embedding import postings
 from ..lineage import cut, shared_dir
-from ..operators import evidence, runs
+from ..operators import evidence, pruned, runs
 from ..operators.index import IndexStore
+from .sql_parts import sparse
 from .tables import read
 
 _SOURCE = "concat('src-', source)"
@@ -81,9 +83,17 @@ def logged_index(spark, d):
     return out
 
 
-QUERIES = {f.__name__: f for f in (selection_proof, run_states, logged_index)}
+def pruned_topk(spark, d):
+    """sparse_topk by postings in blocks."""
+    asked = postings(read(spark, d, "benchmark").select(F.col("item_id").alias("query_id"), "text"), "query_id")
+    index = pruned.posting_blocks(postings(read(spark, d, "documents").select("doc_id", "text"), "doc_id"), "doc_id")
+    return pruned.pruned_top(asked, index, 10)[0]
+
+
+QUERIES = {f.__name__: f for f in (selection_proof, run_states, logged_index, pruned_topk)}
 
 SQL = {
+    "pruned_topk": f"WITH {sparse(10)} SELECT query_id, doc_id, score, rank FROM sparse",
     "selection_proof": """
 WITH have AS (SELECT source AS q, doc_id::VARCHAR AS s, text FROM documents WHERE source IS NOT NULL),
 one AS (SELECT source AS q, CASE WHEN doc_id % 110 = 0 THEN 'no-' ELSE '' END || doc_id AS s, CASE WHEN doc_id % 70 = 0 THEN text || '.' ELSE text END AS text, doc_id FROM documents WHERE source IS NOT NULL AND doc_id % 10 = 0),
