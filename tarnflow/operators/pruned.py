@@ -40,11 +40,11 @@ def pruned_top(queries: DataFrame, index: PostingBlocks, k: int, first: int | No
     """queries: query_id, token_id, weight (above 0). (query_id, key, score, rank: the k best by shared tokens, ties to the smaller key) and a report: query_id,
     blocks (that share a token with the query), read. Documents that share no token are not found; a query without tokens has no rows.
 
-    first: blocks of each query that are read for the threshold. A bound equal to the threshold is read, as a tie may win by its key.
+    first: blocks of each query that are read for the threshold; k by default, as the k best lie in k blocks at most. A bound equal to the threshold is read, as a tie may win by its key.
     """
     if k < 1:
         raise ValueError("k is 1 or more")
-    first = first or max(4, -(-k // 4))
+    first = first or k
     key = index.key
     asked = queries.where("query_id IS NOT NULL AND token_id IS NOT NULL AND weight > 0").select("query_id", "token_id", F.col("weight").alias("_w"))
     bounds = asked.join(index.largest, "token_id").groupBy("query_id", "block").agg(F.sum(F.col("_w") * F.col("most")).alias("bound"))
