@@ -27,8 +27,8 @@ def inherited(nodes: DataFrame, key: str, parent: str, properties: list[str]) ->
     """nodes with each property taken from the nearest of the node and its ancestors that has one (else null), and <property>_from, that node's key.
 
     Pointers jump: after k rounds a node knows the nearest value among 2^k ancestors and points to the one after them, so chains of n links take log2 n rounds.
-    A chain ends at a null or unknown parent. In a ring each node is met before the walk comes round, so after rounds for as many steps as there are nodes
-    nothing is left to find. Of rows of one key the smallest by parent and properties is the parent of others; each row keeps its own values. Rows
+    A chain ends at a null or unknown parent. As long as any walk has an end or a value ahead, one of them comes to it in each round; so once a round
+    ends none, what is left goes round in rings without a value. Of rows of one key the smallest by parent and properties is the parent of others; each row keeps its own values. Rows
     without a key are nobody's parent.
     """
     own = lambda p: F.when(F.col(p).isNotNull(), F.struct(F.col(p).alias("value"), F.col(key).alias("of"))).alias(f"_{p}")
@@ -38,15 +38,15 @@ def inherited(nodes: DataFrame, key: str, parent: str, properties: list[str]) ->
     lacks = F.lit(False)
     for p in properties:
         lacks = lacks | F.col(f"_{p}").isNull()
-    n, steps = state.count(), 1
-    while steps <= n:
+    parts, before = max(1, int(nodes.sparkSession.conf.get("spark.sql.shuffle.partitions"))), None
+    while (n := state.where(lacks & F.col("_up").isNotNull()).count()) and n != before:
+        before = n
         open_rows = state.where(lacks & F.col("_up").isNotNull())
-        if open_rows.isEmpty():
-            break
         above = state.select(F.col("_key").alias("_up"), F.col("_up").alias("_next"), *(F.col(f"_{p}").alias(f"_{p}_above") for p in properties))
         met = looked_up(open_rows, above, "_up")
         met = met.select("_key", F.col("_next").alias("_up"), *(F.coalesce(f"_{p}", f"_{p}_above").alias(f"_{p}") for p in properties))
-        state, steps = cut(state.where(~(lacks & F.col("_up").isNotNull())).unionByName(met)), steps * 2
+        # A union has the partitions of all its parts; without this they would double each round.
+        state = cut(state.where(~(lacks & F.col("_up").isNotNull())).unionByName(met).coalesce(parts))
     found = state.select(F.col("_key").alias("_parent"), *(F.col(f"_{p}") for p in properties))
     rows = looked_up(nodes.withColumn("_parent", F.col(parent)), found, "_parent")
     for p in properties:
