@@ -18,24 +18,24 @@ def rows_of_words(words: DataFrame, by: list[str], units: float = ROW_UNITS) ->
     """words with row_id (from 0, downwards): a row is begun by the highest word that no row has yet, and takes those at most `units` below it.
 
     A chain of words each near the next is cut by the distance to the row's first word, so gaps alone do not tell rows. Tops are cut into runs without a
-    larger gap by a window; of each run the first words of rows are found by a fold over its distinct tops. Words without a top are left out.
+    larger gap; of each run the first words of rows are found by a fold over its distinct tops. All are windows within a page, so words that are already
+    dealt out by page, or by document, are not moved again. Words without a top are left out.
     """
     words = words.where("top IS NOT NULL")
-    tops = words.select(*by, "top").distinct()
     page = Window.partitionBy(*by).orderBy("top")
+    # Words of one top are peers: the first of them has the gap, and the running sum counts it for all.
     new = F.coalesce((F.col("top") - F.lag("top").over(page) > units).cast("int"), F.lit(0))
-    runs = tops.withColumn("_new", new).withColumn("_run", F.sum("_new").over(page))
+    runs = words.withColumn("_new", new).withColumn("_run", F.sum("_new").over(page))
     none = F.array().cast("array<double>")
 
     def begin(found: Column, top: Column) -> Column:
         return F.when((F.size(found) == 0) | (top - F.element_at(found, -1) > units), F.concat(found, F.array(top))).otherwise(found)
 
-    own = F.aggregate(F.array_sort(F.collect_set(F.col("top").cast("double"))), none, begin)
-    firsts = runs.groupBy(*by, "_run").agg(own.alias("_firsts"), F.collect_set("top").alias("_tops"))
-    of_top = firsts.select(*by, "_firsts", F.explode("_tops").alias("top"))
-    of_top = of_top.withColumn("_first", F.array_max(F.filter("_firsts", lambda x: x <= F.col("top"))))
-    ranked = of_top.select(*by, "top", (F.dense_rank().over(Window.partitionBy(*by).orderBy("_first")) - 1).alias("row_id"))
-    return words.join(ranked, [*by, "top"])
+    tops = F.array_sort(F.collect_set(F.col("top").cast("double")).over(Window.partitionBy(*by, "_run")))
+    rows = runs.withColumn("_tops", tops)
+    first = F.array_max(F.filter(F.aggregate("_tops", none, begin), lambda x: x <= F.col("top")))
+    rows = rows.withColumn("_first", first).drop("_new", "_run", "_tops")
+    return rows.withColumn("row_id", F.dense_rank().over(Window.partitionBy(*by).orderBy("_first")) - 1).drop("_first")
 
 
 def segments(words: DataFrame, by: list[str], width: Column | float, units: float = ROW_UNITS) -> DataFrame:
