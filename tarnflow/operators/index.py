@@ -297,7 +297,9 @@ class IndexStore:
         place = f"{self.folder}/segments/{name}"
         if rows is not None:
             sorted_rows = rows.repartition("document_id").sortWithinPartitions("document_id", "ordinal")
-            sorted_rows.write.option("parquet.bloom.filter.enabled#document_id", "true").parquet(f"{place}/rows")
+            # Without a number of ids each filter, one a file, takes a megabyte.
+            filters = {"parquet.bloom.filter.enabled#document_id": "true", "parquet.bloom.filter.expected.ndv#document_id": str(LEVEL_ROWS)}
+            sorted_rows.write.options(**filters).parquet(f"{place}/rows")
             held = self.spark.read.parquet(f"{place}/rows")
             n = held.count()
             held.select("document_id", "source_path", "_seq").distinct().write.parquet(f"{place}/documents")
