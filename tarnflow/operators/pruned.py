@@ -12,28 +12,34 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..lineage import cut
+from ..lineage import cut, remove, written
 
 SPAN = 32
 
 
 @dataclass
 class PostingBlocks:
-    """postings: block, token_id, key, weight; largest: token_id, block, most."""
+    """postings: block, token_id, key, weight, a table in the shared folder; largest: token_id, block, most."""
 
     postings: DataFrame
     largest: DataFrame
     key: str
+    place: str
 
+    def remove(self) -> None:
+        """Remove the table. Nothing may be reading it."""
+        remove(self.postings.sparkSession, self.place)
 
-def posting_blocks(postings: DataFrame, key: str = "chunk_id", span: int = SPAN) -> PostingBlocks:
+
+def posting_blocks(postings: DataFrame, key: str = "chunk_id", span: int = SPAN, documents: int | None = None) -> PostingBlocks:
     """postings: key, token_id, weight (above 0), one row a key and token; rows with a null are left out. Documents are dealt to blocks by a hash of their key, so
-    copies and neighbours in number do not fill a block."""
+    copies and neighbours in number do not fill a block. documents: about how many there are; else they are counted first."""
     rows = postings.where(F.col(key).isNotNull() & F.col("token_id").isNotNull() & (F.col("weight") > 0)).select(key, "token_id", "weight")
-    n = rows.select(key).distinct().count()
+    n = documents if documents is not None else rows.agg(F.approx_count_distinct(key)).first()[0]
     blocks = max(1, -(-n // span))
-    held = cut(rows.withColumn("block", F.pmod(F.xxhash64(key), F.lit(blocks))).select("block", "token_id", key, "weight"))
-    return PostingBlocks(held, held.groupBy("token_id", "block").agg(F.max("weight").alias("most")), key)
+    dealt = rows.withColumn("block", F.pmod(F.xxhash64(key), F.lit(blocks))).select("block", "token_id", key, "weight")
+    held, place = written(dealt.repartition("block").sortWithinPartitions("block", "token_id"), "postings")
+    return PostingBlocks(held, held.groupBy("token_id", "block").agg(F.max("weight").alias("most")), key, place)
 
 
 def pruned_top(queries: DataFrame, index: PostingBlocks, k: int, first: int | None = None) -> tuple[DataFrame, DataFrame]:

@@ -86,8 +86,12 @@ def logged_index(spark, d):
 def pruned_topk(spark, d):
     """sparse_topk by postings in blocks."""
     asked = postings(read(spark, d, "benchmark").select(F.col("item_id").alias("query_id"), "text"), "query_id")
-    index = pruned.posting_blocks(postings(read(spark, d, "documents").select("doc_id", "text"), "doc_id"), "doc_id")
-    return pruned.pruned_top(asked, index, 10)[0]
+    # Texts are dealt out by document once, so that counting their words moves nothing more.
+    docs = read(spark, d, "documents").select("doc_id", "text")
+    index = pruned.posting_blocks(postings(docs.repartition("doc_id"), "doc_id"), "doc_id", documents=docs.count())
+    out = cut(pruned.pruned_top(asked, index, 10)[0])
+    index.remove()
+    return out
 
 
 QUERIES = {f.__name__: f for f in (selection_proof, run_states, logged_index, pruned_topk)}
