@@ -3,6 +3,7 @@
 import math
 import os
 
+import pandas as pd
 import pytest
 
 import __spark_entry__ as entry
@@ -15,8 +16,11 @@ TABLES = (
 
 
 def value(v):
+    if v is pd.NA:
+        return None
     if isinstance(v, float):
-        return None if math.isnan(v) else round(v, 8)
+        # Whole numbers with nulls among them come as floats from one side and as nullable integers from the other.
+        return None if math.isnan(v) else int(v) if v.is_integer() else round(v, 8)
     if hasattr(v, "tolist") and not isinstance(v, str | bytes):
         return value(v.tolist())
     if isinstance(v, list | tuple):
