@@ -19,10 +19,9 @@ SPAN = 32
 
 @dataclass
 class PostingBlocks:
-    """postings: block, token_id, key, weight, a table in the shared folder; largest: token_id, block, most."""
+    """postings: block, token_id, key, weight, a table in the shared folder, sorted by token in each file."""
 
     postings: DataFrame
-    largest: DataFrame
     key: str
     place: str
 
@@ -38,8 +37,8 @@ def posting_blocks(postings: DataFrame, key: str = "chunk_id", span: int = SPAN,
     n = documents if documents is not None else rows.agg(F.approx_count_distinct(key)).first()[0]
     blocks = max(1, -(-n // span))
     dealt = rows.withColumn("block", F.pmod(F.xxhash64(key), F.lit(blocks))).select("block", "token_id", key, "weight")
-    held, place = written(dealt.repartition("block").sortWithinPartitions("block", "token_id"), "postings")
-    return PostingBlocks(held, held.groupBy("token_id", "block").agg(F.max("weight").alias("most")), key, place)
+    held, place = written(dealt.sortWithinPartitions("token_id", "block"), "postings")
+    return PostingBlocks(held, key, place)
 
 
 def pruned_top(queries: DataFrame, index: PostingBlocks, k: int, first: int | None = None) -> tuple[DataFrame, DataFrame]:
@@ -53,12 +52,15 @@ def pruned_top(queries: DataFrame, index: PostingBlocks, k: int, first: int | No
     first = first or k
     key = index.key
     asked = queries.where("query_id IS NOT NULL AND token_id IS NOT NULL AND weight > 0").select("query_id", "token_id", F.col("weight").alias("_w"))
-    bounds = asked.join(index.largest, "token_id").groupBy("query_id", "block").agg(F.sum(F.col("_w") * F.col("most")).alias("bound"))
+    # Only postings of tokens that are asked for are moved.
+    postings = index.postings.join(asked.select("token_id").distinct(), "token_id", "left_semi")
+    largest = postings.groupBy("token_id", "block").agg(F.max("weight").alias("most"))
+    bounds = asked.join(largest, "token_id").groupBy("query_id", "block").agg(F.sum(F.col("_w") * F.col("most")).alias("bound"))
     best = Window.partitionBy("query_id").orderBy(F.desc("bound"), "block")
     seeds = cut(bounds.withColumn("_r", F.row_number().over(best)).where(F.col("_r") <= first).select("query_id", "block"))
 
     def scored(pairs: DataFrame) -> DataFrame:
-        own = pairs.join(asked, "query_id").join(index.postings, ["block", "token_id"])
+        own = pairs.join(asked, "query_id").join(postings, ["block", "token_id"])
         return own.groupBy("query_id", key).agg(F.sum(F.col("_w") * F.col("weight")).alias("score"))
 
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), key)
