@@ -17,7 +17,7 @@ so no text depends on the bound but that of layouts too rare to vote.
 from __future__ import annotations
 
 import re
-from collections import Counter
+from collections import defaultdict
 from collections.abc import Iterator
 from functools import lru_cache
 from html import unescape
@@ -49,12 +49,21 @@ STOPS = {"li": {"ul", "ol", "menu"}, "dt": {"dl"}, "dd": {"dl"}, "tr": {"table"}
 ROLE = frozenset(
     "ad ads advert adverts advertisement advertising sponsor sponsored promo promotion banner sidebar aside menu nav navbar navigation breadcrumb breadcrumbs pagination pager footer masthead "
     "topbar toolbar comment comments commentlist respond replies disqus cookie cookies consent gdpr notice alert popup modal newsletter subscribe subscription signup login "
-    "share sharing social related recommended recommendations widget copyright disclaimer skip".split()
+    "share sharing social related recommended recommendations widget copyright disclaimer skip adsbygoogle".split()
+)
+NEUTRAL = frozenset("site page main top bottom left right post article entry block box slot bar list item items link links button buttons wrapper wrap container inner outer section area unit form group panel content posts articles stories icons text thread the js this us user reader message board body title header heading count label".split())
+# Words of ROLE that decide for a whole name where they are its first or last word, and words that then say that it is content or a layout.
+HEAD = frozenset(
+    "ad ads advert adverts advertisement advertising sponsored comment comments cookie cookies consent gdpr notice sidebar nav navbar navigation breadcrumb breadcrumbs "
+    "pagination footer masthead newsletter subscribe disqus share sharing".split()
+)
+KEEPS = frozenset(
+    "analysis chapter chart data essay explained feature guide history law layout market news period policy price prices report research result results review science "
+    "story study summary table theme template value work has is no not with without hide show toggle".split()
 )
-NEUTRAL = frozenset("site page main top bottom left right post article entry block box slot bar list item items link links button buttons wrapper wrap container inner outer section area unit form group panel content posts articles stories icons text thread the js".split())
 WORD = re.compile(r"[A-Za-z][a-z]*|[A-Z]+")
 PIECE = re.compile(
-    r"<!--.*?(?:-->|$)|<!\[CDATA\[(?P<cdata>.*?)(?:\]\]>|$)|<[!?][^>]*(?:>|$)|"
+    r"<!--.*?(?:-->|$)|<[!?][^>]*(?:>|$)|"
     r"<(?P<end>/?)(?P<tag>[a-zA-Z][^\s/>]*)(?:(?P<rest>(?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|(?P<open>[^>]*)(?P<close>>|$))",
     re.S,
 )
@@ -63,13 +72,16 @@ ATTRIBUTE = re.compile(r"""([^\s=/>"']+)\s*=\s*("[^"]*"|'[^']*'|[^\s>]+)""")
 
 @lru_cache(4096)
 def is_boilerplate(label: str) -> bool:
-    """Whether a name among class, id and role says that the element is no article: all its words are of ROLE or NEUTRAL, and one is of ROLE. So
-    "site-footer" and "comment-list" are, "legal-analysis" and "search-results" are not.
+    """Whether a name among class, id and role says that the element is no article: all its words are of ROLE or NEUTRAL, and one is of ROLE; or its
+    first or last word is of HEAD, and none is of KEEPS. So "site-footer", "comment-list" and "advert-premium" are, "legal-analysis",
+    "comment-analysis" and "has-sidebar" are not.
     """
     for name in label.split():
         words = [w.lower() for w in WORD.findall(name)]
         if any(w in ROLE for w in words) and all(w in ROLE or w in NEUTRAL for w in words):
             return True
+        if words and (words[0] in HEAD or words[-1] in HEAD) and not any(w in KEEPS for w in words):
+            return True
     return False
 
 
@@ -110,30 +122,30 @@ def _step(tag: str, classes: str) -> str:
 
 
 class _Open:
-    """Open elements, with how many there are of each tag: a tag that is not open is known without looking through them."""
+    """Open elements, with the places of those of each tag: the innermost of a tag is known without looking through them."""
 
     def __init__(self, root: Node):
-        self.nodes, self.of = [root], Counter()
+        self.nodes, self.of = [root], defaultdict(list)
 
     def push(self, node: Node) -> None:
+        self.of[node.tag].append(len(self.nodes))
         self.nodes.append(node)
-        self.of[node.tag] += 1
 
-    def cut(self, k: int) -> None:
-        for node in self.nodes[k:]:
-            self.of[node.tag] -= 1
-        del self.nodes[k:]
+    def inmost(self, tags: frozenset | set) -> int:
+        return max((self.of[t][-1] for t in tags if self.of.get(t)), default=0)
 
     def end(self, tags: frozenset | set, stops: frozenset | set) -> None:
         """End the innermost element of these tags and all within it, unless one of stops is further in."""
-        if not any(self.of[t] for t in tags):
-            return
-        for k in range(len(self.nodes) - 1, 0, -1):
-            if self.nodes[k].tag in tags:
-                self.cut(k)
-                return
-            if self.nodes[k].tag in stops:
-                return
+        k = self.inmost(tags)
+        if k and k >= self.inmost(stops):
+            for node in self.nodes[k:]:
+                self.of[node.tag].pop()
+            del self.nodes[k:]
+
+
+def _plain(pieces: list[str]) -> str:
+    """Text of a block: character references decoded, white space made one space, trimmed."""
+    return " ".join(unescape("".join(pieces)).split())
 
 
 def read_page(html: str) -> tuple[list[tuple[Node, str]], list[Node]]:
@@ -143,16 +155,18 @@ def read_page(html: str) -> tuple[list[tuple[Node, str]], list[Node]]:
     opened = _Open(root)
     blocks: list[tuple[Node, str]] = []
     text: list[str] = []
-    linked: Counter = Counter()
+    links: list[str] = []
     holder, filled = root, False
 
     def flush() -> None:
         nonlocal filled
         if text:
-            words = " ".join(unescape("".join(text)).split())
+            words = _plain(text)
             text.clear()
             if words:
                 blocks.append((holder, words))
+                holder.size += max(0, len(words) - len(_plain(links))) if links else len(words)
+            links.clear()
         filled = False
 
     def put(data: str) -> None:
@@ -164,7 +178,7 @@ def read_page(html: str) -> tuple[list[tuple[Node, str]], list[Node]]:
                 filled = bool(data.strip())
             text.append(data)
             if top.link:
-                linked[holder.at] += len(data)
+                links.append(data)
 
     at, n = 0, len(html)
     while at < n:
@@ -176,9 +190,7 @@ def read_page(html: str) -> tuple[list[tuple[Node, str]], list[Node]]:
             put(html[at : m.start()])
         at = m.end()
         tag = m["tag"]
-        if tag is None:
-            if m["cdata"]:
-                put(m["cdata"].replace("&", "&amp;"))
+        if tag is None:  # a comment, a doctype, or what HTML takes for a comment, as it does <![CDATA[
             continue
         rest = m["rest"]
         if rest is None:  # a quote that is never closed: the tag ends at the first >
@@ -219,7 +231,7 @@ def read_page(html: str) -> tuple[list[tuple[Node, str]], list[Node]]:
         named = {a.lower(): v.strip("\"'") for a, v in ATTRIBUTE.findall(rest)} if "=" in rest else {}
         classes = unescape(named.get("class", ""))
         never = top.never or tag in NEVER or (tag == "header" and not top.article) or "hidden" in named
-        if not never and named and tag not in ("main", "p", "h1", "h2", "h3", "h4", "h5", "h6") and (tag != "article" or top.article):
+        if not never and named and tag not in ("main", "h1") and (tag != "article" or top.article):
             never = is_boilerplate(f"{classes} {named.get('id', '')} {named.get('role', '')}")
         node = Node(tag, _step(tag, classes) if tag in BLOCK else tag, top, len(nodes), never, top.link or tag == "a", top.article or tag in ("article", "main"))
         nodes.append(node)
@@ -228,8 +240,6 @@ def read_page(html: str) -> tuple[list[tuple[Node, str]], list[Node]]:
         if tag in CONTAINER and not never:
             containers.append(node)
     flush()
-    for node, words in blocks:
-        node.size += max(0, len(words) - linked[node.at])
     for node in reversed(nodes[1:]):
         node.parent.size += node.size
         node.parent.last = max(node.parent.last, node.last)

@@ -10,7 +10,7 @@ A text's score is the sum of log10 probabilities of its symbols, each given the
 counts are bounded: they grow with the corpus. Runs (a context and the symbol after it) are dealt into buckets by the two bytes before the
 symbol, so that a bucket has all of a context's suffixes of two bytes or more; the counts of shorter ones go to all. Buckets test contexts.
 A model that measures MODEL_BYTES at most is broadcast and each block of texts looks its runs up; beyond, each block sends its distinct runs to
-the buckets and gets their log probabilities back. Both ways give the same scores. Tree is the same model in one place, as an automaton.
+the buckets and gets their log probabilities back, in doubles. Both ways give the same scores to the last bit. Tree is the same model in one place, as an automaton.
 
 Word counts are not broadcast either: each block's words meet their counts by a shuffle of hashes (64 bit), and each block gets the counts of
 its own words back.
@@ -307,7 +307,7 @@ def _bucket_scores(shared: Broadcast, depth: int):
         kept = [np.zeros(1, U), ones] + [x[n == -length] for length in range(2, depth + 1)]
         grams = [np.frombuffer(b, U) for b in runs.column("grams").to_pylist()]
         every, inverse = np.unique(np.concatenate([np.zeros(0, U), *grams]), return_inverse=True)
-        logs = _log_probabilities(levels, kept, every).astype("<f4")[inverse]
+        logs = _log_probabilities(levels, kept, every).astype("<f8")[inverse]
         marks = np.cumsum([0] + [len(g) for g in grams])
         return pa.table({"block": runs.column("block"), "bucket": runs.column("bucket"), "logs": pa.array([logs[a:z].tobytes() for a, z in zip(marks, marks[1:], strict=False)], pa.binary())})
 
@@ -361,7 +361,7 @@ def _bucket_model(shared: Broadcast, depth: int):
 
 
 class Lookup:
-    """Kept contexts by length: the log10 probability of each context and symbol seen, and log10 of what a context leaves to its suffix."""
+    """Kept contexts by length: the probability of each context and symbol seen, and the count and kinds of symbols after each context."""
 
     def __init__(self, short: tuple[np.ndarray, np.ndarray], ones: np.ndarray, length: np.ndarray, row: np.ndarray, n: np.ndarray, depth: int):
         self.levels: list[tuple] = []
@@ -380,27 +380,31 @@ class Lookup:
             kinds = np.diff(np.append(first, len(rows)))
             up = below[np.searchsorted(below_rows, rows & U((1 << 8 * size) - 1))] if size else np.full(len(rows), 1 / 257)
             p = (c + np.repeat(kinds, kinds) * up) / np.repeat(totals + kinds, kinds)
-            self.levels.append((rows, np.log10(p), context[first], np.log10(kinds / (totals + kinds)) if len(rows) else np.zeros(0)))
+            self.levels.append((rows, p, context[first], totals, kinds))
             below_rows, below = rows, p
 
     def logs(self, grams: np.ndarray) -> np.ndarray:
-        """log10 probability of each run's last symbol given the longest kept context before it."""
-        out = np.zeros(len(grams))
+        """log10 probability of each run's last symbol given the longest kept context before it. Smoothed from the shortest context up by the same steps as
+        _log_probabilities, so both give the same doubles.
+        """
+        p = np.full(len(grams), 1 / 257)
         left = np.arange(len(grams))
+        above: list[tuple] = []
         for size in range(len(self.levels) - 1, -1, -1):
-            rows, logs, contexts, rest = self.levels[size]
+            rows, known, contexts, totals, kinds = self.levels[size]
             if not len(rows) or not len(left):
                 continue
             x = grams[left] & U((1 << 8 * (size + 1)) - 1)
             at = np.minimum(np.searchsorted(rows, x), len(rows) - 1)
             hit = rows[at] == x
-            out[left[hit]] += logs[at[hit]]
+            p[left[hit]] = known[at[hit]]
             left, x = left[~hit], x[~hit] >> U(8)
             at = np.minimum(np.searchsorted(contexts, x), len(contexts) - 1)
             kept = contexts[at] == x
-            out[left[kept]] += rest[at[kept]]
-        out[left] += np.log10(1 / 257)
-        return out
+            above.append((left[kept], kinds[at[kept]], totals[at[kept]]))
+        for own, kinds, totals in reversed(above):
+            p[own] = kinds * p[own] / (totals + kinds)
+        return np.log10(p)
 
 
 def run_scores(train: DataFrame, dealt: DataFrame, buckets: int, depth: int, least: int, divergence: float, model_bytes: int = MODEL_BYTES) -> tuple[DataFrame | None, Lookup | None]:
@@ -495,7 +499,7 @@ def _scorer(depth: int, buckets: int, model: Broadcast | None):
             order, _ = _dealt_runs(every, buckets)
             parts = sorted((b, x) for b, x in zip(words.column("bucket").to_pylist(), words.column("logs").to_pylist(), strict=True) if x is not None)
             values = np.zeros(len(every))
-            values[order] = np.frombuffer(b"".join(x for _, x in parts), "<f4")
+            values[order] = np.frombuffer(b"".join(x for _, x in parts), "<f8")
         scores, base = np.bincount(text, weights=values[inverse], minlength=len(docs)), 0
         words = words.filter(words.column("hashes").is_valid())
         hashes = np.concatenate([np.zeros(0, U), *(np.frombuffer(x, U) for x in words.column("hashes").to_pylist())])

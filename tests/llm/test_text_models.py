@@ -139,10 +139,10 @@ def test_all_contexts_that_pass_are_kept(make_docs):
     tree, _, _ = tree_of([t for i, t in rows if not held(i, 7)], depth=5, most=10**9)
     assert tree.states > 60_000
     stream, bounds = suffix_tree.symbols(*text_buffers(pa.array([t for _, t in rows])))
-    for limit in (suffix_tree.MODEL_BYTES, 0):  # broadcast, and by buckets
-        got = {r["doc_id"]: r["score"] for r in suffix_tree.corpus_scores(make_docs(rows), model_bytes=limit).collect()}
-        for (i, _), score in zip(rows, tree.scores(stream, bounds), strict=True):
-            assert math.isclose(got[i], score, rel_tol=1e-5)
+    one, two = ({r["doc_id"]: r["score"] for r in suffix_tree.corpus_scores(make_docs(rows), model_bytes=limit).collect()} for limit in (suffix_tree.MODEL_BYTES, 0))
+    assert one == two  # broadcast and by buckets: to the last bit
+    for (i, _), score in zip(rows, tree.scores(stream, bounds), strict=True):
+        assert math.isclose(one[i], score, rel_tol=1e-5)
 
 
 @pytest.mark.parametrize("limit", [suffix_tree.MODEL_BYTES, 0])
