@@ -2,17 +2,18 @@
 
 Documents fall into blocks of about `span`; of each token and block the largest weight is kept. A query's score in a block is at most the sum of its weights times
 these, its bound there. The blocks of the highest bounds are read first; the k-th best score in them is a threshold, and of the other blocks only those whose
-bound reaches it are read. All steps are joins on token and block and sums, so nothing is as large as documents times queries.
+bound reaches it are read. All steps are joins on token and block and sums, so nothing is as large as documents times queries. What postings are joined with is a table
+of known size first, so Spark broadcasts it where it is small, and no posting moves.
 """
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+from dataclasses import dataclass, field
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..lineage import cut, remove, written
+from ..lineage import remove, written
 
 SPAN = 32
 
@@ -24,10 +25,19 @@ class PostingBlocks:
     postings: DataFrame
     key: str
     place: str
+    scratch: list[str] = field(default_factory=list)
+
+    def table(self, rows: DataFrame, name: str) -> DataFrame:
+        """rows as a table that goes with the index."""
+        held, place = written(rows, name)
+        self.scratch.append(place)
+        return held
 
     def remove(self) -> None:
-        """Remove the table. Nothing may be reading it."""
-        remove(self.postings.sparkSession, self.place)
+        """Remove the table and those of its searches. Nothing may be reading them."""
+        for place in (self.place, *self.scratch):
+            remove(self.postings.sparkSession, place)
+        self.scratch.clear()
 
 
 def posting_blocks(postings: DataFrame, key: str = "chunk_id", span: int = SPAN, documents: int | None = None) -> PostingBlocks:
@@ -52,25 +62,24 @@ def pruned_top(queries: DataFrame, index: PostingBlocks, k: int, first: int | No
     first = first or k
     key = index.key
     asked = queries.where("query_id IS NOT NULL AND token_id IS NOT NULL AND weight > 0").select("query_id", "token_id", F.col("weight").alias("_w"))
-    # Only postings of tokens that are asked for are moved.
-    postings = index.postings.join(asked.select("token_id").distinct(), "token_id", "left_semi")
-    largest = postings.groupBy("token_id", "block").agg(F.max("weight").alias("most"))
-    bounds = asked.join(largest, "token_id").groupBy("query_id", "block").agg(F.sum(F.col("_w") * F.col("most")).alias("bound"))
+    asked = index.table(asked, "asked")
+    largest = index.postings.join(asked.select("token_id").distinct(), "token_id", "left_semi").groupBy("token_id", "block").agg(F.max("weight").alias("most"))
+    bounds = index.table(asked.join(largest, "token_id").groupBy("query_id", "block").agg(F.sum(F.col("_w") * F.col("most")).alias("bound")), "bounds")
     best = Window.partitionBy("query_id").orderBy(F.desc("bound"), "block")
-    seeds = cut(bounds.withColumn("_r", F.row_number().over(best)).where(F.col("_r") <= first).select("query_id", "block"))
+    seeds = index.table(bounds.withColumn("_r", F.row_number().over(best)).where(F.col("_r") <= first).select("query_id", "block"), "seeds")
 
     def scored(pairs: DataFrame) -> DataFrame:
-        own = pairs.join(asked, "query_id").join(postings, ["block", "token_id"])
-        return own.groupBy("query_id", key).agg(F.sum(F.col("_w") * F.col("weight")).alias("score"))
+        wanted = index.table(pairs.join(asked, "query_id"), "wanted")
+        return index.postings.join(wanted, ["block", "token_id"]).groupBy("query_id", key).agg(F.sum(F.col("_w") * F.col("weight")).alias("score"))
 
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), key)
     top = lambda rows: rows.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
-    found = cut(top(scored(seeds)))
+    found = index.table(top(scored(seeds)), "found")
     reached = found.where(F.col("rank") == k).select("query_id", F.col("score").alias("_least"))
     # A bound may be off by the order of its sum.
     slack = F.col("_least") * (1 - 1e-9)
     late = bounds.join(seeds, ["query_id", "block"], "left_anti").join(reached, "query_id", "left")
-    late = cut(late.where(F.col("_least").isNull() | (F.col("bound") >= slack)).select("query_id", "block"))
+    late = index.table(late.where(F.col("_least").isNull() | (F.col("bound") >= slack)).select("query_id", "block"), "late")
     out = top(found.drop("rank").unionByName(scored(late)))
     read = seeds.unionByName(late).groupBy("query_id").agg(F.count("*").alias("read"))
     report = bounds.groupBy("query_id").agg(F.count("*").alias("blocks")).join(read, "query_id")
