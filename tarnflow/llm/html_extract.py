@@ -42,6 +42,7 @@ BLOCK = frozenset(
 )
 CONTAINER = frozenset("article body center div main section td".split())
 NEVER = frozenset("aside button dialog fieldset footer form head label legend menu nav search".split())
+HEADING = frozenset("h1 h2 h3 h4 h5 h6".split())
 ENDS_P = BLOCK - frozenset("html body li dd dt td th tr".split())
 SELF_ENDING = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
 STOPS = {"li": {"ul", "ol", "menu"}, "dt": {"dl"}, "dd": {"dl"}, "tr": {"table"}, "td": {"tr", "table"}, "th": {"tr", "table"}, "option": {"select"}}
@@ -232,7 +233,8 @@ def read_page(html: str) -> tuple[list[tuple[Node, str]], list[Node]]:
         classes = unescape(named.get("class", ""))
         never = top.never or tag in NEVER or (tag == "header" and not top.article) or "hidden" in named
         if not never and named and tag not in ("main", "h1") and (tag != "article" or top.article):
-            never = is_boilerplate(f"{classes} {named.get('id', '')} {named.get('role', '')}")
+            own = "" if tag in HEADING else named.get("id", "")  # a heading's id is often made of its words
+            never = is_boilerplate(f"{classes} {own} {named.get('role', '')}")
         node = Node(tag, _step(tag, classes) if tag in BLOCK else tag, top, len(nodes), never, top.link or tag == "a", top.article or tag in ("article", "main"))
         nodes.append(node)
         if not rest.endswith("/"):

@@ -20,6 +20,10 @@ def test_names_that_say_what_an_element_is(tag):
         assert html_extract.text_of(f"<article><p>kept</p><{tag} class={name}>in</{tag}></article>")[0] == "kept\nin", name
 
 
+def test_ids_of_headings_are_content():
+    assert html_extract.text_of("<article><h2 id='data-sharing'>Sharing</h2><div id=comments>out</div><p>text</p></article>")[0] == "Sharing\ntext"
+
+
 def test_cdata_is_a_comment():
     assert html_extract.text_of("<p>a</p><![CDATA[x]]><p>b</p>")[0] == "a\nb"
 
