@@ -5,8 +5,8 @@ size to the open sequence, among those with room in every dimension, that the ru
 "dot" the largest weighted dot product of sizes and free capacity. A new sequence opens if none has room.
 
 Documents longer than the token capacity are cut: pieces of full length fill a sequence each, and the first piece is the shorter rest, which
-is packed with the others. Items are dealt by hash into groups of bounded size, each packed by one task; a group costs at most one
-sequence that a single packing would have saved.
+is packed with the others. Pieces are written once, then dealt by hash into groups of bounded size, each packed by one task; a group costs at
+most one sequence that a single packing would have saved. A piece's row number in its file is hashed too, so rows alike do not meet in one group.
 """
 
 from __future__ import annotations
@@ -19,9 +19,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import short_batches
+from .common import short_batches, written
 from .tokens import encoder
 
+#: Pieces of a group, about.
 GROUP = 8192
 
 
@@ -96,12 +97,14 @@ def pack_documents(docs: DataFrame, tokenizer: str, end: int = 2, tokens: int =
 
     A row per piece: doc_id, piece (from 0), start (ids of the document before it), length, ids_crc32 (of little-endian 32-bit ids), sequence_id,
     offset. The end id follows each document's ids, so an empty text is one token. attention: tokens squared unless given. Rows that
-    share a doc_id, or have none, are documents of their own.
+    share a doc_id, or have none, are documents of their own. Of sequences that the rule prefers alike any may take the
+    item; items of a length go by doc_id, piece and ids_crc32. An empty table has no pieces. group: pieces that are packed together, about.
     """
-    short_batches(docs.sparkSession)
+    spark = docs.sparkSession
+    short_batches(spark)
     attention = float(tokens) ** 2 if attention is None else attention
-    groups = max(1, -(-docs.count() // group))
     d = docs.select(F.col("doc_id").cast("long"), "text")
-    pieces = d.mapInArrow(_pieces(tokenizer, end, tokens), "doc_id long, piece int, start long, length long, ids_crc32 long")
-    dealt = pieces.withColumn("g", F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32"), F.lit(groups)))
+    pieces = written(d.mapInArrow(_pieces(tokenizer, end, tokens), "doc_id long, piece int, start long, length long, ids_crc32 long"), "pieces")
+    groups = max(1, -(-pieces.count() // group))
+    dealt = pieces.withColumn("g", F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32", F.col("_metadata.row_index")), F.lit(groups)))
     return dealt.groupBy("g").applyInArrow(_packer(tokens, documents, attention, rule), "doc_id long, piece int, start long, length long, ids_crc32 long, sequence_id long, offset long")

@@ -64,6 +64,38 @@ def test_pieces_hold_all_ids(make_docs):
         assert at <= 1024
 
 
+def by_sequence(got):
+    per = defaultdict(list)
+    for r in got:
+        per[r["sequence_id"]].append(r["length"])
+    return per
+
+
+def test_equal_rows_are_dealt_to_many_groups(make_docs):
+    docs = make_docs([(1, "x")]).selectExpr("cast(null as long) doc_id", "'one and the same' text", "explode(sequence(1, 20000))")
+    got = pack_documents(docs, PATH, group=500).collect()
+    sizes = defaultdict(int)
+    for r in got:
+        sizes[r["sequence_id"] >> 32] += 1
+    assert len(got) == 20000 and len(sizes) == 40 and max(sizes.values()) < 700
+
+
+def test_number_of_sequences_through_the_query(make_docs):
+    rng = np.random.default_rng(3)
+    got = pack_documents(make_docs([(i, "word " * int(n)) for i, n in enumerate(rng.integers(1, 1500, 1500))]), PATH).collect()
+    lengths = np.array([r["length"] for r in got])
+    assert len(by_sequence(got)) <= 1.02 * max(-(-lengths.sum() // 1024), (lengths > 512).sum())
+
+
+@pytest.mark.parametrize("rule", ["norm", "dot"])
+def test_documents_and_attention_bind_through_the_query(make_docs, rule):
+    rng = np.random.default_rng(4)
+    docs = make_docs([(i, "word " * int(n)) for i, n in enumerate(rng.integers(1, 25, 400))])
+    per = by_sequence(pack_documents(docs, PATH, documents=3, attention=1000.0, tokens=64, rule=rule).collect())
+    assert all(len(x) <= 3 and sum(x) <= 64 and sum(n * n for n in x) <= 1000 for x in per.values())
+    assert any(len(x) == 3 for x in per.values())
+
+
 def test_token_files_count_as_the_tokenizer(make_docs):
     tokenizer = Tokenizer.from_file(PATH)
     tokenizer.encode_special_tokens = True
