@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import layout_queries, run_queries, structure_queries
+from . import layout_queries, run_queries, stored_queries, structure_queries
 from .sql_parts import BUDGET, CHUNKS, CHUNK_SPANS, CLEAN, COLLAPSED, HELD, JUDGED, LINES, LISTING, MESSAGES, PASSAGES, QUESTIONS, SOURCE_INDEX, SPACES, STRIPS, URL, VECTOR_HITS, dense, key, overlap, page_text, postings, sparse, tail
 
 SQL: dict[str, str] = {
@@ -188,4 +188,4 @@ SELECT 'run-' || query_id AS run_id, action AS branch, CASE WHEN n IS NULL THEN
 FROM actions LEFT JOIN c USING (query_id)""",
 }
 SQL |= layout_queries.SQL
-SQL |= structure_queries.SQL | run_queries.SQL
+SQL |= structure_queries.SQL | run_queries.SQL | stored_queries.SQL

@@ -13,7 +13,7 @@ from ..functions import text as T
 from ..functions.embedding import dense, embedder, postings
 from ..functions.vectors import norm
 from ..operators import artifacts, blocks, chat, chunking, evidence, index, retrieval, web
-from . import layout_queries, run_queries, structure_queries
+from . import layout_queries, run_queries, stored_queries, structure_queries
 from .corrective import Corrective
 from .tables import read
 
@@ -417,4 +417,4 @@ QUERIES = {f.__name__: f for f in (
     context_budget, context_status, branch_problems, answer_lines, polarity_filter, mojibake_filter, doc_status, skip_unchanged, doc_listing, mixed_index,
     stale_points, replaced_index, index_issues, session_list, session_messages, session_title, upload_names, managed_uploads, run_summaries, corrective_contexts,
 )}
-QUERIES |= layout_queries.QUERIES | structure_queries.QUERIES | run_queries.QUERIES
+QUERIES |= layout_queries.QUERIES | structure_queries.QUERIES | run_queries.QUERIES | stored_queries.QUERIES
