@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 
 from ..config import Ingestion
 from ..sources.files import default_registry
+from .payloads import artifact_faults
 
 DOCUMENT_ID, UPLOAD_FOLDER = "^[0-9a-f]{24}$", "^[0-9a-f]{32}$"
 
@@ -71,6 +72,11 @@ class ArtifactStore:
     def store_processed(self, artifacts: DataFrame) -> None:
         self._append(artifacts, "processed", ["document_id", "revision"])
 
+    def store_images(self, parsed: DataFrame) -> None:
+        """parsed: document_id, assets (sha256, content) as sources.files gives them. An image that several pages of a document show is written once."""
+        rows = parsed.select("document_id", F.explode("assets").alias("a")).select("document_id", "a.sha256", "a.content")
+        self._append(rows, "images", ["document_id", "sha256"])
+
     def delete(self, document_ids: list[str]) -> None:
         """Forget what is stored of documents until now: their ids go to a table of deletions; what is stored later is seen again. Source files are never touched."""
         if any(len(x) != 24 or set(x) - set("0123456789abcdef") for x in document_ids):
@@ -93,6 +99,22 @@ class ArtifactStore:
     def processed(self) -> DataFrame | None:
         return self._live("processed")
 
+    def images(self) -> DataFrame | None:
+        """document_id, sha256 (as stored), content."""
+        return self._live("images")
+
+    def faults(self, listing: DataFrame) -> DataFrame:
+        """What is wrong with the processed artifacts of a listing (document_id, source_path, media_type, content_hash, pipeline_signature, chunk_count) that are now
+        in force, by payloads.artifact_faults(). Artifacts of other contents or signatures are older ones, and stay.
+        """
+        images = self.images()
+        none = self.spark.createDataFrame([], "document_id string, sha256 string, content binary")
+        processed = self.processed()
+        if processed is None:
+            processed = self.spark.createDataFrame([], "document_id string, content_hash string, pipeline_signature string, payload string")
+        now = processed.join(listing.select("document_id", "content_hash", "pipeline_signature"), ["document_id", "content_hash", "pipeline_signature"], "left_semi")
+        return artifact_faults(listing, now, images if images is not None else none)
+
     def source_file(self, document_id: str, content_hash: str) -> bytes:
         """The bytes that a citation points to, checked against their hash."""
         rows = self.raw()

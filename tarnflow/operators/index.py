@@ -51,6 +51,12 @@ def refused(new: DataFrame, dimensions: int) -> DataFrame:
     return per.select("document_id", problem.alias("problem")).where("problem is not null")
 
 
+def without_tokens(rows: DataFrame) -> DataFrame:
+    """document_id of documents that have a chunk with nothing to search for: a dense vector that is null or all zero, or no lexical weights."""
+    found = F.coalesce(F.exists("dense", lambda x: x != 0), F.lit(False)) & F.coalesce(F.size("lexical") > 0, F.lit(False))
+    return rows.where(~found).select("document_id").distinct()
+
+
 def documents(index: DataFrame, pending: DataFrame | None = None) -> DataFrame:
     """A row per document: its columns, n_chunks, ordinal_gap, and index_incomplete: rows missing, ordinals not 0 to n - 1, columns that differ,
     or an update under way (pending: document_id).

@@ -266,7 +266,7 @@ def rows_of(parts: list[Fragment], width: float) -> list[dict]:
             for a, b in zip([None, *seg], seg, strict=False):
                 text += (" " if a is not None and b.x - a.x - a.width > 0.15 * b.size and not text.endswith(" ") else "") + b.text
             if text.strip():
-                out.append({"text": " ".join(text.split()), "x": seg[0].x, "y": row[0].y, "size": round(max(f.size for f in seg), 1), "split": len(at) > 1})
+                out.append({"text": " ".join(text.split()), "x": seg[0].x, "y": row[0].y, "end": seg[-1].x + seg[-1].width, "size": round(max(f.size for f in seg), 1), "split": len(at) > 1})
     left = [r for r in out if r["split"] and r["x"] < width / 2]
     right = [r for r in out if r["split"] and r["x"] >= width / 2]
     if len(left) >= 2 and len(right) >= 2:
@@ -299,13 +299,13 @@ def parse_pdf(data: bytes, name: str = "", max_pages: int = 2000) -> Parsed:
             head, raw = pdf.object(int(x))
             sha = hashlib.sha256(raw or b"").hexdigest()
             out.assets[sha] = raw or b""
-            out.blocks.append(Block(f"[Image {head.get('Width')}x{head.get('Height')}]", "image", number, metadata={"sha256": sha, "bbox": box}))
+            out.blocks.append(Block(f"[Image {head.get('Width')}x{head.get('Height')}]", "image", number, metadata={"sha256": sha, "bbox": box, "source": {"path": name, "page": number, "bbox": box}, "image": {"extracted_path": f"images/{sha}", "sha256": sha}}))
         if drawn >= DRAWINGS:
-            out.blocks.append(Block(f"[Vector graphic: {drawn} operators]", "graphic", number, metadata={"operators": drawn}))
+            out.blocks.append(Block(f"[Vector graphic: {drawn} operators]", "graphic", number, metadata={"operators": drawn, "source": {"path": name, "page": number, "bbox": box}}))
         if not found:
             out.warn(f"Page {number} " + ("is an image without text" if images else "is empty"))
         every.append((number, width, height, rows_of(found, width)))
-    classify(out, every)
+    classify(out, every, name)
     out.blocks.sort(key=lambda b: b.page or 0)
     return out
 
@@ -317,8 +317,10 @@ def body_size(rows: list[dict]) -> float:
     return (sizes[(n - 1) // 2] + sizes[n // 2]) / 2 if n else 0.0
 
 
-def classify(out: Parsed, pages: list[tuple[int, float, float, list[dict]]]) -> None:
-    """Blocks of rows: headings (level by the rank of their size), list items, formulas, and paragraphs of rows that follow closely."""
+def classify(out: Parsed, pages: list[tuple[int, float, float, list[dict]]], name: str = "") -> None:
+    """Blocks of rows: headings (level by the rank of their size), list items, formulas, and paragraphs of rows that follow closely. Each has its file, page
+    and box (left, lower, right and upper edge) as its source.
+    """
     usual = body_size([r for _, _, _, rows in pages for r in rows])
     is_head = lambda r, height: r["size"] >= max(usual + 1.5, usual * 1.15) and len(r["text"]) <= 180 and r["text"][-1] not in ".;," and MARGIN * height < r["y"] < (1 - MARGIN) * height
     sizes = sorted({round(r["size"]) for _, _, h, rows in pages for r in rows if is_head(r, h)}, reverse=True)
@@ -326,7 +328,8 @@ def classify(out: Parsed, pages: list[tuple[int, float, float, list[dict]]]) ->
     for number, _, height, rows in pages:
         last: dict | None = None
         for r in rows:
-            place = {"x": r["x"], "y": r["y"], "font_size": r["size"]}
+            box = [r["x"], r["y"], r["end"], r["y"] + r["size"]]
+            place = {"x": r["x"], "y": r["y"], "font_size": r["size"], "source": {"path": name, "page": number, "bbox": box}}
             if is_head(r, height):
                 level = min(6, sizes.index(round(r["size"])) + 1)
                 path = under(path, level, r["text"])
@@ -341,6 +344,8 @@ def classify(out: Parsed, pages: list[tuple[int, float, float, list[dict]]]) ->
             elif last is not None and 0 < last["y"] - r["y"] <= 1.6 * max(r["size"], last["size"]) and abs(last["x"] - r["x"]) < 40:
                 block = out.blocks[-1]
                 block.text = block.text[:-1] + r["text"] if block.text.endswith("-") and r["text"][:1].islower() else f"{block.text}\n{r['text']}"
+                was = block.metadata["source"]["bbox"]
+                block.metadata["source"]["bbox"] = [min(was[0], box[0]), min(was[1], box[1]), max(was[2], box[2]), max(was[3], box[3])]
                 last = r
             else:
                 out.blocks.append(Block(r["text"], "paragraph", number, list(path), place))

@@ -39,26 +39,30 @@ def index_rows(found: DataFrame, config: Ingestion = Ingestion(), registry: file
 
 def put(found: DataFrame, store: index.IndexStore, config: Ingestion, keep: artifacts.ArtifactStore | None = None) -> DataFrame:
     """Files into the index; before that their raw copies and processed artifacts into the artifact store, so what is indexed can always be opened. Files are
-    read and parsed once. Returns source_path, why of those that could not be."""
+    read and parsed once. A document of which any chunk has no token to search for is refused whole. Returns source_path, why of those that could not be."""
     kept, rejects = files.guarded(found, config)
     registry = files.default_registry(config)
     every = files.parse(kept, registry, config).persist()
     parsed = every.where("error is null")
     chunks = chunking.chunks(blocks.cleaned(files.blocks_of(parsed), config.cleaning), config.chunking).persist()
     signature = config.signature(registry.signatures())
-    rows = _rows(parsed, chunks, config, signature).persist()
+    embedded = _rows(parsed, chunks, config, signature).persist()
+    bare = index.without_tokens(embedded)
+    rows = embedded.join(bare, "document_id", "left_anti")
     try:
         if not rows.isEmpty():
             if keep is not None:
-                own = found.withColumn("document_id", index.document_id(F.col("path"))).join(parsed.select("document_id"), "document_id", "left_semi")
+                own = found.withColumn("document_id", index.document_id(F.col("path"))).join(rows.select("document_id"), "document_id", "left_semi")
                 keep.store_raw(own)
-                keep.store_processed(artifacts.artifact(parsed, chunks, signature))
+                keep.store_processed(artifacts.artifact(parsed, chunks.join(bare, "document_id", "left_anti"), signature))
+                keep.store_images(parsed.join(rows.select("document_id"), "document_id", "left_semi"))
             store.replace(rows, config.dimensions)
         without = parsed.join(chunks.select("document_id"), "document_id", "left_anti").select("source_path", F.lit("no text").alias("why"))
-        errors = every.where("error is not null").select("source_path", F.col("error").alias("why")).unionByName(without)
+        wordless = parsed.join(bare, "document_id", "left_semi").select("source_path", F.lit("no tokens").alias("why"))
+        errors = every.where("error is not null").select("source_path", F.col("error").alias("why")).unionByName(without).unionByName(wordless)
         return cut(errors.unionByName(rejects.select(F.col("path").alias("source_path"), F.col("reason").alias("why"))))
     finally:
-        for table in (rows, chunks, every):
+        for table in (embedded, chunks, every):
             table.unpersist()
 
 
