@@ -1,5 +1,7 @@
 """Texts of pages and which page of an address is read."""
 
+from pyspark.sql import functions as F
+
 from tarnflow.operators import web
 from tarnflow.plans import queries
 
@@ -18,3 +20,10 @@ def _pages(spark, folder, rows):
 def test_the_query_decodes_as_its_sql(spark, tmp_path):
     d = _pages(spark, tmp_path, [(1, "http://a.example/", "<h1>x &amp</h1><p>&amp;lt;</p>")])
     assert [tuple(r) for r in queries.page_text(spark, d).collect()] == [(1, "x &amp\n\n&lt;")]
+
+
+def test_of_one_address_the_smallest_page_stays(spark, tmp_path):
+    rows = [(i, f"http://a.example/{i % 7}{'#top' if i % 2 else '?ref=x'}", f"<p>page {i}</p>") for i in range(70, 0, -1)]
+    got = queries.page_dedup(spark, _pages(spark, tmp_path, rows)).select("content_sha256")
+    wanted = spark.createDataFrame([(f"page {i}",) for i in range(1, 8)], "t string").select(F.sha2(F.encode("t", "UTF-8"), 256))
+    assert sorted(got.collect()) == sorted(wanted.collect())
