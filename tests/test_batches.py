@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 
 from tarnflow.functions import batches
 from tarnflow.functions.embedding import dense, embedder, postings
-from tarnflow.functions.text import nfc
+from tarnflow.functions.text import CONTROL, clean_text, cleaned, nfc
 from tarnflow.operators import chunking
 
 
@@ -46,3 +46,16 @@ def test_embedded_and_composed_alike_over_many_rows(spark):
         assert e["lexical"] == ({} if k % 7 == 0 else e["lexical"]) and len(e["dense"]) == 64
     assert {(r["k"], r["token_id"]): r["weight"] for r in posts.collect()} == {(k, t): w for k, e in got.items() for t, w in e["lexical"].items()}
     assert [r[0] for r in rows.orderBy("k").select(nfc(F.replace("text", F.lit("\u00e9"), F.lit("e\u0301")))).collect()] == [None if k % 7 == 0 else f"\u00e9 one Two {k}" for k in range(450)]
+
+
+def test_texts_are_cleaned_in_one_pass_as_by_the_patterns(spark):
+    texts = [f"a{chr(i)}{chr(j)}b {chr(i)}\n{chr(i)}" for i in [*range(1, 0x250), *range(0x1680, 0x1690), *range(0x180B, 0x180F), *range(0x2000, 0x2070), *range(0x3000, 0x3004), 0xFEFF] for j in (9, 10, 13, 32, 0xA0, 0x2028, 120)]
+    rows = spark.createDataFrame(enumerate([*texts, "", None]), "k int, t string")
+    t = F.regexp_replace(nfc(F.col("t")), "\r\n?", "\n")
+    t = F.regexp_replace(F.replace(F.replace(t, F.lit("\u00ad"), F.lit("")), F.lit("\u00a0"), F.lit(" ")), CONTROL, "")
+    t = F.regexp_replace(F.regexp_replace(F.regexp_replace(t, r"(?U)[\s&&[^\n]]+", " "), " ?\n ?", "\n"), "\n{3,}", "\n\n")
+    assert rows.select("t", F.btrim(t, F.lit(" \n")).alias("w")).collect() == [(x, cleaned(x)) for x in [*texts, "", None]]
+    # No pattern is left to the JVM, which would match it twice for a text that is filtered.
+    out = rows.select(clean_text(F.col("t")).alias("t")).where("t <> ''")
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert "regexp_replace" not in plan and plan.count("ArrowEvalPython") == 1 and out.count() > 0
