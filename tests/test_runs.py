@@ -3,6 +3,7 @@ import json
 import pytest
 
 from tarnflow.operators import evidence, runs
+from tarnflow.plans import run_queries
 
 STRIP = {"strip_id": "s", "text": "t", "source_type": "internal", "source_ref": "c", "metadata": {"page": "3"}}
 CITATION = {"marker": "[1]", "strip_id": "s", "source_type": "internal", "source_ref": "c", "metadata": {"page": "3"}}
@@ -72,3 +73,16 @@ def test_a_selector_may_only_choose(spark):
     assert {tuple(r) for r in found.collect()} == {(2, "s1", "unknown"), (None, "s1", "unknown"), (1, None, "unknown")}
     assert problems([(1, "s0", "t0 ", "web", "u"), (1, "s1", "t1", "internal", "u"), (1, "n", "", "web", None)]) == [(1, "n", "changed"), (1, "s0", "changed"), (1, "s1", "changed")]
     assert problems([have[0], (1, "s0", "t9", "web", "u")]) == [(1, "s0", "changed"), (1, "s0", "repeated")]
+
+
+def test_a_state_is_judged_in_one_pass_and_no_state_is_joined(spark, tmp_path):
+    rows = table(spark, [(3, state()), (3, "{"), (1, state(1))])
+    judged = {r["run_id"]: r for r in runs.judged_states(rows).collect()}
+    assert [judged[k]["reason"] for k in range(3)] == [None, "json", None] and [judged[k]["state"] is None for k in range(3)] == [False, True, False]
+    assert {k: r["raw"] for k, r in judged.items()} == {r["run_id"]: r["state"] for r in rows.collect()}
+    documents = [(k, f"text {k}", "en", "s") for k in (1, 1, 2, 3, 17, 19, 29, 31)]
+    spark.createDataFrame(documents, "doc_id long, text string, lang string, source string").write.parquet(f"{tmp_path}/documents.parquet")
+    out = run_queries.run_states(spark, str(tmp_path))
+    assert "Join" not in out._jdf.queryExecution().executedPlan().toString()
+    # Two runs of one id are two rows.
+    assert sorted((r["run_id"], r["reason"] or "") for r in out.collect()) == [(1, ""), (1, ""), (2, ""), (3, ""), (17, "relevance"), (19, "action"), (29, "version"), (31, "json")]
