@@ -1,5 +1,7 @@
 """Python works on a few rows at a time, whatever a batch holds."""
 
+import importlib
+
 import pyarrow as pa
 from pyspark.sql import functions as F
 
@@ -59,3 +61,25 @@ def test_texts_are_cleaned_in_one_pass_as_by_the_patterns(spark):
     out = rows.select(clean_text(F.col("t")).alias("t")).where("t <> ''")
     plan = out._jdf.queryExecution().executedPlan().toString()
     assert "regexp_replace" not in plan and plan.count("ArrowEvalPython") == 1 and out.count() > 0
+
+
+def test_batches_for_python_are_bounded_by_their_bytes(spark):
+    entry = importlib.import_module("__spark_entry__")
+    query = entry._shipped(lambda s, d: s.range(3000).select(F.repeat(F.lit("x"), 10_000).alias("t")).coalesce(1), batches.bounded)
+    rows = query(spark, "")
+
+    def sizes(parts):
+        for part in parts:
+            yield pa.RecordBatch.from_pydict({"n": [part.nbytes]})
+
+    held = [r["n"] for r in rows.mapInArrow(sizes, "n long").collect()]
+    assert sum(held) >= 30_000_000 and max(held) < 2 * batches.BATCH
+    # A training-data operator has the session's own setting; a lower one stays.
+    plain = entry._shipped(lambda s, d: s.conf.get(batches.BATCH_BYTES), batches.unbounded)
+    assert plain(spark, "") == "67108864b" == plain(spark, "")
+    spark.conf.set(batches.BATCH_BYTES, "64k")
+    batches.bounded(spark)
+    assert spark.conf.get(batches.BATCH_BYTES) == "64k"
+    batches.unbounded(spark)
+    assert spark.conf.get(batches.BATCH_BYTES) == "64k"
+    spark.conf.unset(batches.BATCH_BYTES)
