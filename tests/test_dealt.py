@@ -30,3 +30,13 @@ def test_words_of_pages_are_not_moved(spark, tmp_path, name):
     # Whole pages are dealt out, or the plan reads blocks that were made once.
     assert ("REPARTITION_BY_NUM" in plan and plan.count("Exchange ") == plan.count("REPARTITION_BY_")) if name == "page_segments" else "regexp_extract_all" not in plan
     assert name == "size_headings" or not out.isEmpty()
+
+
+def test_words_and_boxes_of_pages_are_not_moved(spark, tmp_path):
+    rows = [(i, f"<h1>Title {i}</h1>" + "<p>some words, and Others of it</p>" * 60) for i in range(30)]
+    spark.createDataFrame(rows, "page_id long, html string").write.parquet(f"{tmp_path}/pages.parquet")
+    out = layout_queries.QUERIES["text_outside_boxes"](spark, str(tmp_path))
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    # Words and boxes meet where their pages were dealt out: no join and no other exchange.
+    assert "Join" not in plan and plan.count("Exchange ") == plan.count("REPARTITION_BY_") > 0
+    assert out.count() == 30
