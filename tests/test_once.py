@@ -3,6 +3,7 @@
 from pyspark.sql import functions as F
 
 from tarnflow.functions.embedding import embedder
+from tarnflow.plans import queries
 from tarnflow.plans.corrective import Corrective
 
 TEXTS = ["The river Lune crosses the northern town.", "Nothing else is there.", "A town in the north has a river, and the river a bridge. The bridge of the town is old.", ""]
@@ -25,3 +26,14 @@ def test_a_corrective_plan_searches_and_cuts_documents_once(spark):
     contexts, kept = one.assemble(asked, 5, 3)
     assert "MapInArrow" not in _plan(contexts) and {r["query_id"]: r["status"] for r in contexts.collect()}[1] == "ready"
     assert kept.groupBy("query_id", "strip_id").count().where("count > 1").isEmpty()
+
+
+def _tables(spark, folder):
+    spark.createDataFrame([(i, f"http://a.example/{i}", f"<h1>Page {i}</h1><p>{TEXTS[i % 4]}</p>") for i in range(12)], "page_id long, url string, html string").write.parquet(f"{folder}/pages.parquet")
+    spark.createDataFrame([(1, "Which river crosses the northern town?"), (2, "unheard")], "item_id long, text string").write.parquet(f"{folder}/benchmark.parquet")
+    return str(folder)
+
+
+def test_pages_that_are_searched_and_cut_are_read_once(spark, tmp_path):
+    out = queries.web_strips(spark, _tables(spark, tmp_path))
+    assert "html" not in _plan(out) and {r["query_id"] for r in out.collect()} == {1}
