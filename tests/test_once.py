@@ -1,8 +1,10 @@
 """What is searched, read or cut is so once, whatever is made of it later."""
 
+import pytest
 from pyspark.sql import functions as F
 
 from tarnflow.functions.embedding import embedder
+from tarnflow.operators import evidence, retrieval
 from tarnflow.plans import queries
 from tarnflow.plans.corrective import Corrective
 
@@ -37,3 +39,24 @@ def _tables(spark, folder):
 def test_pages_that_are_searched_and_cut_are_read_once(spark, tmp_path):
     out = queries.web_strips(spark, _tables(spark, tmp_path))
     assert "html" not in _plan(out) and {r["query_id"] for r in out.collect()} == {1}
+
+
+def _documents(spark, folder):
+    """Documents that share terms with the questions, long lists of them, and judgments of some."""
+    rows = [(i, f"{TEXTS[i % 3]} {'river town ' * (i % 7)}", "en", f"src{i % 3}") for i in range(60)]
+    spark.createDataFrame(rows, "doc_id long, text string, lang string, source string").selectExpr("*", "length(text) AS n_chars").write.parquet(f"{folder}/documents.parquet")
+    spark.createDataFrame([(i, i // 2 % 2, 0) for i in range(0, 60, 3)], "doc_id long, quality int, toxic int").write.parquet(f"{folder}/labels.parquet")
+    return _tables(spark, folder)
+
+
+@pytest.mark.parametrize("name", ["context_status", "branch_problems"])
+def test_documents_are_searched_once_for_actions_and_contexts(spark, tmp_path, name, monkeypatch):
+    d, asked, search = _documents(spark, tmp_path), [], queries._sparse
+    monkeypatch.setattr(queries, "_sparse", lambda *a: asked.append(a[-1]) or search(*a))
+    out = queries.QUERIES[name](spark, d)
+    assert asked == [12] and "MapInArrow" not in _plan(out)
+    # As from two searches of their own.
+    actions = retrieval.route(queries._questions(spark, d), queries._judged(spark, d))
+    kept = queries._budgeted(spark, d)
+    wanted = evidence.contexts(actions, kept).select("query_id", "status", F.length("text").alias("chars"), "markers") if name == "context_status" else evidence.impure(kept, actions)
+    assert asked == [12, 3, 12] and sorted(out.collect()) == sorted(wanted.collect())
