@@ -49,12 +49,20 @@ def _documents(spark, folder):
     return _tables(spark, folder)
 
 
-@pytest.mark.parametrize("name", ["context_status", "branch_problems"])
+#: Queries that read their contexts several times.
+KEPT = {"run_summaries"}
+
+
+@pytest.mark.parametrize("name", ["context_status", "branch_problems", "run_summaries"])
 def test_documents_are_searched_once_for_actions_and_contexts(spark, tmp_path, name, monkeypatch):
     d, asked, search = _documents(spark, tmp_path), [], queries._sparse
     monkeypatch.setattr(queries, "_sparse", lambda *a: asked.append(a[-1]) or search(*a))
     out = queries.QUERIES[name](spark, d)
     assert asked == [12] and "MapInArrow" not in _plan(out)
+    if name in KEPT:
+        # Texts of documents are read, and put into the budget, once; the result has rows.
+        assert "REPARTITION_BY" not in _plan(out) and "InMemoryTableScan" not in _plan(out) and out.count() == 2
+        return
     # As from two searches of their own.
     actions = retrieval.route(queries._questions(spark, d), queries._judged(spark, d))
     kept = queries._budgeted(spark, d)
