@@ -50,10 +50,10 @@ def _documents(spark, folder):
 
 
 #: Queries that read their contexts several times.
-KEPT = {"run_summaries"}
+KEPT = {"run_summaries", "answer_lines"}
 
 
-@pytest.mark.parametrize("name", ["context_status", "branch_problems", "run_summaries"])
+@pytest.mark.parametrize("name", ["context_status", "branch_problems", "run_summaries", "answer_lines"])
 def test_documents_are_searched_once_for_actions_and_contexts(spark, tmp_path, name, monkeypatch):
     d, asked, search = _documents(spark, tmp_path), [], queries._sparse
     monkeypatch.setattr(queries, "_sparse", lambda *a: asked.append(a[-1]) or search(*a))
